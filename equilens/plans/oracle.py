@@ -68,3 +68,96 @@ def sql_rank_topk(k: int = 20) -> str:
 SELECT doc_id, score, rank FROM (
   SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS BIGINT) AS rank FROM score)
 WHERE rank <= {k}"""
+
+
+# -- scalar text operators ----------------------------------------------------
+
+def s_text(c: str) -> str:
+    return f"coalesce({c}, '')"
+
+
+def s_strip(c: str) -> str:
+    return f"regexp_replace({c}, {q(tx.STRIP_RE)}, '', 'g')"
+
+
+def s_lines(c: str) -> str:
+    return f"string_split({s_text(c)}, chr(10))"
+
+
+def s_email(c: str) -> str:
+    return f"regexp_extract({s_text(c)}, {q(tx.EMAIL_RE)}, 0)"
+
+
+def s_name(c: str) -> str:
+    return (f"coalesce(list_filter(list_transform({s_lines(c)}, lambda l: {s_strip('l')}), "
+            f"lambda l: l <> '')[1], {q(fixed.UNKNOWN_NAME)})")
+
+
+def s_any_contains(c: str, kws) -> str:
+    return "(" + " OR ".join(f"contains({c}, {q(k)})" for k in kws) + ")"
+
+
+def s_skills(c: str, kws=fixed.PARSER_SKILLS) -> str:
+    items = ", ".join(f"CASE WHEN contains(lower({s_text(c)}), {q(k)}) THEN {q(tx.skill_display(k))} END" for k in kws)
+    return f"array_to_string(list_filter([{items}], lambda x: x IS NOT NULL), ', ')"
+
+
+def s_education(c: str) -> str:
+    kws = [k.lower() for k in fixed.EDUCATION_KEYWORDS]
+    first = f"list_filter({s_lines(c)}, lambda l: {s_any_contains('lower(l)', kws)})[1]"
+    return f"coalesce({s_strip(first)}, '')"
+
+
+def s_tier(c: str, kws=fixed.PARSER_TIER1) -> str:
+    return (f"CASE WHEN {s_any_contains(f'lower({s_text(c)})', kws)} THEN {q(fixed.TIER1_LABEL)} "
+            f"ELSE {q(fixed.TIER23_LABEL)} END")
+
+
+def s_gap(c: str, patterns=fixed.PARSER_GAP_PATTERNS) -> str:
+    return (f"CASE WHEN regexp_matches(lower({s_text(c)}), {q(tx.gap_regex(patterns))}) THEN {q(fixed.GAP_YES)} "
+            f"ELSE {q(fixed.GAP_NO)} END")
+
+
+def s_gender(c: str, female=fixed.PARSER_FEMALE_PATTERN, male=fixed.PARSER_MALE_PATTERN) -> str:
+    tl = f"lower({s_text(c)})"
+    return (f"CASE WHEN regexp_matches({tl}, {q(female)}) THEN {q(fixed.FEMALE)} "
+            f"WHEN regexp_matches({tl}, {q(male)}) THEN {q(fixed.MALE)} ELSE {q(fixed.UNSPECIFIED)} END")
+
+
+def s_gender_words(c: str) -> str:
+    return s_gender(c, tx.words_regex(fixed.PREP_FEMALE_WORDS), tx.words_regex(fixed.PREP_MALE_WORDS))
+
+
+def s_origin(name: str) -> str:
+    nl = f"lower({s_text(name)})"
+    return (f"CASE WHEN {s_any_contains(nl, fixed.PARSER_SOUTH_ASIAN)} THEN {q(fixed.SOUTH_ASIAN)} "
+            f"WHEN {s_any_contains(nl, fixed.PARSER_WESTERN)} THEN {q(fixed.WESTERN)} ELSE {q(fixed.OTHER)} END")
+
+
+def s_bucket(c: str, n: int) -> str:
+    return (f"(CAST('0x' || substr(md5(substr({s_text(c)}, 1, {fixed.ORIGIN_PREFIX_CHARS})), 1, 8) AS BIGINT) % {n})")
+
+
+def s_origin_text(c: str) -> str:
+    tl = f"lower({s_text(c)})"
+    buckets = str_list(fixed.ORIGIN_BUCKETS)
+    return (f"CASE WHEN {s_any_contains(tl, fixed.PREP_SOUTH_ASIAN)} THEN {q(fixed.SOUTH_ASIAN)} "
+            f"WHEN {s_any_contains(tl, fixed.PREP_EAST_ASIAN)} THEN {q(fixed.EAST_ASIAN)} "
+            f"WHEN {s_any_contains(tl, fixed.PREP_WESTERN)} THEN {q(fixed.WESTERN)} "
+            f"ELSE {buckets}[{s_bucket(c, len(fixed.ORIGIN_BUCKETS))} + 1] END")
+
+
+def s_clean(c: str) -> str:
+    t = s_text(c)
+    t = f"regexp_replace({t}, {q(tx.TAG_RE)}, ' ', 'g')"
+    t = f"regexp_replace({t}, {q(tx.URL_RE)}, ' ', 'g')"
+    t = f"regexp_replace({t}, {q(tx.WS_RUN_RE)}, ' ', 'g')"
+    t = f"regexp_replace({t}, {q(tx.NON_ASCII_RE)}, ' ', 'g')"
+    return s_strip(t)
+
+
+def s_parse_select(text: str = "text") -> str:
+    return (f"{s_name(text)} AS Name, {s_email(text)} AS Email, {s_skills(text)} AS Skills, "
+            f"{s_education(text)} AS Education, {s_strip(s_text(text))} AS Full_Text, "
+            f"{s_gender(text)} AS gender_proxy, {s_tier(text)} AS institution_tier, "
+            f"{s_gap(text)} AS career_gap, {s_origin(s_name(text))} AS name_origin_proxy")

@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
+from ..functions import fixed
+from ..functions import text as tx
 from . import oracle as o
 from .queries import TOP_K
 
 
-def oracle_sql() -> dict[str, str]:
+def _text_queries() -> dict[str, str]:
+    clean = o.s_clean("text")
     return {
+        "extract_email": f"SELECT doc_id, {o.s_email('text')} AS email FROM documents",
+        "extract_title_line": f"SELECT doc_id, {o.s_name('text')} AS name FROM documents",
+        "keyword_tags": f"SELECT doc_id, {o.s_skills('text')} AS skills FROM documents",
+        "first_matching_line": f"SELECT doc_id, {o.s_education('text')} AS education FROM documents",
+        "attr_tier": f"SELECT doc_id, {o.s_tier('text')} AS institution_tier FROM documents",
+        "attr_gap": f"SELECT doc_id, {o.s_gap('text')} AS career_gap FROM documents",
+        "attr_gender": f"SELECT doc_id, {o.s_gender('text')} AS gender_proxy FROM documents",
+        "attr_origin": f"SELECT doc_id, name, {o.s_origin('name')} AS name_origin_proxy FROM "
+                       f"(SELECT doc_id, {o.s_name('text')} AS name FROM documents)",
+        "attributes_text": f"""SELECT doc_id, {o.s_tier('clean', fixed.PREP_TIER1)} AS institution_tier,
+  {o.s_gap('clean', fixed.PREP_GAP_PATTERNS)} AS career_gap, {o.s_gender_words('clean')} AS gender_proxy,
+  {o.s_origin_text('clean')} AS name_origin_proxy, {o.s_skills('clean', fixed.PREP_SKILLS)} AS skills
+FROM (SELECT doc_id, {clean} AS clean FROM documents)""",
+        "clean_text": f"SELECT page_id, {o.s_clean('html')} AS clean FROM pages",
+        "parse_documents": f"SELECT doc_id, {o.s_parse_select('text')} FROM documents",
+        "synthetic_identity": f"""SELECT doc_id, pos, printf({o.q(fixed.NAME_FORMAT)}, pos) AS Name,
+  printf({o.q(fixed.EMAIL_FORMAT)}, pos) AS Email, printf({o.q(fixed.FILE_FORMAT)}, pos) AS Filename
+FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS pos FROM documents)""",
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    out = {
         "rank_topk": o.sql_rank_topk(TOP_K),
         "cosine_score": o.with_tfidf("SELECT doc_id, score FROM score"),
     }
+    out.update(_text_queries())
+    return out

@@ -30,3 +30,89 @@ QUERIES = {
     "rank_topk": rank_topk,
     "cosine_score": cosine_score,
 }
+
+
+# -- scalar text operators (T1-T12) --------------------------------------------
+from ..functions import fixed  # noqa: E402
+from ..functions import text as tx  # noqa: E402
+
+
+def _docs(spark, sf_dir):
+    return cx.documents(spark, sf_dir)
+
+
+def extract_email(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.extract_email(F.col("text")).alias("email"))
+
+
+def extract_title_line(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.extract_name(F.col("text")).alias("name"))
+
+
+def keyword_tags(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.skills_string(tx.extract_skills(F.col("text"))).alias("skills"))
+
+
+def first_matching_line(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.first_matching_line(F.col("text")).alias("education"))
+
+
+def attr_tier(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.institution_tier(F.col("text")).alias("institution_tier"))
+
+
+def attr_gap(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.career_gap(F.col("text")).alias("career_gap"))
+
+
+def attr_gender(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.gender_proxy(F.col("text")).alias("gender_proxy"))
+
+
+def attr_origin(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", tx.extract_name(F.col("text")).alias("name"))
+    return d.select("doc_id", "name", tx.name_origin(F.col("name")).alias("name_origin_proxy"))
+
+
+def attributes_text(spark, sf_dir):
+    """The preparation job's whole-text rules on cleaned text."""
+    d = _docs(spark, sf_dir).select("doc_id", tx.clean_text(F.col("text")).alias("clean"))
+    c = F.col("clean")
+    return d.select("doc_id",
+                    tx.institution_tier(c, fixed.PREP_TIER1).alias("institution_tier"),
+                    tx.career_gap(c, fixed.PREP_GAP_PATTERNS).alias("career_gap"),
+                    tx.gender_proxy_words(c).alias("gender_proxy"),
+                    tx.name_origin_text(c).alias("name_origin_proxy"),
+                    tx.skills_string(tx.extract_skills(c, fixed.PREP_SKILLS)).alias("skills"))
+
+
+def clean_text(spark, sf_dir):
+    return cx.table(spark, sf_dir, "pages").select("page_id", tx.clean_text(F.col("html")).alias("clean"))
+
+
+def parse_documents(spark, sf_dir):
+    return cx.parsed_documents(spark, sf_dir)
+
+
+def synthetic_identity(spark, sf_dir):
+    """1-based position in doc_id order -> name, e-mail, file name."""
+    d = rk.global_rank(_docs(spark, sf_dir).select("doc_id"), [F.asc("doc_id")], "pos")
+    p = F.col("pos")
+    return d.select("doc_id", "pos", tx.synthetic_name(p).alias("Name"), tx.synthetic_email(p).alias("Email"),
+                    tx.synthetic_filename(p).alias("Filename"))
+
+
+QUERIES.update({
+    "extract_email": extract_email,
+    "extract_title_line": extract_title_line,
+    "keyword_tags": keyword_tags,
+    "first_matching_line": first_matching_line,
+    "attr_tier": attr_tier,
+    "attr_gap": attr_gap,
+    "attr_gender": attr_gender,
+    "attr_origin": attr_origin,
+    "attributes_text": attributes_text,
+    "clean_text": clean_text,
+    "parse_documents": parse_documents,
+    "synthetic_identity": synthetic_identity,
+})
