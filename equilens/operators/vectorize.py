@@ -163,3 +163,27 @@ def weighted_docs(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", ke
 
 
 ARRAY_D = T.ArrayType(T.DoubleType())
+
+
+def vocabulary_frame(corpus: DataFrame, text_col: str = "text", max_features: int = fixed.MAX_FEATURES,
+                     stop_words=None, decimals: int | None = None) -> DataFrame:
+    """The fitted vocabulary as a DataFrame computed entirely by Spark:
+    (term, cf, df, idf) for the top ``max_features`` terms; the document count
+    enters as a scalar subquery."""
+    sw = tuple(english_stop_words() if stop_words is None else stop_words)
+    ct = corpus.select(term_expr(F.col(text_col), sw).alias("terms"))
+    top = term_stats(ct).orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
+    n = corpus.select(F.count(F.lit(1)).cast("double")).scalar()
+    idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+    if decimals is not None:
+        idf = F.round(idf, decimals)
+    return top.withColumn("idf", idf)
+
+
+def explode_weights(weighted: DataFrame, vocab: Vocabulary, keys: list[str], w_col: str = "w",
+                    nonzero: bool = True) -> DataFrame:
+    """Long form (keys..., term, weight) of a weight array."""
+    z = F.arrays_zip(F.col(w_col).alias("w"), F.lit(list(vocab.terms)).alias("t"))
+    e = weighted.select(*keys, F.explode(z).alias("e")).select(*keys, F.col("e.t").alias("term"),
+                                                                 F.col("e.w").alias("weight"))
+    return e.where(F.col("weight") != 0) if nonzero else e

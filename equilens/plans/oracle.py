@@ -161,3 +161,56 @@ def s_parse_select(text: str = "text") -> str:
             f"{s_education(text)} AS Education, {s_strip(s_text(text))} AS Full_Text, "
             f"{s_gender(text)} AS gender_proxy, {s_tier(text)} AS institution_tier, "
             f"{s_gap(text)} AS career_gap, {s_origin(s_name(text))} AS name_origin_proxy")
+
+
+# -- vectorizer, ranking, audit -------------------------------------------------
+
+def labeled_cte() -> str:
+    return (", lab AS (SELECT doc_id, score, CAST(score >= (SELECT median(score) FROM score) AS INTEGER) AS label "
+            "FROM score)")
+
+
+def transform_ctes(table: str, keys: list[str]) -> str:
+    k = ", ".join(keys)
+    return f""",
+xterms AS (SELECT {k}, {terms_sql('text')} AS t FROM {table}),
+xtf AS (SELECT {k}, term, count(*) AS tf FROM (SELECT {k}, unnest(t) AS term FROM xterms) GROUP BY ALL),
+xw0 AS (SELECT {', '.join('xtf.' + c for c in keys)}, xtf.term, (1.0 + ln(xtf.tf)) * idf.idf AS w
+        FROM xtf JOIN idf ON xtf.term = idf.term),
+xn AS (SELECT {k}, sqrt(sum(w * w)) AS norm FROM xw0 GROUP BY ALL),
+xw AS (SELECT xw0.*, xw0.w / xn.norm AS wn FROM xw0 JOIN xn USING ({k}))"""
+
+
+def audit_ctes(attrs: list[str]) -> str:
+    exprs = {
+        "gender_proxy": s_gender("text"), "institution_tier": s_tier("text"), "career_gap": s_gap("text"),
+        "name_origin_proxy": s_origin(s_name("text")),
+    }
+    sel = ", ".join(f"{exprs[a]} AS {a}" if a in exprs else a for a in attrs)
+    unions = " UNION ALL ".join(
+        f"SELECT {i} AS attr_pos, {q(a)} AS attr, coalesce(CAST({a} AS VARCHAR), 'None') AS grp, doc_id, s, label "
+        f"FROM base" for i, a in enumerate(attrs))
+    return labeled_cte() + f""",
+attrs AS (SELECT doc_id, {sel} FROM documents),
+base AS (SELECT a.*, lab.label, CAST(round(lab.score * {10 ** fixed.SCORE_DECIMALS}) AS BIGINT) AS s
+         FROM attrs a JOIN lab ON a.doc_id = lab.doc_id),
+long AS ({unions}),
+firsts AS (SELECT attr_pos, grp, s AS fs, doc_id AS first_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY attr_pos, grp ORDER BY s DESC, doc_id) AS rn FROM long) WHERE rn = 1),
+g0 AS (SELECT attr_pos, attr, grp, count(*) AS n, sum(s) AS ssum, sum(label) AS rsum FROM long GROUP BY ALL),
+g AS (SELECT g0.attr_pos, attr, g0.grp, n, (2 * ssum + n) // (2 * n) AS mu,
+        ((2 * ssum + n) // (2 * n)) / {float(10 ** fixed.SCORE_DECIMALS)} AS mean_score,
+        ((2 * {10 ** fixed.REC_RATE_DECIMALS} * rsum + n) // (2 * n)) / {float(10 ** fixed.REC_RATE_DECIMALS)} AS rec_rate,
+        fs, first_id
+      FROM g0 JOIN firsts ON g0.attr_pos = firsts.attr_pos AND g0.grp = firsts.grp),
+rep AS (SELECT attr_pos, attr, count(*) AS n_groups, (max(mu) - min(mu)) / {float(10 ** fixed.SCORE_DECIMALS)} AS disparity,
+          first(grp ORDER BY mu DESC, fs DESC, first_id ASC) AS favoured,
+          first(grp ORDER BY mu ASC, fs DESC, first_id ASC) AS disadvantaged
+        FROM g GROUP BY attr_pos, attr HAVING count(*) >= 2),
+report AS (SELECT CAST(row_number() OVER (ORDER BY disparity DESC, attr_pos) AS BIGINT) AS position, attr, n_groups,
+             disparity, favoured, disadvantaged FROM rep)"""
+
+
+def severity_sql(pos: str = "position") -> str:
+    s = fixed.SEVERITY
+    return f"CASE WHEN {pos} = 1 THEN {q(s[0])} WHEN {pos} = 2 THEN {q(s[1])} ELSE {q(s[2])} END"

@@ -116,3 +116,104 @@ QUERIES.update({
     "parse_documents": parse_documents,
     "synthetic_identity": synthetic_identity,
 })
+
+
+# -- vectorizer (V1-V12) ------------------------------------------------------
+from ..functions import tokens as tk  # noqa: E402
+from ..operators import audit as au  # noqa: E402
+from ..operators import vectorize as vz  # noqa: E402
+
+
+def _corpus(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    return docs.unionByName(vz.query_document(cx.table(spark, sf_dir, "benchmark")))
+
+
+def tokenize(spark, sf_dir):
+    toks = tk.tokenize(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(toks).cast("long").alias("n_tokens"),
+                                       F.md5(F.array_join(toks, " ")).alias("tokens_md5"))
+
+
+def term_counts(spark, sf_dir):
+    t = _corpus(spark, sf_dir).select("doc_id", tk.terms(F.col("text")).alias("terms"))
+    return t.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term") \
+        .agg(F.count(F.lit(1)).alias("tf"))
+
+
+def vocabulary(spark, sf_dir):
+    return vz.vocabulary_frame(_corpus(spark, sf_dir), decimals=6)
+
+
+def tfidf_weights(spark, sf_dir):
+    f = cx.fitted(spark, sf_dir)
+    w = vz.weighted_docs(_corpus(spark, sf_dir), f.vocab, "text", ["doc_id"])
+    return vz.explode_weights(w, f.vocab, ["doc_id"]).withColumn("weight", F.round("weight", 6))
+
+
+def tfidf_transform(spark, sf_dir):
+    """Vectorizer fitted on documents + query, applied to conversation turns
+    (out-of-vocabulary terms dropped)."""
+    f = cx.fitted(spark, sf_dir)
+    conv = cx.table(spark, sf_dir, "conversations")
+    w = vz.weighted_docs(conv, f.vocab, "text", ["conv_id", "turn"])
+    return vz.explode_weights(w, f.vocab, ["conv_id", "turn"]).withColumn("weight", F.round("weight", 6))
+
+
+# -- ranking (K1, K5, K6, P4) -------------------------------------------------
+
+def median_label(spark, sf_dir):
+    return rk.median_label(cx.scored_documents(spark, sf_dir).select("doc_id", "score"))
+
+
+def rank_documents(spark, sf_dir):
+    scored = rk.median_label(cx.scored_documents(spark, sf_dir).select("doc_id", "score"))
+    return rk.rank_by_score(scored)
+
+
+def rank_summary(spark, sf_dir):
+    s = rk.median_label(cx.scored_documents(spark, sf_dir).select("doc_id", "score"))
+    return s.agg(F.count(F.lit(1)).alias("total"), F.sum("label").alias("n_label"),
+                 F.max("score").alias("top_score"),
+                 F.round(F.max("score") - F.min("score"), fixed.SCORE_DECIMALS).alias("score_range"),
+                 F.median("score").alias("threshold"))
+
+
+# -- audit (A1-A7) --------------------------------------------------------------
+
+AUDIT_ATTRS = fixed.AUDIT_ATTRIBUTES + ["lang"]
+
+
+def _audit_table(spark, sf_dir):
+    f = cx.fitted(spark, sf_dir)
+    d = cx.documents(spark, sf_dir)
+    t = d.select("doc_id", "lang", "text",
+                 tx.gender_proxy(F.col("text")).alias("gender_proxy"),
+                 tx.institution_tier(F.col("text")).alias("institution_tier"),
+                 tx.career_gap(F.col("text")).alias("career_gap"),
+                 tx.name_origin(tx.extract_name(F.col("text"))).alias("name_origin_proxy"))
+    w = vz.weighted_docs(t, f.vocab, "text", ["doc_id", "lang"] + fixed.AUDIT_ATTRIBUTES)
+    return rk.median_label(rk.cosine_score(w, f.query_weights).drop("w"))
+
+
+def audit_groups(spark, sf_dir):
+    g = au.audit_groups(_audit_table(spark, sf_dir), AUDIT_ATTRS, rec_col="label")
+    return g.select("attr", "grp", "n", "mean_score", "rec_rate")
+
+
+def audit_report(spark, sf_dir):
+    return au.audit_report(au.audit_groups(_audit_table(spark, sf_dir), AUDIT_ATTRS, rec_col="label"))
+
+
+QUERIES.update({
+    "tokenize": tokenize,
+    "term_counts": term_counts,
+    "vocabulary": vocabulary,
+    "tfidf_weights": tfidf_weights,
+    "tfidf_transform": tfidf_transform,
+    "median_label": median_label,
+    "rank_documents": rank_documents,
+    "rank_summary": rank_summary,
+    "audit_groups": audit_groups,
+    "audit_report": audit_report,
+})
