@@ -87,3 +87,15 @@ def terms(text: Column, stop_words=None, ngram_range: tuple[int, int] = (1, 2))
     """Full term list of a text: tokenize, drop stop words, uni+bigrams."""
     sw = english_stop_words() if stop_words is None else stop_words
     return ngram_terms(remove_stop_words(tokenize(text), sw), ngram_range)
+
+
+def add_terms(df, text_col: str = "text", out: str = "terms", stop_words=None,
+              ngram_range: tuple[int, int] = (1, 2)):
+    """DataFrame form of :func:`terms`.  Tokens are materialized in their own
+    projection first: n-grams reference the token array several times, and a
+    non-trivial expression referenced more than once is not inlined by the
+    optimizer, so the regex tokenizer runs once per row."""
+    sw = english_stop_words() if stop_words is None else stop_words
+    tmp = f"_{out}_tokens"
+    df = df.withColumn(tmp, remove_stop_words(tokenize(F.col(text_col)), sw))
+    return df.withColumn(out, ngram_terms(F.col(tmp), ngram_range)).drop(tmp)

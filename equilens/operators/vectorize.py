@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..functions.tokens import english_stop_words, terms as term_expr
+from ..functions.tokens import add_terms, english_stop_words, terms as term_expr
 
 QUERY_ID = -1
 
@@ -61,6 +61,9 @@ class Vocabulary:
     def terms_of(self, text: Column) -> Column:
         return term_expr(text, self.stop_words, self.ngram_range)
 
+    def add_terms(self, df: DataFrame, text_col: str, out: str) -> DataFrame:
+        return add_terms(df, text_col, out, self.stop_words, self.ngram_range)
+
     def counts(self, df: DataFrame, terms_col: str, out: str = "tf_vec") -> DataFrame:
         """Sparse term-count vector over the vocabulary; out-of-vocabulary
         terms are dropped."""
@@ -94,7 +97,7 @@ class Vocabulary:
 
 def with_terms(df: DataFrame, text_col: str = "text", out: str = "terms", stop_words=None,
                ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:
-    return df.withColumn(out, term_expr(F.col(text_col), stop_words, ngram_range))
+    return add_terms(df, text_col, out, stop_words, ngram_range)
 
 
 def term_stats(corpus_terms: DataFrame, terms_col: str = "terms") -> DataFrame:
@@ -113,7 +116,7 @@ def fit_vocabulary(corpus: DataFrame, text_col: str = "text", max_features: int
     """Fit on every row of ``corpus`` (the query document included by the
     caller, as the reference does)."""
     sw = tuple(english_stop_words() if stop_words is None else stop_words)
-    ct = corpus.select(term_expr(F.col(text_col), sw, ngram_range).alias("terms"))
+    ct = add_terms(corpus.select(text_col), text_col, "terms", sw, ngram_range).select("terms")
     top = (term_stats(ct).orderBy(F.desc("cf"), F.asc("term")).limit(max_features).collect())
     n_docs = corpus.count()
     top = sorted(top, key=lambda r: r["term"])
@@ -156,7 +159,7 @@ def weighted_docs(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", ke
     """Documents with their weight array; ``keep`` columns are carried along
     (column pruning keeps the scan to those plus the text)."""
     cols = list(dict.fromkeys((keep or []) + [text_col]))
-    t = docs.select(*cols).withColumn("_terms", vocab.terms_of(F.col(text_col)))
+    t = vocab.add_terms(docs.select(*cols), text_col, "_terms")
     if text_col not in (keep or []):
         t = t.drop(text_col)
     return vocab.weights(t, "_terms", out).drop("_terms")
@@ -171,7 +174,7 @@ def vocabulary_frame(corpus: DataFrame, text_col: str = "text", max_features: in
     (term, cf, df, idf) for the top ``max_features`` terms; the document count
     enters as a scalar subquery."""
     sw = tuple(english_stop_words() if stop_words is None else stop_words)
-    ct = corpus.select(term_expr(F.col(text_col), sw).alias("terms"))
+    ct = add_terms(corpus.select(text_col), text_col, "terms", sw).select("terms")
     top = term_stats(ct).orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
     n = corpus.select(F.count(F.lit(1)).cast("double")).scalar()
     idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)

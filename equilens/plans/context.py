@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as tx
 from ..operators import vectorize as vz
+from ..sources.readers import spread
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -23,8 +24,15 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 _FITS: dict = {}
 
 
+# Text tables get enough tasks for tokenizing (see ``sources.readers.spread``).
+SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if name in SPREAD_KEYS:
+        df = spread(df, SPREAD_KEYS[name])
+    return df
 
 
 @dataclass

@@ -214,3 +214,83 @@ report AS (SELECT CAST(row_number() OVER (ORDER BY disparity DESC, attr_pos) AS
 def severity_sql(pos: str = "position") -> str:
     s = fixed.SEVERITY
     return f"CASE WHEN {pos} = 1 THEN {q(s[0])} WHEN {pos} = 2 THEN {q(s[1])} ELSE {q(s[2])} END"
+
+
+# -- attribution ----------------------------------------------------------------------
+import re as _re  # noqa: E402
+
+ORDER_DECIMALS = 12
+
+
+def sql_fill(template: str, **exprs: str) -> str:
+    parts, pos = [], 0
+    for m in _re.finditer(r"\{(\w+)\}", template):
+        if m.start() > pos:
+            parts.append(q(template[pos:m.start()]))
+        parts.append(exprs[m.group(1)])
+        pos = m.end()
+    if pos < len(template):
+        parts.append(q(template[pos:]))
+    return "(" + " || ".join(parts) + ")"
+
+
+def attribution_ctes() -> str:
+    year = r"^(" + "|".join(fixed.NOISE_YEAR_PREFIXES) + r")\p{Nd}{2}$"
+    return f""",
+names AS (SELECT doc_id, {s_name('text')} AS name FROM documents),
+nwords AS (SELECT regexp_extract_all(lower(coalesce(name, '')), {q(TOKEN_RE)}) AS t FROM names),
+ntoks AS (SELECT DISTINCT unnest(t) AS token FROM nwords),
+name_tokens AS (SELECT token FROM ntoks UNION
+                SELECT unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS token FROM nwords),
+vw AS (SELECT term, unnest(string_split(term, ' ')) AS word FROM idf),
+noise AS (SELECT i.term, (regexp_matches(i.term, {q(year)}) OR contains(i.term, '@') OR EXISTS (
+            SELECT 1 FROM vw WHERE vw.term = i.term AND (vw.word IN ({', '.join(q(x) for x in fixed.NOISE_WORDS)})
+                                                         OR vw.word IN (SELECT token FROM ntoks)))) AS is_noise
+          FROM idf i),
+nd AS (SELECT count(*) AS n FROM docs),
+feat AS (SELECT i.term, coalesce(qv.qw, 0.0) AS c, coalesce(ms.sw, 0.0) / nd.n AS m, noise.is_noise
+         FROM idf i JOIN noise ON noise.term = i.term CROSS JOIN nd
+         LEFT JOIN qv ON qv.term = i.term
+         LEFT JOIN (SELECT term, sum(w) AS sw FROM w WHERE doc_id <> -1 GROUP BY term) ms ON ms.term = i.term),
+vals AS (SELECT d.doc_id, f.term, f.c * (coalesce(w.w, 0.0) - f.m) AS value, f.is_noise
+         FROM docs d CROSS JOIN feat f LEFT JOIN w ON w.doc_id = d.doc_id AND w.term = f.term),
+nclean AS (SELECT count(*) AS k FROM noise WHERE NOT is_noise),
+topc AS (SELECT doc_id, term, value, row_number() OVER (
+           PARTITION BY doc_id ORDER BY round(0.0 - abs(value), {ORDER_DECIMALS}), term) AS r
+         FROM vals WHERE NOT is_noise OR (SELECT k FROM nclean) = 0),
+disp AS (SELECT doc_id, term, value, r, row_number() OVER (PARTITION BY doc_id ORDER BY
+           CASE WHEN (SELECT k FROM nclean) = 0 THEN -r ELSE 0 END,
+           CASE WHEN value > 0 THEN 1 ELSE 0 END,
+           round(CASE WHEN value > 0 THEN -value ELSE value END, {ORDER_DECIMALS}), r) AS pos
+         FROM topc WHERE r <= {fixed.TOP_CLEAN_TERMS}),
+top6 AS (SELECT doc_id, term, round(value, {fixed.SCORE_DECIMALS}) + 0.0 AS value, row_number() OVER (
+           PARTITION BY doc_id ORDER BY round(0.0 - abs(value), {ORDER_DECIMALS}), pos) AS pos FROM disp),
+bias AS (SELECT doc_id, term, round(value, 5) + 0.0 AS value, row_number() OVER (
+           PARTITION BY doc_id ORDER BY round(0.0 - abs(value), {ORDER_DECIMALS}), term) AS pos
+         FROM vals WHERE is_noise AND abs(value) > {fixed.BIAS_MIN_ABS}),
+leader AS (SELECT doc_id FROM score ORDER BY score DESC, doc_id LIMIT 1),
+lead_vals AS (SELECT term, value AS a FROM vals WHERE doc_id = (SELECT doc_id FROM leader)),
+gaps AS (SELECT v.doc_id, v.term, l.a - v.value AS gap FROM vals v JOIN lead_vals l ON l.term = v.term
+         WHERE NOT v.is_noise AND l.a - v.value > 0 AND v.doc_id <> (SELECT doc_id FROM leader)),
+gtop AS (SELECT doc_id, term, gap, row_number() OVER (
+           PARTITION BY doc_id ORDER BY round(0.0 - gap, {ORDER_DECIMALS}), term) AS pos FROM gaps)"""
+
+
+def contrast_text_sql() -> str:
+    f = {i: f"max(CASE WHEN g.pos = {i + 1} THEN g.term END)" for i in range(3)}
+    return f""",
+gagg AS (SELECT doc_id, count(*) AS ng, {f[0]} AS f0, {f[1]} AS f1, {f[2]} AS f2
+         FROM gtop g WHERE pos <= {fixed.CONTRAST_TERMS} GROUP BY doc_id),
+best AS (SELECT doc_id, string_agg('**' || term || '**', ', ' ORDER BY pos) AS signals FROM (
+           SELECT doc_id, term, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k
+           FROM top6 WHERE pos <= {fixed.TOP_TABLE_TERMS} AND value > 0) WHERE k <= 3 GROUP BY doc_id)
+SELECT n.doc_id, CASE
+  WHEN n.doc_id = (SELECT doc_id FROM leader) THEN
+    {sql_fill(fixed.CONTRAST_LEADER, name='n.name')} || coalesce(b.signals, {q(fixed.CONTRAST_LEADER_GENERIC)}) || '.'
+  WHEN coalesce(g.ng, 0) > 0 THEN
+    {sql_fill(fixed.CONTRAST_IMPROVE, name='n.name', f0='g.f0')}
+    || CASE WHEN g.ng > 1 THEN {sql_fill(fixed.CONTRAST_FOLLOWED, f1='g.f1')} ELSE '' END
+    || CASE WHEN g.ng > 2 THEN {sql_fill(fixed.CONTRAST_AND, f2='g.f2')} ELSE '' END
+    || {sql_fill(fixed.CONTRAST_QUESTION, name='n.name', f0='g.f0')}
+  ELSE {sql_fill(fixed.CONTRAST_NO_GAP, name='n.name')} END AS contrastive
+FROM names n LEFT JOIN gagg g ON g.doc_id = n.doc_id LEFT JOIN best b ON b.doc_id = n.doc_id"""

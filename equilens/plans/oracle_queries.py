@@ -40,9 +40,30 @@ def oracle_sql() -> dict[str, str]:
     }
     out.update(_text_queries())
     out.update(_vector_rank_audit())
+    out.update(_attribution())
     return out
 
 
+def _attribution() -> dict[str, str]:
+    a = o.attribution_ctes()
+    hd = f"CASE WHEN value > 0 THEN {o.q(fixed.HELPED)} ELSE {o.q(fixed.HURT)} END"
+    return {
+        "linear_attribution": o.with_tfidf(a + "\nSELECT doc_id, term, round(value, 6) + 0.0 AS value FROM vals "
+                                              "WHERE value <> 0"),
+        "name_tokens": o.with_tfidf(a + "\nSELECT token FROM name_tokens"),
+        "noise_terms": o.with_tfidf(a + "\nSELECT term, is_noise FROM noise"),
+        "attribution_topn": o.with_tfidf(a + "\nSELECT doc_id, CAST(pos AS BIGINT) AS pos, term, "
+                                            "round(value, 6) + 0.0 AS value FROM disp"),
+        "attribution_top6": o.with_tfidf(a + f"\nSELECT doc_id, CAST(pos AS BIGINT) AS pos, term, value, {hd} "
+                                            f"AS direction FROM top6 WHERE pos <= {fixed.TOP_TABLE_TERMS}"),
+        "attribution_bias_note": o.with_tfidf(a + "\nSELECT doc_id, CAST(pos AS BIGINT) AS pos, term, value FROM bias "
+                                                 f"WHERE pos <= {fixed.TOP_BIAS_TERMS}"),
+        "contrast_topn": o.with_tfidf(a + "\nSELECT doc_id, CAST(pos AS BIGINT) AS pos, term, round(gap, 6) + 0.0 AS gap "
+                                         f"FROM gtop WHERE pos <= {fixed.CONTRAST_TERMS}"),
+        "contrast_text": o.with_tfidf(a + o.contrast_text_sql()),
+    }
+
+
 def _vector_rank_audit() -> dict[str, str]:
     from .queries import AUDIT_ATTRS
     tok = f"regexp_extract_all(lower(coalesce(text, '')), {o.q(TOKEN_RE)})"

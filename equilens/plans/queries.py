@@ -136,7 +136,7 @@ def tokenize(spark, sf_dir):
 
 
 def term_counts(spark, sf_dir):
-    t = _corpus(spark, sf_dir).select("doc_id", tk.terms(F.col("text")).alias("terms"))
+    t = tk.add_terms(_corpus(spark, sf_dir), "text", "terms").select("doc_id", "terms")
     return t.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term") \
         .agg(F.count(F.lit(1)).alias("tf"))
 
@@ -217,3 +217,98 @@ QUERIES.update({
     "audit_groups": audit_groups,
     "audit_report": audit_report,
 })
+
+
+# -- attribution (X1-X10) ---------------------------------------------------------
+from ..operators import attribute as at  # noqa: E402
+
+_EXPL: dict = {}
+
+
+def _names(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", tx.extract_name(F.col("text")).alias("name"))
+
+
+def _weighted_scored(spark, sf_dir, keep=None):
+    f = cx.fitted(spark, sf_dir)
+    w = vz.weighted_docs(_docs(spark, sf_dir), f.vocab, "text", ["doc_id"] + (keep or []))
+    return rk.cosine_score(w, f.query_weights)
+
+
+def linear_explainer(spark, sf_dir):
+    """Explainer of the cosine score (a linear function of the document
+    vector with the query vector as coefficients), with its leader."""
+    key = cx.os.path.abspath(sf_dir)
+    if key not in _EXPL:
+        f = cx.fitted(spark, sf_dir)
+        ws = _weighted_scored(spark, sf_dir)
+        mean = at.feature_means(ws)
+        noise = at.noise_terms(f.vocab.table(spark), at.name_tokens(_names(spark, sf_dir)))
+        ex = at.build_explainer(f.vocab.terms, f.query_weights, mean, noise)
+        lead = ws.orderBy(F.desc("score"), F.asc("doc_id")).select("doc_id", "w").first()
+        _EXPL[key] = (ex, int(lead["doc_id"]), tuple(ex.attributions(lead["w"])))
+    return _EXPL[key]
+
+
+def linear_attribution(spark, sf_dir):
+    ex, _, _ = linear_explainer(spark, sf_dir)
+    return at.attribution_long(_weighted_scored(spark, sf_dir), ex, ["doc_id"])
+
+
+def name_tokens(spark, sf_dir):
+    return at.name_tokens(_names(spark, sf_dir))
+
+
+def noise_terms(spark, sf_dir):
+    f = cx.fitted(spark, sf_dir)
+    return at.noise_terms(f.vocab.table(spark), at.name_tokens(_names(spark, sf_dir))).select("term", "is_noise")
+
+
+def _explained(spark, sf_dir):
+    ex, lead_id, lead_attr = linear_explainer(spark, sf_dir)
+    ws = _weighted_scored(spark, sf_dir, keep=["text"])
+    return at.explain(ws, ex), ex, lead_id, lead_attr
+
+
+def attribution_topn(spark, sf_dir):
+    d, _, _, _ = _explained(spark, sf_dir)
+    return at.explode_pairs(d, ["doc_id"], "ordered", "value", decimals=6)
+
+
+def attribution_top6(spark, sf_dir):
+    d, _, _, _ = _explained(spark, sf_dir)
+    return at.explode_pairs(d, ["doc_id"], "top_features", "value").withColumn("direction", tx.direction(F.col("value")))
+
+
+def attribution_bias_note(spark, sf_dir):
+    d, _, _, _ = _explained(spark, sf_dir)
+    return at.explode_pairs(d, ["doc_id"], "bias_note", "value")
+
+
+def _contrasted(spark, sf_dir):
+    d, ex, lead_id, lead_attr = _explained(spark, sf_dir)
+    return at.contrast(d, ex, lead_attr), lead_id
+
+
+def contrast_topn(spark, sf_dir):
+    d, lead_id = _contrasted(spark, sf_dir)
+    return at.explode_pairs(d.where(F.col("doc_id") != lead_id), ["doc_id"], "gap_terms", "gap", decimals=6)
+
+
+def contrast_text(spark, sf_dir):
+    d, lead_id = _contrasted(spark, sf_dir)
+    rank = F.when(F.col("doc_id") == lead_id, F.lit(1)).otherwise(F.lit(2))
+    return d.select("doc_id", at.contrast_text(tx.extract_name(F.col("text")), rank, F.col("gap_terms"),
+                                               F.col("top_features")).alias("contrastive"))
+
+
+QUERIES.update({
+    "linear_attribution": linear_attribution,
+    "name_tokens": name_tokens,
+    "noise_terms": noise_terms,
+    "attribution_topn": attribution_topn,
+    "attribution_top6": attribution_top6,
+    "attribution_bias_note": attribution_bias_note,
+    "contrast_topn": contrast_topn,
+    "contrast_text": contrast_text,
+})
