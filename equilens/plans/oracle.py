@@ -294,3 +294,52 @@ SELECT n.doc_id, CASE
     || {sql_fill(fixed.CONTRAST_QUESTION, name='n.name', f0='g.f0')}
   ELSE {sql_fill(fixed.CONTRAST_NO_GAP, name='n.name')} END AS contrastive
 FROM names n LEFT JOIN gagg g ON g.doc_id = n.doc_id LEFT JOIN best b ON b.doc_id = n.doc_id"""
+
+
+# -- preparation job -----------------------------------------------------------------------
+
+def s_key(key: str, tag: str | None = None, seed: int = fixed.SEED) -> str:
+    parts = [q(str(seed))] + ([q(tag)] if tag else []) + [f"CAST({key} AS VARCHAR)"]
+    return f"md5(concat_ws('|', {', '.join(parts)}))"
+
+
+def raw_cte() -> str:
+    return "raw AS (SELECT doc_id AS ID, text AS Resume_str, source AS Category FROM documents)"
+
+
+def prep_ctes(source: str = "raw", order: str = "ID") -> str:
+    """base (cleaned, filtered, attributes) -> r1 -> r2 -> r3 -> prepared."""
+    clean = s_clean("Resume_str")
+    t = "Full_Text"
+
+    def relabel(prev: str, name: str, col: str, cand: str, tag: str, bands: list[tuple[str, str]], cnt: str) -> str:
+        case = " ".join(f"WHEN rk.r <= {upto} THEN {q(label)}" for upto, label in bands)
+        return f""",
+{name}_rank AS (SELECT ID, row_number() OVER (ORDER BY {s_key('ID', tag)}, ID) AS r FROM {prev} WHERE {cand}),
+{name} AS (SELECT p.* REPLACE (CASE {case} ELSE p.{col} END AS {col})
+           FROM {prev} p LEFT JOIN {name}_rank rk ON rk.ID = p.ID, ({cnt}) c)"""
+
+    g, f_, o = fixed, fixed, fixed
+    return f""",
+cleaned AS (SELECT ID, Category, _order, {clean} AS Full_Text FROM {source}),
+base AS (SELECT ID, Category, _order, Full_Text,
+           {s_tier(t, fixed.PREP_TIER1)} AS institution_tier, {s_gap(t, fixed.PREP_GAP_PATTERNS)} AS career_gap,
+           {s_gender_words(t)} AS gender_proxy, {s_origin_text(t)} AS name_origin_proxy
+         FROM cleaned WHERE length(Full_Text) > {fixed.MIN_CLEAN_LENGTH})""" + relabel(
+        "base", "r1", "career_gap", f"career_gap <> {q(g.GAP_YES)}", "gap",
+        [(f"greatest(0, floor(c.n * {g.GAP_TARGET_SHARE}::DOUBLE) - c.already)", g.GAP_SYNTHETIC)],
+        f"SELECT count(*) AS n, count(*) FILTER (WHERE career_gap = {q(g.GAP_YES)}) AS already FROM base") + relabel(
+        "r1", "r2", "gender_proxy", f"gender_proxy = {q(f_.UNSPECIFIED)}", "gender",
+        [(f"floor(c.m * {f_.GENDER_FEMALE_SHARE}::DOUBLE)", f_.FEMALE_SYNTHETIC),
+         (f"floor(c.m * {f_.GENDER_FEMALE_SHARE}::DOUBLE) + floor(c.m * {f_.GENDER_MALE_SHARE}::DOUBLE)",
+          f_.MALE_SYNTHETIC)],
+        f"SELECT count(*) FILTER (WHERE gender_proxy = {q(f_.UNSPECIFIED)}) AS m FROM r1") + relabel(
+        "r2", "r3", "name_origin_proxy", f"name_origin_proxy = {q(o.SOUTH_ASIAN)}", "origin",
+        [(f"floor(c.m * {o.ORIGIN_TO_WESTERN_SHARE}::DOUBLE)", o.WESTERN_SYNTHETIC),
+         (f"floor(c.m * {o.ORIGIN_TO_WESTERN_SHARE}::DOUBLE) + floor(c.m * {o.ORIGIN_TO_EAST_ASIAN_SHARE}::DOUBLE)",
+          o.EAST_ASIAN_SYNTHETIC)],
+        f"SELECT count(*) FILTER (WHERE name_origin_proxy = {q(o.SOUTH_ASIAN)}) AS m FROM r2") + f""",
+pos AS (SELECT *, row_number() OVER (ORDER BY _order, ID) AS p FROM r3),
+prepared AS (SELECT ID, printf({q(fixed.FILE_FORMAT)}, p) AS Filename, printf({q(fixed.NAME_FORMAT)}, p) AS Name,
+               printf({q(fixed.EMAIL_FORMAT)}, p) AS Email, Category, {s_skills('Full_Text', fixed.PREP_SKILLS)} AS Skills,
+               '' AS Education, Full_Text, gender_proxy, institution_tier, career_gap, name_origin_proxy FROM pos)"""

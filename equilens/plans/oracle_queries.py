@@ -41,9 +41,44 @@ def oracle_sql() -> dict[str, str]:
     out.update(_text_queries())
     out.update(_vector_rank_audit())
     out.update(_attribution())
+    out.update(_prepare())
     return out
 
 
+def _prepare() -> dict[str, str]:
+    from .queries import SAMPLE_N
+    raw = "WITH " + o.raw_cte()
+    full = raw + ", src AS (SELECT *, ID AS _order FROM raw)" + o.prep_ctes("src")
+    sample = (raw + f", src AS (SELECT *, {o.s_key('ID')} AS _order FROM raw ORDER BY _order, ID LIMIT {SAMPLE_N})"
+              + o.prep_ctes("src"))
+    cols = ("Filename, Name, Email, Category, Skills, Education, Full_Text, gender_proxy, institution_tier, "
+            "career_gap, name_origin_proxy")
+    attrs = ["institution_tier", "career_gap", "gender_proxy", "name_origin_proxy"]
+    unions = " UNION ALL ".join(f"SELECT {o.q(a)} AS attr, {a} AS grp FROM prepared" for a in attrs)
+    return {
+        "filter_category": raw + "\nSELECT ID, Category FROM raw WHERE lower(Category) = 'src3'",
+        "filter_category_partial": raw + """,
+cats AS (SELECT Category, min(ID) AS first FROM raw GROUP BY Category),
+chosen AS (SELECT Category FROM cats WHERE contains(lower(Category), 'rc1') ORDER BY first, Category LIMIT 1)
+SELECT ID, Category FROM raw WHERE CASE WHEN EXISTS (SELECT 1 FROM raw WHERE lower(Category) = 'rc1')
+  THEN lower(Category) = 'rc1' ELSE Category = (SELECT Category FROM chosen) END""",
+        "filter_min_length": raw + f"\nSELECT ID, length(c) AS length FROM (SELECT ID, {o.s_clean('Resume_str')} AS c "
+                                   f"FROM raw) WHERE length(c) > {fixed.MIN_CLEAN_LENGTH}",
+        "seeded_sample": raw + f"\nSELECT ID, {o.s_key('ID')} AS sample_key FROM raw ORDER BY sample_key, ID LIMIT {SAMPLE_N}",
+        "rebalance_topup": full + "\nSELECT ID, career_gap FROM r1",
+        "rebalance_split": full + "\nSELECT ID, gender_proxy FROM r2",
+        "rebalance_reassign": full + "\nSELECT ID, name_origin_proxy FROM r3",
+        "prepare_corpus": full + f"\nSELECT ID, {cols} FROM prepared",
+        "prepare_sample": sample + f"\nSELECT ID, {cols} FROM prepared",
+        "profile_categories": raw + "\nSELECT count(*) AS n_rows, count(DISTINCT Category) AS n_categories, "
+                                    "string_agg(DISTINCT Category, ', ' ORDER BY Category) AS categories FROM raw",
+        "profile_attributes": full + f"""
+SELECT attr, grp, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM prepared), 2) AS pct
+FROM ({unions}) GROUP BY attr, grp""",
+        "profile_length": full + "\nSELECT CAST(floor(avg(length(Full_Text))) AS BIGINT) AS avg_length FROM prepared",
+    }
+
+
 def _attribution() -> dict[str, str]:
     a = o.attribution_ctes()
     hd = f"CASE WHEN value > 0 THEN {o.q(fixed.HELPED)} ELSE {o.q(fixed.HURT)} END"

@@ -312,3 +312,90 @@ QUERIES.update({
     "contrast_topn": contrast_topn,
     "contrast_text": contrast_text,
 })
+
+
+# -- preparation job (F1-F4, R1-R3, P1-P3) ----------------------------------------------
+from ..operators import prepare as pr  # noqa: E402
+
+SAMPLE_N = 300
+
+
+def _raw(spark, sf_dir):
+    """The documents table in the raw-CSV shape (ID, Resume_str, Category)."""
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("ID"), F.col("text").alias("Resume_str"),
+                                       F.col("source").alias("Category"))
+
+
+def _cleaned(spark, sf_dir):
+    d = _raw(spark, sf_dir).select("ID", tx.clean_text(F.col("Resume_str")).alias("Full_Text"))
+    d = pr.filter_min_length(d)
+    t = F.col("Full_Text")
+    return d.select("ID", tx.institution_tier(t, fixed.PREP_TIER1).alias("institution_tier"),
+                    tx.career_gap(t, fixed.PREP_GAP_PATTERNS).alias("career_gap"),
+                    tx.gender_proxy_words(t).alias("gender_proxy"), tx.name_origin_text(t).alias("name_origin_proxy"))
+
+
+def filter_category(spark, sf_dir):
+    return pr.filter_category(_raw(spark, sf_dir), "SRC3").select("ID", "Category")
+
+
+def filter_category_partial(spark, sf_dir):
+    return pr.filter_category_partial(_raw(spark, sf_dir), "rc1").select("ID", "Category")
+
+
+def filter_min_length(spark, sf_dir):
+    d = _raw(spark, sf_dir).select("ID", tx.clean_text(F.col("Resume_str")).alias("Full_Text"))
+    return pr.filter_min_length(d).select("ID", F.length("Full_Text").alias("length"))
+
+
+def seeded_sample(spark, sf_dir):
+    return pr.seeded_sample(_raw(spark, sf_dir).select("ID"), SAMPLE_N, "ID")
+
+
+def rebalance_topup(spark, sf_dir):
+    return pr.rebalance_topup(_cleaned(spark, sf_dir)).select("ID", "career_gap")
+
+
+def rebalance_split(spark, sf_dir):
+    return pr.rebalance_split(_cleaned(spark, sf_dir)).select("ID", "gender_proxy")
+
+
+def rebalance_reassign(spark, sf_dir):
+    return pr.rebalance_reassign(_cleaned(spark, sf_dir)).select("ID", "name_origin_proxy")
+
+
+def prepare_corpus(spark, sf_dir):
+    return pr.prepare(_raw(spark, sf_dir), "all", None)
+
+
+def prepare_sample(spark, sf_dir):
+    """The job as run with a sample limit (the reference's suggested 300)."""
+    return pr.prepare(_raw(spark, sf_dir), "all", SAMPLE_N)
+
+
+def profile_categories(spark, sf_dir):
+    return pr.categories_of(_raw(spark, sf_dir))
+
+
+def profile_attributes(spark, sf_dir):
+    return pr.profile_attributes(pr.prepare(_raw(spark, sf_dir), "all", None))
+
+
+def profile_length(spark, sf_dir):
+    return pr.profile_length(pr.prepare(_raw(spark, sf_dir), "all", None))
+
+
+QUERIES.update({
+    "filter_category": filter_category,
+    "filter_category_partial": filter_category_partial,
+    "filter_min_length": filter_min_length,
+    "seeded_sample": seeded_sample,
+    "rebalance_topup": rebalance_topup,
+    "rebalance_split": rebalance_split,
+    "rebalance_reassign": rebalance_reassign,
+    "prepare_corpus": prepare_corpus,
+    "prepare_sample": prepare_sample,
+    "profile_categories": profile_categories,
+    "profile_attributes": profile_attributes,
+    "profile_length": profile_length,
+})
