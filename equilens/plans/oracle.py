@@ -343,3 +343,49 @@ pos AS (SELECT *, row_number() OVER (ORDER BY _order, ID) AS p FROM r3),
 prepared AS (SELECT ID, printf({q(fixed.FILE_FORMAT)}, p) AS Filename, printf({q(fixed.NAME_FORMAT)}, p) AS Name,
                printf({q(fixed.EMAIL_FORMAT)}, p) AS Email, Category, {s_skills('Full_Text', fixed.PREP_SKILLS)} AS Skills,
                '' AS Education, Full_Text, gender_proxy, institution_tier, career_gap, name_origin_proxy FROM pos)"""
+
+
+# -- local perturbation ----------------------------------------------------------------------
+
+P = 2147483647
+
+
+def s_hex(h: str, start: int) -> str:
+    return f"CAST('0x' || substr({h}, {start}, 8) AS BIGINT)"
+
+
+def perturb_ctes(n_samples: int = fixed.PERTURB_SAMPLES, seed: int = fixed.SEED) -> str:
+    sd = q(str(seed))
+    a_of = lambda x: f"({s_hex(f'md5(concat_ws({chr(39)}|{chr(39)}, {sd}, CAST(doc_id AS VARCHAR), {x}))', 1)} % {P})"
+    return f""",
+pf AS (SELECT doc_id, text, wl, len(wl) AS nw, list_transform(wl, lambda x: {a_of('x')}) AS a FROM (
+         SELECT doc_id, text, list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), {q(RUN_RE)}))) AS wl
+         FROM documents) WHERE len(wl) > 0),
+ps0 AS (SELECT pf.*, sm.s, md5(concat_ws('|', {sd}, CAST(doc_id AS VARCHAR), 'sample', CAST(sm.s AS VARCHAR))) AS h
+        FROM pf, range(0, {n_samples}) sm(s)),
+ps AS (SELECT doc_id, text, wl, nw, a, s, 1 + {s_hex('h', 1)} % {P - 1} AS b, {s_hex('h', 9)} % {P} AS c,
+         CASE WHEN s = 0 THEN 0 ELSE 1 + {s_hex('h', 17)} % nw END AS r FROM ps0),
+pp AS (SELECT *, list_sort(list_transform(range(1, nw + 1), lambda j: {{'p': (a[j] * b + c) % {P}, 'w': wl[j]}})) AS prios
+       FROM ps)"""
+
+
+def perturb_score_ctes() -> str:
+    stop = stop_list()
+    run_a = (f"({s_hex('md5(concat_ws(' + q('|') + ', ' + q(str(fixed.SEED)) + ', CAST(doc_id AS VARCHAR), x))', 1)}"
+             f" % {P})")
+    return f""",
+pk AS (SELECT doc_id, s, r, nw, CASE WHEN r > 0 THEN prios[r] END AS thr,
+         list_transform(list_filter(regexp_extract_all(coalesce(text, ''), {q(RUN_RE)}),
+           lambda x: length(lower(x)) >= 2 AND NOT list_contains({stop}, lower(x))
+                     AND (r = 0 OR {{'p': ({run_a} * b + c) % {P}, 'w': x}} > prios[r])),
+           lambda x: lower(x)) AS u
+       FROM pp),
+pt AS (SELECT doc_id, s, r, nw, u || list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1]) AS t FROM pk),
+ptf AS (SELECT doc_id, s, term, count(*) AS tf FROM (SELECT doc_id, s, unnest(t) AS term FROM pt) GROUP BY ALL),
+pw0 AS (SELECT ptf.doc_id, ptf.s, ptf.term, (1.0 + ln(ptf.tf)) * idf.idf AS w FROM ptf JOIN idf ON ptf.term = idf.term),
+pn AS (SELECT doc_id, s, sqrt(sum(w * w)) AS norm FROM pw0 GROUP BY ALL),
+pdot AS (SELECT pw0.doc_id, pw0.s, sum(pw0.w / pn.norm * qv.qw) AS dot
+         FROM pw0 JOIN pn ON pw0.doc_id = pn.doc_id AND pw0.s = pn.s JOIN qv ON qv.term = pw0.term GROUP BY ALL),
+pscore AS (SELECT pt.doc_id, pt.s, pt.r, pt.nw, coalesce(pdot.dot, 0.0) AS score,
+             sqrt(exp(-(pow(100.0 * (1.0 - sqrt((pt.nw - pt.r) / pt.nw)), 2)) / {fixed.KERNEL_WIDTH ** 2})) AS kernel
+           FROM pt LEFT JOIN pdot ON pdot.doc_id = pt.doc_id AND pdot.s = pt.s)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import fixed
 from ..functions import text as tx
-from ..functions.tokens import TOKEN_RE
+from ..functions.tokens import RUN_RE, TOKEN_RE  # noqa: F401
 from . import oracle as o
 from .queries import TOP_K
 
@@ -42,9 +42,24 @@ def oracle_sql() -> dict[str, str]:
     out.update(_vector_rank_audit())
     out.update(_attribution())
     out.update(_prepare())
+    out.update(_local())
     return out
 
 
+def _local() -> dict[str, str]:
+    pc = o.perturb_ctes()
+    return {
+        "perturb_words": "WITH dummy AS (SELECT 1)" + pc + "\nSELECT doc_id, CAST(nw AS BIGINT) AS W, "
+                         "md5(array_to_string(wl, ' ')) AS words_md5 FROM pf",
+        "perturb_masks": "WITH dummy AS (SELECT 1)" + pc + "\nSELECT doc_id, CAST(s AS BIGINT) AS s, CAST(r AS BIGINT) AS r, "
+                         "md5(array_to_string(list_sort(list_transform(list_slice(prios, 1, r), lambda e: e.w)), ' ')) "
+                         "AS removed_md5 FROM pp",
+        "perturb_scores": o.with_tfidf(pc + o.perturb_score_ctes() + "\nSELECT doc_id, CAST(s AS BIGINT) AS s, "
+                          "CAST(r AS BIGINT) AS r, round(kernel, 6) + 0.0 AS kernel, round(score, 6) + 0.0 AS score "
+                          "FROM pscore"),
+    }
+
+
 def _prepare() -> dict[str, str]:
     from .queries import SAMPLE_N
     raw = "WITH " + o.raw_cte()

@@ -399,3 +399,107 @@ QUERIES.update({
     "profile_attributes": profile_attributes,
     "profile_length": profile_length,
 })
+
+
+# -- the model path (K2-K4, P5, A2 with the model's class, X1 with model coefficients) -------
+from . import pipeline as pl  # noqa: E402
+
+_MODEL: dict = {}
+
+
+def model_run(spark, sf_dir):
+    """Ranked documents with the parser's attributes, name and the model."""
+    key = cx.os.path.abspath(sf_dir)
+    if key not in _MODEL:
+        d = _docs(spark, sf_dir).select(
+            "doc_id", "text", tx.extract_name(F.col("text")).alias("name"),
+            tx.gender_proxy(F.col("text")).alias("gender_proxy"),
+            tx.institution_tier(F.col("text")).alias("institution_tier"),
+            tx.career_gap(F.col("text")).alias("career_gap"))
+        d = d.withColumn("name_origin_proxy", tx.name_origin(F.col("name")))
+        q = vz.query_document(cx.table(spark, sf_dir, "benchmark"))
+        _MODEL[key] = pl.rank_documents(d, q, keep=["name"] + fixed.AUDIT_ATTRIBUTES)
+    return _MODEL[key]
+
+
+def rank_model(spark, sf_dir):
+    r = model_run(spark, sf_dir)
+    return r.ranked.select("doc_id", "score", "label", "model_score", "recommended", "rank")
+
+
+def rank_display(spark, sf_dir):
+    r = model_run(spark, sf_dir)
+    return r.ranked.select(F.col("rank").alias("Rank"), F.col("name").alias("Name"),
+                           F.col("score").alias("TF_IDF_Score"), F.col("model_score").alias("Model_Score"),
+                           F.col("recommended").alias("Recommended"), "institution_tier", "career_gap",
+                           "name_origin_proxy", "gender_proxy")
+
+
+def audit_model(spark, sf_dir):
+    r = model_run(spark, sf_dir)
+    _, report, _ = pl.fairness_audit(r.ranked)
+    return report
+
+
+def attribution_model(spark, sf_dir):
+    r = model_run(spark, sf_dir)
+    ex = pl.model_explainer(r, r.ranked.select("name"))
+    e = pl.explain_ranked(r, ex)
+    return at.explode_pairs(e, ["doc_id"], "ordered", "value", decimals=6)
+
+
+def contrast_model(spark, sf_dir):
+    r = model_run(spark, sf_dir)
+    ex = pl.model_explainer(r, r.ranked.select("name"))
+    return pl.explain_ranked(r, ex).select("doc_id", "rank", "contrastive")
+
+
+QUERIES.update({
+    "rank_model": rank_model,
+    "rank_display": rank_display,
+    "audit_model": audit_model,
+    "attribution_model": attribution_model,
+    "contrast_model": contrast_model,
+})
+
+
+# -- local perturbation attribution (L1-L6) --------------------------------------------------
+from ..operators import local as lo  # noqa: E402
+
+
+def _features(spark, sf_dir):
+    return lo.word_features(_docs(spark, sf_dir))
+
+
+def perturb_words(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    return f.select("doc_id", F.col("W").cast("long").alias("W"), F.md5(F.array_join("words", " ")).alias("words_md5"))
+
+
+def perturb_masks(spark, sf_dir):
+    m = lo.removed_words(lo.samples(_features(spark, sf_dir)))
+    return m.select("doc_id", F.col("s").cast("long").alias("s"), F.col("r").cast("long").alias("r"),
+                    F.md5(F.array_join(F.array_sort("removed"), " ")).alias("removed_md5"))
+
+
+def perturb_scores(spark, sf_dir):
+    """Scores of the perturbed texts under the linear (cosine) scorer."""
+    f = cx.fitted(spark, sf_dir)
+    s = lo.perturbed_scores(lo.samples(_features(spark, sf_dir)), f.vocab, f.query_weights, None)
+    return s.select("doc_id", F.col("s").cast("long").alias("s"), F.col("r").cast("long").alias("r"),
+                    (F.round("kernel", 6) + F.lit(0.0)).alias("kernel"),
+                    (F.round("label", 6) + F.lit(0.0)).alias("score"))
+
+
+def local_attribution(spark, sf_dir):
+    """Word weights explaining the model's class-1 probability."""
+    r = model_run(spark, sf_dir)
+    return lo.local_attribution(_docs(spark, sf_dir), r.vocab, r.coef, r.intercept)
+
+
+QUERIES.update({
+    "perturb_words": perturb_words,
+    "perturb_masks": perturb_masks,
+    "perturb_scores": perturb_scores,
+    "local_attribution": local_attribution,
+})
