@@ -51,7 +51,7 @@ def read_text_dir(spark: SparkSession, path: str, suffix: str = ".txt") -> DataF
     A missing folder or one without matching files is an error."""
     if path.startswith("/") and not os.path.isdir(path):
         raise FileNotFoundError(f"no such folder: {path}")
-    df = (spark.read.option("pathGlobFilter", f"*{suffix}").option("wholetext", True).text(path)
+    df = (spark.read.text(path, wholetext=True, pathGlobFilter=f"*{suffix}")
           .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")))
     if df.isEmpty():
         raise FileNotFoundError(f"no *{suffix} files in {path}")
