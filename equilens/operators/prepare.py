@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
+from ..session import materialize
 from .rank import global_rank
 
 TAKE_ORDERED_MAX = 100_000   # above this a sample is cut by a distributed rank
@@ -146,8 +147,11 @@ def prepare(raw: DataFrame, category: str = "all", limit: int | None = None, id_
                  tx.career_gap(t, fixed.PREP_GAP_PATTERNS).alias("career_gap"),
                  tx.gender_proxy_words(t).alias("gender_proxy"),
                  tx.name_origin_text(t).alias("name_origin_proxy"))
-    d = rebalance_topup(d, key=id_col, seed=seed)
-    d = rebalance_split(d, key=id_col, seed=seed)
+    # Each relabelling reads its input three times (two counts and the rows):
+    # cut lineage so the text rules run once, not once per reader.
+    d = materialize(d)
+    d = materialize(rebalance_topup(d, key=id_col, seed=seed))
+    d = materialize(rebalance_split(d, key=id_col, seed=seed))
     d = rebalance_reassign(d, key=id_col, seed=seed)
     d = global_rank(d, [F.asc("_order"), F.asc(id_col)], "_pos")
     p = F.col("_pos")
