@@ -264,10 +264,21 @@ def noise_terms(spark, sf_dir):
     return at.noise_terms(f.vocab.table(spark), at.name_tokens(_names(spark, sf_dir))).select("term", "is_noise")
 
 
+_EXPLAINED: dict = {}
+
+
 def _explained(spark, sf_dir):
+    """Per-document explanations, computed once per data folder and cut from
+    their lineage (five queries read them)."""
+    from ..session import materialize
+    key = cx.os.path.abspath(sf_dir)
     ex, lead_id, lead_attr = linear_explainer(spark, sf_dir)
-    ws = _weighted_scored(spark, sf_dir, keep=["text"])
-    return at.explain(ws, ex), ex, lead_id, lead_attr
+    if key not in _EXPLAINED:
+        ws = _weighted_scored(spark, sf_dir, keep=["text"]).withColumn("name", tx.extract_name(F.col("text")))
+        d = at.explain(ws.drop("text"), ex).select("doc_id", "name", "score", "w", "ordered", "top_features",
+                                                   "bias_note")
+        _EXPLAINED[key] = materialize(d)
+    return _EXPLAINED[key], ex, lead_id, lead_attr
 
 
 def attribution_topn(spark, sf_dir):
@@ -298,7 +309,7 @@ def contrast_topn(spark, sf_dir):
 def contrast_text(spark, sf_dir):
     d, lead_id = _contrasted(spark, sf_dir)
     rank = F.when(F.col("doc_id") == lead_id, F.lit(1)).otherwise(F.lit(2))
-    return d.select("doc_id", at.contrast_text(tx.extract_name(F.col("text")), rank, F.col("gap_terms"),
+    return d.select("doc_id", at.contrast_text(F.col("name"), rank, F.col("gap_terms"),
                                                F.col("top_features")).alias("contrastive"))
 
 
