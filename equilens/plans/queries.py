@@ -271,7 +271,7 @@ def _explained(spark, sf_dir):
     """Per-document explanations, computed once per data folder and cut from
     their lineage (five queries read them)."""
     from ..session import materialize
-    key = cx.os.path.abspath(sf_dir)
+    key = (cx.os.path.abspath(sf_dir), id(spark))   # holds DataFrames: one per session
     ex, lead_id, lead_attr = linear_explainer(spark, sf_dir)
     if key not in _EXPLAINED:
         ws = _weighted_scored(spark, sf_dir, keep=["text"]).withColumn("name", tx.extract_name(F.col("text")))
@@ -420,7 +420,7 @@ _MODEL: dict = {}
 
 def model_run(spark, sf_dir):
     """Ranked documents with the parser's attributes, name and the model."""
-    key = cx.os.path.abspath(sf_dir)
+    key = (cx.os.path.abspath(sf_dir), id(spark))   # holds DataFrames: one per session
     if key not in _MODEL:
         d = _docs(spark, sf_dir).select(
             "doc_id", "text", tx.extract_name(F.col("text")).alias("name"),
