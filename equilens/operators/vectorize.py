@@ -74,8 +74,12 @@ class Vocabulary:
                 keep_counts: bool = False) -> DataFrame:
         """Add ``out``: array<double> of L2-normalized sublinear tf-idf weights
         (zero vector stays zero)."""
-        v = self.counts(df, terms_col, "_tf_vec")
-        v = v.withColumn("_tf", vector_to_array("_tf_vec"))
+        v = self.weights_from_counts(self.counts(df, terms_col, "_tf_vec"), "_tf_vec", out)
+        return v if keep_counts else v.drop("_tf_vec")
+
+    def weights_from_counts(self, df: DataFrame, counts_col: str, out: str = "w") -> DataFrame:
+        """Weights from a stored sparse count vector (row-local)."""
+        v = df.withColumn("_tf", vector_to_array(counts_col))
         idf = F.lit(list(self.idf))
         v = v.withColumn("_raw", F.zip_with("_tf", idf, lambda t, i: F.when(t > 0, (F.lit(1.0) + F.log(t)) * i)
                                              .otherwise(F.lit(0.0))))
@@ -84,8 +88,7 @@ class Vocabulary:
         # never once per element.
         v = v.withColumn(out, F.zip_with("_raw", F.array_repeat("_norm", F.size("_raw")),
                                          lambda x, n: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
-        drop = ["_tf", "_raw", "_norm"] + ([] if keep_counts else ["_tf_vec"])
-        return v.drop(*drop)
+        return v.drop("_tf", "_raw", "_norm")
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(idx, term, cf, df, idf) as a DataFrame (bounded, broadcastable)."""

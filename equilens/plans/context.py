@@ -67,9 +67,33 @@ def parsed_documents(spark: SparkSession, sf_dir: str, keep: list[str] | None =
     return out
 
 
-def scored_documents(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, *keep, w, score) over all documents."""
+_SCORED: dict = {}
+
+
+def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored corpus, computed once per data folder and session and cut
+    from its lineage: (doc_id, lang, name, the four parser attributes,
+    tf_vec, score).  It stores the sparse count vector, not the dense
+    weights; weights are re-derived inside the row when needed."""
     from ..operators.rank import cosine_score
+    from ..session import materialize
+    key = (os.path.abspath(sf_dir), id(spark))
+    if key not in _SCORED:
+        f = fitted(spark, sf_dir)
+        d = documents(spark, sf_dir)
+        t = F.col("text")
+        base = d.select("doc_id", "lang", "text", tx.extract_name(t).alias("name"),
+                        tx.gender_proxy(t).alias("gender_proxy"), tx.institution_tier(t).alias("institution_tier"),
+                        tx.career_gap(t).alias("career_gap"))
+        base = base.withColumn("name_origin_proxy", tx.name_origin(F.col("name")))
+        c = f.vocab.counts(f.vocab.add_terms(base, "text", "_terms").drop("text"), "_terms", "tf_vec").drop("_terms")
+        scored = cosine_score(f.vocab.weights_from_counts(c, "tf_vec", "w"), f.query_weights).drop("w")
+        _SCORED[key] = materialize(scored)
+    return _SCORED[key]
+
+
+def scored_documents(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, *keep, w, score) over all documents, from the scored table."""
     f = fitted(spark, sf_dir)
-    w = vz.weighted_docs(documents(spark, sf_dir), f.vocab, "text", ["doc_id"] + (keep or []))
-    return cosine_score(w, f.query_weights)
+    s = scored_table(spark, sf_dir).select("doc_id", *(keep or []), "tf_vec", "score")
+    return f.vocab.weights_from_counts(s, "tf_vec", "w").drop("tf_vec")

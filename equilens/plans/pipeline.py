@@ -38,16 +38,23 @@ def rank_documents(docs: DataFrame, query: DataFrame, id_col: str = "doc_id", te
     vocab, qw = vz.fit_corpus(docs, query, id_col, text_col, max_features)
     cols = [id_col] + [c for c in (keep or []) if c != id_col]
     w = vz.weighted_docs(docs, vocab, text_col, cols)
-    labeled = rk.median_label(rk.cosine_score(w, qw))
+    scored = rk.cosine_score(w, qw)
     if cut_lineage:
         # Reused by the model fit, the predictions, the audit and both
         # explainers: cut lineage once instead of re-tokenizing per consumer.
-        labeled = materialize(labeled)
+        scored = materialize(scored)
+    return model_and_rank(scored, vocab, qw, id_col)
+
+
+def model_and_rank(scored: DataFrame, vocab: vz.Vocabulary, query_weights, id_col: str = "doc_id") -> RankResult:
+    """From scored documents (with weights ``w``): median label, logistic
+    fit, predictions and the distributed rank."""
+    labeled = rk.median_label(scored)
     model = rk.fit_logistic(labeled, "w", "label")
     coef, b = rk.model_coefficients(model)
     pred = rk.predict(labeled, coef, b)
     ranked = rk.global_rank(pred, [F.desc("score"), F.asc(id_col)], "rank")
-    return RankResult(ranked, vocab, qw, model, coef, b)
+    return RankResult(ranked, vocab, tuple(query_weights), model, coef, b)
 
 
 def fairness_audit(ranked: DataFrame, attrs=fixed.AUDIT_ATTRIBUTES, rec_col: str = "recommended",

@@ -185,15 +185,8 @@ AUDIT_ATTRS = fixed.AUDIT_ATTRIBUTES + ["lang"]
 
 
 def _audit_table(spark, sf_dir):
-    f = cx.fitted(spark, sf_dir)
-    d = cx.documents(spark, sf_dir)
-    t = d.select("doc_id", "lang", "text",
-                 tx.gender_proxy(F.col("text")).alias("gender_proxy"),
-                 tx.institution_tier(F.col("text")).alias("institution_tier"),
-                 tx.career_gap(F.col("text")).alias("career_gap"),
-                 tx.name_origin(tx.extract_name(F.col("text"))).alias("name_origin_proxy"))
-    w = vz.weighted_docs(t, f.vocab, "text", ["doc_id", "lang"] + fixed.AUDIT_ATTRIBUTES)
-    return rk.median_label(rk.cosine_score(w, f.query_weights).drop("w"))
+    s = cx.scored_table(spark, sf_dir).select("doc_id", "lang", *fixed.AUDIT_ATTRIBUTES, "score")
+    return rk.median_label(s)
 
 
 def audit_groups(spark, sf_dir):
@@ -230,9 +223,7 @@ def _names(spark, sf_dir):
 
 
 def _weighted_scored(spark, sf_dir, keep=None):
-    f = cx.fitted(spark, sf_dir)
-    w = vz.weighted_docs(_docs(spark, sf_dir), f.vocab, "text", ["doc_id"] + (keep or []))
-    return rk.cosine_score(w, f.query_weights)
+    return cx.scored_documents(spark, sf_dir, keep)
 
 
 def linear_explainer(spark, sf_dir):
@@ -274,8 +265,8 @@ def _explained(spark, sf_dir):
     key = (cx.os.path.abspath(sf_dir), id(spark))   # holds DataFrames: one per session
     ex, lead_id, lead_attr = linear_explainer(spark, sf_dir)
     if key not in _EXPLAINED:
-        ws = _weighted_scored(spark, sf_dir, keep=["text"]).withColumn("name", tx.extract_name(F.col("text")))
-        d = at.explain(ws.drop("text"), ex).select("doc_id", "name", "score", "w", "ordered", "top_features",
+        ws = _weighted_scored(spark, sf_dir, keep=["name"])
+        d = at.explain(ws, ex).select("doc_id", "name", "score", "w", "ordered", "top_features",
                                                    "bias_note")
         _EXPLAINED[key] = materialize(d)
     return _EXPLAINED[key], ex, lead_id, lead_attr
@@ -422,14 +413,9 @@ def model_run(spark, sf_dir):
     """Ranked documents with the parser's attributes, name and the model."""
     key = (cx.os.path.abspath(sf_dir), id(spark))   # holds DataFrames: one per session
     if key not in _MODEL:
-        d = _docs(spark, sf_dir).select(
-            "doc_id", "text", tx.extract_name(F.col("text")).alias("name"),
-            tx.gender_proxy(F.col("text")).alias("gender_proxy"),
-            tx.institution_tier(F.col("text")).alias("institution_tier"),
-            tx.career_gap(F.col("text")).alias("career_gap"))
-        d = d.withColumn("name_origin_proxy", tx.name_origin(F.col("name")))
-        q = vz.query_document(cx.table(spark, sf_dir, "benchmark"))
-        _MODEL[key] = pl.rank_documents(d, q, keep=["name"] + fixed.AUDIT_ATTRIBUTES)
+        f = cx.fitted(spark, sf_dir)
+        scored = cx.scored_documents(spark, sf_dir, ["name"] + fixed.AUDIT_ATTRIBUTES)
+        _MODEL[key] = pl.model_and_rank(scored, f.vocab, f.query_weights)
     return _MODEL[key]
 
 
