@@ -2,13 +2,17 @@
 
 Randomness is a keyed hash: ``md5(seed|tag|key)``.  It is the same in every
 engine and under any partitioning, so seeded operators are reproducible.
-Exact-count selections ("the first k rows in hash order") use the
-distributed :func:`global_rank`, never a single-task window or a driver
-list; counts enter as scalar subqueries.
+Exact-count selections ("the first k rows in hash order") compare each row
+with the k-th key, found by one distributed :func:`global_rank` over narrow
+(tag, hash, key) records.  Only bounded values reach the driver (one row of
+counts, one boundary key per band).  No single-task window, no full-row
+shuffle.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,52 +84,108 @@ def seeded_sample(df: DataFrame, n: int | None, key: str, seed: int = fixed.SEED
 
 # -- R1-R3 ---------------------------------------------------------------------------------
 
-def _relabel_ranked(df: DataFrame, col: str, cand: Column, key: str, tag: str, bands, seed: int) -> DataFrame:
-    """Among rows where ``cand`` holds, rank by the keyed hash; rank <= band1 ->
-    label1, rank <= band2 -> label2, ... (bands are cumulative Columns)."""
-    c = df.where(cand)
-    rest = df.where(~cand | cand.isNull())
-    ranked = global_rank(c.withColumn("_h", seeded_key(F.col(key), seed, tag)), [F.asc("_h"), F.asc(key)], "_r")
-    expr = None
-    for upto, label in bands:
-        cond = F.col("_r") <= upto
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    ranked = ranked.withColumn(col, expr.otherwise(F.col(col))).drop("_h", "_r")
-    return ranked.unionByName(rest)
-
-
-def rebalance_topup(df: DataFrame, col: str = "career_gap", key: str = "ID", share: float = fixed.GAP_TARGET_SHARE,
-                    yes: str = fixed.GAP_YES, label: str = fixed.GAP_SYNTHETIC, seed: int = fixed.SEED) -> DataFrame:
-    """Top the ``yes`` group up to ``floor(n * share)`` rows by relabelling
-    other rows."""
-    n = df.select(F.count(F.lit(1))).scalar()
-    already = df.select(F.count_if(F.col(col) == yes)).scalar()
-    need = F.greatest(F.lit(0), F.floor(n * F.lit(float(share))) - already)
-    cand = F.col(col) != yes
-    return _relabel_ranked(df, col, cand, key, "gap", [(need, label)], seed)
-
-
-def rebalance_split(df: DataFrame, col: str = "gender_proxy", key: str = "ID", value: str = fixed.UNSPECIFIED,
-                    shares=(fixed.GENDER_FEMALE_SHARE, fixed.GENDER_MALE_SHARE),
-                    labels=(fixed.FEMALE_SYNTHETIC, fixed.MALE_SYNTHETIC), seed: int = fixed.SEED,
-                    tag: str = "gender") -> DataFrame:
-    """Of the rows in group ``value`` (m of them), the first
-    ``floor(m*s1)`` in hash order get ``labels[0]``, the next ``floor(m*s2)``
-    ``labels[1]``; the rest keep their group."""
-    cand = F.col(col) == value
-    m = df.select(F.count_if(cand)).scalar()
-    bands, upto = [], F.lit(0)
-    for s, lab in zip(shares, labels):
-        upto = upto + F.floor(m * F.lit(float(s)))
+def relabel_bands(df: DataFrame, key: str, specs, seed: int = fixed.SEED) -> DataFrame:
+    """Exact-count relabelling of several columns in one narrow rank.
+
+    ``specs``: list of ``(col, cand, tag, bands)`` with ``bands`` a list of
+    ``(upto, label)`` (cumulative integer counts).  Among rows where ``cand``
+    holds, the ``upto`` first in keyed-hash order get ``label``.  Each row
+    contributes one narrow ``(tag, hash, key)`` record per candidacy; one
+    distributed rank over those records yields every band boundary, and only
+    those few boundary keys (at most one per band) reach the driver.  Rows are
+    then compared with the boundaries in place: no full-row shuffle."""
+    recs = F.array(*[F.when(cand, F.struct(F.lit(tag).alias("tag"), seeded_key(F.col(key), seed, tag).alias("h"),
+                                           F.col(key).alias("k")))
+                     for _, cand, tag, _ in specs])
+    narrow = df.select(F.explode(F.filter(recs, lambda x: x.isNotNull())).alias("c")).select("c.*")
+    counts = {r["tag"]: r["n"] for r in narrow.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).collect()}
+    offset, acc = {}, 0
+    for tag in sorted(counts):
+        offset[tag] = acc
+        acc += counts[tag]
+    wanted = {}
+    for _, _, tag, bands in specs:
+        for upto, _ in bands:
+            if upto > 0:
+                wanted[offset.get(tag, 0) + int(upto)] = (tag, int(upto))
+    bounds = {}
+    if wanted:
+        ranked = global_rank(narrow, [F.asc("tag"), F.asc("h"), F.asc("k")], "_r")
+        for r in ranked.where(F.col("_r").isin(list(wanted))).collect():
+            bounds[wanted[r["_r"]]] = (r["h"], r["k"])
+    out = df
+    for col, cand, tag, bands in specs:
+        me = F.struct(seeded_key(F.col(key), seed, tag).alias("h"), F.col(key).alias("k"))
+        expr = None
+        for upto, label in bands:
+            if (tag, int(upto)) not in bounds:
+                continue
+            h, k = bounds[(tag, int(upto))]
+            cond = cand & (me <= F.struct(F.lit(h).alias("h"), F.lit(k).alias("k")))
+            expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
+        if expr is not None:
+            out = out.withColumn(col, expr.otherwise(F.col(col)))
+    return out
+
+
+def _topup_spec(counts, col: str = "career_gap", share: float = fixed.GAP_TARGET_SHARE):
+    need = max(0, math.floor(counts["n"] * float(share)) - counts["gap_yes"])
+    return (col, F.col(col) != fixed.GAP_YES, "gap", [(need, fixed.GAP_SYNTHETIC)])
+
+
+def _split_spec(m: int, col: str, value: str, shares, labels, tag: str):
+    bands, upto = [], 0
+    for s_, lab in zip(shares, labels):
+        upto += math.floor(m * float(s_))
         bands.append((upto, lab))
-    return _relabel_ranked(df, col, cand, key, tag, bands, seed)
+    return (col, F.col(col) == value, tag, bands)
+
+
+def _gender_spec(counts):
+    return _split_spec(counts["unspecified"], "gender_proxy", fixed.UNSPECIFIED,
+                       (fixed.GENDER_FEMALE_SHARE, fixed.GENDER_MALE_SHARE),
+                       (fixed.FEMALE_SYNTHETIC, fixed.MALE_SYNTHETIC), "gender")
+
+
+def _origin_spec(counts):
+    return _split_spec(counts["south_asian"], "name_origin_proxy", fixed.SOUTH_ASIAN,
+                       (fixed.ORIGIN_TO_WESTERN_SHARE, fixed.ORIGIN_TO_EAST_ASIAN_SHARE),
+                       (fixed.WESTERN_SYNTHETIC, fixed.EAST_ASIAN_SYNTHETIC), "origin")
+
+
+def group_counts(df: DataFrame) -> dict:
+    """The counts the rebalancing needs, in one aggregation (one row);
+    columns the frame lacks count as zero."""
+    wanted = {"gap_yes": ("career_gap", fixed.GAP_YES), "unspecified": ("gender_proxy", fixed.UNSPECIFIED),
+              "south_asian": ("name_origin_proxy", fixed.SOUTH_ASIAN)}
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.count_if(F.col(c) == v).alias(k) for k, (c, v) in wanted.items()
+                                             if c in df.columns]
+    r = df.agg(*aggs).first().asDict()
+    return {k: int(r.get(k) or 0) for k in ["n"] + list(wanted)}
+
+
+def rebalance_topup(df: DataFrame, key: str = "ID", seed: int = fixed.SEED) -> DataFrame:
+    """Top 'Yes' up to floor(n * 0.15) rows by relabelling others."""
+    return relabel_bands(df, key, [_topup_spec(group_counts(df))], seed)
+
+
+def rebalance_split(df: DataFrame, key: str = "ID", seed: int = fixed.SEED) -> DataFrame:
+    """R2: of the m 'Unspecified' rows, floor(0.50m) -> female, the next
+    floor(0.45m) -> male (synthetic), in keyed-hash order."""
+    return relabel_bands(df, key, [_gender_spec(group_counts(df))], seed)
+
+
+def rebalance_reassign(df: DataFrame, key: str = "ID", seed: int = fixed.SEED) -> DataFrame:
+    """Of the m South Asian rows, floor(0.30m) -> Western, the next
+    floor(0.15m) -> East Asian (synthetic)."""
+    return relabel_bands(df, key, [_origin_spec(group_counts(df))], seed)
 
 
-def rebalance_reassign(df: DataFrame, col: str = "name_origin_proxy", key: str = "ID",
-                       seed: int = fixed.SEED) -> DataFrame:
-    return rebalance_split(df, col, key, fixed.SOUTH_ASIAN,
-                           (fixed.ORIGIN_TO_WESTERN_SHARE, fixed.ORIGIN_TO_EAST_ASIAN_SHARE),
-                           (fixed.WESTERN_SYNTHETIC, fixed.EAST_ASIAN_SYNTHETIC), seed, "origin")
+def rebalance_all(df: DataFrame, key: str = "ID", seed: int = fixed.SEED) -> DataFrame:
+    """R1-R3 together (they touch different columns): one count row, one
+    narrow rank."""
+    c = group_counts(df)
+    return relabel_bands(df, key, [_topup_spec(c), _gender_spec(c), _origin_spec(c)], seed)
 
 
 # -- the job -------------------------------------------------------------------------------
@@ -147,12 +207,10 @@ def prepare(raw: DataFrame, category: str = "all", limit: int | None = None, id_
                  tx.career_gap(t, fixed.PREP_GAP_PATTERNS).alias("career_gap"),
                  tx.gender_proxy_words(t).alias("gender_proxy"),
                  tx.name_origin_text(t).alias("name_origin_proxy"))
-    # Each relabelling reads its input three times (two counts and the rows):
-    # cut lineage so the text rules run once, not once per reader.
-    d = materialize(d)
-    d = materialize(rebalance_topup(d, key=id_col, seed=seed))
-    d = materialize(rebalance_split(d, key=id_col, seed=seed))
-    d = rebalance_reassign(d, key=id_col, seed=seed)
+    # The three relabellings touch different columns, so each reads the same
+    # base (counts, narrow ranks, rows): cut lineage once so the text rules
+    # run once, not once per reader.
+    d = rebalance_all(materialize(d), id_col, seed)
     d = global_rank(d, [F.asc("_order"), F.asc(id_col)], "_pos")
     p = F.col("_pos")
     return d.select(F.col(id_col), tx.synthetic_filename(p).alias("Filename"), tx.synthetic_name(p).alias("Name"),

@@ -332,9 +332,12 @@ def _cleaned(spark, sf_dir):
     d = _raw(spark, sf_dir).select("ID", tx.clean_text(F.col("Resume_str")).alias("Full_Text"))
     d = pr.filter_min_length(d)
     t = F.col("Full_Text")
-    return d.select("ID", tx.institution_tier(t, fixed.PREP_TIER1).alias("institution_tier"),
-                    tx.career_gap(t, fixed.PREP_GAP_PATTERNS).alias("career_gap"),
-                    tx.gender_proxy_words(t).alias("gender_proxy"), tx.name_origin_text(t).alias("name_origin_proxy"))
+    from ..session import materialize
+    # Read by the counts, the narrow ranks and the relabelling: cut lineage once.
+    return materialize(d.select("ID", tx.institution_tier(t, fixed.PREP_TIER1).alias("institution_tier"),
+                                tx.career_gap(t, fixed.PREP_GAP_PATTERNS).alias("career_gap"),
+                                tx.gender_proxy_words(t).alias("gender_proxy"),
+                                tx.name_origin_text(t).alias("name_origin_proxy")))
 
 
 def filter_category(spark, sf_dir):
