@@ -82,10 +82,22 @@ def skill_display(keyword: str) -> str:
     return keyword.title()
 
 
-def extract_skills(c: Column, keywords: list[str] = fixed.PARSER_SKILLS) -> Column:
+def lowered(c: Column, tl: Column | None = None) -> Column:
+    """The lower-cased text; pass a pre-computed column (see
+    :func:`with_lowered`) when several rules read the same text."""
+    return tl if tl is not None else F.lower(text_or_empty(c))
+
+
+def with_lowered(df, text_col: str, out: str = "_tl"):
+    """Lower-case a text once, in its own projection: a non-trivial column
+    read by many rules is then computed once per row."""
+    return df.withColumn(out, F.lower(text_or_empty(F.col(text_col))))
+
+
+def extract_skills(c: Column, keywords: list[str] = fixed.PARSER_SKILLS, tl: Column | None = None) -> Column:
     """array<string> of display names of keywords occurring (substring,
     case-insensitive) in the text, in keyword order."""
-    tl = F.lower(text_or_empty(c))
+    tl = lowered(c, tl)
     hits = F.array(*[F.when(tl.contains(k), F.lit(skill_display(k))) for k in keywords])
     return F.filter(hits, lambda x: x.isNotNull())
 
@@ -118,8 +130,8 @@ def any_substring(tl: Column, keywords: list[str]) -> Column:
     return cond
 
 
-def institution_tier(c: Column, keywords: list[str] = fixed.PARSER_TIER1) -> Column:
-    tl = F.lower(text_or_empty(c))
+def institution_tier(c: Column, keywords: list[str] = fixed.PARSER_TIER1, tl: Column | None = None) -> Column:
+    tl = lowered(c, tl)
     return F.when(any_substring(tl, keywords), F.lit(fixed.TIER1_LABEL)).otherwise(F.lit(fixed.TIER23_LABEL))
 
 
@@ -128,25 +140,25 @@ def gap_regex(patterns: list[str]) -> str:
     return "|".join(portable_regex(p) for p in patterns)
 
 
-def career_gap(c: Column, patterns: list[str] = fixed.PARSER_GAP_PATTERNS) -> Column:
-    tl = F.lower(text_or_empty(c))
+def career_gap(c: Column, patterns: list[str] = fixed.PARSER_GAP_PATTERNS, tl: Column | None = None) -> Column:
+    tl = lowered(c, tl)
     return F.when(tl.rlike(gap_regex(patterns)), F.lit(fixed.GAP_YES)).otherwise(F.lit(fixed.GAP_NO))
 
 
 # --- T7 --------------------------------------------------------------------
 def gender_proxy(c: Column, female: str = fixed.PARSER_FEMALE_PATTERN,
-                 male: str = fixed.PARSER_MALE_PATTERN) -> Column:
+                 male: str = fixed.PARSER_MALE_PATTERN, tl: Column | None = None) -> Column:
     """Female pattern first, then male, else 'Unspecified'.  Patterns are in
     the shared dialect (see :func:`words_regex` for whole-word lists)."""
-    tl = F.lower(text_or_empty(c))
+    tl = lowered(c, tl)
     return (F.when(tl.rlike(female), F.lit(fixed.FEMALE))
             .when(tl.rlike(male), F.lit(fixed.MALE))
             .otherwise(F.lit(fixed.UNSPECIFIED)))
 
 
-def gender_proxy_words(c: Column) -> Column:
+def gender_proxy_words(c: Column, tl: Column | None = None) -> Column:
     """Whole-word variant used by the preparation job."""
-    return gender_proxy(c, words_regex(fixed.PREP_FEMALE_WORDS), words_regex(fixed.PREP_MALE_WORDS))
+    return gender_proxy(c, words_regex(fixed.PREP_FEMALE_WORDS), words_regex(fixed.PREP_MALE_WORDS), tl)
 
 
 # --- T8 / T9 ---------------------------------------------------------------
@@ -164,10 +176,10 @@ def name_origin(name: Column) -> Column:
             .otherwise(F.lit(fixed.OTHER)))
 
 
-def name_origin_text(c: Column) -> Column:
+def name_origin_text(c: Column, tl: Column | None = None) -> Column:
     """Preparation rule, on the whole text: South Asian, East Asian, Western,
     else a stable hash bucket."""
-    tl = F.lower(text_or_empty(c))
+    tl = lowered(c, tl)
     b = hash_bucket(c, len(fixed.ORIGIN_BUCKETS))
     fallback = F.element_at(F.array(*[F.lit(x) for x in fixed.ORIGIN_BUCKETS]), (b + 1).cast("int"))
     return (F.when(any_substring(tl, fixed.PREP_SOUTH_ASIAN), F.lit(fixed.SOUTH_ASIAN))
@@ -210,18 +222,25 @@ def recommended_text(rec: Column) -> Column:
     return F.when(rec == 1, F.lit(fixed.RECOMMENDED_TEXT)).otherwise(F.lit(fixed.NOT_RECOMMENDED_TEXT))
 
 
-def parse_columns(text: Column, name: Column | None = None) -> dict[str, Column]:
+def parse_columns(text: Column, name: Column | None = None, tl: Column | None = None) -> dict[str, Column]:
     """The parsed row of one document (parser rules).  ``name`` defaults to the
-    first non-blank line."""
+    first non-blank line; ``tl`` is the pre-lowered text if available."""
     nm = name if name is not None else extract_name(text)
     return {
         "Name": nm,
         "Email": extract_email(text),
-        "Skills": skills_string(extract_skills(text)),
+        "Skills": skills_string(extract_skills(text, tl=tl)),
         "Education": first_matching_line(text),
         "Full_Text": strip(text_or_empty(text)),
-        "gender_proxy": gender_proxy(text),
-        "institution_tier": institution_tier(text),
-        "career_gap": career_gap(text),
+        "gender_proxy": gender_proxy(text, tl=tl),
+        "institution_tier": institution_tier(text, tl=tl),
+        "career_gap": career_gap(text, tl=tl),
         "name_origin_proxy": name_origin(nm),
     }
+
+
+def parse_frame(df, text_col: str = "text", keep: list[str] | None = None, name: Column | None = None):
+    """``df`` with the parsed columns; the text is lower-cased once."""
+    d = with_lowered(df, text_col)
+    cols = parse_columns(F.col(text_col), name, F.col("_tl"))
+    return d.select(*(keep or []), *[c.alias(k) for k, c in cols.items()])

@@ -61,10 +61,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parsed_documents(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
     """Documents with the parser's columns (name from the first line)."""
-    d = documents(spark, sf_dir)
-    cols = tx.parse_columns(F.col("text"))
-    out = d.select("doc_id", *(keep or []), *[c.alias(k) for k, c in cols.items()])
-    return out
+    return tx.parse_frame(documents(spark, sf_dir), "text", ["doc_id"] + (keep or []))
 
 
 _SCORED: dict = {}
@@ -80,11 +77,12 @@ def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (os.path.abspath(sf_dir), id(spark))
     if key not in _SCORED:
         f = fitted(spark, sf_dir)
-        d = documents(spark, sf_dir)
-        t = F.col("text")
+        d = tx.with_lowered(documents(spark, sf_dir), "text")
+        t, tl = F.col("text"), F.col("_tl")
         base = d.select("doc_id", "lang", "text", tx.extract_name(t).alias("name"),
-                        tx.gender_proxy(t).alias("gender_proxy"), tx.institution_tier(t).alias("institution_tier"),
-                        tx.career_gap(t).alias("career_gap"))
+                        tx.gender_proxy(t, tl=tl).alias("gender_proxy"),
+                        tx.institution_tier(t, tl=tl).alias("institution_tier"),
+                        tx.career_gap(t, tl=tl).alias("career_gap"))
         base = base.withColumn("name_origin_proxy", tx.name_origin(F.col("name")))
         c = f.vocab.counts(f.vocab.add_terms(base, "text", "_terms").drop("text"), "_terms", "tf_vec").drop("_terms")
         scored = cosine_score(f.vocab.weights_from_counts(c, "tf_vec", "w"), f.query_weights).drop("w")

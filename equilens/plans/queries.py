@@ -76,14 +76,14 @@ def attr_origin(spark, sf_dir):
 
 def attributes_text(spark, sf_dir):
     """The preparation job's whole-text rules on cleaned text."""
-    d = _docs(spark, sf_dir).select("doc_id", tx.clean_text(F.col("text")).alias("clean"))
-    c = F.col("clean")
+    d = tx.with_lowered(_docs(spark, sf_dir).select("doc_id", tx.clean_text(F.col("text")).alias("clean")), "clean")
+    c, tl = F.col("clean"), F.col("_tl")
     return d.select("doc_id",
-                    tx.institution_tier(c, fixed.PREP_TIER1).alias("institution_tier"),
-                    tx.career_gap(c, fixed.PREP_GAP_PATTERNS).alias("career_gap"),
-                    tx.gender_proxy_words(c).alias("gender_proxy"),
-                    tx.name_origin_text(c).alias("name_origin_proxy"),
-                    tx.skills_string(tx.extract_skills(c, fixed.PREP_SKILLS)).alias("skills"))
+                    tx.institution_tier(c, fixed.PREP_TIER1, tl).alias("institution_tier"),
+                    tx.career_gap(c, fixed.PREP_GAP_PATTERNS, tl).alias("career_gap"),
+                    tx.gender_proxy_words(c, tl).alias("gender_proxy"),
+                    tx.name_origin_text(c, tl).alias("name_origin_proxy"),
+                    tx.skills_string(tx.extract_skills(c, fixed.PREP_SKILLS, tl)).alias("skills"))
 
 
 def clean_text(spark, sf_dir):
@@ -330,14 +330,14 @@ def _raw(spark, sf_dir):
 
 def _cleaned(spark, sf_dir):
     d = _raw(spark, sf_dir).select("ID", tx.clean_text(F.col("Resume_str")).alias("Full_Text"))
-    d = pr.filter_min_length(d)
-    t = F.col("Full_Text")
+    d = tx.with_lowered(pr.filter_min_length(d), "Full_Text")
+    t, tl = F.col("Full_Text"), F.col("_tl")
     from ..session import materialize
     # Read by the counts, the narrow ranks and the relabelling: cut lineage once.
-    return materialize(d.select("ID", tx.institution_tier(t, fixed.PREP_TIER1).alias("institution_tier"),
-                                tx.career_gap(t, fixed.PREP_GAP_PATTERNS).alias("career_gap"),
-                                tx.gender_proxy_words(t).alias("gender_proxy"),
-                                tx.name_origin_text(t).alias("name_origin_proxy")))
+    return materialize(d.select("ID", tx.institution_tier(t, fixed.PREP_TIER1, tl).alias("institution_tier"),
+                                tx.career_gap(t, fixed.PREP_GAP_PATTERNS, tl).alias("career_gap"),
+                                tx.gender_proxy_words(t, tl).alias("gender_proxy"),
+                                tx.name_origin_text(t, tl).alias("name_origin_proxy")))
 
 
 def filter_category(spark, sf_dir):

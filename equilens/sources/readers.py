@@ -60,10 +60,8 @@ def read_text_dir(spark: SparkSession, path: str, suffix: str = ".txt") -> DataF
 
 def parse_text_dir(spark: SparkSession, path: str) -> DataFrame:
     """S1 + the parser: the parsed row of every file, ordered by file name."""
-    raw = read_text_dir(spark, path)
-    cols = tx.parse_columns(F.col("text"))
-    return raw.select(F.col("file_name").alias("Filename"), *[c.alias(k) for k, c in cols.items()]) \
-        .orderBy("Filename")
+    raw = read_text_dir(spark, path).withColumnRenamed("file_name", "Filename")
+    return tx.parse_frame(raw, "text", ["Filename"]).orderBy("Filename")
 
 
 # -- S2 / S3: CSV -----------------------------------------------------------------------
@@ -91,5 +89,4 @@ def parse_inline(spark: SparkSession, named_texts: dict[str, str]) -> DataFrame:
     columns from the parser."""
     rows = [(name.replace(" ", "_") + ".txt", name, text) for name, text in named_texts.items()]
     df = spark.createDataFrame(rows, "Filename string, Name string, text string")
-    cols = tx.parse_columns(F.col("text"), F.col("Name"))
-    return df.select("Filename", *[c.alias(k) for k, c in cols.items()])
+    return tx.parse_frame(df, "text", ["Filename"], F.col("Name"))
