@@ -81,7 +81,8 @@ def noise_terms(vocab: DataFrame, name_toks: DataFrame) -> DataFrame:
     A term is noise if it is a 19xx/20xx year, contains '@', or one of its
     words is a fixed noise word or a word of any name.  The vocabulary side
     (at most 2 x max_features words) is broadcast; the name tokens, which
-    grow with the corpus, stream through a semi-join."""
+    grow with the corpus, stream through a semi-join, and only the matches
+    (at most the vocabulary's words) are de-duplicated."""
     vw = vocab.select("idx", F.explode(F.split("term", " ")).alias("word"))
     vocab_words = vw.select("word").distinct()
     matched = (name_toks.select(F.col("token").alias("word"))
@@ -95,6 +96,12 @@ def noise_terms(vocab: DataFrame, name_toks: DataFrame) -> DataFrame:
             .select("idx", "term", (static | F.coalesce(F.col("_name_hit"), F.lit(False))).alias("is_noise")))
 
 
+def name_words_frame(names: DataFrame, name_col: str = "name", split: str = "tokens") -> DataFrame:
+    """All name words as rows (no de-duplication: :func:`noise_terms`
+    semi-joins them against the vocabulary first)."""
+    return names.select(F.explode(name_words(names, name_col, split)).alias("token"))
+
+
 def build_explainer(terms, coef, mean, noise_df: DataFrame, intercept: float = 0.0) -> LinearExplainer:
     flags = {r["idx"]: bool(r["is_noise"]) for r in noise_df.select("idx", "is_noise").collect()}
     return LinearExplainer(tuple(terms), tuple(float(c) for c in coef), tuple(mean),

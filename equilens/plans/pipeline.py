@@ -71,7 +71,7 @@ def model_explainer(result: RankResult, names: DataFrame, name_col: str = "name"
     means over all ranked documents, noise flags from all names."""
     spark = result.ranked.sparkSession
     mean = at.feature_means(result.ranked)
-    noise = at.noise_terms(result.vocab.table(spark), at.name_tokens(names, name_col, name_split))
+    noise = at.noise_terms(result.vocab.table(spark), at.name_words_frame(names, name_col, name_split))
     return at.build_explainer(result.vocab.terms, result.coef, mean, noise, result.intercept)
 
 

@@ -234,7 +234,8 @@ def linear_explainer(spark, sf_dir):
         f = cx.fitted(spark, sf_dir)
         ws = _weighted_scored(spark, sf_dir)
         mean = at.feature_means(ws)
-        noise = at.noise_terms(f.vocab.table(spark), at.name_tokens(_names(spark, sf_dir)))
+        names = cx.scored_table(spark, sf_dir).select("name")
+        noise = at.noise_terms(f.vocab.table(spark), at.name_words_frame(names))
         ex = at.build_explainer(f.vocab.terms, f.query_weights, mean, noise)
         lead = ws.orderBy(F.desc("score"), F.asc("doc_id")).select("doc_id", "w").first()
         _EXPL[key] = (ex, int(lead["doc_id"]), tuple(ex.attributions(lead["w"])))
