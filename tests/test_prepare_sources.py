@@ -96,3 +96,25 @@ def test_entry_and_registry(spark):
     rows_only = set(qs) - set(oq)
     assert rows_only == {"rank_model", "rank_display", "audit_model", "attribution_model", "contrast_model",
                          "local_attribution"}
+
+
+def test_model_and_audit_json_sinks(spark):
+    from equilens.operators import audit as au
+    from equilens.operators import rank as rk
+    tmp = tempfile.mkdtemp(prefix="equilens-model-")
+    df = spark.createDataFrame([([1.0, 0.0], 1), ([0.0, 1.0], 0), ([0.9, 0.1], 1), ([0.2, 0.8], 0)],
+                               "w array<double>, label int")
+    m = rk.fit_logistic(df, "w", "label")
+    sk.save_model(m, os.path.join(tmp, "model"))
+    back = sk.load_model(os.path.join(tmp, "model"))
+    assert list(back.coefficients) == list(m.coefficients) and back.intercept == m.intercept
+    d = spark.createDataFrame([(1, "a", "x", 0.5, 1), (2, "b", "x", 0.1, 0), (3, "a", "y", 0.3, 1)],
+                              "doc_id long, g string, h string, score double, recommended int")
+    groups = au.audit_groups(d, ["g", "h"])
+    nested = au.audit_nested(groups, au.audit_report(groups))
+    sk.write_audit(nested, os.path.join(tmp, "audit"))
+    lines = [json.loads(x["value"]) for x in spark.read.text(os.path.join(tmp, "audit")).collect()]
+    assert [x["attr"] for x in sorted(lines, key=lambda x: x["position"])] == ["g", "h"]
+    doc = json.loads(sk.report_json(nested))
+    assert list(doc) == ["g", "h"] and doc["g"]["mean_score"] == {"a": 0.4, "b": 0.1}
+    assert doc["g"]["favoured"] == "a" and doc["g"]["disparity"] == 0.3
