@@ -98,7 +98,10 @@ def extract_skills(c: Column, keywords: list[str] = fixed.PARSER_SKILLS, tl: Col
     """array<string> of display names of keywords occurring (substring,
     case-insensitive) in the text, in keyword order."""
     tl = lowered(c, tl)
-    hits = F.array(*[F.when(tl.contains(k), F.lit(skill_display(k))) for k in keywords])
+    z = F.arrays_zip(F.array(*[F.lit(k) for k in keywords]).alias("k"),
+                     F.array(*[F.lit(skill_display(k)) for k in keywords]).alias("d"),
+                     F.array_repeat(tl, len(keywords)).alias("s"))
+    hits = F.transform(z, lambda e: F.when(e["s"].contains(e["k"]), e["d"]))
     return F.filter(hits, lambda x: x.isNotNull())
 
 
@@ -124,10 +127,13 @@ def first_matching_line(c: Column, keywords: list[str] = fixed.EDUCATION_KEYWORD
 
 # --- T5 --------------------------------------------------------------------
 def any_substring(tl: Column, keywords: list[str]) -> Column:
-    cond = tl.contains(keywords[0])
-    for k in keywords[1:]:
-        cond = cond | tl.contains(k)
-    return cond
+    """Does any keyword occur in ``tl``?  One short-circuiting ``exists`` over
+    a literal keyword array (the text enters once, through ``array_repeat``):
+    a long OR chain would fuse into one generated method too large for the
+    JIT to compile."""
+    z = F.arrays_zip(F.array(*[F.lit(k) for k in keywords]).alias("k"),
+                     F.array_repeat(tl, len(keywords)).alias("s"))
+    return F.exists(z, lambda e: e["s"].contains(e["k"]))
 
 
 def institution_tier(c: Column, keywords: list[str] = fixed.PARSER_TIER1, tl: Column | None = None) -> Column:

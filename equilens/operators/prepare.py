@@ -199,18 +199,18 @@ def prepare(raw: DataFrame, category: str = "all", limit: int | None = None, id_
     than ``limit`` rows can result."""
     d = filter_category_partial(raw, category, category_col, id_col)
     d = seeded_sample(d, limit, id_col, seed, "_order") if limit else d.withColumn("_order", F.col(id_col))
-    d = d.withColumn("Full_Text", tx.clean_text(F.col(text_col)))
-    d = tx.with_lowered(filter_min_length(d, "Full_Text"), "Full_Text")
+    # The length filter comes after the checkpoint: a filter on a computed
+    # column is pushed below its projection by substituting the expression,
+    # which would run the cleaning rules twice per row.
+    d = tx.with_lowered(d.withColumn("Full_Text", tx.clean_text(F.col(text_col))), "Full_Text")
     t, tl = F.col("Full_Text"), F.col("_tl")
     d = d.select(F.col(id_col), "_order", F.col(category_col).alias("Category"), "Full_Text",
                  tx.institution_tier(t, fixed.PREP_TIER1, tl).alias("institution_tier"),
                  tx.career_gap(t, fixed.PREP_GAP_PATTERNS, tl).alias("career_gap"),
                  tx.gender_proxy_words(t, tl).alias("gender_proxy"),
                  tx.name_origin_text(t, tl).alias("name_origin_proxy"))
-    # The three relabellings touch different columns, so each reads the same
-    # base (counts, narrow ranks, rows): cut lineage once so the text rules
-    # run once, not once per reader.
-    d = tx.with_lowered(rebalance_all(materialize(d), id_col, seed), "Full_Text")
+    d = filter_min_length(materialize(d), "Full_Text")
+    d = tx.with_lowered(rebalance_all(d, id_col, seed), "Full_Text")
     d = global_rank(d, [F.asc("_order"), F.asc(id_col)], "_pos")
     p = F.col("_pos")
     return d.select(F.col(id_col), tx.synthetic_filename(p).alias("Filename"), tx.synthetic_name(p).alias("Name"),

@@ -330,15 +330,18 @@ def _raw(spark, sf_dir):
 
 
 def _cleaned(spark, sf_dir):
+    """Cleaned documents with the whole-text attributes, length-filtered.
+    Read by the counts, the narrow rank and the relabelling, so lineage is
+    cut once; the filter runs on the checkpoint (see ``prepare.prepare``)."""
+    from ..session import materialize
     d = _raw(spark, sf_dir).select("ID", tx.clean_text(F.col("Resume_str")).alias("Full_Text"))
-    d = tx.with_lowered(pr.filter_min_length(d), "Full_Text")
+    d = tx.with_lowered(d, "Full_Text")
     t, tl = F.col("Full_Text"), F.col("_tl")
-    from ..session import materialize
-    # Read by the counts, the narrow ranks and the relabelling: cut lineage once.
-    return materialize(d.select("ID", tx.institution_tier(t, fixed.PREP_TIER1, tl).alias("institution_tier"),
-                                tx.career_gap(t, fixed.PREP_GAP_PATTERNS, tl).alias("career_gap"),
-                                tx.gender_proxy_words(t, tl).alias("gender_proxy"),
-                                tx.name_origin_text(t, tl).alias("name_origin_proxy")))
+    d = materialize(d.select("ID", "Full_Text", tx.institution_tier(t, fixed.PREP_TIER1, tl).alias("institution_tier"),
+                             tx.career_gap(t, fixed.PREP_GAP_PATTERNS, tl).alias("career_gap"),
+                             tx.gender_proxy_words(t, tl).alias("gender_proxy"),
+                             tx.name_origin_text(t, tl).alias("name_origin_proxy")))
+    return pr.filter_min_length(d).drop("Full_Text")
 
 
 def filter_category(spark, sf_dir):
