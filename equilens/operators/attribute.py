@@ -110,21 +110,58 @@ def build_explainer(terms, coef, mean, noise_df: DataFrame, intercept: float = 0
 
 # -- per-document attribution (X1, X5-X8) ---------------------------------------------
 
-def _items(w_col: str, ex: LinearExplainer) -> Column:
-    """array<struct<k, term, value, noise>> over the whole vocabulary, where
-    k = -|value| rounded (sort key)."""
-    z = F.arrays_zip(F.col(w_col).alias("x"), F.col("_c"), F.col("_m"), F.col("_t"), F.col("_n"))
+CANDIDATE_MARGIN = 16   # extra absent items per row; covers near-ties of the global order
+
+
+def _global_ranks(values, terms, eligible) -> list[int]:
+    """1-based position of each eligible item in the (-|value| rounded, term)
+    order, 0 for ineligible ones (vocabulary order)."""
+    order = sorted((j for j in range(len(terms)) if eligible[j]),
+                   key=lambda j: (round(-abs(values[j]), ORDER_DECIMALS), terms[j]))
+    ranks = [0] * len(terms)
+    for r, j in enumerate(order, 1):
+        ranks[j] = r
+    return ranks
+
+
+def _items(w_col: str, ex: LinearExplainer, ranks: dict | None = None) -> Column:
+    """array<struct<k, term, value, noise, x, [rank columns]>> over the
+    vocabulary, k = -|value| rounded (the sort key).  The weight array enters
+    through ``arrays_zip`` (evaluated once per row)."""
+    ranks = ranks or {}
+    cols = [F.col(w_col).alias("x"), F.col("_c"), F.col("_m"), F.col("_t"), F.col("_n")] + \
+        [F.col("_r_" + r) for r in ranks]
+    z = F.arrays_zip(*cols)
 
     def item(e):
         v = e["_c"] * (e["x"] - e["_m"])
         return F.struct(F.round(F.lit(0.0) - F.abs(v), ORDER_DECIMALS).alias("k"), e["_t"].alias("term"),
-                        v.alias("value"), e["_n"].alias("noise"))
+                        v.alias("value"), e["_n"].alias("noise"), e["x"].alias("x"),
+                        *[e["_r_" + r].alias("r_" + r) for r in ranks])
     return F.transform(z, item)
 
 
-def _with_constants(df: DataFrame, ex: LinearExplainer) -> DataFrame:
-    return (df.withColumn("_c", F.lit(list(ex.coef))).withColumn("_m", F.lit(list(ex.mean)))
-            .withColumn("_t", F.lit(list(ex.terms))).withColumn("_n", F.lit(list(ex.noise))))
+def _with_constants(df: DataFrame, ex: LinearExplainer, ranks: dict | None = None) -> DataFrame:
+    d = (df.withColumn("_c", F.lit(list(ex.coef))).withColumn("_m", F.lit(list(ex.mean)))
+         .withColumn("_t", F.lit(list(ex.terms))).withColumn("_n", F.lit(list(ex.noise))))
+    for name, arr in (ranks or {}).items():
+        d = d.withColumn("_r_" + name, F.lit(list(arr)))
+    return d
+
+
+def _drop_constants(df: DataFrame, ranks: dict | None = None) -> DataFrame:
+    return df.drop("_c", "_m", "_t", "_n", "_nnz", *["_r_" + r for r in (ranks or {})])
+
+
+def _pruned_top(items_col: str, keep, rank_field: str, n: int) -> Column:
+    """Top n of the items satisfying ``keep`` by (k, term).  An absent item's
+    value is the same in every row, so only absent items whose global rank is
+    at most n + (present items) + margin can reach the top n; the sort runs
+    over those and the present items only."""
+    z = F.arrays_zip(F.col(items_col).alias("i"), F.array_repeat("_nnz", F.size(items_col)).alias("p"))
+    cand = F.filter(z, lambda e: keep(e["i"]) & ((e["i"]["x"] != 0)
+                                                | (e["i"][rank_field] <= e["p"] + F.lit(n + CANDIDATE_MARGIN))))
+    return F.slice(F.array_sort(F.transform(cand, lambda e: e["i"])), 1, n)
 
 
 def explain(weighted: DataFrame, ex: LinearExplainer, w_col: str = "w", n: int = fixed.TOP_CLEAN_TERMS,
@@ -137,27 +174,32 @@ def explain(weighted: DataFrame, ex: LinearExplainer, w_col: str = "w", n: int =
     * ``top_features``: the first ``n_table`` of ``ordered`` by |value|, 4 dp.
     * ``bias_note``: top ``n_bias`` noise terms with |value| > 1e-6, 5 dp.
     """
-    d = _with_constants(weighted, ex).withColumn("_items", _items(w_col, ex))
-    clean = F.filter("_items", lambda e: ~e["noise"])
-    top = F.slice(F.array_sort(clean), 1, n)
+    absent = [-c * m for c, m in zip(ex.coef, ex.mean)]
+    ranks = {"clean": _global_ranks(absent, ex.terms, [not f for f in ex.noise]),
+             "all": _global_ranks(absent, ex.terms, [True] * len(ex.terms)),
+             "bias": _global_ranks(absent, ex.terms, [f and abs(v) > fixed.BIAS_MIN_ABS
+                                                      for f, v in zip(ex.noise, absent)])}
+    d = _with_constants(weighted, ex, ranks).withColumn("_items", _items(w_col, ex, ranks))
+    d = d.withColumn("_nnz", F.size(F.filter("_items", lambda e: e["x"] != 0)))
+    top = _pruned_top("_items", lambda e: ~e["noise"], "r_clean", n)
     disp = F.array_sort(F.transform(top, lambda e, i: F.struct(
         F.when(e["value"] > 0, 1).otherwise(0).alias("g"),
         F.round(F.when(e["value"] > 0, -e["value"]).otherwise(e["value"]), ORDER_DECIMALS).alias("key"),
         i.alias("i"), e["term"].alias("term"), e["value"].alias("value"))))
-    fallback = F.reverse(F.slice(F.array_sort("_items"), 1, n))
-    ordered = F.when(F.size(clean) > 0, F.transform(disp, lambda e: F.struct(e["term"].alias("term"),
-                                                                               e["value"].alias("value")))) \
-        .otherwise(F.transform(fallback, lambda e: F.struct(e["term"].alias("term"), e["value"].alias("value"))))
+    fallback = F.reverse(_pruned_top("_items", lambda e: F.lit(True), "r_all", n))
+    pick = disp if not all(ex.noise) else fallback
+    ordered = F.transform(pick, lambda e: F.struct(e["term"].alias("term"), e["value"].alias("value")))
     d = d.withColumn("ordered", ordered)
     table = F.slice(F.array_sort(F.transform("ordered", lambda e, i: F.struct(
         F.round(F.lit(0.0) - F.abs(e["value"]), ORDER_DECIMALS).alias("k"), i.alias("i"),
         e["term"].alias("term"), e["value"].alias("value")))), 1, n_table)
     d = d.withColumn("top_features", F.transform(table, lambda e: F.struct(
         e["term"].alias("term"), (F.round(e["value"], fixed.SCORE_DECIMALS) + F.lit(0.0)).alias("value"))))
-    noisy = F.filter("_items", lambda e: e["noise"] & (F.abs(e["value"]) > F.lit(fixed.BIAS_MIN_ABS)))
-    d = d.withColumn("bias_note", F.transform(F.slice(F.array_sort(noisy), 1, n_bias), lambda e: F.struct(
+    noisy = _pruned_top("_items", lambda e: e["noise"] & (F.abs(e["value"]) > F.lit(fixed.BIAS_MIN_ABS)),
+                        "r_bias", n_bias)
+    d = d.withColumn("bias_note", F.transform(noisy, lambda e: F.struct(
         e["term"].alias("term"), (F.round(e["value"], 5) + F.lit(0.0)).alias("value"))))
-    return d.drop("_items", "_c", "_m", "_t", "_n")
+    return _drop_constants(d.drop("_items"), ranks)
 
 
 # -- contrast against the leader (X9-X10) -------------------------------------------------
@@ -166,17 +208,27 @@ def contrast(explained: DataFrame, ex: LinearExplainer, leader_attr, w_col: str
              n: int = fixed.CONTRAST_TERMS) -> DataFrame:
     """Adds ``gap_terms``: clean terms with a positive gap ``attr_leader -
     attr_doc``, largest first (ties by term), at most ``n``."""
-    d = _with_constants(explained, ex).withColumn("_lead", F.lit(list(leader_attr)))
-    z = F.arrays_zip(F.col(w_col).alias("x"), F.col("_c"), F.col("_m"), F.col("_t"), F.col("_n"), F.col("_lead"))
+    # An absent term's gap is lead_j + c_j m_j in every row: rank those once.
+    absent_gap = [a + c * m for a, c, m in zip(leader_attr, ex.coef, ex.mean)]
+    order = sorted((j for j in range(len(ex.terms)) if not ex.noise[j] and absent_gap[j] > 0),
+                   key=lambda j: (round(-absent_gap[j], ORDER_DECIMALS), ex.terms[j]))
+    grank = [0] * len(ex.terms)
+    for r, j in enumerate(order, 1):
+        grank[j] = r
+    ranks = {"gap": grank}
+    d = _with_constants(explained, ex, ranks).withColumn("_lead", F.lit(list(leader_attr)))
+    z = F.arrays_zip(F.col(w_col).alias("x"), F.col("_c"), F.col("_m"), F.col("_t"), F.col("_n"), F.col("_lead"),
+                     F.col("_r_gap"))
 
     def gap_item(e):
         g = e["_lead"] - e["_c"] * (e["x"] - e["_m"])
         return F.struct(F.round(F.lit(0.0) - g, ORDER_DECIMALS).alias("k"), e["_t"].alias("term"),
-                        g.alias("gap"), e["_n"].alias("noise"))
-    items = F.filter(F.transform(z, gap_item), lambda e: ~e["noise"] & (e["gap"] > 0))
-    d = d.withColumn("gap_terms", F.transform(F.slice(F.array_sort(items), 1, n),
-                                              lambda e: F.struct(e["term"].alias("term"), e["gap"].alias("gap"))))
-    return d.drop("_c", "_m", "_t", "_n", "_lead")
+                        g.alias("gap"), e["_n"].alias("noise"), e["x"].alias("x"), e["_r_gap"].alias("r_gap"))
+    d = d.withColumn("_gaps", F.transform(z, gap_item))
+    d = d.withColumn("_nnz", F.size(F.filter("_gaps", lambda e: e["x"] != 0)))
+    top = _pruned_top("_gaps", lambda e: ~e["noise"] & (e["gap"] > 0), "r_gap", n)
+    d = d.withColumn("gap_terms", F.transform(top, lambda e: F.struct(e["term"].alias("term"), e["gap"].alias("gap"))))
+    return _drop_constants(d.drop("_gaps", "_lead"), ranks)
 
 
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")

@@ -122,3 +122,42 @@ def test_local_attribution_runs_and_sample_zero_is_intact(spark):
         per_doc.setdefault(r["doc_id"], []).append(r)
     assert set(per_doc) == set(range(10))
     assert all(len(v) == 10 for v in per_doc.values())
+
+
+def _brute(ex, x, n=10, n_bias=3, lead=None):
+    vals = [c * (xi - m) for c, xi, m in zip(ex.coef, x, ex.mean)]
+    key = lambda j: (round(-abs(vals[j]), 12), ex.terms[j])
+    clean = [j for j in range(len(vals)) if not ex.noise[j]]
+    top = sorted(clean, key=key)[:n]
+    disp = sorted(top, key=lambda j: (1 if vals[j] > 0 else 0, round(-vals[j] if vals[j] > 0 else vals[j], 12),
+                                      top.index(j)))
+    bias = sorted([j for j in range(len(vals)) if ex.noise[j] and abs(vals[j]) > 1e-6], key=key)[:n_bias]
+    out = {"ordered": [(ex.terms[j], vals[j]) for j in disp], "bias": [ex.terms[j] for j in bias]}
+    if lead is not None:
+        gaps = {j: lead[j] - vals[j] for j in clean if lead[j] - vals[j] > 0}
+        out["gap"] = [ex.terms[j] for j in sorted(gaps, key=lambda j: (round(-gaps[j], 12), ex.terms[j]))[:3]]
+    return out
+
+
+def test_pruned_attribution_matches_brute_force(spark):
+    rng = np.random.default_rng(7)
+    V = 60
+    terms = tuple(f"t{j:03d}" for j in range(V))
+    coef = rng.normal(size=V)
+    coef[rng.random(V) < 0.2] = 0.0
+    ex = at.LinearExplainer(terms, tuple(coef), tuple(np.abs(rng.normal(size=V)) * 0.1),
+                            tuple(bool(b) for b in rng.random(V) < 0.3))
+    rows = []
+    for i in range(40):
+        x = np.zeros(V)
+        nz = rng.choice(V, size=rng.integers(0, 25), replace=False)
+        x[nz] = rng.random(len(nz))
+        rows.append((i, x.tolist()))
+    df = spark.createDataFrame(rows, "doc_id long, w array<double>")
+    lead = ex.attributions(rows[0][1])
+    got = {r["doc_id"]: r for r in at.contrast(at.explain(df, ex), ex, lead).collect()}
+    for i, x in rows:
+        want = _brute(ex, x, lead=lead)
+        assert [(e["term"], e["value"]) for e in got[i]["ordered"]] == [(t, v) for t, v in want["ordered"]]
+        assert [e["term"] for e in got[i]["bias_note"]] == want["bias"]
+        assert [e["term"] for e in got[i]["gap_terms"]] == want["gap"]
