@@ -30,6 +30,8 @@ def get_session(master: str | None = None, app: str = "equilens",
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         # Remove checkpoint files once the DataFrames that own them are gone.
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.driver.memory", os.environ.get("EQUILENS_DRIVER_MEMORY", "16g")))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
