@@ -186,12 +186,12 @@ def audit_ctes(attrs: list[str]) -> str:
         "gender_proxy": s_gender("text"), "institution_tier": s_tier("text"), "career_gap": s_gap("text"),
         "name_origin_proxy": s_origin(s_name("text")),
     }
-    sel = ", ".join(f"{exprs[a]} AS {a}" if a in exprs else a for a in attrs)
+    sel = ", ".join(f"{exprs[a]} AS {a}" if a in exprs else ("labels.toxic" if a == "toxic" else a) for a in attrs)
     unions = " UNION ALL ".join(
         f"SELECT {i} AS attr_pos, {q(a)} AS attr, coalesce(CAST({a} AS VARCHAR), 'None') AS grp, doc_id, s, label "
         f"FROM base" for i, a in enumerate(attrs))
     return labeled_cte() + f""",
-attrs AS (SELECT doc_id, {sel} FROM documents),
+attrs AS (SELECT documents.doc_id, {sel} FROM documents LEFT JOIN labels ON labels.doc_id = documents.doc_id),
 base AS (SELECT a.*, lab.label, CAST(round(lab.score * {10 ** fixed.SCORE_DECIMALS}) AS BIGINT) AS s
          FROM attrs a JOIN lab ON a.doc_id = lab.doc_id),
 long AS ({unions}),

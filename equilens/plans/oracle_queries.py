@@ -133,5 +133,7 @@ SELECT count(*) AS total, sum(label) AS n_label, max(score) AS top_score,
        round(max(score) - min(score), {fixed.SCORE_DECIMALS}) AS score_range, median(score) AS threshold FROM lab"""),
         "audit_groups": o.with_tfidf(o.audit_ctes(AUDIT_ATTRS) + "\nSELECT attr, grp, n, mean_score, rec_rate FROM g"),
         "audit_report": o.with_tfidf(o.audit_ctes(AUDIT_ATTRS) + f"""
+SELECT position, attr, n_groups, disparity, favoured, disadvantaged, {o.severity_sql()} AS severity FROM report"""),
+        "audit_labels": o.with_tfidf(o.audit_ctes(AUDIT_ATTRS + ["toxic"]) + f"""
 SELECT position, attr, n_groups, disparity, favoured, disadvantaged, {o.severity_sql()} AS severity FROM report"""),
     }

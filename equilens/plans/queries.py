@@ -189,6 +189,19 @@ def _audit_table(spark, sf_dir):
     return rk.median_label(s)
 
 
+def _audit_with_labels(spark, sf_dir):
+    """The audit table plus ``toxic`` from ``labels`` as a true group (a
+    document without a label is its own group).  Keyed equi-join on the
+    unique doc_id: no skew; Spark/AQE choose broadcast or shuffle by size."""
+    lab = cx.table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return _audit_table(spark, sf_dir).join(lab, "doc_id", "left")
+
+
+def audit_labels(spark, sf_dir):
+    return au.audit_report(au.audit_groups(_audit_with_labels(spark, sf_dir), AUDIT_ATTRS + ["toxic"],
+                                           rec_col="label"))
+
+
 def audit_groups(spark, sf_dir):
     g = au.audit_groups(_audit_table(spark, sf_dir), AUDIT_ATTRS, rec_col="label")
     return g.select("attr", "grp", "n", "mean_score", "rec_rate")
@@ -209,6 +222,7 @@ QUERIES.update({
     "rank_summary": rank_summary,
     "audit_groups": audit_groups,
     "audit_report": audit_report,
+    "audit_labels": audit_labels,
 })
 
 
@@ -426,6 +440,17 @@ def model_run(spark, sf_dir):
     return _MODEL[key]
 
 
+def rank_model_quality(spark, sf_dir):
+    """The model fitted on the external ``labels.quality`` of the labelled
+    documents (instead of the median label), applied to every document."""
+    f = cx.fitted(spark, sf_dir)
+    scored = cx.scored_documents(spark, sf_dir)
+    q = cx.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = rk.fit_logistic(scored.join(q, "doc_id"), "w", "label")
+    coef, b = rk.model_coefficients(model)
+    return rk.predict(scored, coef, b).select("doc_id", "score", "model_score", "recommended")
+
+
 def rank_model(spark, sf_dir):
     r = model_run(spark, sf_dir)
     return r.ranked.select("doc_id", "score", "label", "model_score", "recommended", "rank")
@@ -460,6 +485,7 @@ def contrast_model(spark, sf_dir):
 
 QUERIES.update({
     "rank_model": rank_model,
+    "rank_model_quality": rank_model_quality,
     "rank_display": rank_display,
     "audit_model": audit_model,
     "attribution_model": attribution_model,

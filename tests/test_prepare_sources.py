@@ -95,7 +95,7 @@ def test_entry_and_registry(spark):
     assert set(oq) <= set(qs)
     rows_only = set(qs) - set(oq)
     assert rows_only == {"rank_model", "rank_display", "audit_model", "attribution_model", "contrast_model",
-                         "local_attribution"}
+                         "local_attribution", "rank_model_quality"}
 
 
 def test_model_and_audit_json_sinks(spark):
