@@ -121,7 +121,7 @@ def _vector_rank_audit() -> dict[str, str]:
         "tokenize": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 "
                     f"FROM (SELECT doc_id, {tok} AS t FROM documents)",
         "term_counts": o.with_tfidf("SELECT doc_id, term, tf FROM tf"),
-        "vocabulary": o.with_tfidf("SELECT term, cf, df, round(idf, 6) AS idf FROM idf"),
+        "vocabulary": o.with_tfidf("SELECT term, CAST(cf AS BIGINT) AS cf, df, round(idf, 6) AS idf FROM idf"),
         "tfidf_weights": o.with_tfidf("SELECT doc_id, term, round(w, 6) AS weight FROM w"),
         "tfidf_transform": o.with_tfidf(o.transform_ctes("conversations", ["conv_id", "turn"])
                                         + "\nSELECT conv_id, turn, term, round(wn, 6) AS weight FROM xw"),
@@ -129,8 +129,9 @@ def _vector_rank_audit() -> dict[str, str]:
         "rank_documents": o.with_tfidf(o.labeled_cte() + "\nSELECT doc_id, score, label, "
                                        "CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS BIGINT) AS rank FROM lab"),
         "rank_summary": o.with_tfidf(o.labeled_cte() + f"""
-SELECT count(*) AS total, sum(label) AS n_label, max(score) AS top_score,
-       round(max(score) - min(score), {fixed.SCORE_DECIMALS}) AS score_range, median(score) AS threshold FROM lab"""),
+SELECT count(*) AS total, CAST(sum(label) AS BIGINT) AS n_label, max(score) AS top_score,
+       round(max(score) - min(score), {fixed.SCORE_DECIMALS}) AS score_range,
+       round(median(score), {fixed.SCORE_DECIMALS + 1}) AS threshold FROM lab"""),
         "audit_groups": o.with_tfidf(o.audit_ctes(AUDIT_ATTRS) + "\nSELECT attr, grp, n, mean_score, rec_rate FROM g"),
         "audit_report": o.with_tfidf(o.audit_ctes(AUDIT_ATTRS) + f"""
 SELECT position, attr, n_groups, disparity, favoured, disadvantaged, {o.severity_sql()} AS severity FROM report"""),

@@ -176,7 +176,9 @@ def rank_summary(spark, sf_dir):
     return s.agg(F.count(F.lit(1)).alias("total"), F.sum("label").alias("n_label"),
                  F.max("score").alias("top_score"),
                  F.round(F.max("score") - F.min("score"), fixed.SCORE_DECIMALS).alias("score_range"),
-                 F.median("score").alias("threshold"))
+                 # a median of 4-decimal values has at most 5 decimals: rounding
+                 # to 5 makes the value exact whatever the interpolation formula
+                 F.round(F.median("score"), fixed.SCORE_DECIMALS + 1).alias("threshold"))
 
 
 # -- audit (A1-A7) --------------------------------------------------------------
@@ -368,7 +370,7 @@ def filter_category_partial(spark, sf_dir):
 
 def filter_min_length(spark, sf_dir):
     d = _raw(spark, sf_dir).select("ID", tx.clean_text(F.col("Resume_str")).alias("Full_Text"))
-    return pr.filter_min_length(d).select("ID", F.length("Full_Text").alias("length"))
+    return pr.filter_min_length(d).select("ID", F.length("Full_Text").cast("long").alias("length"))
 
 
 def seeded_sample(spark, sf_dir):
