@@ -57,8 +57,10 @@ def word_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def samples(features: DataFrame, n_samples: int = fixed.PERTURB_SAMPLES, seed: int = fixed.SEED) -> DataFrame:
-    """L2: one row per (document, sample) with b, c, r and the kernel weight."""
-    s = features.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
+    """L2: one row per (document, sample) with b, c, r and the kernel weight.
+    The raw text is dropped before the explode (its runs are already in
+    ``_runs``), so each sample row does not carry a copy of it."""
+    s = features.drop("text").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.lit("sample"),
                           F.col("s").cast("string")))
     s = (s.withColumn("_h", h)
