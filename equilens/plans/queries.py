@@ -427,7 +427,7 @@ QUERIES.update({
 
 
 # -- the model path (K2-K4, P5, A2 with the model's class, X1 with model coefficients) -------
-from . import pipeline as pl  # noqa: E402
+from . import flow as pl  # noqa: E402
 
 _MODEL: dict = {}
 

@@ -8,7 +8,7 @@ from equilens.operators import audit as au
 from equilens.operators import local as lo
 from equilens.operators import rank as rk
 from equilens.operators import vectorize as vz
-from equilens.plans import pipeline as pl
+from equilens.plans import flow as pl
 from equilens.functions import text as tx
 from tests.fixture_texts import TEXTS
 
@@ -60,7 +60,7 @@ def ranked_fixture(spark):
                                                                       "career_gap", "name_origin_proxy"])
 
 
-def test_pipeline_attributions_sum_to_margin(spark):
+def test_flow_attributions_sum_to_margin(spark):
     res = ranked_fixture(spark)
     ranked = res.ranked.collect()
     assert sorted(r["rank"] for r in ranked) == list(range(1, 11))
