@@ -14,9 +14,16 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+import math
+
 from ..functions import fixed
 from .vectorize import dot
 
+# Rows of dense vocabulary-sized vectors per training partition (~200 MB at
+# 500 doubles a row): sizes the model input to the data, so a small corpus
+# does not pay one task per core on each of the optimizer's iterations.
+LR_ROWS_PER_PARTITION = 50_000
+
 
 def cosine_score(weighted: DataFrame, query_weights, w_col: str = "w", out: str = "score",
                  decimals: int = fixed.SCORE_DECIMALS) -> DataFrame:
@@ -83,6 +90,9 @@ def fit_logistic(train: DataFrame, w_col: str = "w", label_col: str = "label", C
     if stats["lo"] == stats["hi"]:
         raise ValueError(f"all {n} documents have label {stats['lo']}: a classifier needs two classes")
     data = train.select(array_to_vector(F.col(w_col)).alias("features"), F.col(label_col).cast("double").alias("label"))
+    parts = max(1, math.ceil(n / LR_ROWS_PER_PARTITION))
+    if parts < data.rdd.getNumPartitions():
+        data = data.coalesce(parts)
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (C * n), elasticNetParam=0.0,
                             standardization=False, fitIntercept=True, maxIter=max_iter, tol=tol, family="binomial")
     return lr.fit(data)
