@@ -68,3 +68,9 @@ def test_rebalance_rounding_truncates(spark):
     d = spark.createDataFrame([(i, "No") for i in range(7)], "ID long, career_gap string")
     out = pr.rebalance_topup(d).where(F.col("career_gap") != "No").count()
     assert out == math.floor(7 * 0.15) == 1
+
+
+def test_name_after_a_very_long_blank_line(spark):
+    text = " " * 200_000 + "\r\n\t \n  Jane Doe  \nrest"
+    r = spark.createDataFrame([(text,)], "t string").select(tx.extract_name(F.col("t")).alias("n")).first()
+    assert r["n"] == "Jane Doe"
