@@ -8,6 +8,8 @@ SQL oracle (RE2) agree with each other and with Python's Unicode ``\\w`` /
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,6 +133,18 @@ def first_matching_line(c: Column, keywords: list[str] = fixed.EDUCATION_KEYWORD
 
 
 # --- T5 --------------------------------------------------------------------
+def keyword_test(tl: Column, keywords: list[str], match: str = "substring") -> Column:
+    """Keyword presence in lower-cased text.  ``match='substring'`` (the
+    reference's behaviour: 'mit' hits 'mitchell') or ``'word'`` (whole words
+    only, keyword edges must not touch word characters)."""
+    if match == "substring":
+        return any_substring(tl, keywords)
+    if match == "word":
+        alt = "|".join(re.escape(k) for k in keywords)
+        return tl.rlike(rf"(^|[^{WORD}])({alt})([^{WORD}]|$)")
+    raise ValueError(f"match must be 'substring' or 'word', not {match!r}")
+
+
 def any_substring(tl: Column, keywords: list[str]) -> Column:
     """Does any keyword occur in ``tl``?  One short-circuiting ``exists`` over
     a literal keyword array (the text enters once, through ``array_repeat``):
@@ -141,9 +155,10 @@ def any_substring(tl: Column, keywords: list[str]) -> Column:
     return F.exists(z, lambda e: e["s"].contains(e["k"]))
 
 
-def institution_tier(c: Column, keywords: list[str] = fixed.PARSER_TIER1, tl: Column | None = None) -> Column:
+def institution_tier(c: Column, keywords: list[str] = fixed.PARSER_TIER1, tl: Column | None = None,
+                     match: str = "substring") -> Column:
     tl = lowered(c, tl)
-    return F.when(any_substring(tl, keywords), F.lit(fixed.TIER1_LABEL)).otherwise(F.lit(fixed.TIER23_LABEL))
+    return F.when(keyword_test(tl, keywords, match), F.lit(fixed.TIER1_LABEL)).otherwise(F.lit(fixed.TIER23_LABEL))
 
 
 # --- T6 --------------------------------------------------------------------
@@ -179,11 +194,11 @@ def hash_bucket(c: Column, n: int, prefix_chars: int = fixed.ORIGIN_PREFIX_CHARS
     return F.pmod(h.cast("bigint"), F.lit(n))
 
 
-def name_origin(name: Column) -> Column:
+def name_origin(name: Column, match: str = "substring") -> Column:
     """Parser rule, on the extracted name: South Asian, Western, else Other."""
     nl = F.lower(text_or_empty(name))
-    return (F.when(any_substring(nl, fixed.PARSER_SOUTH_ASIAN), F.lit(fixed.SOUTH_ASIAN))
-            .when(any_substring(nl, fixed.PARSER_WESTERN), F.lit(fixed.WESTERN))
+    return (F.when(keyword_test(nl, fixed.PARSER_SOUTH_ASIAN, match), F.lit(fixed.SOUTH_ASIAN))
+            .when(keyword_test(nl, fixed.PARSER_WESTERN, match), F.lit(fixed.WESTERN))
             .otherwise(F.lit(fixed.OTHER)))
 
 

@@ -74,3 +74,13 @@ def test_name_after_a_very_long_blank_line(spark):
     text = " " * 200_000 + "\r\n\t \n  Jane Doe  \nrest"
     r = spark.createDataFrame([(text,)], "t string").select(tx.extract_name(F.col("t")).alias("n")).first()
     assert r["n"] == "Jane Doe"
+
+
+def test_word_matching_option(spark):
+    df = spark.createDataFrame([("James Mitchell\nB.Sc. Tech University",)], "t string")
+    r = df.select(tx.institution_tier(F.col("t")).alias("sub"),
+                  tx.institution_tier(F.col("t"), match="word").alias("word"),
+                  tx.name_origin(F.lit("Aliyah Smith"), match="word").alias("o_word"),
+                  tx.name_origin(F.lit("Aliyah Smith")).alias("o_sub")).first()
+    assert r["sub"] == "Tier 1" and r["word"] == "Tier 2/3"   # 'mit' inside 'mitchell' only as a substring
+    assert r["o_sub"] == "South Asian proxy" and r["o_word"] == "Western proxy"
