@@ -79,6 +79,8 @@ SELECT ID, Category FROM raw WHERE CASE WHEN EXISTS (SELECT 1 FROM raw WHERE low
   THEN lower(Category) = 'rc1' ELSE Category = (SELECT Category FROM chosen) END""",
         "filter_min_length": raw + f"\nSELECT ID, length(c) AS length FROM (SELECT ID, {o.s_clean('Resume_str')} AS c "
                                    f"FROM raw) WHERE length(c) > {fixed.MIN_CLEAN_LENGTH}",
+        "dropped_short": raw + f"\nSELECT count(*) FILTER (WHERE length(c) <= {fixed.MIN_CLEAN_LENGTH}) AS dropped "
+                               f"FROM (SELECT {o.s_clean('Resume_str')} AS c FROM raw)",
         "seeded_sample": raw + f"\nSELECT ID, {o.s_key('ID')} AS sample_key FROM raw ORDER BY sample_key, ID LIMIT {SAMPLE_N}",
         "rebalance_topup": full + "\nSELECT ID, career_gap FROM r1",
         "rebalance_split": full + "\nSELECT ID, gender_proxy FROM r2",

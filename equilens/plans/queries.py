@@ -373,6 +373,12 @@ def filter_min_length(spark, sf_dir):
     return pr.filter_min_length(d).select("ID", F.length("Full_Text").cast("long").alias("length"))
 
 
+def dropped_short(spark, sf_dir):
+    """F3's report: how many cleaned texts are too short to keep."""
+    d = _raw(spark, sf_dir).select(tx.clean_text(F.col("Resume_str")).alias("Full_Text"))
+    return pr.dropped_count(d)
+
+
 def seeded_sample(spark, sf_dir):
     return pr.seeded_sample(_raw(spark, sf_dir).select("ID"), SAMPLE_N, "ID")
 
@@ -414,6 +420,7 @@ QUERIES.update({
     "filter_category": filter_category,
     "filter_category_partial": filter_category_partial,
     "filter_min_length": filter_min_length,
+    "dropped_short": dropped_short,
     "seeded_sample": seeded_sample,
     "rebalance_topup": rebalance_topup,
     "rebalance_split": rebalance_split,
