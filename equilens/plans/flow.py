@@ -37,12 +37,16 @@ def rank_documents(docs: DataFrame, query: DataFrame, id_col: str = "doc_id", te
     fit the logistic model on the TF-IDF vectors, predict, and rank."""
     vocab, qw = vz.fit_corpus(docs, query, id_col, text_col, max_features)
     cols = [id_col] + [c for c in (keep or []) if c != id_col]
-    w = vz.weighted_docs(docs, vocab, text_col, cols)
-    scored = rk.cosine_score(w, qw)
+    t = vocab.add_terms(docs.select(*dict.fromkeys(cols + [text_col])), text_col, "_terms")
+    if text_col not in cols:
+        t = t.drop(text_col)
+    counts = vocab.counts(t, "_terms", "tf_vec").drop("_terms")
     if cut_lineage:
         # Reused by the model fit, the predictions, the audit and both
         # explainers: cut lineage once instead of re-tokenizing per consumer.
-        scored = materialize(scored)
+        # The sparse counts are stored; dense weights are re-derived in the row.
+        counts = materialize(counts)
+    scored = rk.cosine_score(vocab.weights_from_counts(counts, "tf_vec", "w"), qw)
     return model_and_rank(scored, vocab, qw, id_col)
 
 

@@ -282,9 +282,11 @@ def _explained(spark, sf_dir):
     key = (cx.os.path.abspath(sf_dir), id(spark))   # holds DataFrames: one per session
     ex, lead_id, lead_attr = linear_explainer(spark, sf_dir)
     if key not in _EXPLAINED:
-        ws = _weighted_scored(spark, sf_dir, keep=["name"])
-        d = at.explain(ws, ex).select("doc_id", "name", "score", "w", "ordered", "top_features",
-                                                   "bias_note")
+        # Stores the sparse counts, not the dense weights (re-derived in the row).
+        f = cx.fitted(spark, sf_dir)
+        s = cx.scored_table(spark, sf_dir).select("doc_id", "name", "tf_vec", "score")
+        ws = f.vocab.weights_from_counts(s, "tf_vec", "w")
+        d = at.explain(ws, ex).select("doc_id", "name", "score", "tf_vec", "ordered", "top_features", "bias_note")
         _EXPLAINED[key] = materialize(d)
     return _EXPLAINED[key], ex, lead_id, lead_attr
 
@@ -306,7 +308,8 @@ def attribution_bias_note(spark, sf_dir):
 
 def _contrasted(spark, sf_dir):
     d, ex, lead_id, lead_attr = _explained(spark, sf_dir)
-    return at.contrast(d, ex, lead_attr), lead_id
+    w = cx.fitted(spark, sf_dir).vocab.weights_from_counts(d, "tf_vec", "w")
+    return at.contrast(w, ex, lead_attr), lead_id
 
 
 def contrast_topn(spark, sf_dir):
