@@ -5,20 +5,46 @@ to the whole table and derives the digest columns that the query returns."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing, prefix_bpe, secret_scan
 from . import simhash_dedup as simhash
 from .common import read
 
 
+BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return prefix_bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     out = simhash.simhash_dedup(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and copies and source."""
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    found = secret_scan.scan(read(spark, sf_dir, "documents"))
+    kind_is = lambda k: lambda s: s["kind"] == k
+    counts = [F.size(F.filter("base", kind_is(k))).cast("long").alias(f"n_{k}") for k in secret_scan.BASE]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
+    "op4_prefix_bpe": op4_prefix_bpe,
     "op7_simhash_dedup": op7_simhash_dedup,
+    "op8_mixing": op8_mixing,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
