@@ -52,21 +52,25 @@ def fold(id_col: str | Column, mod: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % mod if isinstance(id_col, str) else F.crc32(id_col.cast("string")) % mod
 
 
-def map_texts(df: DataFrame, fn, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, fn, schema: str, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
     """``fn(ids, texts) -> dict of columns`` over every row, in chunks of at
-    most :data:`CHUNK_BYTES` of text.  Only the two named columns are read, so
-    other columns of any name do not matter.  ``schema`` lists the output after
-    the id column; a row in gives a row out."""
-    kind = df.schema[id_col].dataType.simpleString()
+    most :data:`CHUNK_BYTES` of text; a row in gives a row out.  The output has
+    the id column, the columns of ``carry`` (name to expression, passed through)
+    and those of ``schema``.  Nothing else is read, so other columns of any name
+    do not matter."""
+    carry = carry or {}
+    rows = df.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).alias("_id"), *[c.alias(f"_c{k}") for k, c in enumerate(carry.values())])
+    kept = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in rows.schema.fields[1:])
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in chunks(batches):
+        for texts, ids, *others in chunks(batches):
             out = fn(ids, texts)
-            yield pa.RecordBatch.from_arrays([ids, *(x if isinstance(x := out[n], pa.Array) else pa.array(x) for n in names)], ["_id", *names])
+            yield pa.RecordBatch.from_arrays([ids, *others, *(x if isinstance(x := out[n], pa.Array) else pa.array(x) for n in names)],
+                                             ["_id", *(f"_c{k}" for k in range(len(others))), *names])
 
-    out = rows_bounded(df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))).mapInArrow(run, f"_id {kind}, {schema}")
-    return out.withColumnRenamed("_id", id_col)
+    out = rows_bounded(rows).mapInArrow(run, f"{kept}, {schema}")
+    return out.toDF(id_col, *carry, *names)
 
 
 def rows_bounded(df: DataFrame) -> DataFrame:
@@ -79,33 +83,31 @@ def rows_bounded(df: DataFrame) -> DataFrame:
     return df
 
 
-def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(ids, texts) of about ``max_bytes`` each: small batches are put together,
-    large ones cut between rows."""
+def chunks(batches: Iterator[pa.RecordBatch], max_bytes: int = CHUNK_BYTES) -> Iterator[list[pa.Array]]:
+    """The columns, the text first, in pieces of about ``max_bytes`` of text:
+    small batches are put together, large ones cut between rows."""
     held, size = [], 0
     for b in batches:
         if not b.num_rows:
             continue
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < b.num_rows:
             done = ends[at - 1] if at else 0
-            n = max(1 if not held else 0, int(np.searchsorted(ends, done + max_bytes - size, "right")) - at)
+            n = max(0 if held else 1, int(np.searchsorted(ends, done + max_bytes - size, "right")) - at)
             if n:
                 held.append(b.slice(at, n))
                 size += int(ends[at + n - 1] - done)
                 at += n
             if at < b.num_rows:
-                yield whole(held)
+                yield _whole(held)
                 held, size = [], 0
     if held:
-        yield whole(held)
+        yield _whole(held)
 
 
-def whole(parts: list[pa.RecordBatch]) -> tuple[pa.Array, pa.Array]:
-    if len(parts) == 1:
-        return parts[0].column(0), parts[0].column(1)
-    return tuple(pa.concat_arrays([p.column(i) for p in parts]) for i in (0, 1))
+def _whole(parts: list[pa.RecordBatch]) -> list[pa.Array]:
+    return [pa.concat_arrays([p.column(i) for p in parts]) for i in range(parts[0].num_columns)]
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

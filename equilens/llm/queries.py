@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, prefix_bpe, secret_scan
+from . import mixing, prefix_bpe, quality_rules, secret_scan
 from . import simhash_dedup as simhash
 from .common import read
 
@@ -17,6 +17,13 @@ from .common import read
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, kept, and the rules that reject."""
+    judged = quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", F.array_join("broken", ",").alias("broken"))
+
+
 def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return prefix_bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
@@ -42,6 +49,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_prefix_bpe": op4_prefix_bpe,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_mixing": op8_mixing,
