@@ -6,14 +6,16 @@ to the whole table and derives the digest columns that the query returns."""
 from __future__ import annotations
 
 import public_tokenizers
+import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, prefix_bpe, quality_rules, secret_scan
+from . import langid, mixing, prefix_bpe, quality_gam, quality_rules, secret_scan
 from . import simhash_dedup as simhash
-from .common import read
+from .common import fold, read
 
 
+PIECES = "piece_bpe_32k.model"
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -24,6 +26,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept", F.array_join("broken", ",").alias("broken"))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score."""
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    names = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(PIECES))
+    model = langid.fit(docs.where(~held_out), [names.id_to_piece(k) for k in range(names.get_piece_size())])
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return prefix_bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
@@ -40,6 +51,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    scored = quality_gam.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     found = secret_scan.scan(read(spark, sf_dir, "documents"))
@@ -50,9 +68,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_langid": op3_langid,
     "op4_prefix_bpe": op4_prefix_bpe,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_mixing": op8_mixing,
+    "op9_quality_gam": op9_quality_gam,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
