@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -71,3 +73,21 @@ def materialize(df: DataFrame) -> DataFrame:
             spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package (once per context), so
+    that jobs with Python functions run wherever the driver was started from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_equilens_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="equilens-ship-"), "equilens.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._equilens_shipped = True
