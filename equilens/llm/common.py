@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 # One word of a text: a maximal run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 # Bytes of text that a Python task works on at a time (one longer text is
@@ -37,6 +39,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in :func:`shared_folder`: what follows reads files
     that outlive any executor."""
     shared_folder(df.sparkSession)
+    ship_package(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -76,6 +79,7 @@ def map_texts(df: DataFrame, fn, schema: str, id_col: str = "doc_id", text_col:
 def rows_bounded(df: DataFrame) -> DataFrame:
     """Arrow batches of at most 1,000 rows, so that a batch of very long texts
     stays small; a smaller setting of the session is left alone."""
+    ship_package(df.sparkSession)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(key, "10000")) <= 1000:

@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, prefix_bpe, quality_gam, quality_rules, secret_scan
+from . import langid, mixing, prefix_bpe, quality_gam, quality_rules, secret_scan, toxicity
 from . import simhash_dedup as simhash
 from .common import fold, read
 
@@ -19,6 +19,13 @@ PIECES = "piece_bpe_32k.model"
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, and the number of stretches restored."""
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    scored = toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "restored")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, and the rules that reject."""
@@ -67,6 +74,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op3_langid": op3_langid,
     "op4_prefix_bpe": op4_prefix_bpe,
