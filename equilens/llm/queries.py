@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, prefix_bpe, quality_gam, quality_rules, secret_scan, toxicity
+from . import html_extract, langid, mixing, prefix_bpe, quality_gam, quality_rules, secret_scan, toxicity
 from . import simhash_dedup as simhash
 from .common import fold, read
 
@@ -47,6 +47,11 @@ def op4_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    return html_extract.extract_pages(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     out = simhash.simhash_dedup(read(spark, sf_dir, "documents"))
@@ -78,6 +83,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_langid": op3_langid,
     "op4_prefix_bpe": op4_prefix_bpe,
+    "op5_html_extract": op5_html_extract,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_mixing": op8_mixing,
     "op9_quality_gam": op9_quality_gam,
