@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, mixing, prefix_bpe, quality_gam, quality_rules, secret_scan, toxicity
+from . import embedding_dedup, html_extract, langid, mixing, prefix_bpe, quality_gam, quality_rules, secret_scan, toxicity
 from . import simhash_dedup as simhash
 from .common import fold, read
 
@@ -52,6 +52,11 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept."""
+    return embedding_dedup.embedding_dedup(read(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     out = simhash.simhash_dedup(read(spark, sf_dir, "documents"))
@@ -84,6 +89,7 @@ QUERIES = {
     "op3_langid": op3_langid,
     "op4_prefix_bpe": op4_prefix_bpe,
     "op5_html_extract": op5_html_extract,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_simhash_dedup": op7_simhash_dedup,
     "op8_mixing": op8_mixing,
     "op9_quality_gam": op9_quality_gam,
