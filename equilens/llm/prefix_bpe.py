@@ -23,6 +23,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -88,6 +89,17 @@ class Encoder:
         self.ranks, self.ends, self.longest = v.ranks, v.ends, v.longest
         self.pieces = regex.compile(v.pattern)
         self.apart: dict[int, bool] = {}
+        self.asked, self.answers = np.zeros(0, np.int64), np.zeros(0, bool)  # the same for whole columns
+        # The ends of tokens as a trie read backwards: sorted edges, where each leads, the token of a node.
+        node = {b"": 0} | {e: k + 1 for k, e in enumerate(sorted(v.ends, key=len))}
+        edges = sorted((node[e[1:]] << 8 | e[0], node[e]) for e in v.ends)
+        self.edges, self.target = (np.array(x, np.int64) for x in zip(*edges))
+        self.token = np.full(len(node), -1, np.int64)
+        for e, t in v.ends.items():
+            self.token[node[e]] = t
+        self.size = np.zeros(max(v.text) + 1, np.int64)
+        for t, b in v.text.items():
+            self.size[t] = len(b)
         self.left: dict[int, list[int]] = {}
         self.right: dict[int, list[int]] = {}
         self.known: dict[str, list[int]] = {}
@@ -134,18 +146,87 @@ class Encoder:
         rank = self.ranks.get(data)
         return [rank] if rank is not None else Prefixes(self, data).ids()
 
+    def apart_many(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.asked, key), max(0, len(self.asked) - 1))
+        new = np.unique(key[self.asked[at] != key] if len(self.asked) else key)
+        if len(new):
+            found = np.array([self._stays_apart(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()], bool)
+            if len(self.asked) > 8 * CACHED:
+                self.asked, self.answers = np.zeros(0, np.int64), np.zeros(0, bool)
+                return self.apart_many(a, b)
+            put = np.searchsorted(self.asked, new)
+            self.asked, self.answers = np.insert(self.asked, put, new), np.insert(self.answers, put, found)
+            at = np.searchsorted(self.asked, key)
+        return self.answers[at]
+
+    def pieces_many(self, pieces: list[bytes]) -> list[list[int]]:
+        """:meth:`piece` for many pieces at once: the last tokens of all first
+        bytes are found together, then those of all second bytes, and so on."""
+        if not pieces:
+            return []
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        end = np.cumsum(length)
+        depth = np.arange(len(data)) - np.repeat(end - length, length)  # place of a byte in its piece
+        # Tokens that end at each byte, longest first.
+        at, node, fits = np.arange(len(data)), np.zeros(len(data), np.int64), []
+        for n in range(1, self.longest + 1):
+            inside = depth[at] >= n - 1
+            at, node = at[inside], node[inside]
+            key = node << 8 | data[at - (n - 1)]
+            edge = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            known = self.edges[edge] == key
+            at, node = at[known], self.target[edge[known]]
+            if not len(at):
+                break
+            t = self.token[node]
+            fits.append((at[t >= 0], t[t >= 0]))
+        byte = np.concatenate([f[0] for f in reversed(fits)])
+        fit = np.concatenate([f[1] for f in reversed(fits)])[np.argsort(byte, kind="stable")]
+        first = np.concatenate([[0], np.cumsum(np.bincount(byte, minlength=len(data)))])
+        last = np.zeros(len(data), np.int64)
+        order = np.argsort(depth, kind="stable")
+        edges = np.searchsorted(depth[order], np.arange(depth.max() + 2))
+        for d in range(len(edges) - 1):
+            todo, k = order[edges[d]:edges[d + 1]], 0
+            while len(todo):
+                t = fit[first[todo] + k]
+                before = todo - self.size[t]
+                ok = self.size[t] == d + 1
+                ask = np.flatnonzero(~ok)
+                ok[ask] = self.apart_many(last[before[ask]], t[ask])
+                last[todo[ok]] = t[ok]
+                todo, k = todo[~ok], k + 1
+        out: list[list[int]] = [[] for _ in pieces]
+        row, at = np.arange(len(pieces)), end - 1
+        while len(row):
+            t = last[at]
+            for r, x in zip(row.tolist(), t.tolist()):
+                out[r].append(x)
+            at = at - self.size[t]
+            more = at >= (end - length)[row]
+            row, at = row[more], at[more]
+        return [ids[::-1] if self.ranks.get(p) is None else [self.ranks[p]] for p, ids in zip(pieces, out)]
+
+    def learn(self, texts) -> None:
+        """Encodes the pieces of the texts that are not known yet, together."""
+        new = set()
+        for s in texts:
+            new.update(self.pieces.findall(s))
+        new = [p for p in new if p not in self.known and len(p) <= 64]
+        if len(self.known) + len(new) > CACHED:
+            self.known.clear()
+        for k in range(0, len(new), 50_000):
+            some = new[k:k + 50_000]
+            self.known.update(zip(some, self.pieces_many([p.encode() for p in some])))
+
     def text(self, s: str) -> list[int]:
         """Ids of a whole text."""
         out: list[int] = []
         for p in self.pieces.findall(s):
             ids = self.known.get(p)
-            if ids is None:
-                ids = self.piece(p.encode())
-                if len(p) <= 64:
-                    if len(self.known) > CACHED:
-                        self.known.clear()
-                    self.known[p] = ids
-            out += ids
+            out += self.piece(p.encode()) if ids is None else ids
         return out
 
     def decode(self, ids) -> bytes:
@@ -227,16 +308,26 @@ class Digests(dict):
         ids = self.encoder.text(s)
         out = ",".join(map(str, ids)).encode(), len(ids), self.encoder.decode(ids)
         if len(s) <= 64:
-            if len(self) > CACHED:
-                self.clear()
             self[s] = out
         return out
 
-    def of(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, SHA-256 of the joined ids, SHA-256 of the decoded bytes)."""
-        parts = [self[s] for s in strings(text)] if text else []
-        return (sum([p[1] for p in parts]), hashlib.sha256(b",".join([p[0] for p in parts if p[1]])).hexdigest(),
-                hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
+    def of_all(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """For each text (number of ids, SHA-256 of the joined ids, SHA-256 of the decoded bytes)."""
+        cuts = [strings(t) if t else [] for t in texts]
+        new = set()
+        for c in cuts:
+            new.update(c)
+        new -= self.keys()
+        if len(self) + len(new) > CACHED:
+            self.clear()
+            new = set().union(*cuts)
+        self.encoder.learn(new)
+        out = []
+        for c in cuts:
+            parts = [self[s] for s in c]
+            out.append((sum([p[1] for p in parts]), hashlib.sha256(b",".join([p[0] for p in parts if p[1]])).hexdigest(),
+                        hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest()))
+        return out
 
 
 # Per worker process: tasks that follow each other share the caches.
@@ -255,8 +346,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     shared = docs.sparkSession.sparkContext.broadcast(load(path, pattern))
 
     def run(_, texts: pa.Array) -> dict:
-        encoder = _digests((path, pattern), shared).encoder
-        ids = [encoder.text(t or "") for t in texts.to_pylist()]
+        encoder, texts = _digests((path, pattern), shared).encoder, [t or "" for t in texts.to_pylist()]
+        encoder.learn(texts)
+        ids = [encoder.text(t) for t in texts]
         return {"n_tokens": pa.array(map(len, ids), pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))}
 
     return map_texts(docs, run, "n_tokens long, ids array<int>", id_col, text_col)
@@ -284,8 +376,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(load(path, pattern))
 
     def run(_, texts: pa.Array) -> dict:
-        of = _digests((path, pattern), shared).of
-        n, ids, data = zip(*(of(t or "") for t in texts.to_pylist()))
+        n, ids, data = zip(*_digests((path, pattern), shared).of_all([t or "" for t in texts.to_pylist()]))
         return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(data)}
 
     return map_texts(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
