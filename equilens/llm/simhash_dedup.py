@@ -18,9 +18,10 @@
    takes the component of its class.
 
 Null or wordless texts have fingerprint zero and link like any other.  A row
-with a null doc_id gets its fingerprint, but takes no part in naming:
-its component is that of its class, null where no document of the component
-has an id.  Rows that repeat a doc_id are documents of that id each.
+with a null doc_id gets its fingerprint, but takes no part in naming: its component
+is that of its class, null where no document of the component
+has an id.  Rows that repeat a doc_id are the same document: each gets a result,
+:func:`keep_one` keeps one of them.
 """
 
 from __future__ import annotations
