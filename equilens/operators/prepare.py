@@ -21,8 +21,6 @@ from ..functions import text as tx
 from ..session import materialize
 from .rank import global_rank
 
-TAKE_ORDERED_MAX = 100_000   # above this a sample is cut by a distributed rank
-
 
 def seeded_key(key: Column, seed: int = fixed.SEED, tag: str | None = None) -> Column:
     parts = [F.lit(str(seed))] + ([F.lit(tag)] if tag else []) + [key.cast("string")]
@@ -72,14 +70,13 @@ def dropped_count(df: DataFrame, col: str = "Full_Text", min_length: int = fixed
 def seeded_sample(df: DataFrame, n: int | None, key: str, seed: int = fixed.SEED,
                   out: str = "sample_key") -> DataFrame:
     """Exactly ``n`` rows (all of them when there are fewer), chosen by the
-    keyed hash.  Small ``n`` is a TakeOrderedAndProject; large ``n`` a
-    distributed rank, so no single task holds the sample."""
+    keyed hash: the narrow (hash, key) records are ranked, and the first
+    ``n`` keys pick their rows.  ``key`` must be unique."""
     d = df.withColumn(out, seeded_key(F.col(key), seed))
     if not n:
         return d
-    if n <= TAKE_ORDERED_MAX:
-        return d.orderBy(out, key).limit(n)
-    return global_rank(d, [F.asc(out), F.asc(key)], "_r").where(F.col("_r") <= n).drop("_r")
+    first = global_rank(d.select(out, key), [out, key], "_r").where(F.col("_r") <= n).select(key)
+    return d.join(first, key, "left_semi")
 
 
 # -- R1-R3 ---------------------------------------------------------------------------------
@@ -110,7 +107,7 @@ def relabel_bands(df: DataFrame, key: str, specs, seed: int = fixed.SEED) -> Dat
                 wanted[offset.get(tag, 0) + int(upto)] = (tag, int(upto))
     bounds = {}
     if wanted:
-        ranked = global_rank(narrow, [F.asc("tag"), F.asc("h"), F.asc("k")], "_r")
+        ranked = global_rank(narrow, ["tag", "h", "k"], "_r")
         for r in ranked.where(F.col("_r").isin(list(wanted))).collect():
             bounds[wanted[r["_r"]]] = (r["h"], r["k"])
     out = df
@@ -118,8 +115,10 @@ def relabel_bands(df: DataFrame, key: str, specs, seed: int = fixed.SEED) -> Dat
         me = F.struct(seeded_key(F.col(key), seed, tag).alias("h"), F.col(key).alias("k"))
         expr = None
         for upto, label in bands:
-            if (tag, int(upto)) not in bounds:
+            if int(upto) <= 0:
                 continue
+            if (tag, int(upto)) not in bounds:
+                raise ValueError(f"band {label!r} of {col} ends at row {upto}, but fewer rows are candidates")
             h, k = bounds[(tag, int(upto))]
             cond = cand & (me <= F.struct(F.lit(h).alias("h"), F.lit(k).alias("k")))
             expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
@@ -208,14 +207,14 @@ def prepare(raw: DataFrame, category: str = "all", limit: int | None = None, id_
                  tx.institution_tier(t, fixed.PREP_TIER1, tl).alias("institution_tier"),
                  tx.career_gap(t, fixed.PREP_GAP_PATTERNS, tl).alias("career_gap"),
                  tx.gender_proxy_words(t, tl).alias("gender_proxy"),
-                 tx.name_origin_text(t, tl).alias("name_origin_proxy"))
+                 tx.name_origin_text(t, tl).alias("name_origin_proxy"),
+                 tx.skills_string(tx.extract_skills(t, fixed.PREP_SKILLS, tl)).alias("Skills"))
     d = filter_min_length(materialize(d), "Full_Text")
-    d = tx.with_lowered(rebalance_all(d, id_col, seed), "Full_Text")
-    d = global_rank(d, [F.asc("_order"), F.asc(id_col)], "_pos")
+    # Positions come from the narrow (order, id) records.
+    d = global_rank(rebalance_all(d, id_col, seed), ["_order", id_col], "_pos")
     p = F.col("_pos")
     return d.select(F.col(id_col), tx.synthetic_filename(p).alias("Filename"), tx.synthetic_name(p).alias("Name"),
-                    tx.synthetic_email(p).alias("Email"), "Category",
-                    tx.skills_string(tx.extract_skills(t, fixed.PREP_SKILLS, tl)).alias("Skills"),
+                    tx.synthetic_email(p).alias("Email"), "Category", "Skills",
                     F.lit("").alias("Education"), "Full_Text", "gender_proxy", "institution_tier", "career_gap",
                     "name_origin_proxy")
 

@@ -1,28 +1,27 @@
 """Scoring, median labels, ranking and the logistic model (K1-K6).
 
 Global ranks never use an unpartitioned window (that moves every row into
-one task).  :func:`global_rank` range-partitions on the full sort key (ties
+one task).  :func:`global_rank` range-partitions the sort columns alone (ties
 broken by a unique id, so sampling-based bounds split even a score shared by
-a third of all rows), numbers rows inside each partition, and adds the
-per-partition offsets from a table whose size is the number of partitions.
+a third of all rows), numbers rows inside each range, stores both, and adds the
+ranges' offsets.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-import math
-
 from ..functions import fixed
+from ..session import materialize
 from .vectorize import dot
 
-# Rows of dense vocabulary-sized vectors per training partition (~200 MB at
-# 500 doubles a row): sizes the model input to the data, so a small corpus
-# does not pay one task per core on each of the optimizer's iterations.
-LR_ROWS_PER_PARTITION = 50_000
+# Rows of a range of the distributed rank, on average.
+RANGE_ROWS = 250_000
 
 
 def cosine_score(weighted: DataFrame, query_weights, w_col: str = "w", out: str = "score",
@@ -49,28 +48,37 @@ def top_k(scored: DataFrame, k: int, score_col: str = "score", id_col: str = "do
     return top.withColumn(rank_col, F.row_number().over(w).cast("long"))
 
 
-def global_rank(df: DataFrame, order_by: list[Column], out: str = "rank",
-                num_partitions: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, order_by: list[str], out: str = "rank", rows_per_range: int = RANGE_ROWS) -> DataFrame:
     """1-based row number of every row in ``order_by`` order, distributed.
 
-    ``order_by`` must be a total order (end it with a unique key)."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by)
-    tagged = (ranged.withColumn("_pid", F.spark_partition_id())
-              .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    prefix = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(prefix), F.lit(0)).alias("_off"))
-    # ``offsets`` has one row per partition: a proven broadcast bound.
-    return (tagged.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, (F.col("_off") + F.col("_local") + 1).cast("long"))
-            .drop("_pid", "_local", "_off"))
+    ``order_by`` names the sort columns, ``-name`` for descending; together
+    they must be a total order, the last one being a unique key.  Only these
+    columns are range-partitioned, once: each row's range and its place in
+    it are written to a checkpoint, so the counts per range and the rows they
+    are added to come from one sampling, whatever Spark prunes or retries.
+    The ranks then join the other columns on the unique key."""
+    names = [c.lstrip("-") for c in order_by]
+    order = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order_by]
+    narrow = materialize(df.select(*names))
+    ranges = max(1, math.ceil(narrow.count() / rows_per_range))
+    placed = (narrow.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+              .withColumn("_range", F.spark_partition_id())
+              .withColumn("_place", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    placed = materialize(placed)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+               .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    # ``offsets`` has one row per range, i.e. per ``rows_per_range`` rows.
+    ranked = (placed.join(F.broadcast(offsets), "_range")
+              .select(*names, (F.col("_offset") + F.col("_place") + 1).cast("long").alias(out)))
+    if set(df.columns) <= set(names):
+        return ranked
+    return df.join(ranked.select(names[-1], out), names[-1])
 
 
 def rank_by_score(scored: DataFrame, score_col: str = "score", id_col: str = "doc_id",
                   out: str = "rank") -> DataFrame:
-    return global_rank(scored, [F.desc(score_col), F.asc(id_col)], out)
+    return global_rank(scored, ["-" + score_col, id_col], out)
 
 
 # -- logistic model (K2-K4) ---------------------------------------------------
@@ -90,9 +98,6 @@ def fit_logistic(train: DataFrame, w_col: str = "w", label_col: str = "label", C
     if stats["lo"] == stats["hi"]:
         raise ValueError(f"all {n} documents have label {stats['lo']}: a classifier needs two classes")
     data = train.select(array_to_vector(F.col(w_col)).alias("features"), F.col(label_col).cast("double").alias("label"))
-    parts = max(1, math.ceil(n / LR_ROWS_PER_PARTITION))
-    if parts < data.rdd.getNumPartitions():
-        data = data.coalesce(parts)
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / (C * n), elasticNetParam=0.0,
                             standardization=False, fitIntercept=True, maxIter=max_iter, tol=tol, family="binomial")
     return lr.fit(data)

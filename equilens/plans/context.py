@@ -24,14 +24,17 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 _FITS: dict = {}
 
 
-# Text tables get enough tasks for tokenizing (see ``sources.readers.spread``).
+# A caller whose text tables are single small files sets the number of
+# partitions to deal them into (see ``sources.readers.spread``); unset, scans
+# stay as they are.
+PARTITIONS_KEY = "equilens.text.partitions"
 SPREAD_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     if name in SPREAD_KEYS:
-        df = spread(df, SPREAD_KEYS[name])
+        df = spread(df, int(spark.conf.get(PARTITIONS_KEY, "0")), SPREAD_KEYS[name])
     return df
 
 
@@ -40,10 +43,6 @@ class Fitted:
     vocab: vz.Vocabulary
     query_weights: tuple
 
-    @property
-    def query_vector(self):
-        return self.query_weights
-
 
 def fitted(spark: SparkSession, sf_dir: str, max_features: int = fixed.MAX_FEATURES) -> Fitted:
     key = (os.path.abspath(sf_dir), max_features)

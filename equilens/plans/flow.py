@@ -57,7 +57,7 @@ def model_and_rank(scored: DataFrame, vocab: vz.Vocabulary, query_weights, id_co
     model = rk.fit_logistic(labeled, "w", "label")
     coef, b = rk.model_coefficients(model)
     pred = rk.predict(labeled, coef, b)
-    ranked = rk.global_rank(pred, [F.desc("score"), F.asc(id_col)], "rank")
+    ranked = rk.global_rank(pred, ["-score", id_col], "rank")
     return RankResult(ranked, vocab, tuple(query_weights), model, coef, b)
 
 
@@ -83,7 +83,7 @@ def explain_ranked(result: RankResult, ex: at.LinearExplainer, name_col: str = "
                    id_col: str = "doc_id") -> DataFrame:
     """Per document: ordered terms, top-features table, bias note, contrast
     terms and sentence, rank, score, recommendation text."""
-    lead = result.ranked.where(F.col("rank") == 1).select("w").first()
+    lead = result.ranked.orderBy(F.desc("score"), F.asc(id_col)).select("w").first()
     lead_attr = ex.attributions(lead["w"]) if lead is not None else [0.0] * len(ex.terms)
     d = at.contrast(at.explain(result.ranked, ex), ex, lead_attr)
     return d.select(id_col, "rank", "score", tx.recommended_text(F.col("recommended")).alias("recommended_text"),

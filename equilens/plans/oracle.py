@@ -35,10 +35,10 @@ def terms_sql(text: str) -> str:
             f"FROM (SELECT {u} AS u))")
 
 
-def tfidf_ctes(max_features: int = fixed.MAX_FEATURES) -> str:
+def tfidf_ctes(max_features: int = fixed.MAX_FEATURES, source: str = "documents") -> str:
     """CTEs: docs, qdoc, corpus, terms, tf, stats, vocab, nn, idf, w, qv, score."""
     return f"""
-docs AS (SELECT doc_id, text FROM documents),
+docs AS (SELECT doc_id, text FROM {source}),
 qdoc AS (SELECT CAST(-1 AS BIGINT) AS doc_id, string_agg(text, ' ' ORDER BY item_id) AS text FROM benchmark),
 corpus AS (SELECT doc_id, text FROM docs UNION ALL SELECT doc_id, text FROM qdoc),
 terms AS (SELECT doc_id, {terms_sql('text')} AS t FROM corpus),
@@ -181,18 +181,21 @@ xn AS (SELECT {k}, sqrt(sum(w * w)) AS norm FROM xw0 GROUP BY ALL),
 xw AS (SELECT xw0.*, xw0.w / xn.norm AS wn FROM xw0 JOIN xn USING ({k}))"""
 
 
-def audit_ctes(attrs: list[str]) -> str:
+def audit_ctes(attrs: list[str], source: str | None = None) -> str:
+    """``source``: a table that has the attributes as columns (else they are parsed from documents)."""
     exprs = {
         "gender_proxy": s_gender("text"), "institution_tier": s_tier("text"), "career_gap": s_gap("text"),
         "name_origin_proxy": s_origin(s_name("text")),
     }
     sel = ", ".join(f"{exprs[a]} AS {a}" if a in exprs else ("labels.toxic" if a == "toxic" else a) for a in attrs)
+    rows = (f"SELECT doc_id, {', '.join(attrs)} FROM {source}" if source else
+            f"SELECT documents.doc_id, {sel} FROM documents LEFT JOIN labels ON labels.doc_id = documents.doc_id")
     unions = " UNION ALL ".join(
         f"SELECT {i} AS attr_pos, {q(a)} AS attr, coalesce(CAST({a} AS VARCHAR), 'None') AS grp, doc_id, s, label "
-        f"FROM base" for i, a in enumerate(attrs))
+        f"FROM audited" for i, a in enumerate(attrs))
     return labeled_cte() + f""",
-attrs AS (SELECT documents.doc_id, {sel} FROM documents LEFT JOIN labels ON labels.doc_id = documents.doc_id),
-base AS (SELECT a.*, lab.label, CAST(round(lab.score * {10 ** fixed.SCORE_DECIMALS}) AS BIGINT) AS s
+attrs AS ({rows}),
+audited AS (SELECT a.*, lab.label, CAST(round(lab.score * {10 ** fixed.SCORE_DECIMALS}) AS BIGINT) AS s
          FROM attrs a JOIN lab ON a.doc_id = lab.doc_id),
 long AS ({unions}),
 firsts AS (SELECT attr_pos, grp, s AS fs, doc_id AS first_id FROM (
@@ -234,10 +237,11 @@ def sql_fill(template: str, **exprs: str) -> str:
     return "(" + " || ".join(parts) + ")"
 
 
-def attribution_ctes() -> str:
+def attribution_ctes(names: str | None = None) -> str:
     year = r"^(" + "|".join(fixed.NOISE_YEAR_PREFIXES) + r")\p{Nd}{2}$"
+    names = names or f"SELECT doc_id, {s_name('text')} AS name FROM documents"
     return f""",
-names AS (SELECT doc_id, {s_name('text')} AS name FROM documents),
+names AS ({names}),
 nwords AS (SELECT regexp_extract_all(lower(coalesce(name, '')), {q(TOKEN_RE)}) AS t FROM names),
 ntoks AS (SELECT DISTINCT unnest(t) AS token FROM nwords),
 name_tokens AS (SELECT token FROM ntoks UNION

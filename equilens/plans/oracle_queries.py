@@ -43,9 +43,30 @@ def oracle_sql() -> dict[str, str]:
     out.update(_attribution())
     out.update(_prepare())
     out.update(_local())
+    out.update(_prepared())
     return out
 
 
+def _prepared() -> dict[str, str]:
+    """The flow on the preparation job's output: rank, audit, attribution, contrast."""
+    full = "WITH " + o.raw_cte() + ", src AS (SELECT *, ID AS _order FROM raw)" + o.prep_ctes("src")
+    attrs = ", ".join(fixed.AUDIT_ATTRIBUTES)
+    flow = full + f", pdocs AS (SELECT ID AS doc_id, Full_Text AS text, Name AS name, {attrs} FROM prepared)," + o.tfidf_ctes(source="pdocs")
+    a = o.attribution_ctes("SELECT doc_id, name FROM pdocs")
+    return {
+        "prepared_rank": flow + o.labeled_cte() + "\nSELECT doc_id, score, label, "
+                         "CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS BIGINT) AS rank FROM lab",
+        "prepared_audit": flow + o.audit_ctes(fixed.AUDIT_ATTRIBUTES, "pdocs") + f"""
+SELECT position, attr, n_groups, disparity, favoured, disadvantaged, {o.severity_sql()} AS severity FROM report""",
+        "prepared_noise": flow + a + "\nSELECT term, is_noise FROM noise",
+        "prepared_attribution": flow + a + "\nSELECT doc_id, CAST(pos AS BIGINT) AS pos, term, "
+                                "round(value, 6) + 0.0 AS value FROM disp",
+        "prepared_contrast": flow + a + "\nSELECT doc_id, CAST(pos AS BIGINT) AS pos, term, round(gap, 6) + 0.0 AS gap "
+                             f"FROM gtop WHERE pos <= {fixed.CONTRAST_TERMS}",
+        "prepared_contrast_text": flow + a + o.contrast_text_sql(),
+    }
+
+
 def _local() -> dict[str, str]:
     pc = o.perturb_ctes()
     return {

@@ -96,7 +96,7 @@ def parse_documents(spark, sf_dir):
 
 def synthetic_identity(spark, sf_dir):
     """1-based position in doc_id order -> name, e-mail, file name."""
-    d = rk.global_rank(_docs(spark, sf_dir).select("doc_id"), [F.asc("doc_id")], "pos")
+    d = rk.global_rank(_docs(spark, sf_dir).select("doc_id"), ["doc_id"], "pos")
     p = F.col("pos")
     return d.select("doc_id", "pos", tx.synthetic_name(p).alias("Name"), tx.synthetic_email(p).alias("Email"),
                     tx.synthetic_filename(p).alias("Filename"))
@@ -436,6 +436,75 @@ QUERIES.update({
 })
 
 
+# -- the main flow on prepared data: prepare -> rank -> audit -> explain -----------------------
+
+
+def _prepared_scored(spark, sf_dir):
+    """(vocabulary, query weights, scored): the prepared corpus with its synthetic
+    names and rebalanced groups, scored against the query document."""
+    from ..session import materialize
+    p = pr.prepare(_raw(spark, sf_dir), "all", None)
+    docs = materialize(p.select(F.col("ID").alias("doc_id"), F.col("Full_Text").alias("text"), F.col("Name").alias("name"),
+                                *fixed.AUDIT_ATTRIBUTES))
+    vocab, qw = vz.fit_corpus(docs, vz.query_document(cx.table(spark, sf_dir, "benchmark")))
+    counts = vocab.counts(vocab.add_terms(docs, "text", "_terms").drop("text"), "_terms", "tf_vec").drop("_terms")
+    scored = rk.cosine_score(vocab.weights_from_counts(counts, "tf_vec", "w"), qw).drop("w")
+    return vocab, qw, materialize(scored)
+
+
+def prepared_rank(spark, sf_dir):
+    _, _, scored = _prepared_scored(spark, sf_dir)
+    return rk.rank_by_score(rk.median_label(scored.select("doc_id", "score")))
+
+
+def prepared_audit(spark, sf_dir):
+    _, _, scored = _prepared_scored(spark, sf_dir)
+    d = rk.median_label(scored.drop("tf_vec"))
+    return au.audit_report(au.audit_groups(d, fixed.AUDIT_ATTRIBUTES, rec_col="label"))
+
+
+def prepared_noise(spark, sf_dir):
+    vocab, _, scored = _prepared_scored(spark, sf_dir)
+    return at.noise_terms(vocab.table(spark), at.name_words_frame(scored.select("name"))).select("term", "is_noise")
+
+
+def _prepared_explained(spark, sf_dir):
+    from ..session import materialize
+    vocab, qw, scored = _prepared_scored(spark, sf_dir)
+    ws = vocab.weights_from_counts(scored, "tf_vec", "w")
+    noise = at.noise_terms(vocab.table(spark), at.name_words_frame(scored.select("name")))
+    ex = at.build_explainer(vocab.terms, qw, at.feature_means(ws), noise)
+    lead = ws.orderBy(F.desc("score"), F.asc("doc_id")).select("doc_id", "w").first()
+    d = at.contrast(at.explain(ws, ex), ex, tuple(ex.attributions(lead["w"])))
+    return materialize(d.select("doc_id", "name", "ordered", "top_features", "gap_terms")), int(lead["doc_id"])
+
+
+def prepared_attribution(spark, sf_dir):
+    d, _ = _prepared_explained(spark, sf_dir)
+    return at.explode_pairs(d, ["doc_id"], "ordered", "value", decimals=6)
+
+
+def prepared_contrast(spark, sf_dir):
+    d, lead_id = _prepared_explained(spark, sf_dir)
+    return at.explode_pairs(d.where(F.col("doc_id") != lead_id), ["doc_id"], "gap_terms", "gap", decimals=6)
+
+
+def prepared_contrast_text(spark, sf_dir):
+    d, lead_id = _prepared_explained(spark, sf_dir)
+    rank = F.when(F.col("doc_id") == lead_id, F.lit(1)).otherwise(F.lit(2))
+    return d.select("doc_id", at.contrast_text(F.col("name"), rank, F.col("gap_terms"), F.col("top_features")).alias("contrastive"))
+
+
+QUERIES.update({
+    "prepared_rank": prepared_rank,
+    "prepared_audit": prepared_audit,
+    "prepared_noise": prepared_noise,
+    "prepared_attribution": prepared_attribution,
+    "prepared_contrast": prepared_contrast,
+    "prepared_contrast_text": prepared_contrast_text,
+})
+
+
 # -- the model path (K2-K4, P5, A2 with the model's class, X1 with model coefficients) -------
 from . import flow as pl  # noqa: E402
 

@@ -6,7 +6,6 @@ import os
 import tempfile
 import zipfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,7 +33,7 @@ def get_session(master: str | None = None, app: str = "equilens",
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          # Remove checkpoint files once the DataFrames that own them are gone.
          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-         .config("spark.driver.memory", os.environ.get("EQUILENS_DRIVER_MEMORY", "16g")))
+         .config("spark.driver.memory", os.environ.get("EQUILENS_DRIVER_MEMORY", "6g")))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -48,31 +47,24 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.sparkContext.getCheckpointDir()
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Use the configured checkpoint folder; set ``fallback`` only when unset
-    (tests, local benches)."""
+def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None) -> str:
+    """Use the configured checkpoint folder; set ``fallback`` (or a temporary
+    folder) only when unset (tests, local benches)."""
     d = checkpoint_dir(spark)
     if not d:
-        spark.sparkContext.setCheckpointDir(fallback)
-        d = fallback
+        d = fallback or tempfile.mkdtemp(prefix="equilens-ckpt-")
+        spark.sparkContext.setCheckpointDir(d)
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage of a table reused by several downstream jobs.
-
-    With a checkpoint folder this writes a reliable checkpoint (survives the
-    loss of the executors that computed it).  Without one it falls back to a
-    memory-and-disk persist, whose lost blocks are recomputed from lineage.
-    """
-    spark = df.sparkSession
-    if checkpoint_dir(spark):
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Cut lineage of a table that several jobs read, by a reliable checkpoint
+    in the folder the cluster names (a temporary folder only where none is
+    set), which survives the loss of the executors that computed it."""
+    ensure_checkpoint_dir(df.sparkSession, None)
+    return df.checkpoint(eager=True)
 
 
 def ship_package(spark: SparkSession) -> None:

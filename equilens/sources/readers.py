@@ -1,15 +1,11 @@
 """Sources (S1-S4).
 
-All readers use fixed schemas (no inference).  :func:`spread` gives
-CPU-heavy text jobs enough tasks when a scan yields fewer splits than the
-cluster has cores (a single-row-group file is one split); on a large input
-the scan already has thousands of splits and nothing is added.
+All readers use fixed schemas (no inference).  :func:`spread` is an option for
+callers whose input is one small file (one split): it deals the rows out anew.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,27 +26,19 @@ PARSED_COLUMNS = ["Filename", "Name", "Email", "Skills", "Education", "Full_Text
                   "gender_proxy", "institution_tier", "career_gap", "name_origin_proxy"]
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Hash-repartition by ``key`` (round-robin without one) only when the
-    plan has fewer partitions than the default parallelism."""
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+def spread(df: DataFrame, partitions: int | None = None, key: str | None = None) -> DataFrame:
+    """Hash-repartition by ``key`` (round-robin without one) into the number of
+    partitions that the caller asks for; none asked for leaves the scan as it is."""
+    if not partitions:
         return df
-    return df.repartition(target, key) if key else df.repartition(target)
-
-
-def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    return spread(spark.read.parquet(path), key)
+    return df.repartition(partitions, key) if key else df.repartition(partitions)
 
 
 # -- S1: a folder of text files, one document per file ---------------------------------
 
 def read_text_dir(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
     """(file_name, text): every ``*{suffix}`` file of ``path`` as one row.
-    A missing folder or one without matching files is an error."""
-    if path.startswith("/") and not os.path.isdir(path):
-        raise FileNotFoundError(f"no such folder: {path}")
+    A missing folder (Spark's own error) or one without matching files is an error."""
     df = (spark.read.text(path, wholetext=True, pathGlobFilter=f"*{suffix}")
           .select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text")))
     if df.isEmpty():

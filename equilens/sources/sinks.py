@@ -23,9 +23,16 @@ def write_prepared(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         out.parquet(path)
 
 
+DISPLAY_COLUMNS = {"rank": "Rank", "name": "Name", "score": "TF_IDF_Score", "model_score": "Model_Score", "recommended": "Recommended"}
+
+
 def write_ranked(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """The ranked table."""
-    out = df.write.mode("overwrite")
+    """The ranked table in rank order, under its display names; vectors and
+    other nested columns stay out, further flat columns follow."""
+    flat = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct", "udt", "vector")]
+    first = [c for c in DISPLAY_COLUMNS if c in flat]
+    d = df.select(*[F.col(c).alias(DISPLAY_COLUMNS[c]) for c in first], *[c for c in flat if c not in first])
+    out = d.orderBy("Rank").write.mode("overwrite")
     if fmt == "csv":
         out.option("header", True).option("escape", '"').csv(path)
     else:
@@ -73,4 +80,4 @@ def report_json(nested: DataFrame) -> str:
 
 
 __all__ = ["write_prepared", "write_ranked", "write_audit", "save_vocabulary", "load_vocabulary", "save_model",
-           "load_model", "report_json", "F"]
+           "load_model", "report_json"]

@@ -17,8 +17,8 @@ from tests.fixture_texts import TEXTS
 def test_global_rank_equals_sort(spark, pairs, parts):
     rows = [(i, s / 4.0, g) for i, (s, g) in enumerate(pairs)]
     df = spark.createDataFrame(rows, "doc_id long, score double, g long").repartition(parts)
-    got = {r["doc_id"]: r["rank"] for r in rk.global_rank(df, [F.desc("score"), F.asc("doc_id")], "rank",
-                                                             num_partitions=parts).collect()}
+    got = {r["doc_id"]: r["rank"] for r in rk.global_rank(df, ["-score", "doc_id"], "rank",
+                                                             rows_per_range=-(-len(rows) // parts)).collect()}
     want = {d: k + 1 for k, (d, _, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
     assert got == want
 

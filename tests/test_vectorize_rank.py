@@ -5,10 +5,12 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from equilens.functions.tokens import english_stop_words, terms
 from equilens.operators import rank as rk
+from equilens.session import materialize
 from equilens.operators import vectorize as vz
 
 DOCS = [
@@ -90,10 +92,30 @@ def test_global_rank_skewed_ties_any_partitioning(spark):
     df = spark.createDataFrame(rows, "doc_id long, score double")
     expect = {d: k + 1 for k, (d, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
     for n in (1, 3, 7):
-        got = rk.global_rank(df.repartition(n), [F.desc("score"), F.asc("doc_id")], "rank", num_partitions=n)
+        got = rk.global_rank(df.repartition(n), ["-score", "doc_id"], "rank", rows_per_range=max(1, 3000 // n))
         assert {r["doc_id"]: r["rank"] for r in got.collect()} == expect
 
 
+def test_global_rank_of_many_wide_rows(spark):
+    """More rows than a range sampler looks at, with other columns beside the
+    keys, and without reuse of exchanges: ranks are 1..n in order."""
+    n = 320_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.round(F.rand(7), 4)).alias("score"),
+                               F.md5(F.col("id").cast("string")).alias("a"), F.array(F.col("id"), F.col("id")).alias("b"), F.lit("x").alias("c"))
+    df = materialize(df)
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        for rows_per_range in (20_000, 75_000):
+            out = rk.global_rank(df, ["-score", "doc_id"], "rank", rows_per_range)
+            assert set(out.columns) == set(df.columns) | {"rank"}
+            w = Window.orderBy("rank")
+            bad = out.select("rank", "score", "doc_id", F.row_number().over(w).alias("k"), F.lag("score").over(w).alias("s"), F.lag("doc_id").over(w).alias("d"))
+            bad = bad.where((F.col("rank") != F.col("k")) | (F.col("s") < F.col("score")) | (F.col("s") == F.col("score")) & (F.col("d") >= F.col("doc_id")))
+            assert out.count() == n and bad.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
 def test_median_label_and_top_k(spark):
     df = spark.createDataFrame([(1, 0.1), (2, 0.3), (3, 0.2), (4, 0.4)], "doc_id long, score double")
     lab = {r["doc_id"]: r["label"] for r in rk.median_label(df).collect()}
