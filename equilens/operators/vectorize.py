@@ -3,9 +3,10 @@
 Plan shape, chosen for scale:
 
 * Tokenizing, stop-word removal and n-grams are row-local array expressions.
-* The vocabulary fit is ONE explode + hash aggregation keyed by term.  Every
-  document contributes each occurrence (for the corpus frequency ``cf``) and
-  each distinct term once (for the document frequency ``df``) in the same
+* The vocabulary fit is two explode + hash aggregations keyed by term, of the
+  words and then of the bigrams whose words are frequent enough to matter.
+  Every document contributes each occurrence (for the corpus frequency ``cf``)
+  and each distinct term once (for the document frequency ``df``) in the same
   pass; the partial (map-side) aggregate collapses hot terms before the
   shuffle, so a term that occurs in a third of all documents costs one row
   per partition.  The top ``max_features`` by ``(cf desc, term asc)`` is a
@@ -25,10 +26,9 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import fixed
-from ..functions.tokens import add_terms, english_stop_words, terms as term_expr
+from ..functions.tokens import add_terms, english_stop_words, remove_stop_words, tokenize
 
 QUERY_ID = -1
 
@@ -58,9 +58,6 @@ class Vocabulary:
         return {t: i for i, t in enumerate(self.terms)}
 
     # -- row-local transforms ------------------------------------------------
-    def terms_of(self, text: Column) -> Column:
-        return term_expr(text, self.stop_words, self.ngram_range)
-
     def add_terms(self, df: DataFrame, text_col: str, out: str) -> DataFrame:
         return add_terms(df, text_col, out, self.stop_words, self.ngram_range)
 
@@ -98,59 +95,92 @@ class Vocabulary:
         return spark.createDataFrame(rows, schema)
 
 
-def with_terms(df: DataFrame, text_col: str = "text", out: str = "terms", stop_words=None,
-               ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:
-    return add_terms(df, text_col, out, stop_words, ngram_range)
+# More frequent words than this: bigrams are counted without the bound on their words.
+FREQUENT_WORDS = 5_000
+
+
+def corpus_of(docs: DataFrame, query: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, part): the documents and the parts of the query document.
+    All rows of ``query`` are one document, whose terms are counted part by part
+    and added up; bigrams do not reach from one part into the next."""
+    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.lit(False).alias("part"))
+    return d.unionByName(query.select("doc_id", "text", F.lit(True).alias("part")))
 
 
-def term_stats(corpus_terms: DataFrame, terms_col: str = "terms") -> DataFrame:
-    """(term, cf, df) for every term of the corpus, in one aggregation."""
-    t = F.col(terms_col)
+def term_stats(terms: DataFrame, terms_col: str = "terms") -> DataFrame:
+    """(term, cf, df) of an array column beside ``part``, in one aggregation."""
+    t, part = F.col(terms_col), F.col("part").cast("int")
     occurrences = F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d")))
-    distinct = F.transform(F.array_distinct(t), lambda x: F.struct(x.alias("term"), F.lit(0).alias("c"),
-                                                                    F.lit(1).alias("d")))
-    e = corpus_terms.select(F.explode(F.concat(occurrences, distinct)).alias("e"))
+    distinct = F.transform(F.array_distinct(t), lambda x: F.struct(x.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d")))
+    e = terms.select(part.alias("q"), F.explode(F.concat(occurrences, distinct)).alias("e"))
     return (e.groupBy(F.col("e.term").alias("term"))
-            .agg(F.sum("e.c").cast("long").alias("cf"), F.sum("e.d").cast("long").alias("df")))
+            .agg(F.sum("e.c").cast("long").alias("cf"), (F.sum(F.col("e.d") * (1 - F.col("q"))) + F.max(F.col("e.d") * F.col("q"))).cast("long").alias("df")))
 
 
-def fit_vocabulary(corpus: DataFrame, text_col: str = "text", max_features: int = fixed.MAX_FEATURES,
-                   stop_words=None, ngram_range: tuple[int, int] = (1, 2)) -> Vocabulary:
-    """Fit on every row of ``corpus`` (the query document included by the
-    caller, as the reference does)."""
+def top_terms(corpus: DataFrame, max_features: int = fixed.MAX_FEATURES, stop_words=None,
+              ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:
+    """(term, cf, df) of the ``max_features`` terms with the highest corpus
+    frequency, ties by term.  Words are counted first.  A bigram is never more
+    frequent than either of its words, so one that belongs to the top has words
+    at least as frequent as the last of the top words: only bigrams of such
+    words are shuffled, and the rest of the corpus' bigrams never leave the row."""
     sw = tuple(english_stop_words() if stop_words is None else stop_words)
-    ct = add_terms(corpus.select(text_col), text_col, "terms", sw, ngram_range).select("terms")
-    top = (term_stats(ct).orderBy(F.desc("cf"), F.asc("term")).limit(max_features).collect())
-    n_docs = corpus.count()
+    best = lambda d, n: d.orderBy(F.desc("cf"), F.asc("term")).limit(n)
+    if ngram_range != (1, 2):
+        return best(term_stats(add_terms(corpus, "text", "terms", sw, ngram_range).select("terms", "part")), max_features)
+    tokens = corpus.select("part", remove_stop_words(tokenize(F.col("text")), sw).alias("terms"))
+    words = best(term_stats(tokens), max(max_features, FREQUENT_WORDS)).collect()
+    least = words[max_features - 1]["cf"] if len(words) >= max_features else 0
+    pairs = tokens.withColumn("terms", F.zip_with("terms", F.slice("terms", 2, F.greatest(F.size("terms"), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    if least and (len(words) < max(max_features, FREQUENT_WORDS) or words[-1]["cf"] < least):
+        frequent = [r["term"] for r in words if r["cf"] >= least]
+        pairs = pairs.withColumn("terms", F.filter("terms", lambda x: x["a"].isin(frequent) & x["b"].isin(frequent)))
+    else:
+        pairs = pairs.withColumn("terms", F.filter("terms", lambda x: x["b"].isNotNull()))
+    pairs = pairs.withColumn("terms", F.transform("terms", lambda x: F.concat_ws(" ", x["a"], x["b"])))
+    rows = [(r["term"], r["cf"], r["df"]) for r in words[:max_features]]
+    unigrams = corpus.sparkSession.createDataFrame(rows, "term string, cf long, df long")
+    return best(term_stats(pairs).unionByName(unigrams), max_features)
+
+
+def fit_vocabulary(docs: DataFrame, query: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                   max_features: int = fixed.MAX_FEATURES, stop_words=None, ngram_range: tuple[int, int] = (1, 2)) -> Vocabulary:
+    """Fit on the documents and the query document, as the reference does."""
+    sw = tuple(english_stop_words() if stop_words is None else stop_words)
+    top = top_terms(corpus_of(docs, query, id_col, text_col), max_features, sw, ngram_range).collect()
     top = sorted(top, key=lambda r: r["term"])
     return Vocabulary(tuple(r["term"] for r in top), tuple(int(r["cf"]) for r in top),
-                      tuple(int(r["df"]) for r in top), int(n_docs), sw, ngram_range)
+                      tuple(int(r["df"]) for r in top), docs.count() + 1, sw, ngram_range)
 
 
-def query_document(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """One-row DataFrame ``(doc_id=-1, text)``: all benchmark texts joined by a
-    space in id order.  The query is one document by definition; its size is
-    that of the benchmark table, not of the corpus."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("k"), F.col(text_col).alias("t"))))
-    return benchmark.agg(F.concat_ws(" ", F.transform(ordered, lambda x: x["t"])).alias("text")) \
-        .select(F.lit(QUERY_ID).cast("bigint").alias("doc_id"), "text")
+def query_document(benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The benchmark texts as the parts of one query document (doc_id -1)."""
+    return benchmark.select(F.lit(QUERY_ID).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
 
 def query_from_text(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(QUERY_ID, text)], "doc_id bigint, text string")
 
 
+def query_vector(vocab: Vocabulary, query: DataFrame) -> tuple[float, ...]:
+    """The query document's weights: its parts' counts of vocabulary terms added
+    up (at most one row per term), then weighed like any document's."""
+    if not vocab.terms:
+        return ()
+    t = vocab.add_terms(query.select("text"), "text", "terms").select(F.explode("terms").alias("term"))
+    tf = {r["term"]: r["count"] for r in t.where(F.col("term").isin(list(vocab.terms))).groupBy("term").count().collect()}
+    raw = [(1.0 + math.log(tf[t])) * i if t in tf else 0.0 for t, i in zip(vocab.terms, vocab.idf)]
+    norm = math.sqrt(sum(x * x for x in raw))
+    return tuple(x / norm if norm else 0.0 for x in raw)
+
+
 def fit_corpus(docs: DataFrame, query: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                max_features: int = fixed.MAX_FEATURES, stop_words=None):
     """Fit the vectorizer on documents plus the query document and return
     ``(vocabulary, query_weights)``; the query vector is bounded by
     ``max_features``."""
-    corpus = (docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-              .unionByName(query.select("doc_id", "text")))
-    vocab = fit_vocabulary(corpus, "text", max_features, stop_words)
-    q = vocab.weights(with_terms(query, "text", "terms", vocab.stop_words), "terms", "w").select("w").first()
-    qw = tuple(float(x) for x in q["w"]) if q is not None else tuple(0.0 for _ in vocab.terms)
-    return vocab, qw
+    vocab = fit_vocabulary(docs, query, id_col, text_col, max_features, stop_words)
+    return vocab, query_vector(vocab, query)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -168,18 +198,12 @@ def weighted_docs(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", ke
     return vocab.weights(t, "_terms", out).drop("_terms")
 
 
-ARRAY_D = T.ArrayType(T.DoubleType())
-
-
-def vocabulary_frame(corpus: DataFrame, text_col: str = "text", max_features: int = fixed.MAX_FEATURES,
+def vocabulary_frame(docs: DataFrame, query: DataFrame, max_features: int = fixed.MAX_FEATURES,
                      stop_words=None, decimals: int | None = None) -> DataFrame:
-    """The fitted vocabulary as a DataFrame computed entirely by Spark:
-    (term, cf, df, idf) for the top ``max_features`` terms; the document count
-    enters as a scalar subquery."""
-    sw = tuple(english_stop_words() if stop_words is None else stop_words)
-    ct = add_terms(corpus.select(text_col), text_col, "terms", sw).select("terms")
-    top = term_stats(ct).orderBy(F.desc("cf"), F.asc("term")).limit(max_features)
-    n = corpus.select(F.count(F.lit(1)).cast("double")).scalar()
+    """The fitted vocabulary as a DataFrame: (term, cf, df, idf) of the top
+    ``max_features`` terms; the document count enters as a scalar subquery."""
+    top = top_terms(corpus_of(docs, query), max_features, stop_words)
+    n = docs.select((F.count(F.lit(1)) + 1).cast("double")).scalar()
     idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     if decimals is not None:
         idf = F.round(idf, decimals)

@@ -36,16 +36,15 @@ def terms_sql(text: str) -> str:
 
 
 def tfidf_ctes(max_features: int = fixed.MAX_FEATURES, source: str = "documents") -> str:
-    """CTEs: docs, qdoc, corpus, terms, tf, stats, vocab, nn, idf, w, qv, score."""
+    """CTEs: docs, corpus (all benchmark texts are parts of document -1), terms, tf, stats, vocab, nn, idf, w, qv, score."""
     return f"""
 docs AS (SELECT doc_id, text FROM {source}),
-qdoc AS (SELECT CAST(-1 AS BIGINT) AS doc_id, string_agg(text, ' ' ORDER BY item_id) AS text FROM benchmark),
-corpus AS (SELECT doc_id, text FROM docs UNION ALL SELECT doc_id, text FROM qdoc),
+corpus AS (SELECT doc_id, text FROM docs UNION ALL SELECT CAST(-1 AS BIGINT), text FROM benchmark),
 terms AS (SELECT doc_id, {terms_sql('text')} AS t FROM corpus),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM terms) GROUP BY doc_id, term),
 stats AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM tf GROUP BY term),
 vocab AS (SELECT term, cf, df FROM stats ORDER BY cf DESC, term ASC LIMIT {max_features}),
-nn AS (SELECT count(*) AS n FROM corpus),
+nn AS (SELECT count(*) + 1 AS n FROM docs),
 idf AS (SELECT term, cf, df, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM vocab, nn),
 w0 AS (SELECT tf.doc_id, tf.term, (1.0 + ln(tf.tf)) * idf.idf AS w FROM tf JOIN idf ON tf.term = idf.term),
 nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w0 GROUP BY doc_id),

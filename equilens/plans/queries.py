@@ -142,13 +142,14 @@ def term_counts(spark, sf_dir):
 
 
 def vocabulary(spark, sf_dir):
-    return vz.vocabulary_frame(_corpus(spark, sf_dir), decimals=6)
+    return vz.vocabulary_frame(_docs(spark, sf_dir), vz.query_document(cx.table(spark, sf_dir, "benchmark")), decimals=6)
 
 
 def tfidf_weights(spark, sf_dir):
     f = cx.fitted(spark, sf_dir)
-    w = vz.weighted_docs(_corpus(spark, sf_dir), f.vocab, "text", ["doc_id"])
-    return vz.explode_weights(w, f.vocab, ["doc_id"]).withColumn("weight", F.round("weight", 6))
+    w = vz.weighted_docs(_docs(spark, sf_dir).select("doc_id", "text"), f.vocab, "text", ["doc_id"])
+    query = spark.createDataFrame([(vz.QUERY_ID, t, w) for t, w in zip(f.vocab.terms, f.query_weights) if w], "doc_id long, term string, weight double")
+    return vz.explode_weights(w, f.vocab, ["doc_id"]).unionByName(query).withColumn("weight", F.round("weight", 6))
 
 
 def tfidf_transform(spark, sf_dir):
