@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -29,31 +29,40 @@ def seeded_key(key: Column, seed: int = fixed.SEED, tag: str | None = None) -> C
 
 # -- F1 / F2 -------------------------------------------------------------------------------
 
+def _spelled(df: DataFrame, category: str, col: str) -> list[str]:
+    """The spellings (upper and lower case) of one category that occur."""
+    return [r[0] for r in df.where(F.lower(F.col(col)) == category.lower()).select(col).distinct().collect()]
+
+
+def _only(df: DataFrame, col: str, values: list[str]) -> DataFrame:
+    """A filter on plain values, which reaches the scan."""
+    return df.where(F.col(col).isin(values) if values else F.lit(False))
+
+
 def filter_category(df: DataFrame, category: str, col: str = "Category") -> DataFrame:
     """Case-insensitive equality; 'all' keeps everything."""
     if category.lower() == "all":
         return df
-    return df.where(F.lower(F.col(col)) == F.lit(category.lower()))
+    return _only(df, col, _spelled(df, category, col))
 
 
 def filter_category_partial(df: DataFrame, category: str, col: str = "Category",
                             order_col: str = "ID") -> DataFrame:
     """Exact (case-insensitive) match if any row has it; otherwise the first
     category, by first appearance, that contains the text; otherwise no rows.
-    Both decisions are subqueries of one plan."""
+    The decision reads the category column alone."""
     if category.lower() == "all":
         return df
-    c = F.lit(category.lower())
-    exact = df.where(F.lower(F.col(col)) == c).select(F.lit(1)).limit(1)
-    cats = df.groupBy(col).agg(F.min(order_col).alias("_first"))
-    chosen = cats.where(F.lower(F.col(col)).contains(c)).orderBy("_first", col).select(col).limit(1).scalar()
-    return df.where(F.when(exact.exists(), F.lower(F.col(col)) == c).otherwise(F.col(col) == chosen))
+    values = _spelled(df, category, col)
+    if not values:
+        part = df.where(F.lower(F.col(col)).contains(category.lower())).groupBy(col).agg(F.min(order_col).alias("_first"))
+        values = [r[0] for r in part.orderBy("_first", col).limit(1).collect()]
+    return _only(df, col, values)
 
 
 def categories_of(df: DataFrame, col: str = "Category") -> DataFrame:
-    """Row count, distinct count and sorted list of categories."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(col).alias("n_categories"),
-                  F.array_join(F.sort_array(F.collect_set(col)), ", ").alias("categories"))
+    """The categories, one row each with its number of rows."""
+    return df.groupBy(F.col(col).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- F3 / F4 -------------------------------------------------------------------------------
@@ -189,13 +198,10 @@ def rebalance_all(df: DataFrame, key: str = "ID", seed: int = fixed.SEED) -> Dat
 
 # -- the job -------------------------------------------------------------------------------
 
-def prepare(raw: DataFrame, category: str = "all", limit: int | None = None, id_col: str = "ID",
-            text_col: str = "Resume_str", category_col: str = "Category", seed: int = fixed.SEED) -> DataFrame:
-    """The preparation job: category filter (with fallback), seeded sample,
-    clean, length filter, whole-text attributes, rebalancing, synthetic
-    identity by position, skills.  Returns the eleven prepared columns plus
-    the id.  As in the reference, sampling comes before cleaning, so fewer
-    than ``limit`` rows can result."""
+def relabelled(raw: DataFrame, category: str = "all", limit: int | None = None, id_col: str = "ID",
+               text_col: str = "Resume_str", category_col: str = "Category", seed: int = fixed.SEED) -> DataFrame:
+    """The preparation job without identities: category filter (with fallback),
+    seeded sample, clean, length filter, attributes and skills, rebalancing."""
     d = filter_category_partial(raw, category, category_col, id_col)
     d = seeded_sample(d, limit, id_col, seed, "_order") if limit else d.withColumn("_order", F.col(id_col))
     # The length filter comes after the checkpoint: a filter on a computed
@@ -210,8 +216,19 @@ def prepare(raw: DataFrame, category: str = "all", limit: int | None = None, id_
                  tx.name_origin_text(t, tl).alias("name_origin_proxy"),
                  tx.skills_string(tx.extract_skills(t, fixed.PREP_SKILLS, tl)).alias("Skills"))
     d = filter_min_length(materialize(d), "Full_Text")
+    return rebalance_all(d, id_col, seed)
+
+
+def prepare(raw: DataFrame, category: str = "all", limit: int | None = None, id_col: str = "ID",
+            text_col: str = "Resume_str", category_col: str = "Category", seed: int = fixed.SEED) -> DataFrame:
+    """The preparation job: category filter (with fallback), seeded sample,
+    clean, length filter, whole-text attributes, rebalancing, synthetic
+    identity by position, skills.  Returns the eleven prepared columns plus
+    the id.  As in the reference, sampling comes before cleaning, so fewer
+    than ``limit`` rows can result."""
+    d = relabelled(raw, category, limit, id_col, text_col, category_col, seed)
     # Positions come from the narrow (order, id) records.
-    d = global_rank(rebalance_all(d, id_col, seed), ["_order", id_col], "_pos")
+    d = global_rank(d, ["_order", id_col], "_pos")
     p = F.col("_pos")
     return d.select(F.col(id_col), tx.synthetic_filename(p).alias("Filename"), tx.synthetic_name(p).alias("Name"),
                     tx.synthetic_email(p).alias("Email"), "Category", "Skills",
@@ -224,10 +241,10 @@ def profile_attributes(prepared: DataFrame, attrs=("institution_tier", "career_g
     """Value counts per attribute with percent of rows, one pass."""
     pairs = F.array(*[F.struct(F.lit(i).alias("attr_pos"), F.lit(a).alias("attr"), F.col(a).alias("grp"))
                       for i, a in enumerate(attrs)])
-    total = prepared.select(F.count(F.lit(1))).scalar()
     g = prepared.select(F.explode(pairs).alias("p")).select("p.*").groupBy("attr_pos", "attr", "grp").count()
-    return g.select("attr", "grp", F.col("count").alias("n"),
-                    F.round(F.col("count") * F.lit(100.0) / total, 2).alias("pct"))
+    # Every row counts once per attribute, so an attribute's counts add up to all rows.
+    total = F.sum("count").over(Window.partitionBy("attr"))
+    return g.select("attr", "grp", F.col("count").alias("n"), F.round(F.col("count") * F.lit(100.0) / total, 2).alias("pct"))
 
 
 def profile_length(prepared: DataFrame, col: str = "Full_Text") -> DataFrame:

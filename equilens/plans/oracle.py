@@ -376,15 +376,18 @@ def perturb_score_ctes() -> str:
     stop = stop_list()
     run_a = (f"({s_hex('md5(concat_ws(' + q('|') + ', ' + q(str(fixed.SEED)) + ', CAST(doc_id AS VARCHAR), x))', 1)}"
              f" % {P})")
+    # Every run is hashed once per document; samples filter the hashed runs.
     return f""",
-pk AS (SELECT doc_id, s, r, nw, CASE WHEN r > 0 THEN prios[r] END AS thr,
-         list_transform(list_filter(regexp_extract_all(coalesce(text, ''), {q(RUN_RE)}),
-           lambda x: length(lower(x)) >= 2 AND NOT list_contains({stop}, lower(x))
-                     AND (r = 0 OR {{'p': ({run_a} * b + c) % {P}, 'w': x}} > prios[r])),
-           lambda x: lower(x)) AS u
-       FROM pp),
+po AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(coalesce(text, ''), {q(RUN_RE)}),
+           lambda x: length(lower(x)) >= 2 AND NOT list_contains({stop}, lower(x))),
+           lambda x: {{'a': {run_a}, 'w': x, 'u': lower(x)}}) AS occ
+       FROM documents),
+pk AS (SELECT pp.doc_id, s, r, nw, list_transform(list_filter(occ,
+           lambda x: r = 0 OR {{'p': (x.a * b + c) % {P}, 'w': x.w}} > prios[r]), lambda x: x.u) AS u
+       FROM pp JOIN po ON po.doc_id = pp.doc_id),
 pt AS (SELECT doc_id, s, r, nw, u || list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1]) AS t FROM pk),
-ptf AS (SELECT doc_id, s, term, count(*) AS tf FROM (SELECT doc_id, s, unnest(t) AS term FROM pt) GROUP BY ALL),
+ptf AS (SELECT doc_id, s, x.term, count(*) AS tf FROM (SELECT doc_id, s, unnest(t) AS term FROM pt) x
+        JOIN idf ON idf.term = x.term GROUP BY ALL),
 pw0 AS (SELECT ptf.doc_id, ptf.s, ptf.term, (1.0 + ln(ptf.tf)) * idf.idf AS w FROM ptf JOIN idf ON ptf.term = idf.term),
 pn AS (SELECT doc_id, s, sqrt(sum(w * w)) AS norm FROM pw0 GROUP BY ALL),
 pdot AS (SELECT pw0.doc_id, pw0.s, sum(pw0.w / pn.norm * qv.qw) AS dot

@@ -108,8 +108,7 @@ SELECT ID, Category FROM raw WHERE CASE WHEN EXISTS (SELECT 1 FROM raw WHERE low
         "rebalance_reassign": full + "\nSELECT ID, name_origin_proxy FROM r3",
         "prepare_corpus": full + f"\nSELECT ID, {cols} FROM prepared",
         "prepare_sample": sample + f"\nSELECT ID, {cols} FROM prepared",
-        "profile_categories": raw + "\nSELECT count(*) AS n_rows, count(DISTINCT Category) AS n_categories, "
-                                    "string_agg(DISTINCT Category, ', ' ORDER BY Category) AS categories FROM raw",
+        "profile_categories": raw + "\nSELECT Category AS category, count(*) AS n FROM raw GROUP BY Category",
         "profile_attributes": full + f"""
 SELECT attr, grp, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM prepared), 2) AS pct
 FROM ({unions}) GROUP BY attr, grp""",

@@ -413,11 +413,11 @@ def profile_categories(spark, sf_dir):
 
 
 def profile_attributes(spark, sf_dir):
-    return pr.profile_attributes(pr.prepare(_raw(spark, sf_dir), "all", None))
+    return pr.profile_attributes(pr.relabelled(_raw(spark, sf_dir)))
 
 
 def profile_length(spark, sf_dir):
-    return pr.profile_length(pr.prepare(_raw(spark, sf_dir), "all", None))
+    return pr.profile_length(pr.relabelled(_raw(spark, sf_dir)))
 
 
 QUERIES.update({
