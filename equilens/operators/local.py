@@ -7,28 +7,32 @@ vocabulary and scored; samples are weighted by a kernel of their cosine
 distance to the intact text; a weighted ridge picks 10 words and a second
 ridge gives their weights.
 
-Spark does everything up to the scores (rows = documents x samples,
-generated in place by an explode, no shuffle).  Only the per-document ridge
-solves (100 x W, dual form) run in ``applyInPandas``; a group is one
-document's 100 small rows plus its word list.
-
 Randomness is a keyed hash, identical in every engine: word j gets
 ``a_j = H(seed|doc|word) mod P``, sample s gets ``b_s, c_s, r_s`` from
 ``H(seed|doc|sample|s)``; the words removed in sample s are the r_s smallest
 by ``((a_j * b_s + c_s) mod P, word)``.
+
+Spark prepares one compact row per document (its words, their multipliers and
+its runs); a batch of documents then goes through one Arrow-batched function in
+which masks, scores and ridge solves are array operations, 100 samples at a
+time.  No row per sample is made and nothing is shuffled.
+:func:`samples` and :func:`removed_words` give the masks as Spark rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.tokens import bigrams, english_stop_words, word_runs
-from ..functions.text import text_or_empty
-from .vectorize import Vocabulary, dot
+from ..functions.tokens import english_stop_words, word_runs
+from ..session import ship_package
+from .vectorize import Vocabulary
 
 P = 2147483647  # 2^31 - 1
 
@@ -86,36 +90,104 @@ def removed_words(sampled: DataFrame) -> DataFrame:
                                                      lambda e: e["w"]))
 
 
-def perturbed_terms(sampled: DataFrame, vocab: Vocabulary, seed: int = fixed.SEED, out: str = "terms") -> DataFrame:
-    """L3 (first half): the term list of each perturbed text.  A run is kept
-    when its word ranks after the sample's threshold; kept runs that are
-    tokens (length >= 2 after lower-casing, not stop words) form the
-    unigram sequence, and bigrams join neighbours across removed words, as
-    re-tokenizing the perturbed text would."""
-    d = sampled.withColumn("_thr", F.when(F.col("r") > 0, F.element_at(_sorted_priorities(), F.col("r"))))
-    n = F.size("_runs")
-    z = F.arrays_zip(F.col("_runs").alias("x"), F.array_repeat("b", n).alias("b"), F.array_repeat("c", n).alias("c"),
-                     F.array_repeat("_thr", n).alias("thr"))
-
-    def keep(e):
-        p = F.struct(F.pmod(e["x"]["a"] * e["b"] + e["c"], F.lit(P)).alias("p"), e["x"]["w"].alias("w"))
-        return e["x"]["ok"] & (e["thr"].isNull() | (p > e["thr"]))
-    d = d.withColumn("_tok", F.transform(F.filter(z, keep), lambda e: e["x"]["t"]))
-    return d.withColumn(out, F.concat("_tok", bigrams(F.col("_tok")))).drop("_thr", "_tok")
-
-
-def perturbed_scores(sampled: DataFrame, vocab: Vocabulary, coef, intercept: float | None,
-                     seed: int = fixed.SEED) -> DataFrame:
-    """L3: score of every perturbed text: the class-1 probability of a
-    logistic model (``intercept`` given) or the linear score itself."""
-    t = perturbed_terms(sampled, vocab, seed, "_terms")
-    w = vocab.weights(t, "_terms", "_w").drop("_terms")
-    lin = dot(F.col("_w"), F.lit(list(coef)))
-    label = lin if intercept is None else F.lit(1.0) / (F.lit(1.0) + F.exp(-(lin + F.lit(float(intercept)))))
-    return w.withColumn("label", label).drop("_w")
-
-
-# -- L5: weighted ridge per document (the only Python) -------------------------------------
+def compact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = fixed.SEED) -> DataFrame:
+    """One row per document with words: (doc_id, words, a, runs, tokens); a
+    run's token is null if the tokenizer drops it (too short or a stop word)."""
+    f = word_features(docs, id_col, text_col, seed)
+    return f.select("doc_id", "words", "a", F.transform("_runs", lambda x: x["w"]).alias("runs"),
+                    F.transform("_runs", lambda x: F.when(x["ok"], x["t"])).alias("tokens"))
+
+
+@dataclass(frozen=True)
+class Scorer:
+    """A linear score of TF-IDF weights, or with an intercept the class-1
+    probability of a logistic model."""
+
+    index: dict[str, int]
+    idf: np.ndarray
+    coef: np.ndarray
+    intercept: float | None
+
+    @classmethod
+    def of(cls, vocab: Vocabulary, coef, intercept: float | None) -> Scorer:
+        return cls(vocab.index(), np.array(vocab.idf), np.array(coef, float), intercept)
+
+    def scores(self, tokens: list[str], kept: np.ndarray) -> np.ndarray:
+        """Score of a text per row of ``kept`` (samples x tokens): the terms of the
+        tokens kept, bigrams joining neighbours across those removed."""
+        number = {t: k for k, t in enumerate(dict.fromkeys(tokens))}
+        seq = np.array([number[t] for t in tokens], np.int64)
+        single = np.array([self.index.get(t, -1) for t in number], np.int64)
+        n = len(number)
+        pairs = sorted((number[a] * n + number[b], k) for t, k in self.index.items() if " " in t for a, b in [t.split(" ")] if a in number and b in number)
+        keys, terms = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        out = np.zeros(len(kept))
+        for s, mask in enumerate(kept):
+            left = seq[mask]
+            found = single[left] if n else left
+            found = [found[found >= 0]]
+            if len(keys) and len(left) > 1:
+                both = left[:-1] * n + left[1:]
+                at = np.minimum(np.searchsorted(keys, both), len(keys) - 1)
+                found.append(terms[at[keys[at] == both]])
+            term, tf = np.unique(np.concatenate(found), return_counts=True)
+            if len(term):
+                w = (1.0 + np.log(tf)) * self.idf[term]
+                out[s] = (w / np.sqrt((w * w).sum())) @ self.coef[term]
+        return out if self.intercept is None else 1.0 / (1.0 + np.exp(-(out + self.intercept)))
+
+
+def sample_numbers(doc_id: int, n_words: int, n_samples: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(b, c, r) of every sample of one document."""
+    h = [hashlib.md5(f"{seed}|{doc_id}|sample|{s}".encode()).hexdigest() for s in range(n_samples)]
+    part = lambda k: np.array([int(x[k:k + 8], 16) for x in h], np.int64)
+    r = 1 + part(16) % n_words
+    r[0] = 0
+    return 1 + part(0) % (P - 1), part(8) % P, r
+
+
+def kept_words(a: np.ndarray, b: np.ndarray, c: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Samples x words: true where a word (in sorted order) stays."""
+    kept = np.ones((len(b), len(a)), bool)
+    for s in range(len(b)):
+        if r[s]:
+            kept[s, np.argsort((a * b[s] + c[s]) % P, kind="stable")[:r[s]]] = False
+    return kept
+
+
+def _perturbed(row, scorer: Scorer, n_samples: int, seed: int):
+    """(kept words, r, kernel, score) of one document's samples."""
+    words, a = list(row.words), np.asarray(row.a, np.int64)
+    b, c, r = sample_numbers(row.doc_id, len(words), n_samples, seed)
+    kept = kept_words(a, b, c, r)
+    place = {w: k for k, w in enumerate(words)}
+    tokens = [(place[w], t) for w, t in zip(row.runs, row.tokens) if t is not None]
+    at = np.array([k for k, _ in tokens], np.int64)
+    score = scorer.scores([t for _, t in tokens], kept[:, at])
+    distance = 100.0 * (1.0 - np.sqrt((len(words) - r) / len(words)))
+    return words, kept, r, np.sqrt(np.exp(-(distance * distance) / fixed.KERNEL_WIDTH ** 2)), score
+
+
+def perturbed_scores(docs: DataFrame, vocab: Vocabulary, coef, intercept: float | None, id_col: str = "doc_id",
+                     text_col: str = "text", n_samples: int = fixed.PERTURB_SAMPLES, seed: int = fixed.SEED) -> DataFrame:
+    """L3, L4: (doc_id, s, r, kernel, label) of every perturbed text."""
+    scorer = Scorer.of(vocab, coef, intercept)
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                _, _, r, kernel, score = _perturbed(row, scorer, n_samples, seed)
+                yield pd.DataFrame({"doc_id": row.doc_id, "s": np.arange(n_samples), "r": r, "kernel": kernel, "label": score})
+
+    return _in_python(compact(docs, id_col, text_col, seed)).mapInPandas(run, "doc_id long, s long, r long, kernel double, label double")
+
+
+def _in_python(df: DataFrame) -> DataFrame:
+    ship_package(df.sparkSession)
+    return df
+
+
+# -- L5: weighted ridge per document ------------------------------------------------------------
 
 def weighted_ridge(X: np.ndarray, y: np.ndarray, sw: np.ndarray, alpha: float) -> np.ndarray:
     """Ridge with an unpenalized intercept and sample weights; solved in the
@@ -132,51 +204,29 @@ def weighted_ridge(X: np.ndarray, y: np.ndarray, sw: np.ndarray, alpha: float) -
     return np.linalg.solve(A.T @ A + alpha * np.eye(p), A.T @ t)
 
 
-def explain_group(pdf: pd.DataFrame, n_features: int = fixed.PERTURB_FEATURES) -> pd.DataFrame:
-    """One document's samples -> its top word weights."""
-    pdf = pdf.sort_values("s")
-    first = pdf.iloc[0]
-    words = list(first["words"])
-    a = np.asarray(first["a"], dtype=np.int64)
-    W = len(words)
-    b = pdf["b"].to_numpy(np.int64)
-    c = pdf["c"].to_numpy(np.int64)
-    r = pdf["r"].to_numpy(np.int64)
-    Z = np.ones((len(pdf), W))
-    idx = np.arange(W)
-    for k in range(len(pdf)):
-        if r[k] > 0:
-            prio = (a * b[k] + c[k]) % P
-            Z[k, np.lexsort((idx, prio))[:r[k]]] = 0.0
-    y = pdf["label"].to_numpy(float)
-    sw = pdf["kernel"].to_numpy(float)
-    coef = weighted_ridge(Z, y, sw, fixed.SELECT_RIDGE_ALPHA)
-    sel = np.argsort(-np.abs(coef * Z[0]), kind="stable")[:n_features]
-    final = weighted_ridge(Z[:, sel], y, sw, fixed.FINAL_RIDGE_ALPHA)
-    order = np.argsort(-np.abs(final), kind="stable")
-    return pd.DataFrame({"doc_id": int(first["doc_id"]), "pos": np.arange(1, len(order) + 1, dtype=np.int64),
-                         "word": [words[sel[i]] for i in order], "weight": final[order].astype(float)})
-
-
-LOCAL_SCHEMA = "doc_id long, pos long, word string, weight double"
-
-
-def _explain_one(pdf: pd.DataFrame) -> pd.DataFrame:
-    return explain_group(pdf)
+def top_words(words: list[str], kept: np.ndarray, score: np.ndarray, kernel: np.ndarray,
+              n_features: int = fixed.PERTURB_FEATURES) -> list[tuple[str, float]]:
+    """The words with the largest weights in a first ridge, weighed by a
+    second one on them alone, by size."""
+    z = kept.astype(float)
+    coef = weighted_ridge(z, score, kernel, fixed.SELECT_RIDGE_ALPHA)
+    chosen = np.argsort(-np.abs(coef), kind="stable")[:n_features]
+    final = weighted_ridge(z[:, chosen], score, kernel, fixed.FINAL_RIDGE_ALPHA)
+    return [(words[chosen[k]], float(final[k])) for k in np.argsort(-np.abs(final), kind="stable")]
 
 
 def local_attribution(docs: DataFrame, vocab: Vocabulary, coef, intercept: float | None,
                       id_col: str = "doc_id", text_col: str = "text", n_samples: int = fixed.PERTURB_SAMPLES,
                       seed: int = fixed.SEED) -> DataFrame:
     """(doc_id, pos, word, weight, direction) for every document."""
-    feats = word_features(docs, id_col, text_col, seed)
-    scored = perturbed_scores(samples(feats, n_samples, seed), vocab, coef, intercept, seed)
-    slim = scored.select("doc_id", "s", "b", "c", "r", "kernel", "label",
-                         F.when(F.col("s") == 0, F.col("words")).alias("words"),
-                         F.when(F.col("s") == 0, F.col("a")).alias("a"))
-    out = slim.groupBy("doc_id").applyInPandas(_explain_one, LOCAL_SCHEMA)
-    return out.withColumn("direction", F.when(F.col("weight") > 0, F.lit(fixed.HELPED)).otherwise(F.lit(fixed.HURT)))
+    scorer = Scorer.of(vocab, coef, intercept)
 
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                words, kept, _, kernel, score = _perturbed(row, scorer, n_samples, seed)
+                top = top_words(words, kept, score, kernel)
+                yield pd.DataFrame({"doc_id": row.doc_id, "pos": np.arange(1, len(top) + 1), "word": [w for w, _ in top], "weight": [x for _, x in top]})
 
-__all__ = ["word_features", "samples", "removed_words", "perturbed_terms", "perturbed_scores", "weighted_ridge",
-           "explain_group", "local_attribution", "english_stop_words", "text_or_empty"]
+    out = _in_python(compact(docs, id_col, text_col, seed)).mapInPandas(run, "doc_id long, pos long, word string, weight double")
+    return out.withColumn("direction", F.when(F.col("weight") > 0, F.lit(fixed.HELPED)).otherwise(F.lit(fixed.HURT)))

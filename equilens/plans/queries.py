@@ -597,7 +597,7 @@ def perturb_masks(spark, sf_dir):
 def perturb_scores(spark, sf_dir):
     """Scores of the perturbed texts under the linear (cosine) scorer."""
     f = cx.fitted(spark, sf_dir)
-    s = lo.perturbed_scores(lo.samples(_features(spark, sf_dir)), f.vocab, f.query_weights, None)
+    s = lo.perturbed_scores(_docs(spark, sf_dir), f.vocab, f.query_weights, None)
     return s.select("doc_id", F.col("s").cast("long").alias("s"), F.col("r").cast("long").alias("r"),
                     (F.round("kernel", 6) + F.lit(0.0)).alias("kernel"),
                     (F.round("label", 6) + F.lit(0.0)).alias("score"))

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from equilens.functions import fixed
 from equilens.operators import attribute as at
 from equilens.operators import audit as au
 from equilens.operators import local as lo
@@ -103,7 +104,7 @@ def test_weighted_ridge_dual_equals_primal():
 def test_local_attribution_runs_and_sample_zero_is_intact(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS.values())], "doc_id long, text string")
     vocab, qw = vz.fit_corpus(docs, vz.query_from_text(spark, QUERY))
-    s = lo.perturbed_scores(lo.samples(lo.word_features(docs), 20), vocab, qw, None)
+    s = lo.perturbed_scores(docs, vocab, qw, None, n_samples=20)
     base = {r["doc_id"]: r["score"] for r in rk.cosine_score(vz.weighted_docs(docs, vocab, "text", ["doc_id"]), qw,
                                                              decimals=12).collect()}
     for r in s.where("s = 0").collect():
@@ -118,6 +119,29 @@ def test_local_attribution_runs_and_sample_zero_is_intact(spark):
     assert all(len(v) == 10 for v in per_doc.values())
 
 
+def test_local_explanation_finds_the_planted_word_and_solves_the_ridge(spark):
+    """A score that one word decides; weights compared with an independent solve."""
+    texts = [(i, " ".join(f"word{(i * 7 + k) % 23}" for k in range(12)) + " planted") for i in range(6)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    vocab, _ = vz.fit_corpus(docs, vz.query_from_text(spark, "planted"))
+    coef = [1.0 if t == "planted" else 0.0 for t in vocab.terms]
+    out = lo.local_attribution(docs, vocab, coef, None, n_samples=60).collect()
+    assert {r["doc_id"] for r in out if r["pos"] == 1 and r["word"] == "planted" and r["weight"] > 0} == set(range(6))
+    scores = {(r["doc_id"], r["s"]): r for r in lo.perturbed_scores(docs, vocab, coef, None, n_samples=60).collect()}
+    gone = {(r["doc_id"], r["s"]): set(r["removed"]) for r in lo.removed_words(lo.samples(lo.word_features(docs), 60)).collect()}
+    for i, text in texts:
+        top = [(r["word"], r["weight"]) for r in sorted((r for r in out if r["doc_id"] == i), key=lambda r: r["pos"])]
+        names = [w for w, _ in top]
+        z = np.array([[w not in gone[i, s] for w in names] for s in range(60)], float)
+        y = np.array([scores[i, s]["label"] for s in range(60)])
+        k = np.array([scores[i, s]["kernel"] for s in range(60)])
+        # normal equations with an explicit intercept column that is not penalized
+        x = np.hstack([z, np.ones((60, 1))])
+        penalty = fixed.FINAL_RIDGE_ALPHA * np.diag([1.0] * len(names) + [0.0])
+        want = np.linalg.solve(x.T @ (k[:, None] * x) + penalty, x.T @ (k * y))[:-1]
+        assert np.allclose([v for _, v in top], want, atol=1e-9)
+
+
 def _brute(ex, x, n=10, n_bias=3, lead=None):
     vals = [c * (xi - m) for c, xi, m in zip(ex.coef, x, ex.mean)]
     key = lambda j: (round(-abs(vals[j]), 12), ex.terms[j])
