@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, rows_bounded
 
-# Entries that a worker's cache of encoded strings holds before it starts anew.
+# Strings, and pieces, that a worker keeps the encoding of.
 CACHED = 300_000
 # White space before a space: such a text is not cut at every space.
 _UNSAFE = re.compile(r"\s ")
@@ -102,7 +102,6 @@ class Encoder:
             self.size[t] = len(b)
         self.left: dict[int, list[int]] = {}
         self.right: dict[int, list[int]] = {}
-        self.known: dict[str, list[int]] = {}
 
     def stays_apart(self, a: int, b: int) -> bool:
         """Do the merges of a's bytes followed by b's end in just a, b?"""
@@ -209,25 +208,9 @@ class Encoder:
             row, at = row[more], at[more]
         return [ids[::-1] if self.ranks.get(p) is None else [self.ranks[p]] for p, ids in zip(pieces, out)]
 
-    def learn(self, texts) -> None:
-        """Encodes the pieces of the texts that are not known yet, together."""
-        new = set()
-        for s in texts:
-            new.update(self.pieces.findall(s))
-        new = [p for p in new if p not in self.known and len(p) <= 64]
-        if len(self.known) + len(new) > CACHED:
-            self.known.clear()
-        for k in range(0, len(new), 50_000):
-            some = new[k:k + 50_000]
-            self.known.update(zip(some, self.pieces_many([p.encode() for p in some])))
-
     def text(self, s: str) -> list[int]:
         """Ids of a whole text."""
-        out: list[int] = []
-        for p in self.pieces.findall(s):
-            ids = self.known.get(p)
-            out += self.piece(p.encode()) if ids is None else ids
-        return out
+        return [i for p in self.pieces.findall(s) for i in self.piece(p.encode())]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.text.__getitem__, ids))
@@ -298,47 +281,83 @@ def strings(s: str) -> list[str]:
     return _SAFE_CUT.split(s) if _UNSAFE.search(s) else [p if not k else " " + p for k, p in enumerate(s.split(" "))]
 
 
-class Digests(dict):
-    """For a string between safe cuts: (ids joined by commas, number, decoded bytes)."""
+class Strings(dict):
+    """What is made of the ids of each string between safe cuts, and of each
+    piece: found once for all texts given together and kept for the next ones.
+    When the store is full, what the current texts do not use is dropped."""
 
-    def __init__(self, encoder: Encoder):
-        self.encoder = encoder
+    def __init__(self, encoder: Encoder, of_ids, joined):
+        self.encoder, self.of_ids, self.joined = encoder, of_ids, joined
+        self.pieces: dict[str, object] = {}
 
-    def __missing__(self, s: str) -> tuple[bytes, int, bytes]:
-        ids = self.encoder.text(s)
-        out = ",".join(map(str, ids)).encode(), len(ids), self.encoder.decode(ids)
-        if len(s) <= 64:
-            self[s] = out
+    def of(self, texts: list[str]) -> list[list]:
+        cuts = [strings(t) if t else [] for t in texts]
+        need = set().union(*cuts)
+        new = [s for s in need if s not in self]
+        found = list(map(self.encoder.pieces.findall, new))
+        _make_room(self, need, len(new))
+        pieces = set().union(*found)
+        unknown = [p for p in pieces if p not in self.pieces]
+        _make_room(self.pieces, pieces, len(unknown))
+        short = [p for p in unknown if len(p) <= 64]
+        for k in range(0, len(short), 50_000):
+            some = short[k:k + 50_000]
+            self.pieces.update(zip(some, map(self.of_ids, self.encoder.pieces_many([p.encode() for p in some]))))
+        # A long piece by itself: its bytes are gone through one after the other.
+        self.pieces.update((p, self.of_ids(self.encoder.piece(p.encode()))) for p in unknown if len(p) > 64)
+        known, joined = self.pieces, self.joined
+        self.update(zip(new, (known[ps[0]] if len(ps) == 1 else joined([known[p] for p in ps]) for ps in found)))
+        out = [list(map(self.__getitem__, c)) for c in cuts]
+        for store, keys in ((self, new), (self.pieces, unknown)):
+            for s in keys:
+                if len(s) > 64:
+                    del store[s]
         return out
 
+
+def _make_room(store: dict, need: set, n: int) -> None:
+    if len(store) + n > CACHED:
+        kept = {s: store[s] for s in need if s in store}
+        dict.clear(store)
+        store.update(kept)
+
+
+class Digests(Strings):
+    """Values: (ids joined by commas, their number, decoded bytes)."""
+
+    def __init__(self, encoder: Encoder):
+        data = encoder.vocabulary.text
+        shown = {i: str(i) for i in data}
+        super().__init__(encoder, lambda ids: (",".join([shown[i] for i in ids]).encode(), len(ids), b"".join([data[i] for i in ids])),
+                         lambda parts: (b",".join([p[0] for p in parts]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts])))
+
     def of_all(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text (number of ids, SHA-256 of the joined ids, SHA-256 of the decoded bytes)."""
-        cuts = [strings(t) if t else [] for t in texts]
-        new = set()
-        for c in cuts:
-            new.update(c)
-        new -= self.keys()
-        if len(self) + len(new) > CACHED:
-            self.clear()
-            new = set().union(*cuts)
-        self.encoder.learn(new)
-        out = []
-        for c in cuts:
-            parts = [self[s] for s in c]
-            out.append((sum([p[1] for p in parts]), hashlib.sha256(b",".join([p[0] for p in parts if p[1]])).hexdigest(),
-                        hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest()))
-        return out
+        return [(sum([p[1] for p in parts]), hashlib.sha256(b",".join([p[0] for p in parts if p[1]])).hexdigest(),
+                 hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest()) for parts in self.of(texts)]
+
+
+class Ids(Strings):
+    """Values: lists of ids."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__(encoder, lambda ids: ids, lambda parts: [i for p in parts for i in p])
+
+    def of_all(self, texts: list[str]) -> list[list[int]]:
+        return [[i for p in parts for i in p] for parts in self.of(texts)]
 
 
-# Per worker process: tasks that follow each other share the caches.
-_KEPT: dict[tuple[str, str], Digests] = {}
+# Per worker process: tasks that follow each other share the stores.
+_KEPT: dict[tuple, Encoder | Strings] = {}
 
 
-def _digests(key: tuple[str, str], shared) -> Digests:
+def _kept(kind: type, key: tuple[str, str], shared):
     if key not in _KEPT:
         _KEPT.clear()
-        _KEPT[key] = Digests(Encoder(shared.value))
-    return _KEPT[key]
+        _KEPT[key] = Encoder(shared.value)
+    if kind is Encoder:
+        return _KEPT[key]
+    return _KEPT.setdefault((kind, *key), kind(_KEPT[key]))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,9 +365,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     shared = docs.sparkSession.sparkContext.broadcast(load(path, pattern))
 
     def run(_, texts: pa.Array) -> dict:
-        encoder, texts = _digests((path, pattern), shared).encoder, [t or "" for t in texts.to_pylist()]
-        encoder.learn(texts)
-        ids = [encoder.text(t) for t in texts]
+        ids = _kept(Ids, (path, pattern), shared).of_all([t or "" for t in texts.to_pylist()])
         return {"n_tokens": pa.array(map(len, ids), pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))}
 
     return map_texts(docs, run, "n_tokens long, ids array<int>", id_col, text_col)
@@ -361,7 +378,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            encoder = _digests((path, pattern), shared).encoder
+            encoder = _kept(Encoder, (path, pattern), shared)
             data = [None if x is None else encoder.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["_id", "data"])
 
@@ -376,7 +393,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(load(path, pattern))
 
     def run(_, texts: pa.Array) -> dict:
-        n, ids, data = zip(*_digests((path, pattern), shared).of_all([t or "" for t in texts.to_pylist()]))
+        n, ids, data = zip(*_kept(Digests, (path, pattern), shared).of_all([t or "" for t in texts.to_pylist()]))
         return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(data)}
 
     return map_texts(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
