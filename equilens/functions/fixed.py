@@ -11,6 +11,19 @@ list order, origin lists are tested in order) keep that order.
 # FIXED VALUES: document parser (per-document extraction rules)
 # --------------------------------------------------------------------------
 
+# Patterns of the cleaning and extraction rules.
+# Python's str.isspace() set, as a regex class body.
+WS = (r"\x{09}-\x{0D}\x{20}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+      r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+WORD = r"\p{L}\p{N}_"
+
+EMAIL_RE = rf"[{WORD}.+-]+@[{WORD}.-]+\.[{WORD}]+"
+STRIP_RE = rf"^[{WS}]+|[{WS}]+$"
+TAG_RE = r"<[^>]+>"
+URL_RE = rf"http[^{WS}]+|www\.[^{WS}]+"
+WS_RUN_RE = rf"[{WS}]+"
+NON_ASCII_RE = r"[^\x{00}-\x{7F}]+"
+
 # Skills reported by the parser, in reporting order (lower-case substring test).
 PARSER_SKILLS = [
     "python", "java", "sql", "react", "aws", "tensorflow", "pytorch",
@@ -168,7 +181,7 @@ CONTRAST_TERMS = 3
 
 # Noise terms: 4-digit years starting 19/20, anything with "@", or containing
 # one of these words.
-NOISE_YEAR_PREFIXES = ["19", "20"]
+NOISE_YEAR_RE = r"^(19|20)\p{Nd}{2}$"
 NOISE_WORDS = [
     "email", "phone", "address",
     "experience", "education", "skills",

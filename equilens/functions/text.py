@@ -14,18 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-
-# Python's str.isspace() set, as a regex class body.
-WS = (r"\x{09}-\x{0D}\x{20}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-      r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
-WORD = r"\p{L}\p{N}_"
-
-EMAIL_RE = rf"[{WORD}.+-]+@[{WORD}.-]+\.[{WORD}]+"
-STRIP_RE = rf"^[{WS}]+|[{WS}]+$"
-TAG_RE = r"<[^>]+>"
-URL_RE = rf"http[^{WS}]+|www\.[^{WS}]+"
-WS_RUN_RE = rf"[{WS}]+"
-NON_ASCII_RE = r"[^\x{00}-\x{7F}]+"
+from .fixed import EMAIL_RE, NON_ASCII_RE, STRIP_RE, TAG_RE, URL_RE, WORD, WS, WS_RUN_RE
 
 
 def portable_regex(p: str) -> str:

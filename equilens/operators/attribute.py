@@ -29,7 +29,6 @@ from ..functions import text as tx
 from ..functions.tokens import bigrams, tokenize
 
 ORDER_DECIMALS = 12   # attributions equal to 12 decimals count as ties (broken by term)
-YEAR_RE = r"^(" + "|".join(fixed.NOISE_YEAR_PREFIXES) + r")\p{Nd}{2}$"
 
 
 @dataclass(frozen=True)
@@ -90,7 +89,7 @@ def noise_terms(vocab: DataFrame, name_toks: DataFrame) -> DataFrame:
     hit = vw.join(F.broadcast(matched), "word", "left_semi").select("idx").distinct() \
         .withColumn("_name_hit", F.lit(True))
     words = F.split(F.col("term"), " ")
-    static = (F.col("term").rlike(YEAR_RE) | F.col("term").contains("@")
+    static = (F.col("term").rlike(fixed.NOISE_YEAR_RE) | F.col("term").contains("@")
               | F.arrays_overlap(words, F.array(*[F.lit(w) for w in fixed.NOISE_WORDS])))
     return (vocab.join(F.broadcast(hit), "idx", "left")
             .select("idx", "term", (static | F.coalesce(F.col("_name_hit"), F.lit(False))).alias("is_noise")))
@@ -272,12 +271,6 @@ def attribution_long(weighted: DataFrame, ex: LinearExplainer, keys: list[str],
                                                  (F.round("e.value", decimals) + F.lit(0.0)).alias("value"))
 
 
-def leader_weights(scored: DataFrame, score_col: str = "score", id_col: str = "doc_id", w_col: str = "w"):
-    """The rank-1 document's weight vector (top-1: TakeOrderedAndProject)."""
-    r = scored.orderBy(F.desc(score_col), F.asc(id_col)).select(w_col).first()
-    return tuple(r[w_col]) if r is not None else None
-
-
 def explode_pairs(df: DataFrame, keys: list[str], col: str, value_field: str, value_alias: str | None = None,
                   decimals: int | None = None) -> DataFrame:
     """Long form (keys..., pos, term, value) of an array<struct<term, value>>."""
@@ -290,4 +283,4 @@ def explode_pairs(df: DataFrame, keys: list[str], col: str, value_field: str, va
 
 
 __all__ = ["LinearExplainer", "feature_means", "name_tokens", "noise_terms", "build_explainer", "explain",
-           "contrast", "contrast_text", "leader_weights", "explode_pairs", "vector_to_array"]
+           "contrast", "contrast_text", "explode_pairs", "vector_to_array"]

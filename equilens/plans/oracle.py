@@ -1,8 +1,8 @@
 """Independent SQL (DuckDB dialect) for the registered queries.
 
 The SQL is written from the operator semantics, not generated from the Spark
-plans.  Patterns come from the same fixed values and character classes so
-both engines test the same thing.  DuckDB lists are 1-based and its lambdas
+plans.  Word lists are the fixed values; patterns are written out here, apart
+from those of the operators, so that a wrong one does not pass on both sides.  DuckDB lists are 1-based and its lambdas
 are ``lambda x: ...``.
 """
 
@@ -11,8 +11,27 @@ from __future__ import annotations
 import math
 
 from ..functions import fixed
-from ..functions import text as tx
-from ..functions.tokens import RUN_RE, TOKEN_RE, english_stop_words
+from ..functions.tokens import english_stop_words
+
+# White space as Python's str.isspace() has it, and word characters, spelled out.
+SPACE = r"\x{09}\x{0A}\x{0B}\x{0C}\x{0D}\x{1C}\x{1D}\x{1E}\x{1F}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+EMAIL = r"[\pL\pN_.+-]+@[\pL\pN_.-]+\.[\pL\pN_]+"
+ENDS = "^[" + SPACE + "]+|[" + SPACE + "]+$"
+TAG = "<[^>]+>"
+LINK = "http[^" + SPACE + "]+|www[.][^" + SPACE + "]+"
+SPACES = "[" + SPACE + "]+"
+FOREIGN = r"[^\x{00}-\x{7F}]+"
+TOKEN_RE = r"[\pL\pN_][\pL\pN_]+"
+RUN_RE = r"[\pL\pN_]+"
+
+
+def gap_pattern(patterns) -> str:
+    """Python patterns in RE2: white space as above, a dot is all but a line feed."""
+    return "|".join("(?:" + p.replace(r"\s", "[" + SPACE + "]") + ")" for p in patterns)
+
+
+def whole_words(words) -> str:
+    return r"(?:^|[^\pL\pN_])(?:" + "|".join(words) + r")(?:[^\pL\pN_]|$)"
 
 
 def q(s: str) -> str:
@@ -76,7 +95,7 @@ def s_text(c: str) -> str:
 
 
 def s_strip(c: str) -> str:
-    return f"regexp_replace({c}, {q(tx.STRIP_RE)}, '', 'g')"
+    return f"regexp_replace({c}, {q(ENDS)}, '', 'g')"
 
 
 def s_lines(c: str) -> str:
@@ -84,7 +103,7 @@ def s_lines(c: str) -> str:
 
 
 def s_email(c: str) -> str:
-    return f"regexp_extract({s_text(c)}, {q(tx.EMAIL_RE)}, 0)"
+    return f"regexp_extract({s_text(c)}, {q(EMAIL)}, 0)"
 
 
 def s_name(c: str) -> str:
@@ -97,7 +116,7 @@ def s_any_contains(c: str, kws) -> str:
 
 
 def s_skills(c: str, kws=fixed.PARSER_SKILLS) -> str:
-    items = ", ".join(f"CASE WHEN contains(lower({s_text(c)}), {q(k)}) THEN {q(tx.skill_display(k))} END" for k in kws)
+    items = ", ".join(f"CASE WHEN contains(lower({s_text(c)}), {q(k)}) THEN {q(k.title())} END" for k in kws)
     return f"array_to_string(list_filter([{items}], lambda x: x IS NOT NULL), ', ')"
 
 
@@ -113,7 +132,7 @@ def s_tier(c: str, kws=fixed.PARSER_TIER1) -> str:
 
 
 def s_gap(c: str, patterns=fixed.PARSER_GAP_PATTERNS) -> str:
-    return (f"CASE WHEN regexp_matches(lower({s_text(c)}), {q(tx.gap_regex(patterns))}) THEN {q(fixed.GAP_YES)} "
+    return (f"CASE WHEN regexp_matches(lower({s_text(c)}), {q(gap_pattern(patterns))}) THEN {q(fixed.GAP_YES)} "
             f"ELSE {q(fixed.GAP_NO)} END")
 
 
@@ -124,7 +143,7 @@ def s_gender(c: str, female=fixed.PARSER_FEMALE_PATTERN, male=fixed.PARSER_MALE_
 
 
 def s_gender_words(c: str) -> str:
-    return s_gender(c, tx.words_regex(fixed.PREP_FEMALE_WORDS), tx.words_regex(fixed.PREP_MALE_WORDS))
+    return s_gender(c, whole_words(fixed.PREP_FEMALE_WORDS), whole_words(fixed.PREP_MALE_WORDS))
 
 
 def s_origin(name: str) -> str:
@@ -148,10 +167,10 @@ def s_origin_text(c: str) -> str:
 
 def s_clean(c: str) -> str:
     t = s_text(c)
-    t = f"regexp_replace({t}, {q(tx.TAG_RE)}, ' ', 'g')"
-    t = f"regexp_replace({t}, {q(tx.URL_RE)}, ' ', 'g')"
-    t = f"regexp_replace({t}, {q(tx.WS_RUN_RE)}, ' ', 'g')"
-    t = f"regexp_replace({t}, {q(tx.NON_ASCII_RE)}, ' ', 'g')"
+    t = f"regexp_replace({t}, {q(TAG)}, ' ', 'g')"
+    t = f"regexp_replace({t}, {q(LINK)}, ' ', 'g')"
+    t = f"regexp_replace({t}, {q(SPACES)}, ' ', 'g')"
+    t = f"regexp_replace({t}, {q(FOREIGN)}, ' ', 'g')"
     return s_strip(t)
 
 
@@ -237,7 +256,7 @@ def sql_fill(template: str, **exprs: str) -> str:
 
 
 def attribution_ctes(names: str | None = None) -> str:
-    year = r"^(" + "|".join(fixed.NOISE_YEAR_PREFIXES) + r")\p{Nd}{2}$"
+    year = r"^(19[0-9][0-9]|20[0-9][0-9])$"
     names = names or f"SELECT doc_id, {s_name('text')} AS name FROM documents"
     return f""",
 names AS ({names}),

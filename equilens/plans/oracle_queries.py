@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from ..functions import fixed
-from ..functions import text as tx
-from ..functions.tokens import RUN_RE, TOKEN_RE  # noqa: F401
 from . import oracle as o
 from .queries import TOP_K
 
@@ -138,7 +136,7 @@ def _attribution() -> dict[str, str]:
 
 def _vector_rank_audit() -> dict[str, str]:
     from .queries import AUDIT_ATTRS
-    tok = f"regexp_extract_all(lower(coalesce(text, '')), {o.q(TOKEN_RE)})"
+    tok = f"regexp_extract_all(lower(coalesce(text, '')), {o.q(o.TOKEN_RE)})"
     return {
         "tokenize": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 "
                     f"FROM (SELECT doc_id, {tok} AS t FROM documents)",
