@@ -74,7 +74,7 @@ def queue(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = C
     """(_id, _source, size, source_size, target, mixed, ahead): ``mixed`` is the
     row's place in the shuffled order, ``ahead`` the words of its source up to
     and with it.  A checkpointed table, one row per row of ``docs``."""
-    rows = cut(sizes(docs, id_col, text_col, source_col).withColumn("mixed", F.xxhash64("_id", F.lit(seed))))
+    rows = cut(sizes(docs, id_col, text_col, source_col).withColumn("mixed", _mixed(F.col("_id"), seed)))
     ranges = math.isqrt(rows.count()) + 1
     rows = rows.withColumn("_range", _range_of(F.col("mixed"), ranges))
     sums = cut(rows.groupBy("_key", "_range").agg(F.first("_source").alias("_source"), F.sum("size").alias("words")))
@@ -87,9 +87,15 @@ def queue(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = C
     return cut(rows.select("_id", "_source", "size", "source_size", "target", "mixed", (F.col("start") + F.col("ahead")).alias("ahead")))
 
 
+def _mixed(key: Column, seed: int) -> Column:
+    """Place in the shuffled order: the first 60 bits of an MD5 of seed and id."""
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def _range_of(mixed: Column, ranges: int) -> Column:
-    """Range 0..ranges-1 of a uniform 64-bit hash, in the order of the hash."""
-    return F.least(F.floor((mixed.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * F.lit(ranges)), F.lit(ranges - 1)).cast("long")
+    """Range 0..ranges-1 of a uniform 60-bit hash, in the order of the hash."""
+    return F.least(F.floor(mixed.cast("double") / F.lit(2.0**60) * F.lit(ranges)), F.lit(ranges - 1)).cast("long")
 
 
 def _finish(turn: Column) -> Column:
