@@ -1,8 +1,8 @@
 """Table loading and the fitted state shared by the registered queries.
 
 Fitted artifacts (vocabulary, query vector, model coefficients) are bounded
-by ``max_features`` and memoized per data folder so that a driver running
-many queries fits once.  Tables themselves are never cached here.
+by ``max_features`` and kept in a :class:`State`, so that a driver running
+many queries fits once.  Input tables themselves are never cached here.
 """
 
 from __future__ import annotations
@@ -21,7 +21,36 @@ from ..sources.readers import spread
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
-_FITS: dict = {}
+
+class State:
+    """What queries of one run share: fitted artifacts and checkpointed tables,
+    by session and data folder.  The caller starts one (:func:`start`) and by
+    starting the next lets go of it, so that new data under an old path is
+    read anew."""
+
+    def __init__(self) -> None:
+        self.fits: dict = {}
+        self.scored: dict = {}
+        self.explainers: dict = {}
+        self.explained: dict = {}
+        self.models: dict = {}
+
+
+_state = State()
+
+
+def start(state: State | None = None) -> State:
+    global _state
+    _state = state or State()
+    return _state
+
+
+def state() -> State:
+    return _state
+
+
+def key_of(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    return spark.sparkContext.applicationId, sf_dir.rstrip("/")
 
 
 # A caller whose text tables are single small files sets the number of
@@ -45,13 +74,13 @@ class Fitted:
 
 
 def fitted(spark: SparkSession, sf_dir: str, max_features: int = fixed.MAX_FEATURES) -> Fitted:
-    key = (os.path.abspath(sf_dir), max_features)
-    if key not in _FITS:
+    key = (*key_of(spark, sf_dir), max_features)
+    if key not in _state.fits:
         docs = table(spark, sf_dir, "documents")
         query = vz.query_document(table(spark, sf_dir, "benchmark"))
         vocab, qw = vz.fit_corpus(docs, query, max_features=max_features)
-        _FITS[key] = Fitted(vocab, qw)
-    return _FITS[key]
+        _state.fits[key] = Fitted(vocab, qw)
+    return _state.fits[key]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,9 +92,6 @@ def parsed_documents(spark: SparkSession, sf_dir: str, keep: list[str] | None =
     return tx.parse_frame(documents(spark, sf_dir), "text", ["doc_id"] + (keep or []))
 
 
-_SCORED: dict = {}
-
-
 def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored corpus, computed once per data folder and session and cut
     from its lineage: (doc_id, lang, name, the four parser attributes,
@@ -73,8 +99,8 @@ def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights; weights are re-derived inside the row when needed."""
     from ..operators.rank import cosine_score
     from ..session import materialize
-    key = (os.path.abspath(sf_dir), id(spark))
-    if key not in _SCORED:
+    key = key_of(spark, sf_dir)
+    if key not in _state.scored:
         f = fitted(spark, sf_dir)
         d = tx.with_lowered(documents(spark, sf_dir), "text")
         t, tl = F.col("text"), F.col("_tl")
@@ -85,8 +111,8 @@ def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         base = base.withColumn("name_origin_proxy", tx.name_origin(F.col("name")))
         c = f.vocab.counts(f.vocab.add_terms(base, "text", "_terms").drop("text"), "_terms", "tf_vec").drop("_terms")
         scored = cosine_score(f.vocab.weights_from_counts(c, "tf_vec", "w"), f.query_weights).drop("w")
-        _SCORED[key] = materialize(scored)
-    return _SCORED[key]
+        _state.scored[key] = materialize(scored)
+    return _state.scored[key]
 
 
 def scored_documents(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:

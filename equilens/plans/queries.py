@@ -232,9 +232,6 @@ QUERIES.update({
 # -- attribution (X1-X10) ---------------------------------------------------------
 from ..operators import attribute as at  # noqa: E402
 
-_EXPL: dict = {}
-
-
 def _names(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.extract_name(F.col("text")).alias("name"))
 
@@ -246,8 +243,8 @@ def _weighted_scored(spark, sf_dir, keep=None):
 def linear_explainer(spark, sf_dir):
     """Explainer of the cosine score (a linear function of the document
     vector with the query vector as coefficients), with its leader."""
-    key = cx.os.path.abspath(sf_dir)
-    if key not in _EXPL:
+    key, kept = cx.key_of(spark, sf_dir), cx.state().explainers
+    if key not in kept:
         f = cx.fitted(spark, sf_dir)
         ws = _weighted_scored(spark, sf_dir)
         mean = at.feature_means(ws)
@@ -255,8 +252,8 @@ def linear_explainer(spark, sf_dir):
         noise = at.noise_terms(f.vocab.table(spark), at.name_words_frame(names))
         ex = at.build_explainer(f.vocab.terms, f.query_weights, mean, noise)
         lead = ws.orderBy(F.desc("score"), F.asc("doc_id")).select("doc_id", "w").first()
-        _EXPL[key] = (ex, int(lead["doc_id"]), tuple(ex.attributions(lead["w"])))
-    return _EXPL[key]
+        kept[key] = (ex, int(lead["doc_id"]), tuple(ex.attributions(lead["w"])))
+    return kept[key]
 
 
 def linear_attribution(spark, sf_dir):
@@ -273,23 +270,20 @@ def noise_terms(spark, sf_dir):
     return at.noise_terms(f.vocab.table(spark), at.name_tokens(_names(spark, sf_dir))).select("term", "is_noise")
 
 
-_EXPLAINED: dict = {}
-
-
 def _explained(spark, sf_dir):
     """Per-document explanations, computed once per data folder and cut from
     their lineage (five queries read them)."""
     from ..session import materialize
-    key = (cx.os.path.abspath(sf_dir), id(spark))   # holds DataFrames: one per session
+    key, kept = cx.key_of(spark, sf_dir), cx.state().explained
     ex, lead_id, lead_attr = linear_explainer(spark, sf_dir)
-    if key not in _EXPLAINED:
+    if key not in kept:
         # Stores the sparse counts, not the dense weights (re-derived in the row).
         f = cx.fitted(spark, sf_dir)
         s = cx.scored_table(spark, sf_dir).select("doc_id", "name", "tf_vec", "score")
         ws = f.vocab.weights_from_counts(s, "tf_vec", "w")
         d = at.explain(ws, ex).select("doc_id", "name", "score", "tf_vec", "ordered", "top_features", "bias_note")
-        _EXPLAINED[key] = materialize(d)
-    return _EXPLAINED[key], ex, lead_id, lead_attr
+        kept[key] = materialize(d)
+    return kept[key], ex, lead_id, lead_attr
 
 
 def attribution_topn(spark, sf_dir):
@@ -509,17 +503,14 @@ QUERIES.update({
 # -- the model path (K2-K4, P5, A2 with the model's class, X1 with model coefficients) -------
 from . import flow as pl  # noqa: E402
 
-_MODEL: dict = {}
-
-
 def model_run(spark, sf_dir):
     """Ranked documents with the parser's attributes, name and the model."""
-    key = (cx.os.path.abspath(sf_dir), id(spark))   # holds DataFrames: one per session
-    if key not in _MODEL:
+    key, kept = cx.key_of(spark, sf_dir), cx.state().models
+    if key not in kept:
         f = cx.fitted(spark, sf_dir)
         scored = cx.scored_documents(spark, sf_dir, ["name"] + fixed.AUDIT_ATTRIBUTES)
-        _MODEL[key] = pl.model_and_rank(scored, f.vocab, f.query_weights)
-    return _MODEL[key]
+        kept[key] = pl.model_and_rank(scored, f.vocab, f.query_weights)
+    return kept[key]
 
 
 def rank_model_quality(spark, sf_dir):
