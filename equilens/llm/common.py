@@ -17,7 +17,7 @@ from ..session import ship_package
 WORD = r"[^\x20\x09-\x0D]+"
 # Bytes of text that a Python task works on at a time (one longer text is
 # still taken whole).
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 # A side with at most this many rows (counted first) is broadcast; a larger
 # one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
