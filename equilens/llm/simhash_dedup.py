@@ -2,8 +2,8 @@
 
 1. **Fingerprint**, in one pass over the texts: words after A-Z lower-casing,
    shingles of ``shingle`` words, XXH64 of each, majority vote per bit.
-2. **Classes**: documents with one fingerprint form a class named by its least
-   doc_id (aggregation with map-side combine), so copies never meet as pairs.
+2. **Classes**: documents with one fingerprint form a class named by it
+   (aggregation with map-side combine), so copies never meet as pairs.
 3. **Trie self-join** of the distinct fingerprints.  The top ``depth`` levels
    of the binary trie are crossed by arithmetic: two subtrees whose prefixes
    differ in more than ``max_bits`` bits are pruned, every other pair of
@@ -14,14 +14,15 @@
    pair of nodes is dropped as soon as the error budget is spent.
 4. A unit unites what it links and returns one link per united fingerprint,
    so a dense group of K near copies gives O(K) rows, not K**2.
-5. **Components** over the classes (:mod:`components`), then every document
-   takes the component of its class.
+5. **Components** over the classes (:mod:`components`), named by the least
+   doc_id among their rows; every row takes the component of its class.
 
 Null or wordless texts have fingerprint zero and link like any other.  A row
 with a null doc_id gets its fingerprint, but takes no part in naming: its component
 is that of its class, null where no document of the component
-has an id.  Rows that repeat a doc_id are the same document: each gets a result,
-:func:`keep_one` keeps one of them.
+has an id.  Rows are told apart by their values, not by doc_id: rows that repeat
+an id with other texts lie in the components of their texts, and
+:func:`keep_one` decides for each row.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, join_counted, map_texts
@@ -47,7 +48,7 @@ SEED = 42
 # and the least depth, which spreads small inputs too.
 SUBTREE = 4096
 MIN_DEPTH = 6
-# Above every doc_id: names for classes in which no row has an id.
+# Above every id: names for classes in which no row has an id (operator 6).
 NAMELESS = 2**62
 # A pair of nodes with so few pairs of leaves is compared leaf by leaf.
 LEAF_PAIRS = 32
@@ -69,12 +70,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * votes > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) with fp as a signed long; one row per row of ``docs``."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, columns of ``carry``, fp) with fp as a signed long; one row per row of ``docs``."""
     def run(_, texts: pa.Array) -> dict:
         return {"fp": np.array([fingerprint(t, shingle, seed) for t in texts.to_pylist()], np.uint64).view(np.int64)}
 
-    return map_texts(docs, run, "fp long", id_col, text_col)
+    return map_texts(docs, run, "fp long", id_col, text_col, carry)
 
 
 class Trie:
@@ -210,27 +211,46 @@ def trie_links(classes: DataFrame, max_bits: int = MAX_BITS, n: int | None = Non
     return units.groupBy("unit").applyInPandas(unit_links, "a long, b long")
 
 
+def _components(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, c): the component of each fingerprint, named by its least fingerprint."""
+    classes = cut(fps.select("fp").distinct().withColumn("node", F.col("fp")))
+    found = connected_components(trie_links(classes, max_bits), "a", "b")
+    return cut(classes.join(found, "node", "left").select("fp", F.coalesce("component", "fp").alias("c")))
+
+
 def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): one row per row of ``docs``."""
     fps = cut(fingerprints(docs, shingle, seed, id_col, text_col).withColumnRenamed(id_col, "_id"))
-    # A class without any id still connects others: it is named by a number above all ids.
-    classes = cut(fps.groupBy("fp").agg(F.min(F.col("_id").cast("long")).alias("least"))
-                  .select("fp", F.coalesce("least", F.lit(NAMELESS) + F.monotonically_increasing_id()).alias("node")))
-    found = connected_components(trie_links(classes, max_bits), "a", "b")
-    component = cut(classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("c"))
-                    .select("fp", F.when(F.col("c") < NAMELESS, F.col("c")).alias("component_id")))
+    of = _components(fps, max_bits)
+    least = fps.groupBy("fp").agg(F.min(F.col("_id").cast("long")).alias("least"))
+    named = cut(least.join(of, "fp").groupBy("c").agg(F.min("least").alias("component_id")))
+    component = cut(of.join(named, "c").select("fp", "component_id"))
     return fps.join(component, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """The same for rows that agree in every column; a null counts as a value of its own."""
+    return F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: the document that names its component,
-    once also where rows repeat its id.  Rows without an id stay too: nothing
-    tells them from each other."""
-    found = simhash_dedup(docs, shingle, max_bits, seed, id_col, text_col)
-    gone = cut(found.where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id"))).select(id_col).distinct())
-    again = cut(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").select(id_col))
-    left = join_counted(docs, gone, id_col, "left_anti")
+    """One row of each component of ``docs``: the first by id (null last), then by
+    a hash of all columns.  Rows with neither an id nor words are a group of
+    their own, of which one stays."""
+    fps = cut(fingerprints(docs, shingle, seed, id_col, text_col, {"_m": _row_hash(docs)}).withColumnRenamed(id_col, "_i"))
+    bare = F.col("_i").isNull() & (F.col("fp") == 0)
+    order = F.struct(F.col("_i").isNull().alias("none"), "_i", "_m")
+    stays = (fps.join(_components(fps, max_bits), "fp").groupBy("c", bare.alias("bare")).agg(F.min(order).alias("s"))
+             .select(F.col("s._i").alias("_si"), F.col("s._m").alias("_sm")))
+    # Equal id and hash are equal rows, so of one component.
+    seen = fps.groupBy("_i", "_m").count()
+    chosen = cut(seen.join(stays, (F.col("_m") == F.col("_sm")) & F.col("_i").eqNullSafe(F.col("_si")), "left")
+                 .select("_i", "_m", F.col("_sm").isNotNull().alias("stays"), "count"))
+    gone = cut(chosen.where("not stays").select("_i", "_m"))
+    again = cut(chosen.where("stays and count > 1").select("_i", "_m"))
+    same = (F.col("_mark") == F.col("_m")) & F.col(id_col).eqNullSafe(F.col("_i"))
+    left = join_counted(docs.withColumn("_mark", _row_hash(docs)), gone, same, "left_anti")
     if again.isEmpty():
-        return left
-    once = join_counted(left, again, id_col, "left_semi").dropDuplicates([id_col])
-    return join_counted(left, again, id_col, "left_anti").unionByName(once)
+        return left.drop("_mark")
+    once = join_counted(left, again, same, "left_semi").dropDuplicates([id_col, "_mark"])
+    return join_counted(left, again, same, "left_anti").unionByName(once).drop("_mark")

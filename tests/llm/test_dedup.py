@@ -60,6 +60,19 @@ def test_simhash_against_brute_force(spark):
     assert sum(r.doc_id is None for r in kept) == sum(r[0] is None for r in rows)
 
 
+def test_simhash_decides_per_row(spark):
+    a, b, c = (prose(k, 400) for k in (201, 202, 203))
+    near = " ".join(w if k != 7 else "changed" for k, w in enumerate(a.split()))
+    assert 0 < bin(brute_fingerprint(a) ^ brute_fingerprint(near)).count("1") <= 3
+    rows = [row(5, a), row(5, b), row(3, b), row(9, near), row(None, c), row(None, c), row(None, c, "de"), row(None, a), row(None, None), row(None, "")]
+    kept = simhash_dedup.keep_one(docs(spark, rows)).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in kept if r.text) == sorted(str(x) for x in [(5, a), (3, b), (None, c)])
+    assert sum(not r.text for r in kept) == 1
+    # An id that repeats does not connect the texts it stands on.
+    got = {(r.doc_id, r.fp & (2**64 - 1)): r.component_id for r in simhash_dedup.simhash_dedup(docs(spark, [row(5, a), row(5, b), row(3, near)])).collect()}
+    assert got == {(5, brute_fingerprint(a)): 3, (5, brute_fingerprint(b)): 5, (3, brute_fingerprint(near)): 3}
+
+
 def test_simhash_empty_table(spark):
     assert simhash_dedup.simhash_dedup(docs(spark, [])).collect() == []
     assert simhash_dedup.keep_one(docs(spark, [])).collect() == []
