@@ -9,9 +9,11 @@ styles and reader comments, known by element or by a word of class, id or role.
 Each line's ratio of text characters to tags is smoothed by a Gaussian over the
 lines of the page.  Lines at or above a threshold, a share of the ratios'
 standard deviation, form the clusters of content; furniture has ratio 0.  The
-content region is the article element (else main, else the smallest container)
-that holds most text of the clusters, and all its lines that are no furniture
-are the text, short ones too.
+content region is all outermost article elements (else all main elements, else
+the smallest container that covers every line of the clusters and every heading,
+or the page where none does), and all its lines that are no furniture are the
+text, short ones too.  Articles inside furniture count only where no others are,
+and then the one with most text of the clusters.
 
 Character references are decoded as HTML5 does, white space inside a line
 becomes one space, lines are trimmed, empty ones left out and the rest joined by
@@ -35,11 +37,10 @@ from .common import map_texts
 
 SIGMA = 1.0
 THRESHOLD = 0.5  # standard deviations
-# A container that holds this share of the clusters' text holds the content.
-HOLDS = 0.8
 
 BLOCKS = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 SPACES = frozenset("br td th wbr img option".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("aside button canvas dialog footer form head header iframe input label menu nav noscript object script select style svg template textarea title".split())
 _WORDS = ("ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|disclaimer|disqus|footer|gdpr|header|masthead|"
@@ -58,6 +59,8 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, int, bool]] = []  # element, container number, furniture
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.kinds: list[str] = []  # element of each container
+        self.ended: dict[int, list[int]] = {}  # place in ``open`` of furniture that articles ended: those articles
+        self.enclosed: set[int] = set()  # articles whose furniture was closed after them
         self.parts: list[str] = []
         self.tags = 0
 
@@ -80,7 +83,11 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
+        self.ended = {k: a for k, a in self.ended.items() if k < len(self.open)}
         if tag in ("article", "main") and not any(t in ("article", "main") for t, *_ in self.open):
+            self.ended |= {k: [] for k, (*_, f) in enumerate(self.open) if f}
+            for articles in self.ended.values():
+                articles.append(len(self.kinds))
             self.open = [(t, c, False) for t, c, _ in self.open]
         furniture = tag in FURNITURE
         for name, value in attrs:
@@ -109,6 +116,8 @@ class Lines(HTMLParser):
             self.end_line()
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
+                self.enclosed.update(self.ended.get(k, ()))
+                self.ended = {at: a for at, a in self.ended.items() if at < k}
                 del self.open[k:]
                 return
 
@@ -148,23 +157,23 @@ def extract(html: str | None) -> str:
         return ""
     ratios = np.array([0.0 if furniture else len(text) / max(1, tags) for text, tags, _, furniture in lines])
     content = content_lines(ratios)
-    held: dict[int, int] = {}
-    total = 0
-    for (text, _, containers, furniture), chosen in zip(lines, content):
-        if chosen and not furniture:
-            total += len(text)
-            for c in containers:
-                held[c] = held.get(c, 0) + len(text)
-    region = None
+    own = [(len(text) * bool(c), containers) for (text, _, containers, furniture), c in zip(lines, content) if not furniture]
+    region: set[int] = set()
     for kind in ("article", "main"):
-        named = [c for c in held if page.kinds[c] == kind]
-        if named:
-            region = max(named, key=lambda c: (held[c], -c))
+        held: dict[int, int] = {}
+        for n, containers in own:
+            c = next((c for c in containers if page.kinds[c] == kind), None)
+            if c is not None:
+                held[c] = held.get(c, 0) + n
+        if held:
+            region = held.keys() - page.enclosed or {max(held, key=lambda c: (held[c], -c))}
             break
-    if region is None:
+    if not region:
+        must = [set(containers) for n, containers in own if n or any(page.kinds[c] in HEADINGS for c in containers)]
         # Containers are numbered from the outside in.
-        region = max((c for c in held if held[c] >= HOLDS * total and page.kinds[c] not in ("h1", "h2", "h3", "li")), default=None)
-    return "\n".join(text for text, _, containers, furniture in lines if not furniture and (region is None or region in containers))
+        shared = [c for c in set.intersection(*must) if page.kinds[c] not in HEADINGS and page.kinds[c] != "li"] if must else []
+        region = {max(shared)} if shared else set()
+    return "\n".join(text for text, _, containers, furniture in lines if not furniture and (not region or not region.isdisjoint(containers)))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:

@@ -336,6 +336,21 @@ def test_main_text_edge_cases(spark):
     assert html_extract.extract_pages(pages.limit(0)).collect() == []
 
 
+def test_main_text_is_whole():
+    long, part = "Words of the main text go on and on. " * 20, "The smaller part of the text has some words as well. " * 3
+    for body in ("<div id=post><h1>A title that heads the whole of the entry</h1><div class=entry><p>%s</p><p>%s</p></div></div>",
+                 "<h1>A title that heads the whole of the entry</h1><p>%s</p><ul><li>%s</li></ul>",
+                 "<h1>A title that heads the whole of the entry</h1><div><p>%s</p></div><div><p>%s</p></div>",
+                 "<article><h1>A title that heads the whole of the entry</h1><p>%s</p></article><article><p>%s</p></article>"):
+        for one, two in ((long, part), (part, long)):
+            page = f"<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav>{body % (one, two)}<footer>Site</footer></body></html>"
+            assert html_extract.extract(page) == f"A title that heads the whole of the entry\n{one.strip()}\n{two.strip()}"
+    split = f"<div>{f'<p>{part}</p>' * 17}</div><div>{f'<p>{part}</p>' * 3}</div>"
+    assert html_extract.extract(f"<html><body><nav>Home</nav>{split}</body></html>") == "\n".join([part.strip()] * 20)
+    teasers = f"<aside><article><p>{long}</p></article><article><p>{part}</p></article></aside>"
+    assert html_extract.extract(f"<body><article><p>{part}</p></article>{teasers}</body>") == part.strip()
+
+
 def test_smoothing_finds_the_cluster():
     ratios = np.array([2.0, 1, 3, 2, 80, 4, 90, 120, 70, 3, 2, 1, 2, 3])
     assert html_extract.content_lines(ratios).tolist() == [False] * 3 + [True] * 6 + [True] + [False] * 4
