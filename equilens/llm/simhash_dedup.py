@@ -9,7 +9,8 @@
    differ in more than ``max_bits`` bits are pruned, every other pair of
    subtrees is one unit of work, and a fingerprint is sent to the units of its
    own subtree.  ``depth`` follows the number of fingerprints, so a unit holds
-   a few thousand whatever the input.  Inside a unit the rest of the trie is
+   a few thousand where they spread evenly; a subtree that many distinct ones
+   share is not split further.  Inside a unit the rest of the trie is
    traversed by pairs of nodes level by level, adding the differing bit, and a
    pair of nodes is dropped as soon as the error budget is spent.
 4. A unit unites what it links and returns one link per united fingerprint,
