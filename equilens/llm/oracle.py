@@ -3,7 +3,7 @@ definitions."""
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing, secret_scan
+from . import embedding_dedup, filter_audit, line_runs, mixing, secret_scan
 
 _Q = "'"
 
@@ -81,3 +81,48 @@ links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a),
 least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id)
 SELECT e.vec_id, coalesce(l.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN least c ON c.vec_id = e.vec_id LEFT JOIN links l ON l.a = e.vec_id"""
+
+
+def line_runs_sql() -> str:
+    """Lines with their keys as text; a key's documents and its largest id by one
+    aggregation."""
+    n = line_runs
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (SELECT r, doc_id, string_split(text, chr(10)) AS lines FROM texts),
+lines AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS place FROM parts),
+keyed AS (SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+frequent AS (SELECT key, max(doc_id) AS top FROM keyed WHERE length(key) >= {n.LEAST_CHARS} GROUP BY key HAVING count(DISTINCT r) >= {n.LEAST_DOCS}),
+judged AS (SELECT k.*, f.key IS NOT NULL AND k.doc_id IS DISTINCT FROM f.top AS dropped FROM keyed k LEFT JOIN frequent f ON f.key = k.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY r"""
+
+
+def filter_audit_sql() -> str:
+    """Every document's failures; each order's removal step by the first filter of
+    the order that is failed."""
+    names = filter_audit.FILTERS
+    words = "list_filter(string_split_regex(t.text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+    letters = ", ".join(f"('{x}')" for x in names)
+    tables = ", ".join(f"letters l{k}" for k in range(len(names)))
+    differ = " AND ".join(f"l{a}.f <> l{b}.f" for a in range(len(names)) for b in range(a))
+    return f"""
+WITH letters(f) AS (VALUES {letters}),
+orders AS (SELECT {' || '.join(f'l{k}.f' for k in range(len(names)))} AS filter_order FROM {tables} WHERE {differ}),
+texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM texts GROUP BY text),
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+counted AS (SELECT t.doc_id, t.part, t.text, {words} AS words, t.doc_id > f.first AS repeat, coalesce(m.good, false) AS good, coalesce(m.toxic, false) AS toxic
+            FROM texts t JOIN firsts f ON f.text = t.text LEFT JOIN marks m ON m.doc_id = t.doc_id),
+failing AS (SELECT part, good, toxic, CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+              || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+              || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN repeat THEN 'E' ELSE '' END AS fails FROM counted),
+cells AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM failing GROUP BY part, fails),
+steps AS (SELECT filter_order, step, substr(filter_order, CAST(step AS BIGINT), 1) AS f FROM orders, range(1, {len(names) + 1}) s(step)),
+removal AS (SELECT c.*, o.filter_order, coalesce(list_min(list_filter(list_transform(string_split(c.fails, ''), lambda x: instr(o.filter_order, x)), lambda i: i > 0 AND c.fails <> '')), {len(names) + 1}) AS gone FROM cells c, orders o),
+rows_ AS (SELECT r.part, s.filter_order, s.step, s.f, sum(n) FILTER (WHERE gone > step) AS kept, sum(n) FILTER (WHERE gone = step) AS removed, sum(n) FILTER (WHERE gone < step AND contains(fails, s.f)) AS redundant,
+            sum(n) FILTER (WHERE fails = s.f) AS unique_fails, sum(good) FILTER (WHERE gone = step) AS good_lost, sum(toxic) FILTER (WHERE gone = step) AS toxic_lost
+          FROM removal r JOIN steps s ON s.filter_order = r.filter_order GROUP BY r.part, s.filter_order, s.step, s.f)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))},
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley FROM rows_"""

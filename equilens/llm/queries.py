@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, html_extract, langid, mixing, oracle, prefix_bpe, quality_gam, quality_rules, secret_scan, toxicity
+from . import embedding_dedup, filter_audit, html_extract, langid, line_runs, mixing, oracle, periodic_runs, prefix_bpe, quality_gam, quality_rules, secret_scan, toxicity
 from . import simhash_dedup as simhash
 from .common import fold, read
 
@@ -83,6 +83,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
+def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256."""
+    out = line_runs.dedup_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, filter_order, step, kept, removed, redundant, unique_fails, good_lost,
+    toxic_lost, shapley."""
+    return filter_audit.audit(filter_audit.corpus_masks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256."""
+    return periodic_runs.run_digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -94,6 +111,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality_gam": op9_quality_gam,
     "op10_secret_scan": op10_secret_scan,
+    "op11_line_runs": op11_line_runs,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 # The others rest on hashes, tokenizers or fitted models that SQL has not; tests
 # compare them with brute force.
@@ -101,4 +121,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_embedding_dedup": oracle.embeddings_sql(),
     "op8_mixing": oracle.mixing_sql(),
     "op10_secret_scan": oracle.secrets_sql(),
+    "op11_line_runs": oracle.line_runs_sql(),
+    "op12_filter_audit": oracle.filter_audit_sql(),
 }
