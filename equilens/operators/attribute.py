@@ -3,13 +3,13 @@
 For a linear model ``f(x) = b + sum_j c_j x_j`` with independent features,
 the per-term attribution against the corpus mean is exactly
 ``c_j (x_j - mean_j)`` (absent terms included).  The attribution matrix is
-dense (n x V), so it is never materialized as a long table: each document's
-V values are computed inside its row from the weight array and three
-literal vectors of length V (coefficients, means, noise flags), sorted, and
-only the top few terms are emitted.  No shuffle, no join.
+dense (n x V) but a term's value is the same, ``-c_j mean_j``, in all documents
+that have it not: these base values and their order are made once, and a row
+looks at its own terms and at as many of the first base terms as could reach
+its top few.  No shuffle, no join.
 
 Inputs that reach the driver are bounded by the vocabulary size: the
-coefficients, the column means (one Summarizer aggregation), the noise flags
+coefficients, the column means (one aggregation by term), the noise flags
 (a broadcast semi-join of vocabulary words against the name tokens), and
 the leader's attribution vector (a top-1).
 """
@@ -19,14 +19,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as tx
 from ..functions.tokens import bigrams, tokenize
+from .vectorize import entries
 
 ORDER_DECIMALS = 12   # attributions equal to 12 decimals count as ties (broken by term)
 
@@ -46,11 +45,18 @@ class LinearExplainer:
 
 # -- corpus statistics ----------------------------------------------------------
 
-def feature_means(weighted: DataFrame, w_col: str = "w") -> tuple[float, ...]:
-    """Column means of the weight arrays: one global aggregation whose state
-    is one vector of vocabulary size."""
-    r = weighted.select(Summarizer.mean(array_to_vector(F.col(w_col))).alias("m")).first()
-    return tuple(float(v) for v in r["m"].toArray())
+def feature_means(weighted: DataFrame, w_col: str = "w", size: int | None = None) -> tuple[float, ...]:
+    """Column means of the weights.  Entries are summed by term number, combined
+    in each partition to at most one row per term; ``size`` is the number of terms
+    (read off the first row of a dense column)."""
+    if size is None:
+        first = weighted.select(w_col).first()
+        size = len(first[w_col]) if first is not None else 0
+    sums = weighted.select(F.explode(entries(weighted, w_col)).alias("e")).groupBy(F.col("e.i").alias("i")).agg(F.sum("e.x").alias("s")).collect()
+    n, out = weighted.count(), [0.0] * size
+    for r in sums:
+        out[r["i"]] = r["s"] / n
+    return tuple(out)
 
 
 # -- name tokens and noise terms (X2-X4) ------------------------------------------
@@ -109,58 +115,36 @@ def build_explainer(terms, coef, mean, noise_df: DataFrame, intercept: float = 0
 
 # -- per-document attribution (X1, X5-X8) ---------------------------------------------
 
-CANDIDATE_MARGIN = 16   # extra absent items per row; covers near-ties of the global order
+def _order(values, terms, eligible) -> list[int]:
+    """Numbers of the eligible terms by (-|value| rounded, term)."""
+    return sorted((j for j in range(len(terms)) if eligible[j]), key=lambda j: (round(-abs(values[j]), ORDER_DECIMALS), terms[j]))
 
 
-def _global_ranks(values, terms, eligible) -> list[int]:
-    """1-based position of each eligible item in the (-|value| rounded, term)
-    order, 0 for ineligible ones (vocabulary order)."""
-    order = sorted((j for j in range(len(terms)) if eligible[j]),
-                   key=lambda j: (round(-abs(values[j]), ORDER_DECIMALS), terms[j]))
-    ranks = [0] * len(terms)
-    for r, j in enumerate(order, 1):
-        ranks[j] = r
-    return ranks
+def _literal(values, kind: str) -> Column:
+    return F.lit(list(values)) if len(values) else F.array().cast(f"array<{kind}>")
 
 
-def _items(w_col: str, ex: LinearExplainer, ranks: dict | None = None) -> Column:
-    """array<struct<k, term, value, noise, x, [rank columns]>> over the
-    vocabulary, k = -|value| rounded (the sort key).  The weight array enters
-    through ``arrays_zip`` (evaluated once per row)."""
-    ranks = ranks or {}
-    cols = [F.col(w_col).alias("x"), F.col("_c"), F.col("_m"), F.col("_t"), F.col("_n")] + \
-        [F.col("_r_" + r) for r in ranks]
-    z = F.arrays_zip(*cols)
+def _top(d: DataFrame, ex: LinearExplainer, present: Column, absent: list[float], order: list[int], n: int) -> Column:
+    """The first ``n`` items (k, term, value) by (k, term) of the document's own
+    items and the terms it has not.
 
-    def item(e):
-        v = e["_c"] * (e["x"] - e["_m"])
-        return F.struct(F.round(F.lit(0.0) - F.abs(v), ORDER_DECIMALS).alias("k"), e["_t"].alias("term"),
-                        v.alias("value"), e["_n"].alias("noise"), e["x"].alias("x"),
-                        *[e["_r_" + r].alias("r_" + r) for r in ranks])
-    return F.transform(z, item)
+    A term that a document has not has the same value in all such documents,
+    so these terms have one order, ``order``.  Of its first n + (entries) terms the document
+    has at most (entries), so the n best absent ones are among them."""
+    values, terms = _literal(absent, "double"), _literal(ex.terms, "string")
+    keys = _literal([round(-abs(v), ORDER_DECIMALS) for v in absent], "double")
+    near = F.slice(_literal(order, "int").cast("array<int>"), 1, F.size("_e") + n)
+    best = F.slice(F.array_except(near, F.transform("_e", lambda e: e["i"])), 1, n)
+    others = F.transform(best, lambda i: F.struct(keys[i].alias("k"), terms[i].alias("term"), values[i].alias("value")))
+    return F.slice(F.array_sort(F.concat(present, others)), 1, n)
 
 
-def _with_constants(df: DataFrame, ex: LinearExplainer, ranks: dict | None = None) -> DataFrame:
-    d = (df.withColumn("_c", F.lit(list(ex.coef))).withColumn("_m", F.lit(list(ex.mean)))
-         .withColumn("_t", F.lit(list(ex.terms))).withColumn("_n", F.lit(list(ex.noise))))
-    for name, arr in (ranks or {}).items():
-        d = d.withColumn("_r_" + name, F.lit(list(arr)))
-    return d
-
-
-def _drop_constants(df: DataFrame, ranks: dict | None = None) -> DataFrame:
-    return df.drop("_c", "_m", "_t", "_n", "_nnz", *["_r_" + r for r in (ranks or {})])
-
-
-def _pruned_top(items_col: str, keep, rank_field: str, n: int) -> Column:
-    """Top n of the items satisfying ``keep`` by (k, term).  An absent item's
-    value is the same in every row, so only absent items whose global rank is
-    at most n + (present items) + margin can reach the top n; the sort runs
-    over those and the present items only."""
-    z = F.arrays_zip(F.col(items_col).alias("i"), F.array_repeat("_nnz", F.size(items_col)).alias("p"))
-    cand = F.filter(z, lambda e: keep(e["i"]) & ((e["i"]["x"] != 0)
-                                                | (e["i"][rank_field] <= e["p"] + F.lit(n + CANDIDATE_MARGIN))))
-    return F.slice(F.array_sort(F.transform(cand, lambda e: e["i"])), 1, n)
+def _present(ex: LinearExplainer, value, keep) -> Column:
+    """(k, term, value) of the document's entries whose number and value satisfy ``keep``."""
+    terms = _literal(ex.terms, "string")
+    items = F.transform("_e", lambda e: F.struct(e["i"].alias("i"), value(e).alias("value")))
+    return F.transform(F.filter(items, lambda e: keep(e["i"], e["value"])), lambda e: F.struct(
+        F.round(F.lit(0.0) - F.abs(e["value"]), ORDER_DECIMALS).alias("k"), terms[e["i"]].alias("term"), e["value"].alias("value")))
 
 
 def explain(weighted: DataFrame, ex: LinearExplainer, w_col: str = "w", n: int = fixed.TOP_CLEAN_TERMS,
@@ -172,21 +156,21 @@ def explain(weighted: DataFrame, ex: LinearExplainer, w_col: str = "w", n: int =
       clean, the top-n of all terms in ascending |value|.
     * ``top_features``: the first ``n_table`` of ``ordered`` by |value|, 4 dp.
     * ``bias_note``: top ``n_bias`` noise terms with |value| > 1e-6, 5 dp.
+
+    Work and memory of a row follow the terms that the document has.
     """
     absent = [-c * m for c, m in zip(ex.coef, ex.mean)]
-    ranks = {"clean": _global_ranks(absent, ex.terms, [not f for f in ex.noise]),
-             "all": _global_ranks(absent, ex.terms, [True] * len(ex.terms)),
-             "bias": _global_ranks(absent, ex.terms, [f and abs(v) > fixed.BIAS_MIN_ABS
-                                                      for f, v in zip(ex.noise, absent)])}
-    d = _with_constants(weighted, ex, ranks).withColumn("_items", _items(w_col, ex, ranks))
-    d = d.withColumn("_nnz", F.size(F.filter("_items", lambda e: e["x"] != 0)))
-    top = _pruned_top("_items", lambda e: ~e["noise"], "r_clean", n)
-    disp = F.array_sort(F.transform(top, lambda e, i: F.struct(
-        F.when(e["value"] > 0, 1).otherwise(0).alias("g"),
-        F.round(F.when(e["value"] > 0, -e["value"]).otherwise(e["value"]), ORDER_DECIMALS).alias("key"),
-        i.alias("i"), e["term"].alias("term"), e["value"].alias("value"))))
-    fallback = F.reverse(_pruned_top("_items", lambda e: F.lit(True), "r_all", n))
-    pick = disp if not all(ex.noise) else fallback
+    coef, mean, noise = _literal(ex.coef, "double"), _literal(ex.mean, "double"), _literal(ex.noise, "boolean")
+    value = lambda e: coef[e["i"]] * (e["x"] - mean[e["i"]])
+    d = weighted.withColumn("_e", entries(weighted, w_col))
+    if not all(ex.noise):
+        top = _top(d, ex, _present(ex, value, lambda i, v: ~noise[i]), absent, _order(absent, ex.terms, [not f for f in ex.noise]), n)
+        pick = F.array_sort(F.transform(top, lambda e, i: F.struct(
+            F.when(e["value"] > 0, 1).otherwise(0).alias("g"),
+            F.round(F.when(e["value"] > 0, -e["value"]).otherwise(e["value"]), ORDER_DECIMALS).alias("key"),
+            i.alias("i"), e["term"].alias("term"), e["value"].alias("value"))))
+    else:
+        pick = F.reverse(_top(d, ex, _present(ex, value, lambda i, v: F.lit(True)), absent, _order(absent, ex.terms, [True] * len(ex.terms)), n))
     ordered = F.transform(pick, lambda e: F.struct(e["term"].alias("term"), e["value"].alias("value")))
     d = d.withColumn("ordered", ordered)
     table = F.slice(F.array_sort(F.transform("ordered", lambda e, i: F.struct(
@@ -194,11 +178,11 @@ def explain(weighted: DataFrame, ex: LinearExplainer, w_col: str = "w", n: int =
         e["term"].alias("term"), e["value"].alias("value")))), 1, n_table)
     d = d.withColumn("top_features", F.transform(table, lambda e: F.struct(
         e["term"].alias("term"), (F.round(e["value"], fixed.SCORE_DECIMALS) + F.lit(0.0)).alias("value"))))
-    noisy = _pruned_top("_items", lambda e: e["noise"] & (F.abs(e["value"]) > F.lit(fixed.BIAS_MIN_ABS)),
-                        "r_bias", n_bias)
+    eligible = [f and abs(v) > fixed.BIAS_MIN_ABS for f, v in zip(ex.noise, absent)]
+    noisy = _top(d, ex, _present(ex, value, lambda i, v: noise[i] & (F.abs(v) > F.lit(fixed.BIAS_MIN_ABS))), absent, _order(absent, ex.terms, eligible), n_bias)
     d = d.withColumn("bias_note", F.transform(noisy, lambda e: F.struct(
         e["term"].alias("term"), (F.round(e["value"], 5) + F.lit(0.0)).alias("value"))))
-    return _drop_constants(d.drop("_items"), ranks)
+    return d.drop("_e")
 
 
 # -- contrast against the leader (X9-X10) -------------------------------------------------
@@ -207,27 +191,14 @@ def contrast(explained: DataFrame, ex: LinearExplainer, leader_attr, w_col: str
              n: int = fixed.CONTRAST_TERMS) -> DataFrame:
     """Adds ``gap_terms``: clean terms with a positive gap ``attr_leader -
     attr_doc``, largest first (ties by term), at most ``n``."""
-    # An absent term's gap is lead_j + c_j m_j in every row: rank those once.
-    absent_gap = [a + c * m for a, c, m in zip(leader_attr, ex.coef, ex.mean)]
-    order = sorted((j for j in range(len(ex.terms)) if not ex.noise[j] and absent_gap[j] > 0),
-                   key=lambda j: (round(-absent_gap[j], ORDER_DECIMALS), ex.terms[j]))
-    grank = [0] * len(ex.terms)
-    for r, j in enumerate(order, 1):
-        grank[j] = r
-    ranks = {"gap": grank}
-    d = _with_constants(explained, ex, ranks).withColumn("_lead", F.lit(list(leader_attr)))
-    z = F.arrays_zip(F.col(w_col).alias("x"), F.col("_c"), F.col("_m"), F.col("_t"), F.col("_n"), F.col("_lead"),
-                     F.col("_r_gap"))
-
-    def gap_item(e):
-        g = e["_lead"] - e["_c"] * (e["x"] - e["_m"])
-        return F.struct(F.round(F.lit(0.0) - g, ORDER_DECIMALS).alias("k"), e["_t"].alias("term"),
-                        g.alias("gap"), e["_n"].alias("noise"), e["x"].alias("x"), e["_r_gap"].alias("r_gap"))
-    d = d.withColumn("_gaps", F.transform(z, gap_item))
-    d = d.withColumn("_nnz", F.size(F.filter("_gaps", lambda e: e["x"] != 0)))
-    top = _pruned_top("_gaps", lambda e: ~e["noise"] & (e["gap"] > 0), "r_gap", n)
-    d = d.withColumn("gap_terms", F.transform(top, lambda e: F.struct(e["term"].alias("term"), e["gap"].alias("gap"))))
-    return _drop_constants(d.drop("_gaps", "_lead"), ranks)
+    coef, mean, noise, lead = (_literal(x, kind) for x, kind in ((ex.coef, "double"), (ex.mean, "double"), (ex.noise, "boolean"), (list(leader_attr), "double")))
+    # The gap of a term that a document has not is lead_j + c_j m_j.
+    absent = [a + c * m for a, c, m in zip(leader_attr, ex.coef, ex.mean)]
+    eligible = [not f and g > 0 for f, g in zip(ex.noise, absent)]
+    d = explained.withColumn("_e", entries(explained, w_col))
+    own = _present(ex, lambda e: lead[e["i"]] - coef[e["i"]] * (e["x"] - mean[e["i"]]), lambda i, g: ~noise[i] & (g > 0))
+    top = _top(d, ex, own, absent, _order(absent, ex.terms, eligible), n)
+    return d.withColumn("gap_terms", F.transform(top, lambda e: F.struct(e["term"].alias("term"), e["value"].alias("gap")))).drop("_e")
 
 
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
@@ -265,10 +236,31 @@ def contrast_text(name: Column, rank: Column, gap_terms: Column, top_features: C
 
 def attribution_long(weighted: DataFrame, ex: LinearExplainer, keys: list[str], w_col: str = "w",
                      decimals: int = 6) -> DataFrame:
-    """(keys..., term, value) for every term with a non-zero attribution."""
-    d = _with_constants(weighted, ex).select(*keys, F.explode(_items(w_col, ex)).alias("e"))
-    return d.where(F.col("e.value") != 0).select(*keys, F.col("e.term").alias("term"),
-                                                 (F.round("e.value", decimals) + F.lit(0.0)).alias("value"))
+    """(keys..., term, value) for every term with a non-zero attribution.  The
+    output is documents times terms by definition: :func:`attribution_sparse`
+    says the same in rows that follow the entries."""
+    base = F.lit([float(-c * m) for c, m in zip(ex.coef, ex.mean)])
+    coef, terms = _literal(ex.coef, "double"), _literal(ex.terms, "string")
+    # The absent terms' values in order, then those of the document's entries on top.
+    d = weighted.select(*keys, entries(weighted, w_col).alias("_e"))
+    present = F.map_from_arrays(F.transform("_e", lambda e: e["i"]), F.transform("_e", lambda e: e["x"]))
+    d = d.withColumn("_x", present).select(*keys, F.posexplode(base).alias("_i", "_b"), "_x")
+    value = F.col("_b") + coef[F.col("_i")] * F.coalesce(F.col("_x")[F.col("_i")], F.lit(0.0))
+    d = d.select(*keys, terms[F.col("_i")].alias("term"), value.alias("value"))
+    return d.where(F.col("value") != 0).withColumn("value", F.round("value", decimals) + F.lit(0.0))
+
+
+def attribution_sparse(weighted: DataFrame, ex: LinearExplainer, keys: list[str], w_col: str = "w", decimals: int = 6) -> DataFrame:
+    """X1 as base plus difference: (keys..., term, value) of each document's own
+    terms, and with null keys one row per term, the value of that term in every
+    document that has it not.  A document's attribution of a term is its row or
+    else the base row."""
+    coef, mean, terms = _literal(ex.coef, "double"), _literal(ex.mean, "double"), _literal(ex.terms, "string")
+    own = weighted.select(*keys, F.explode(entries(weighted, w_col)).alias("e"))
+    own = own.select(*keys, terms[F.col("e.i")].alias("term"), (coef[F.col("e.i")] * (F.col("e.x") - mean[F.col("e.i")])).alias("value"))
+    base = weighted.sparkSession.createDataFrame([(t, float(-c * m)) for t, c, m in zip(ex.terms, ex.coef, ex.mean)], "term string, value double")
+    base = base.select(*[F.lit(None).cast(weighted.schema[k].dataType).alias(k) for k in keys], "term", "value")
+    return own.unionByName(base).withColumn("value", F.round("value", decimals) + F.lit(0.0))
 
 
 def explode_pairs(df: DataFrame, keys: list[str], col: str, value_field: str, value_alias: str | None = None,
@@ -283,4 +275,4 @@ def explode_pairs(df: DataFrame, keys: list[str], col: str, value_field: str, va
 
 
 __all__ = ["LinearExplainer", "feature_means", "name_tokens", "noise_terms", "build_explainer", "explain",
-           "contrast", "contrast_text", "explode_pairs", "vector_to_array"]
+           "contrast", "contrast_text", "explode_pairs", "attribution_long", "attribution_sparse"]

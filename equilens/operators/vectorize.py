@@ -12,9 +12,11 @@ Plan shape, chosen for scale:
   per partition.  The top ``max_features`` by ``(cf desc, term asc)`` is a
   TakeOrderedAndProject; only that bounded list reaches the driver.
 * Per-document vectors never shuffle: ``CountVectorizerModel`` maps a term
-  array to a sparse count vector inside the row (broadcast term index), and
-  sublinear tf, idf and the L2 norm are array expressions over at most
-  ``max_features`` slots.
+  array to a sparse count vector inside the row (broadcast term index).
+* Weights are sparse: ``array<struct<i, x>>``, one entry for each term that the
+  document has, by term number.  Sublinear tf, idf, the L2 norm and dot products
+  go over those entries and look the term's constants up in a literal array.
+  ``weights`` and ``weighted_docs`` give the dense array for callers who want it.
 """
 
 from __future__ import annotations
@@ -87,6 +89,18 @@ class Vocabulary:
                                          lambda x, n: F.when(n > 0, x / n).otherwise(F.lit(0.0))))
         return v.drop("_tf", "_raw", "_norm")
 
+    def sparse_weights(self, df: DataFrame, counts_col: str, out: str = "sw") -> DataFrame:
+        """Add ``out``: the (i, x) entries of a stored sparse count vector's
+        L2-normalized weights, by i; none for a document without known terms."""
+        counts = F.unwrap_udt(F.col(counts_col))
+        idf = F.lit(list(self.idf)) if self.terms else F.array().cast("array<double>")
+        raw = F.zip_with(counts["indices"], counts["values"], lambda i, tf: F.struct(i.alias("i"), ((F.lit(1.0) + F.log(tf)) * idf[i]).alias("x")))
+        v = df.withColumn("_raw", raw)
+        v = v.withColumn("_norm", F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, e: acc + e["x"] * e["x"])))
+        # The norm enters through array_repeat: evaluated once per row.
+        entries = F.zip_with("_raw", F.array_repeat("_norm", F.size("_raw")), lambda e, n: F.struct(e["i"].alias("i"), (e["x"] / n).alias("x")))
+        return v.withColumn(out, entries).drop("_raw", "_norm")
+
     def table(self, spark: SparkSession) -> DataFrame:
         """(idx, term, cf, df, idf) as a DataFrame (bounded, broadcastable)."""
         rows = [(i, t, int(c), int(d), float(f))
@@ -187,6 +201,41 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def entries(df: DataFrame, w_col: str) -> Column:
+    """The (i, x) entries of a weight column, which may be a dense array."""
+    if df.schema[w_col].dataType.elementType.typeName() == "struct":
+        return F.col(w_col)
+    return F.filter(F.transform(w_col, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda e: e["x"] != 0)
+
+
+def entries_dot(e: Column, weights) -> Column:
+    """Dot product of (i, x) entries with a literal vector."""
+    if not len(weights):
+        return F.lit(0.0)
+    w = F.lit([float(x) for x in weights])
+    return F.aggregate(e, F.lit(0.0), lambda acc, t: acc + t["x"] * w[t["i"]])
+
+
+def dense_row(values, size: int) -> list[float]:
+    """Python-side dense vector of one row's entries (or of its dense array)."""
+    out = [0.0] * size
+    for k, e in enumerate(values):
+        if isinstance(e, float):
+            out[k] = e
+        else:
+            out[e["i"]] = e["x"]
+    return out
+
+
+def sparse_docs(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", keep: list[str] | None = None, out: str = "sw") -> DataFrame:
+    """Like :func:`weighted_docs` with (i, x) entries."""
+    cols = list(dict.fromkeys((keep or []) + [text_col]))
+    t = vocab.add_terms(docs.select(*cols), text_col, "_terms")
+    if text_col not in (keep or []):
+        t = t.drop(text_col)
+    return vocab.sparse_weights(vocab.counts(t, "_terms", "_tf_vec"), "_tf_vec", out).drop("_terms", "_tf_vec")
+
+
 def weighted_docs(docs: DataFrame, vocab: Vocabulary, text_col: str = "text", keep: list[str] | None = None,
                   out: str = "w") -> DataFrame:
     """Documents with their weight array; ``keep`` columns are carried along
@@ -212,7 +261,10 @@ def vocabulary_frame(docs: DataFrame, query: DataFrame, max_features: int = fixe
 
 def explode_weights(weighted: DataFrame, vocab: Vocabulary, keys: list[str], w_col: str = "w",
                     nonzero: bool = True) -> DataFrame:
-    """Long form (keys..., term, weight) of a weight array."""
+    """Long form (keys..., term, weight) of a weight column; entries are exploded as they are."""
+    if weighted.schema[w_col].dataType.elementType.typeName() == "struct":
+        terms = F.lit(list(vocab.terms)) if vocab.terms else F.array().cast("array<string>")
+        return weighted.select(*keys, F.explode(w_col).alias("e")).select(*keys, terms[F.col("e.i")].alias("term"), F.col("e.x").alias("weight"))
     z = F.arrays_zip(F.col(w_col).alias("w"), F.lit(list(vocab.terms)).alias("t"))
     e = weighted.select(*keys, F.explode(z).alias("e")).select(*keys, F.col("e.t").alias("term"),
                                                                  F.col("e.w").alias("weight"))

@@ -95,8 +95,7 @@ def parsed_documents(spark: SparkSession, sf_dir: str, keep: list[str] | None =
 def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored corpus, computed once per data folder and session and cut
     from its lineage: (doc_id, lang, name, the four parser attributes,
-    tf_vec, score).  It stores the sparse count vector, not the dense
-    weights; weights are re-derived inside the row when needed."""
+    sw, score); ``sw`` holds the entries of the terms a document has."""
     from ..operators.rank import cosine_score
     from ..session import materialize
     key = key_of(spark, sf_dir)
@@ -110,13 +109,11 @@ def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                         tx.career_gap(t, tl=tl).alias("career_gap"))
         base = base.withColumn("name_origin_proxy", tx.name_origin(F.col("name")))
         c = f.vocab.counts(f.vocab.add_terms(base, "text", "_terms").drop("text"), "_terms", "tf_vec").drop("_terms")
-        scored = cosine_score(f.vocab.weights_from_counts(c, "tf_vec", "w"), f.query_weights).drop("w")
+        scored = cosine_score(f.vocab.sparse_weights(c, "tf_vec"), f.query_weights, "sw").drop("tf_vec")
         _state.scored[key] = materialize(scored)
     return _state.scored[key]
 
 
 def scored_documents(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, *keep, w, score) over all documents, from the scored table."""
-    f = fitted(spark, sf_dir)
-    s = scored_table(spark, sf_dir).select("doc_id", *(keep or []), "tf_vec", "score")
-    return f.vocab.weights_from_counts(s, "tf_vec", "w").drop("tf_vec")
+    """(doc_id, *keep, sw, score) over all documents, from the scored table."""
+    return scored_table(spark, sf_dir).select("doc_id", *(keep or []), "sw", "score")

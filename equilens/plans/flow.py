@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +21,10 @@ from ..session import materialize
 
 @dataclass
 class RankResult:
-    ranked: DataFrame            # input columns + w, score, label, model_score, recommended, rank
+    ranked: DataFrame            # input columns + sw (and w), score, label, model_score, recommended, rank
     vocab: vz.Vocabulary
     query_weights: tuple
-    model: LogisticRegressionModel
+    model: rk.LinearModel
     coef: tuple
     intercept: float
 
@@ -44,21 +43,20 @@ def rank_documents(docs: DataFrame, query: DataFrame, id_col: str = "doc_id", te
     if cut_lineage:
         # Reused by the model fit, the predictions, the audit and both
         # explainers: cut lineage once instead of re-tokenizing per consumer.
-        # The sparse counts are stored; dense weights are re-derived in the row.
         counts = materialize(counts)
-    scored = rk.cosine_score(vocab.weights_from_counts(counts, "tf_vec", "w"), qw)
+    # ``w`` is the dense form of ``sw``; only a caller who selects it has it made.
+    scored = rk.cosine_score(vocab.weights_from_counts(vocab.sparse_weights(counts, "tf_vec"), "tf_vec", "w"), qw, "sw")
     return model_and_rank(scored, vocab, qw, id_col)
 
 
 def model_and_rank(scored: DataFrame, vocab: vz.Vocabulary, query_weights, id_col: str = "doc_id") -> RankResult:
-    """From scored documents (with weights ``w``): median label, logistic
+    """From scored documents (with entries ``sw``): median label, logistic
     fit, predictions and the distributed rank."""
     labeled = rk.median_label(scored)
-    model = rk.fit_logistic(labeled, "w", "label")
-    coef, b = rk.model_coefficients(model)
-    pred = rk.predict(labeled, coef, b)
+    model = rk.fit_newton(labeled, vocab.size)
+    pred = rk.predict(labeled, model.coef, model.intercept, "sw")
     ranked = rk.global_rank(pred, ["-score", id_col], "rank")
-    return RankResult(ranked, vocab, tuple(query_weights), model, coef, b)
+    return RankResult(ranked, vocab, tuple(query_weights), model, model.coef, model.intercept)
 
 
 def fairness_audit(ranked: DataFrame, attrs=fixed.AUDIT_ATTRIBUTES, rec_col: str = "recommended",
@@ -74,7 +72,7 @@ def model_explainer(result: RankResult, names: DataFrame, name_col: str = "name"
     """Explainer of the model's log-odds: coefficients of the fitted model,
     means over all ranked documents, noise flags from all names."""
     spark = result.ranked.sparkSession
-    mean = at.feature_means(result.ranked)
+    mean = at.feature_means(result.ranked, "sw", result.vocab.size)
     noise = at.noise_terms(result.vocab.table(spark), at.name_words_frame(names, name_col, name_split))
     return at.build_explainer(result.vocab.terms, result.coef, mean, noise, result.intercept)
 
@@ -83,9 +81,9 @@ def explain_ranked(result: RankResult, ex: at.LinearExplainer, name_col: str = "
                    id_col: str = "doc_id") -> DataFrame:
     """Per document: ordered terms, top-features table, bias note, contrast
     terms and sentence, rank, score, recommendation text."""
-    lead = result.ranked.orderBy(F.desc("score"), F.asc(id_col)).select("w").first()
-    lead_attr = ex.attributions(lead["w"]) if lead is not None else [0.0] * len(ex.terms)
-    d = at.contrast(at.explain(result.ranked, ex), ex, lead_attr)
+    lead = result.ranked.orderBy(F.desc("score"), F.asc(id_col)).select("sw").first()
+    lead_attr = ex.attributions(vz.dense_row(lead["sw"], len(ex.terms))) if lead is not None else [0.0] * len(ex.terms)
+    d = at.contrast(at.explain(result.ranked, ex, "sw"), ex, lead_attr, "sw")
     return d.select(id_col, "rank", "score", tx.recommended_text(F.col("recommended")).alias("recommended_text"),
                     "ordered", "top_features", "bias_note", "gap_terms",
                     at.contrast_text(F.col(name_col), F.col("rank"), F.col("gap_terms"),

@@ -42,6 +42,7 @@ def oracle_sql() -> dict[str, str]:
     out.update(_prepare())
     out.update(_local())
     out.update(_prepared())
+    out.update(_model())
     return out
 
 
@@ -65,6 +66,35 @@ SELECT position, attr, n_groups, disparity, favoured, disadvantaged, {o.severity
     }
 
 
+def _model() -> dict[str, str]:
+    """The logistic model and what is shown, audited and explained with it."""
+    flow = "WITH RECURSIVE " + o.tfidf_ctes() + o.model_ctes()
+    quality = "WITH RECURSIVE " + o.tfidf_ctes() + o.model_ctes("SELECT doc_id, quality AS label FROM labels WHERE doc_id IN (SELECT doc_id FROM docs)")
+    ranked = ", ranked AS (SELECT p.*, lab.label, CAST(row_number() OVER (ORDER BY p.score DESC, p.doc_id) AS BIGINT) AS rank FROM pred p JOIN lab ON lab.doc_id = p.doc_id)"
+    a = o.attribution_ctes(coef="SELECT term, c FROM coef")
+    d = fixed.SCORE_DECIMALS
+    return {
+        "rank_model": flow + ranked + "\nSELECT doc_id, score, label, model_score, recommended, rank FROM ranked",
+        "rank_model_quality": quality + "\nSELECT doc_id, score, model_score, recommended FROM pred",
+        "rank_display": flow + ranked + f"""
+SELECT r.rank AS "Rank", {o.s_name('d.text')} AS "Name", r.score AS "TF_IDF_Score", r.model_score AS "Model_Score", r.recommended AS "Recommended",
+  {o.s_tier('d.text')} AS institution_tier, {o.s_gap('d.text')} AS career_gap, {o.s_origin(o.s_name('d.text'))} AS name_origin_proxy, {o.s_gender('d.text')} AS gender_proxy
+FROM ranked r JOIN documents d ON d.doc_id = r.doc_id""",
+        "rank_summary_model": flow + f"""
+SELECT count(*) AS total, CAST(sum(recommended) AS BIGINT) AS recommended, max(score) AS top_score, round(max(score) - min(score), {d}) AS score_range,
+  round(median(score), {d + 1}) AS threshold, CAST((sum(CAST(round(model_score * {10 ** d}) AS BIGINT)) * 2 + count(*)) // (2 * count(*)) AS DOUBLE) / {10 ** d} AS mean_model_score FROM pred""",
+        "audit_model": flow + o.audit_ctes(fixed.AUDIT_ATTRIBUTES, recommended="pred") + f"""
+SELECT position, attr, n_groups, disparity, favoured, disadvantaged, {o.severity_sql()} AS severity FROM report""",
+        "audit_nested_model": flow + o.audit_ctes(fixed.AUDIT_ATTRIBUTES, recommended="pred") + """
+SELECT r.position, r.attr, r.disparity, r.favoured, r.disadvantaged,
+  (SELECT string_agg(g.grp || ':' || CAST(CAST(round(g.mean_score * 10000) AS BIGINT) AS VARCHAR), ';' ORDER BY g.grp) FROM g WHERE g.attr = r.attr) AS mean_score,
+  (SELECT string_agg(g.grp || ':' || CAST(CAST(round(g.rec_rate * 1000) AS BIGINT) AS VARCHAR), ';' ORDER BY g.grp) FROM g WHERE g.attr = r.attr) AS rec_rate FROM report r""",
+        "attribution_model": flow + a + "\nSELECT doc_id, CAST(pos AS BIGINT) AS pos, term, round(value, 6) + 0.0 AS value FROM disp",
+        "contrast_model": flow + ranked + a + ", told AS (" + o.contrast_text_sql().replace(",\ngagg AS", "WITH gagg AS", 1) + """)
+SELECT t.doc_id, r.rank, t.contrastive FROM told t JOIN ranked r ON r.doc_id = t.doc_id""",
+    }
+
+
 def _local() -> dict[str, str]:
     pc = o.perturb_ctes()
     return {
@@ -120,6 +150,8 @@ def _attribution() -> dict[str, str]:
     return {
         "linear_attribution": o.with_tfidf(a + "\nSELECT doc_id, term, round(value, 6) + 0.0 AS value FROM vals "
                                               "WHERE value <> 0"),
+        "attribution_sparse": o.with_tfidf(a + "\nSELECT v.doc_id, v.term, round(v.value, 6) + 0.0 AS value FROM vals v JOIN w ON w.doc_id = v.doc_id AND w.term = v.term "
+                                              "UNION ALL SELECT NULL, term, round(-c * m, 6) + 0.0 FROM feat"),
         "name_tokens": o.with_tfidf(a + "\nSELECT token FROM name_tokens"),
         "noise_terms": o.with_tfidf(a + "\nSELECT term, is_noise FROM noise"),
         "attribution_topn": o.with_tfidf(a + "\nSELECT doc_id, CAST(pos AS BIGINT) AS pos, term, "

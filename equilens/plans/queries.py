@@ -147,9 +147,9 @@ def vocabulary(spark, sf_dir):
 
 def tfidf_weights(spark, sf_dir):
     f = cx.fitted(spark, sf_dir)
-    w = vz.weighted_docs(_docs(spark, sf_dir).select("doc_id", "text"), f.vocab, "text", ["doc_id"])
+    w = vz.sparse_docs(_docs(spark, sf_dir).select("doc_id", "text"), f.vocab, "text", ["doc_id"])
     query = spark.createDataFrame([(vz.QUERY_ID, t, w) for t, w in zip(f.vocab.terms, f.query_weights) if w], "doc_id long, term string, weight double")
-    return vz.explode_weights(w, f.vocab, ["doc_id"]).unionByName(query).withColumn("weight", F.round("weight", 6))
+    return vz.explode_weights(w, f.vocab, ["doc_id"], "sw").unionByName(query).withColumn("weight", F.round("weight", 6))
 
 
 def tfidf_transform(spark, sf_dir):
@@ -157,8 +157,8 @@ def tfidf_transform(spark, sf_dir):
     (out-of-vocabulary terms dropped)."""
     f = cx.fitted(spark, sf_dir)
     conv = cx.table(spark, sf_dir, "conversations")
-    w = vz.weighted_docs(conv, f.vocab, "text", ["conv_id", "turn"])
-    return vz.explode_weights(w, f.vocab, ["conv_id", "turn"]).withColumn("weight", F.round("weight", 6))
+    w = vz.sparse_docs(conv, f.vocab, "text", ["conv_id", "turn"])
+    return vz.explode_weights(w, f.vocab, ["conv_id", "turn"], "sw").withColumn("weight", F.round("weight", 6))
 
 
 # -- ranking (K1, K5, K6, P4) -------------------------------------------------
@@ -247,18 +247,24 @@ def linear_explainer(spark, sf_dir):
     if key not in kept:
         f = cx.fitted(spark, sf_dir)
         ws = _weighted_scored(spark, sf_dir)
-        mean = at.feature_means(ws)
+        mean = at.feature_means(ws, "sw", f.vocab.size)
         names = cx.scored_table(spark, sf_dir).select("name")
         noise = at.noise_terms(f.vocab.table(spark), at.name_words_frame(names))
         ex = at.build_explainer(f.vocab.terms, f.query_weights, mean, noise)
-        lead = ws.orderBy(F.desc("score"), F.asc("doc_id")).select("doc_id", "w").first()
-        kept[key] = (ex, int(lead["doc_id"]), tuple(ex.attributions(lead["w"])))
+        lead = ws.orderBy(F.desc("score"), F.asc("doc_id")).select("doc_id", "sw").first()
+        kept[key] = (ex, int(lead["doc_id"]), tuple(ex.attributions(vz.dense_row(lead["sw"], f.vocab.size))))
     return kept[key]
 
 
 def linear_attribution(spark, sf_dir):
     ex, _, _ = linear_explainer(spark, sf_dir)
-    return at.attribution_long(_weighted_scored(spark, sf_dir), ex, ["doc_id"])
+    return at.attribution_long(_weighted_scored(spark, sf_dir), ex, ["doc_id"], "sw")
+
+
+def attribution_sparse(spark, sf_dir):
+    """X1 as one base row per term (null doc_id) and the documents' own terms."""
+    ex, _, _ = linear_explainer(spark, sf_dir)
+    return at.attribution_sparse(_weighted_scored(spark, sf_dir), ex, ["doc_id"], "sw")
 
 
 def name_tokens(spark, sf_dir):
@@ -277,11 +283,7 @@ def _explained(spark, sf_dir):
     key, kept = cx.key_of(spark, sf_dir), cx.state().explained
     ex, lead_id, lead_attr = linear_explainer(spark, sf_dir)
     if key not in kept:
-        # Stores the sparse counts, not the dense weights (re-derived in the row).
-        f = cx.fitted(spark, sf_dir)
-        s = cx.scored_table(spark, sf_dir).select("doc_id", "name", "tf_vec", "score")
-        ws = f.vocab.weights_from_counts(s, "tf_vec", "w")
-        d = at.explain(ws, ex).select("doc_id", "name", "score", "tf_vec", "ordered", "top_features", "bias_note")
+        d = at.explain(cx.scored_documents(spark, sf_dir, ["name"]), ex, "sw")
         kept[key] = materialize(d)
     return kept[key], ex, lead_id, lead_attr
 
@@ -303,8 +305,7 @@ def attribution_bias_note(spark, sf_dir):
 
 def _contrasted(spark, sf_dir):
     d, ex, lead_id, lead_attr = _explained(spark, sf_dir)
-    w = cx.fitted(spark, sf_dir).vocab.weights_from_counts(d, "tf_vec", "w")
-    return at.contrast(w, ex, lead_attr), lead_id
+    return at.contrast(d, ex, lead_attr, "sw"), lead_id
 
 
 def contrast_topn(spark, sf_dir):
@@ -321,6 +322,7 @@ def contrast_text(spark, sf_dir):
 
 QUERIES.update({
     "linear_attribution": linear_attribution,
+    "attribution_sparse": attribution_sparse,
     "name_tokens": name_tokens,
     "noise_terms": noise_terms,
     "attribution_topn": attribution_topn,
@@ -442,8 +444,7 @@ def _prepared_scored(spark, sf_dir):
     docs = materialize(p.select(F.col("ID").alias("doc_id"), F.col("Full_Text").alias("text"), F.col("Name").alias("name"),
                                 *fixed.AUDIT_ATTRIBUTES))
     vocab, qw = vz.fit_corpus(docs, vz.query_document(cx.table(spark, sf_dir, "benchmark")))
-    counts = vocab.counts(vocab.add_terms(docs, "text", "_terms").drop("text"), "_terms", "tf_vec").drop("_terms")
-    scored = rk.cosine_score(vocab.weights_from_counts(counts, "tf_vec", "w"), qw).drop("w")
+    scored = rk.cosine_score(vz.sparse_docs(docs, vocab, "text", ["doc_id", "name", *fixed.AUDIT_ATTRIBUTES]), qw, "sw")
     return vocab, qw, materialize(scored)
 
 
@@ -454,7 +455,7 @@ def prepared_rank(spark, sf_dir):
 
 def prepared_audit(spark, sf_dir):
     _, _, scored = _prepared_scored(spark, sf_dir)
-    d = rk.median_label(scored.drop("tf_vec"))
+    d = rk.median_label(scored.drop("sw"))
     return au.audit_report(au.audit_groups(d, fixed.AUDIT_ATTRIBUTES, rec_col="label"))
 
 
@@ -466,11 +467,10 @@ def prepared_noise(spark, sf_dir):
 def _prepared_explained(spark, sf_dir):
     from ..session import materialize
     vocab, qw, scored = _prepared_scored(spark, sf_dir)
-    ws = vocab.weights_from_counts(scored, "tf_vec", "w")
     noise = at.noise_terms(vocab.table(spark), at.name_words_frame(scored.select("name")))
-    ex = at.build_explainer(vocab.terms, qw, at.feature_means(ws), noise)
-    lead = ws.orderBy(F.desc("score"), F.asc("doc_id")).select("doc_id", "w").first()
-    d = at.contrast(at.explain(ws, ex), ex, tuple(ex.attributions(lead["w"])))
+    ex = at.build_explainer(vocab.terms, qw, at.feature_means(scored, "sw", vocab.size), noise)
+    lead = scored.orderBy(F.desc("score"), F.asc("doc_id")).select("doc_id", "sw").first()
+    d = at.contrast(at.explain(scored, ex, "sw"), ex, tuple(ex.attributions(vz.dense_row(lead["sw"], vocab.size))), "sw")
     return materialize(d.select("doc_id", "name", "ordered", "top_features", "gap_terms")), int(lead["doc_id"])
 
 
@@ -519,9 +519,8 @@ def rank_model_quality(spark, sf_dir):
     f = cx.fitted(spark, sf_dir)
     scored = cx.scored_documents(spark, sf_dir)
     q = cx.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = rk.fit_logistic(scored.join(q, "doc_id"), "w", "label")
-    coef, b = rk.model_coefficients(model)
-    return rk.predict(scored, coef, b).select("doc_id", "score", "model_score", "recommended")
+    model = rk.fit_newton(scored.join(q, "doc_id"), f.vocab.size)
+    return rk.predict(scored, model.coef, model.intercept, "sw").select("doc_id", "score", "model_score", "recommended")
 
 
 def rank_model(spark, sf_dir):
@@ -537,6 +536,28 @@ def rank_display(spark, sf_dir):
                            "name_origin_proxy", "gender_proxy")
 
 
+def rank_summary_model(spark, sf_dir):
+    """P4 on the model: how many documents it recommends (not the median label),
+    the mean of its scores, and the score's range and threshold."""
+    unit = 10 ** fixed.SCORE_DECIMALS
+    s = F.sum(F.round(F.col("model_score") * unit).cast("long"))
+    n = F.count(F.lit(1))
+    return model_run(spark, sf_dir).ranked.agg(
+        n.alias("total"), F.sum("recommended").alias("recommended"), F.max("score").alias("top_score"),
+        F.round(F.max("score") - F.min("score"), fixed.SCORE_DECIMALS).alias("score_range"),
+        F.round(F.median("score"), fixed.SCORE_DECIMALS + 1).alias("threshold"),
+        (F.floor((s * 2 + n) / (n * 2)).cast("double") / unit).alias("mean_model_score"))
+
+
+def audit_nested_model(spark, sf_dir):
+    """The nested report of the model's class, its maps as ``group:value``
+    lists by group, values in units of their last decimal."""
+    _, _, nested = pl.fairness_audit(model_run(spark, sf_dir).ranked)
+    listed = lambda c, unit: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(
+        e["key"], F.lit(":"), F.round(e["value"] * unit).cast("long").cast("string")))), ";").alias(c)
+    return nested.select("position", "attr", "disparity", "favoured", "disadvantaged", listed("mean_score", 10 ** fixed.SCORE_DECIMALS), listed("rec_rate", 10 ** fixed.REC_RATE_DECIMALS))
+
+
 def audit_model(spark, sf_dir):
     r = model_run(spark, sf_dir)
     _, report, _ = pl.fairness_audit(r.ranked)
@@ -560,6 +581,8 @@ QUERIES.update({
     "rank_model": rank_model,
     "rank_model_quality": rank_model_quality,
     "rank_display": rank_display,
+    "rank_summary_model": rank_summary_model,
+    "audit_nested_model": audit_nested_model,
     "audit_model": audit_model,
     "attribution_model": attribution_model,
     "contrast_model": contrast_model,

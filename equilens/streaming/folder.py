@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators.rank import cosine_score
-from ..operators.vectorize import Vocabulary
+from ..operators.vectorize import Vocabulary, sparse_docs
 
 
 def score_folder_stream(spark: SparkSession, path: str, vocab: Vocabulary, query_weights,
@@ -23,8 +23,8 @@ def score_folder_stream(spark: SparkSession, path: str, vocab: Vocabulary, query
                                                   F.col("value").alias("text"))
     cols = tx.parse_columns(F.col("text"))
     parsed = raw.select("Filename", "text", *[c.alias(k) for k, c in cols.items()])
-    terms = vocab.add_terms(parsed, "text", "_terms").drop("text")
-    return cosine_score(vocab.weights(terms, "_terms", "w").drop("_terms"), query_weights).drop("w")
+    scored = cosine_score(sparse_docs(parsed, vocab, "text", parsed.columns), query_weights, "sw")
+    return scored.drop("text", "sw")
 
 
 def run_available(stream: DataFrame, query_name: str, checkpoint: str):

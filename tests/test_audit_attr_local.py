@@ -78,6 +78,23 @@ def test_flow_attributions_sum_to_margin(spark):
     assert report.count() == nested.count() >= 1
 
 
+def test_attribution_rows_add_up_to_the_dense_ones(spark):
+    """A document's own rows over the base rows are all its attributions."""
+    rng = np.random.default_rng(3)
+    V = 9
+    ex = at.LinearExplainer(tuple(f"t{j}" for j in range(V)), tuple(rng.normal(size=V)), tuple(np.abs(rng.normal(size=V))), (False,) * V)
+    rows = [(i, [float(x) if rng.random() < 0.5 else 0.0 for x in rng.random(V)]) for i in range(12)] + [(12, [0.0] * V)]
+    df = spark.createDataFrame(rows, "doc_id long, w array<double>")
+    out = at.attribution_sparse(df, ex, ["doc_id"]).collect()
+    base = {r.term: r.value for r in out if r.doc_id is None}
+    own = {(r.doc_id, r.term): r.value for r in out if r.doc_id is not None}
+    assert len(base) == V and set(own) == {(i, f"t{j}") for i, x in rows for j in range(V) if x[j]}
+    long = {(r.doc_id, r.term): r.value for r in at.attribution_long(df, ex, ["doc_id"]).collect()}
+    for i, x in rows:
+        for j, v in enumerate(ex.attributions(x)):
+            assert abs(own.get((i, f"t{j}"), base[f"t{j}"]) - v) < 1e-6 and abs(long[i, f"t{j}"] - v) < 1e-6
+
+
 def test_explain_order_and_fallback(spark):
     ex = at.LinearExplainer(("a", "b", "c"), (1.0, -1.0, 2.0), (0.0, 0.0, 0.0), (False, False, True))
     df = spark.createDataFrame([([0.5, 0.25, 0.1],)], "w array<double>")

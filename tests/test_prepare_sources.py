@@ -119,8 +119,7 @@ def test_entry_and_registry(spark):
     qs, oq = E.queries(), E.oracle_sql()
     assert set(oq) <= set(qs)
     rows_only = {q for q in set(qs) - set(oq) if q != "pipeline" and not q.startswith("op")}
-    assert rows_only == {"rank_model", "rank_display", "audit_model", "attribution_model", "contrast_model",
-                         "local_attribution", "rank_model_quality"}
+    assert rows_only == {"local_attribution"}
 
 
 def test_model_and_audit_json_sinks(spark):

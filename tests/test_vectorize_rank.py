@@ -155,6 +155,59 @@ def test_logistic_matches_newton(spark):
     assert [r["recommended"] for r in p] == [r["recommended"] for r in q]
 
 
+def test_newton_fit_matches_newton_on_dense_and_sparse_rows(spark):
+    rng = np.random.default_rng(4)
+    for n, p, spread in ((60, 5, 1), (400, 30, 7), (30, 40, 3)):
+        X = np.abs(rng.normal(size=(n, p))) * (rng.random((n, p)) < 0.4)
+        y = (X[:, 0] + 0.3 * rng.normal(size=n) > 0.2).astype(int)
+        dense = spark.createDataFrame([(X[i].tolist(), int(y[i])) for i in range(n)], "w array<double>, label int").repartition(spread)
+        sparse = spark.createDataFrame([([(int(j), float(X[i, j])) for j in np.flatnonzero(X[i])], int(y[i])) for i in range(n)] + [([(0, 1.0)], None)],
+                                       "sw array<struct<i:int,x:double>>, label int").repartition(spread)
+        ec, eb = newton_logistic(X, y, 1.0)
+        for model in (rk.fit_newton(dense, p, "w"), rk.fit_newton(sparse, p), rk.fit_newton(sparse, p, tasks=1)):
+            assert np.allclose(model.coef, ec, atol=1e-9) and abs(model.intercept - eb) < 1e-9
+            assert model.steps <= 12 and model.gradient < 1e-6
+        for a, b in ((rk.predict(dense, ec, eb), rk.predict(sparse.where("label is not null"), ec, eb, "sw")),):
+            assert sorted((r.model_score, r.recommended) for r in a.collect()) == sorted((r.model_score, r.recommended) for r in b.collect())
+
+
+def test_newton_fit_halves_steps_that_overshoot(spark):
+    """Nearly separable with a weak penalty: full Newton steps raise the loss."""
+    x = [-3.0, -2.0, -1.0, 1.0, 2.0, 30.0]
+    df = spark.createDataFrame([([v], int(v > 0)) for v in x], "w array<double>, label int")
+    model = rk.fit_newton(df, 1, "w", C=1e4)
+    A = np.c_[x, np.ones(6)]
+    b = np.array([*model.coef, model.intercept])
+    g = A.T @ (1 / (1 + np.exp(-A @ b)) - (np.array(x) > 0)) + np.array([b[0] / 1e4, 0.0])
+    assert np.abs(g).max() < 1e-8
+
+
+def test_newton_fit_refuses_what_it_cannot_fit(spark):
+    df = spark.createDataFrame([([1.0], 1), ([0.5], 1)], "w array<double>, label int")
+    for bad, size in ((df, 1), (df.limit(0), 1), (df, rk.MAX_GRAM + 1)):
+        try:
+            rk.fit_newton(bad, size, "w")
+        except ValueError:
+            continue
+        raise AssertionError("expected ValueError")
+
+
+def test_entries_and_dense_weights_agree(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    vocab, qw = vz.fit_corpus(docs, vz.query_from_text(spark, QUERY), max_features=12)
+    dense = {r.doc_id: r.w for r in vz.weighted_docs(docs, vocab, "text", ["doc_id"]).collect()}
+    rows = vz.sparse_docs(docs, vocab, "text", ["doc_id"]).collect()
+    assert {r.doc_id: vz.dense_row(r.sw, 12) for r in rows} == dense
+    assert all(e.x != 0 for r in rows for e in r.sw) and {r.doc_id for r in rows if not r.sw} == {4, 5, 6, 7}
+
+
+def test_no_vocabulary_wide_array_in_the_scoring_plan(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    vocab, qw = vz.fit_corpus(docs, vz.query_from_text(spark, QUERY), max_features=12)
+    plan = rk.cosine_score(vz.sparse_docs(docs, vocab, "text", ["doc_id"]), qw, "sw").drop("sw")._jdf.queryExecution().optimizedPlan().toString()
+    assert "vector_to_array" not in plan and "Exchange" not in plan
+
+
 def test_single_class_is_rejected(spark):
     df = spark.createDataFrame([([1.0], 1), ([0.5], 1)], "w array<double>, label int")
     try:
