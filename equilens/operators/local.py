@@ -14,8 +14,9 @@ by ``((a_j * b_s + c_s) mod P, word)``.
 
 Spark prepares one compact row per document (its words, their multipliers and
 its runs); a batch of documents then goes through one Arrow-batched function in
-which masks, scores and ridge solves are array operations, 100 samples at a
-time.  No row per sample is made and nothing is shuffled.
+which masks are one samples x words matrix, term counts its product with an
+incidence of words and terms, and the ridges of a batch one stacked solve.  No
+row per sample is made and nothing is shuffled.
 :func:`samples` and :func:`removed_words` give the masks as Spark rows.
 """
 
@@ -25,7 +26,7 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,9 @@ from ..session import ship_package
 from .vectorize import Vocabulary
 
 P = 2147483647  # 2^31 - 1
+# Samples x words (or tokens) that arrays hold at a time; documents solved together.
+CELLS = 4_000_000
+GROUP = 64
 
 
 def _hex(h: Column, start: int) -> Column:
@@ -112,30 +116,48 @@ class Scorer:
     def of(cls, vocab: Vocabulary, coef, intercept: float | None) -> Scorer:
         return cls(vocab.index(), np.array(vocab.idf), np.array(coef, float), intercept)
 
-    def scores(self, tokens: list[str], kept: np.ndarray) -> np.ndarray:
-        """Score of a text per row of ``kept`` (samples x tokens): the terms of the
-        tokens kept, bigrams joining neighbours across those removed."""
+    def scores(self, words_of_token: np.ndarray, tokens: list[str], kept: np.ndarray) -> np.ndarray:
+        """Score of a text per row of ``kept`` (samples x words): the terms of the
+        tokens whose words are kept, bigrams joining neighbours across those removed.
+
+        Term counts are a samples x terms matrix.  Single terms: mask matrix times a
+        word x term incidence, built once.  Bigrams: each kept token links to the
+        next kept one; of tokens that begin a known bigram the links are looked up."""
         number = {t: k for k, t in enumerate(dict.fromkeys(tokens))}
-        seq = np.array([number[t] for t in tokens], np.int64)
+        seq, n = np.array([number[t] for t in tokens], np.int64), len(number)
         single = np.array([self.index.get(t, -1) for t in number], np.int64)
-        n = len(number)
-        pairs = sorted((number[a] * n + number[b], k) for t, k in self.index.items() if " " in t for a, b in [t.split(" ")] if a in number and b in number)
+        pairs = sorted((number[x] * n + number[y], k) for t, k in self.index.items() if " " in t for x, y in [t.split(" ")] if x in number and y in number)
         keys, terms = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        out = np.zeros(len(kept))
-        for s, mask in enumerate(kept):
-            left = seq[mask]
-            found = single[left] if n else left
-            found = [found[found >= 0]]
-            if len(keys) and len(left) > 1:
-                both = left[:-1] * n + left[1:]
-                at = np.minimum(np.searchsorted(keys, both), len(keys) - 1)
-                found.append(terms[at[keys[at] == both]])
-            term, tf = np.unique(np.concatenate(found), return_counts=True)
-            if len(term):
-                w = (1.0 + np.log(tf)) * self.idf[term]
-                out[s] = (w / np.sqrt((w * w).sum())) @ self.coef[term]
+        known = np.concatenate([single[single >= 0], terms])
+        tf = np.zeros((len(kept), len(known)))
+        if len(known):
+            column = np.full(n, -1)
+            column[single >= 0] = np.arange((single >= 0).sum())
+            at = np.flatnonzero(column[seq] >= 0) if n else np.zeros(0, np.int64)
+            incidence = np.zeros((kept.shape[1], len(known)))
+            np.add.at(incidence, (words_of_token[at], column[seq[at]]), 1.0)
+            tf = kept @ incidence
+            if len(keys):
+                self._add_bigrams(tf, kept, words_of_token, seq, n, keys, len(known) - len(terms))
+        w = np.where(tf > 0, (1.0 + np.log(np.maximum(tf, 1.0))) * self.idf[known], 0.0)
+        norm = np.sqrt((w * w).sum(1))
+        out = (w @ self.coef[known]) / np.where(norm > 0, norm, 1.0)
         return out if self.intercept is None else 1.0 / (1.0 + np.exp(-(out + self.intercept)))
 
+    def _add_bigrams(self, tf, kept, words_of_token, seq, n, keys, first_column):
+        begins = np.flatnonzero(np.isin(seq, keys // n))  # tokens that begin a known bigram
+        step = max(1, CELLS // max(1, len(seq)))
+        for a in range(0, len(kept), step):  # blocks of samples, so that long texts stay small
+            here = kept[a:a + step][:, words_of_token]
+            place = np.where(here, np.arange(len(seq)), len(seq))
+            link = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1]
+            link = np.concatenate([link[:, 1:], np.full((len(here), 1), len(seq))], 1)[:, begins]
+            s, t = np.nonzero(here[:, begins] & (link < len(seq)))
+            both = seq[begins[t]] * n + seq[link[s, t]]
+            found = np.minimum(np.searchsorted(keys, both), len(keys) - 1)
+            hit = keys[found] == both
+            np.add.at(tf, (a + s[hit], first_column + found[hit]), 1.0)
+
 
 def sample_numbers(doc_id: int, n_words: int, n_samples: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(b, c, r) of every sample of one document."""
@@ -148,24 +170,37 @@ def sample_numbers(doc_id: int, n_words: int, n_samples: int, seed: int) -> tupl
 
 def kept_words(a: np.ndarray, b: np.ndarray, c: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Samples x words: true where a word (in sorted order) stays."""
-    kept = np.ones((len(b), len(a)), bool)
-    for s in range(len(b)):
-        if r[s]:
-            kept[s, np.argsort((a * b[s] + c[s]) % P, kind="stable")[:r[s]]] = False
+    kept = np.empty((len(b), len(a)), bool)
+    step = max(1, CELLS // max(1, len(a)))
+    for k in range(0, len(b), step):
+        priority = (a[None, :] * b[k:k + step, None] + c[k:k + step, None]) % P
+        order = np.argsort(priority, axis=1, kind="stable")
+        np.put_along_axis(kept[k:k + step], order, np.arange(len(a))[None, :] >= r[k:k + step, None], axis=1)
     return kept
 
 
-def _perturbed(row, scorer: Scorer, n_samples: int, seed: int):
-    """(kept words, r, kernel, score) of one document's samples."""
-    words, a = list(row.words), np.asarray(row.a, np.int64)
-    b, c, r = sample_numbers(row.doc_id, len(words), n_samples, seed)
-    kept = kept_words(a, b, c, r)
-    place = {w: k for k, w in enumerate(words)}
-    tokens = [(place[w], t) for w, t in zip(row.runs, row.tokens) if t is not None]
-    at = np.array([k for k, _ in tokens], np.int64)
-    score = scorer.scores([t for _, t in tokens], kept[:, at])
-    distance = 100.0 * (1.0 - np.sqrt((len(words) - r) / len(words)))
-    return words, kept, r, np.sqrt(np.exp(-(distance * distance) / fixed.KERNEL_WIDTH ** 2)), score
+@dataclass
+class Perturbed:
+    """One document's samples."""
+
+    doc_id: int
+    words: list[str]
+    kept: np.ndarray    # samples x words
+    r: np.ndarray       # words removed
+    kernel: np.ndarray
+    score: np.ndarray
+
+
+def _perturb(batch, scorer: Scorer, n_samples: int, seed: int):
+    """The samples of every document of a :func:`compact` batch."""
+    for doc_id, words, a, runs, tokens in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "words", "a", "runs", "tokens"))):
+        b, c, r = sample_numbers(doc_id, len(words), n_samples, seed)
+        kept = kept_words(np.array(a, np.int64), b, c, r)
+        place = {w: k for k, w in enumerate(words)}
+        used = [(place[w], t) for w, t in zip(runs, tokens) if t is not None]
+        score = scorer.scores(np.array([k for k, _ in used], np.int64), [t for _, t in used], kept)
+        distance = 100.0 * (1.0 - np.sqrt((len(words) - r) / len(words)))
+        yield Perturbed(doc_id, words, kept, r, np.sqrt(np.exp(-(distance * distance) / fixed.KERNEL_WIDTH ** 2)), score)
 
 
 def perturbed_scores(docs: DataFrame, vocab: Vocabulary, coef, intercept: float | None, id_col: str = "doc_id",
@@ -174,12 +209,12 @@ def perturbed_scores(docs: DataFrame, vocab: Vocabulary, coef, intercept: float
     scorer = Scorer.of(vocab, coef, intercept)
 
     def run(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                _, _, r, kernel, score = _perturbed(row, scorer, n_samples, seed)
-                yield pd.DataFrame({"doc_id": row.doc_id, "s": np.arange(n_samples), "r": r, "kernel": kernel, "label": score})
+        for batch in batches:
+            for p in _perturb(batch, scorer, n_samples, seed):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n_samples, p.doc_id, np.int64)), pa.array(np.arange(n_samples)), pa.array(p.r), pa.array(p.kernel), pa.array(p.score)],
+                                                 ["doc_id", "s", "r", "kernel", "label"])
 
-    return _in_python(compact(docs, id_col, text_col, seed)).mapInPandas(run, "doc_id long, s long, r long, kernel double, label double")
+    return _in_python(compact(docs, id_col, text_col, seed)).mapInArrow(run, "doc_id long, s long, r long, kernel double, label double")
 
 
 def _in_python(df: DataFrame) -> DataFrame:
@@ -204,15 +239,35 @@ def weighted_ridge(X: np.ndarray, y: np.ndarray, sw: np.ndarray, alpha: float) -
     return np.linalg.solve(A.T @ A + alpha * np.eye(p), A.T @ t)
 
 
-def top_words(words: list[str], kept: np.ndarray, score: np.ndarray, kernel: np.ndarray,
-              n_features: int = fixed.PERTURB_FEATURES) -> list[tuple[str, float]]:
-    """The words with the largest weights in a first ridge, weighed by a
-    second one on them alone, by size."""
-    z = kept.astype(float)
-    coef = weighted_ridge(z, score, kernel, fixed.SELECT_RIDGE_ALPHA)
-    chosen = np.argsort(-np.abs(coef), kind="stable")[:n_features]
-    final = weighted_ridge(z[:, chosen], score, kernel, fixed.FINAL_RIDGE_ALPHA)
-    return [(words[chosen[k]], float(final[k])) for k in np.argsort(-np.abs(final), kind="stable")]
+def ridge_of_batch(masks: list[np.ndarray], scores: list[np.ndarray], kernels: list[np.ndarray], alpha: float) -> list[np.ndarray]:
+    """:func:`weighted_ridge` of every document of a batch.  All have the same
+    number of samples, so their dual systems (samples x samples, whatever the
+    words) are solved together, as one stack."""
+    gram, target, centred = [], [], []
+    for z, y, sw in zip(masks, scores, kernels):
+        total, s = sw.sum(), np.sqrt(sw)
+        x = (z - (sw @ z) / total) * s[:, None]
+        centred.append(x)
+        gram.append(x @ x.T)
+        target.append((y - (sw @ y) / total) * s)
+    stack = np.stack(gram) + alpha * np.eye(len(target[0]))
+    dual = np.linalg.solve(stack, np.stack(target)[:, :, None])[:, :, 0]
+    return [x.T @ u for x, u in zip(centred, dual)]
+
+
+def by_size(coef: np.ndarray) -> np.ndarray:
+    """Places by falling size, equal ones (to 9 decimals) in word order."""
+    return np.argsort(-np.round(np.abs(coef), 9), kind="stable")
+
+
+def top_words(group: list[Perturbed], n_features: int = fixed.PERTURB_FEATURES) -> list[list[tuple[str, float]]]:
+    """Of every document the words with the largest weights in a first ridge,
+    weighed by a second one on them alone, by size."""
+    masks = [p.kept.astype(float) for p in group]
+    scores, kernels = [p.score for p in group], [p.kernel for p in group]
+    chosen = [np.sort(by_size(c)[:n_features]) for c in ridge_of_batch(masks, scores, kernels, fixed.SELECT_RIDGE_ALPHA)]
+    final = ridge_of_batch([z[:, k] for z, k in zip(masks, chosen)], scores, kernels, fixed.FINAL_RIDGE_ALPHA)
+    return [[(p.words[k[j]], float(f[j])) for j in by_size(f)] for p, k, f in zip(group, chosen, final)]
 
 
 def local_attribution(docs: DataFrame, vocab: Vocabulary, coef, intercept: float | None,
@@ -221,12 +276,21 @@ def local_attribution(docs: DataFrame, vocab: Vocabulary, coef, intercept: float
     """(doc_id, pos, word, weight, direction) for every document."""
     scorer = Scorer.of(vocab, coef, intercept)
 
+    def out(group):
+        rows = [(p.doc_id, k, w, x) for p, top in zip(group, top_words(group)) for k, (w, x) in enumerate(top, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.float64()))], ["doc_id", "pos", "word", "weight"])
+
     def run(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                words, kept, _, kernel, score = _perturbed(row, scorer, n_samples, seed)
-                top = top_words(words, kept, score, kernel)
-                yield pd.DataFrame({"doc_id": row.doc_id, "pos": np.arange(1, len(top) + 1), "word": [w for w, _ in top], "weight": [x for _, x in top]})
-
-    out = _in_python(compact(docs, id_col, text_col, seed)).mapInPandas(run, "doc_id long, pos long, word string, weight double")
-    return out.withColumn("direction", F.when(F.col("weight") > 0, F.lit(fixed.HELPED)).otherwise(F.lit(fixed.HURT)))
+        group, cells = [], 0
+        for batch in batches:
+            for p in _perturb(batch, scorer, n_samples, seed):
+                group.append(p)
+                cells += p.kept.size
+                if cells >= CELLS or len(group) == GROUP:
+                    yield out(group)
+                    group, cells = [], 0
+        if group:
+            yield out(group)
+
+    found = _in_python(compact(docs, id_col, text_col, seed)).mapInArrow(run, "doc_id long, pos long, word string, weight double")
+    return found.withColumn("direction", F.when(F.col("weight") > 0, F.lit(fixed.HELPED)).otherwise(F.lit(fixed.HURT)))

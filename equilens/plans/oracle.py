@@ -423,13 +423,13 @@ def s_hex(h: str, start: int) -> str:
     return f"CAST('0x' || substr({h}, {start}, 8) AS BIGINT)"
 
 
-def perturb_ctes(n_samples: int = fixed.PERTURB_SAMPLES, seed: int = fixed.SEED) -> str:
+def perturb_ctes(n_samples: int = fixed.PERTURB_SAMPLES, seed: int = fixed.SEED, source: str = "documents") -> str:
     sd = q(str(seed))
     a_of = lambda x: f"({s_hex(f'md5(concat_ws({chr(39)}|{chr(39)}, {sd}, CAST(doc_id AS VARCHAR), {x}))', 1)} % {P})"
     return f""",
 pf AS (SELECT doc_id, text, wl, len(wl) AS nw, list_transform(wl, lambda x: {a_of('x')}) AS a FROM (
          SELECT doc_id, text, list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), {q(RUN_RE)}))) AS wl
-         FROM documents) WHERE len(wl) > 0),
+         FROM {source}) WHERE len(wl) > 0),
 ps0 AS (SELECT pf.*, sm.s, md5(concat_ws('|', {sd}, CAST(doc_id AS VARCHAR), 'sample', CAST(sm.s AS VARCHAR))) AS h
         FROM pf, range(0, {n_samples}) sm(s)),
 ps AS (SELECT doc_id, text, wl, nw, a, s, 1 + {s_hex('h', 1)} % {P - 1} AS b, {s_hex('h', 9)} % {P} AS c,
@@ -438,26 +438,72 @@ pp AS (SELECT *, list_sort(list_transform(range(1, nw + 1), lambda j: {{'p': (a[
        FROM ps)"""
 
 
-def perturb_score_ctes() -> str:
-    stop = stop_list()
-    run_a = (f"({s_hex('md5(concat_ws(' + q('|') + ', ' + q(str(fixed.SEED)) + ', CAST(doc_id AS VARCHAR), x))', 1)}"
-             f" % {P})")
-    # Every run is hashed once per document; samples filter the hashed runs.
+def kept_ctes() -> str:
+    """CTEs pword (a document's words by place), ptok (its tokens as places), pkeep
+    (a flag for each word of a sample).  Priority and place of a word are one
+    number, so a sample sorts numbers and its words are those beyond the r-th."""
     return f""",
-po AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(coalesce(text, ''), {q(RUN_RE)}),
-           lambda x: length(lower(x)) >= 2 AND NOT list_contains({stop}, lower(x))),
-           lambda x: {{'a': {run_a}, 'w': x, 'u': lower(x)}}) AS occ
-       FROM documents),
-pk AS (SELECT pp.doc_id, s, r, nw, list_transform(list_filter(occ,
-           lambda x: r = 0 OR {{'p': (x.a * b + c) % {P}, 'w': x.w}} > prios[r]), lambda x: x.u) AS u
-       FROM pp JOIN po ON po.doc_id = pp.doc_id),
-pt AS (SELECT doc_id, s, r, nw, u || list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1]) AS t FROM pk),
-ptf AS (SELECT doc_id, s, x.term, count(*) AS tf FROM (SELECT doc_id, s, unnest(t) AS term FROM pt) x
-        JOIN idf ON idf.term = x.term GROUP BY ALL),
+pw0_ AS (SELECT doc_id, unnest(wl) AS word, unnest(range(1, nw + 1)) AS j FROM pf),
+pword AS MATERIALIZED (SELECT doc_id, j, word, lower(word) AS u, length(lower(word)) >= 2 AND NOT list_contains({stop_list()}, lower(word)) AS ok FROM pw0_),
+prun0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {q(RUN_RE)}) AS x FROM pf),
+prun AS (SELECT doc_id, unnest(x) AS word, unnest(range(1, len(x) + 1)) AS pos FROM prun0),
+ptoken AS MATERIALIZED (SELECT r.doc_id, r.pos, w.j, w.u FROM prun r JOIN pword w ON w.doc_id = r.doc_id AND w.word = r.word WHERE w.ok),
+ptok AS (SELECT doc_id, list(CAST(j AS BIGINT) ORDER BY pos) AS occ FROM ptoken GROUP BY doc_id),
+pkey AS (SELECT doc_id, s, r, nw, list_transform(range(1, nw + 1), lambda j: ((a[j] * b + c) % {P}) * 1048576 + j) AS keys FROM ps),
+plimit AS (SELECT *, CASE WHEN r = 0 THEN -1 ELSE list_sort(keys)[r] END AS upto FROM pkey),
+pkeep AS MATERIALIZED (SELECT doc_id, s, r, nw, list_transform(keys, lambda k: k > upto) AS keep,
+           sqrt(exp(-(pow(100.0 * (1.0 - sqrt((nw - r) / nw)), 2)) / {fixed.KERNEL_WIDTH ** 2})) AS kernel FROM plimit)"""
+
+
+def perturb_score_ctes(coef: str = "SELECT term, qw AS c FROM qv", margin: str = "coalesce(pdot.dot, 0.0)") -> str:
+    """pscore: doc_id, s, r, nw, kernel and the score of every sample (``coef``: term and c)."""
+    return kept_ctes() + f""",
+psingle AS (SELECT t.doc_id, t.j, t.u AS term, count(*) AS n FROM ptoken t JOIN idf ON idf.term = t.u GROUP BY t.doc_id, t.j, t.u),
+ppair AS (SELECT a.doc_id, a.j * 1048576 + b.j AS code, i.term FROM idf i JOIN pword a ON a.u = string_split(i.term, ' ')[1] AND a.ok
+          JOIN pword b ON b.doc_id = a.doc_id AND b.u = string_split(i.term, ' ')[2] AND b.ok WHERE contains(i.term, ' ')),
+pleft AS (SELECT k.doc_id, k.s, list_filter(t.occ, lambda j: k.keep[j]) AS u FROM pkeep k JOIN ptok t ON t.doc_id = k.doc_id),
+pcodes AS (SELECT doc_id, s, unnest(list_transform(range(1, len(u)), lambda i: u[i] * 1048576 + u[i + 1])) AS code FROM pleft),
+ptf AS (SELECT k.doc_id, k.s, c.term, sum(c.n) AS tf FROM pkeep k JOIN psingle c ON c.doc_id = k.doc_id WHERE k.keep[c.j] GROUP BY k.doc_id, k.s, c.term
+        UNION ALL SELECT c.doc_id, c.s, p.term, count(*) AS tf FROM pcodes c JOIN ppair p ON p.doc_id = c.doc_id AND p.code = c.code GROUP BY c.doc_id, c.s, p.term),
 pw0 AS (SELECT ptf.doc_id, ptf.s, ptf.term, (1.0 + ln(ptf.tf)) * idf.idf AS w FROM ptf JOIN idf ON ptf.term = idf.term),
-pn AS (SELECT doc_id, s, sqrt(sum(w * w)) AS norm FROM pw0 GROUP BY ALL),
-pdot AS (SELECT pw0.doc_id, pw0.s, sum(pw0.w / pn.norm * qv.qw) AS dot
-         FROM pw0 JOIN pn ON pw0.doc_id = pn.doc_id AND pw0.s = pn.s JOIN qv ON qv.term = pw0.term GROUP BY ALL),
-pscore AS (SELECT pt.doc_id, pt.s, pt.r, pt.nw, coalesce(pdot.dot, 0.0) AS score,
-             sqrt(exp(-(pow(100.0 * (1.0 - sqrt((pt.nw - pt.r) / pt.nw)), 2)) / {fixed.KERNEL_WIDTH ** 2})) AS kernel
-           FROM pt LEFT JOIN pdot ON pdot.doc_id = pt.doc_id AND pdot.s = pt.s)"""
+plin AS ({coef}),
+pdot AS (SELECT p.doc_id, p.s, sum(p.w * coalesce(c.c, 0.0)) / sqrt(sum(p.w * p.w)) AS dot FROM pw0 p LEFT JOIN plin c ON c.term = p.term GROUP BY p.doc_id, p.s),
+pscore AS (SELECT k.doc_id, k.s, k.r, k.nw, k.kernel, {margin} AS score FROM pkeep k LEFT JOIN pdot ON pdot.doc_id = k.doc_id AND pdot.s = k.s)"""
+
+
+def solve_ctes(name: str, system: str, size: int) -> str:
+    """{name}_x(g, i, x): the solution of every system g of ``size`` equations by
+    Gauss-Jordan elimination.  ``system``: g, i and m, a row's coefficients and right side
+    (symmetric and positive definite, so the diagonal needs no exchange)."""
+    return f""",
+{name}_m AS MATERIALIZED ({system}),
+{name}_s AS (SELECT 0 AS k, g, i, m FROM {name}_m
+  UNION ALL
+  SELECT a.k + 1, a.g, a.i, CASE WHEN a.i = a.k + 1 THEN list_transform(a.m, lambda v: v / a.m[a.k + 1])
+      ELSE list_transform(list_zip(a.m, p.m), lambda e: e[1] - e[2] * (a.m[a.k + 1] / p.m[a.k + 1])) END
+  FROM {name}_s a JOIN {name}_s p ON p.g = a.g AND p.i = a.k + 1 WHERE a.k < {size}),
+{name}_x AS MATERIALIZED (SELECT g, i, m[{size} + 1] AS x FROM {name}_s WHERE k = {size})"""
+
+
+def local_ctes(n_samples: int = fixed.PERTURB_SAMPLES, n_features: int = fixed.PERTURB_FEATURES) -> str:
+    """After pscore: lfinal(doc_id, word, weight), both ridges of each document.
+    The first by its dual, samples x samples; the second by the normal equations of
+    the chosen words (unused places are equations x = 0)."""
+    return f""",
+lrow AS MATERIALIZED (SELECT doc_id, s, score, kernel, sqrt(kernel) AS root, score - sum(kernel * score) OVER d / sum(kernel) OVER d AS dev FROM pscore WINDOW d AS (PARTITION BY doc_id)),
+lz AS (SELECT k.doc_id, k.s, unnest(range(1, k.nw + 1)) AS j, CAST(unnest(k.keep) AS INTEGER) AS z FROM pkeep k),
+lx AS MATERIALIZED (SELECT z.doc_id, z.s, z.j, (z.z - sum(r.kernel * z.z) OVER w / sum(r.kernel) OVER w) * r.root AS v FROM lz z JOIN lrow r ON r.doc_id = z.doc_id AND r.s = z.s WINDOW w AS (PARTITION BY z.doc_id, z.j)),
+lg AS (SELECT a.doc_id, a.s, b.s AS t, sum(a.v * b.v) AS v FROM lx a JOIN lx b ON b.doc_id = a.doc_id AND b.j = a.j GROUP BY a.doc_id, a.s, b.s)""" + solve_ctes(
+        "ldual", f"""SELECT g.doc_id AS g, g.s + 1 AS i, list_append(list(g.v + CASE WHEN g.s = g.t THEN {fixed.SELECT_RIDGE_ALPHA} ELSE 0.0 END ORDER BY g.t), any_value(r.dev * r.root)) AS m
+  FROM lg g JOIN lrow r ON r.doc_id = g.doc_id AND r.s = g.s GROUP BY g.doc_id, g.s""", n_samples) + f""",
+lcoef AS (SELECT x.doc_id, x.j, sum(x.v * u.x) AS c FROM lx x JOIN ldual_x u ON u.g = x.doc_id AND u.i = x.s + 1 GROUP BY x.doc_id, x.j),
+lbest AS (SELECT doc_id, j, row_number() OVER (PARTITION BY doc_id ORDER BY round(-abs(c), 9), j) AS o FROM lcoef),
+lpick AS MATERIALIZED (SELECT doc_id, j, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS f FROM lbest WHERE o <= {n_features}),
+ly AS MATERIALIZED (SELECT x.doc_id, x.s, p.f, x.v FROM lx x JOIN lpick p ON p.doc_id = x.doc_id AND p.j = x.j),
+lgrid AS (SELECT d.doc_id, a.i, b.i AS k FROM (SELECT DISTINCT doc_id FROM lpick) d, range(1, {n_features + 1}) a(i), range(1, {n_features + 2}) b(i)),
+lnormal AS (SELECT a.doc_id, a.f AS i, b.f AS k, sum(a.v * b.v) AS v FROM ly a JOIN ly b ON b.doc_id = a.doc_id AND b.s = a.s GROUP BY ALL
+            UNION ALL SELECT a.doc_id, a.f, {n_features + 1}, sum(a.v * r.dev * r.root) FROM ly a JOIN lrow r ON r.doc_id = a.doc_id AND r.s = a.s GROUP BY ALL)""" + solve_ctes(
+        "lsec", f"""SELECT g.doc_id AS g, g.i, list(coalesce(n.v, 0.0) + CASE WHEN g.i = g.k THEN {fixed.FINAL_RIDGE_ALPHA} ELSE 0.0 END ORDER BY g.k) AS m
+  FROM lgrid g LEFT JOIN lnormal n ON n.doc_id = g.doc_id AND n.i = g.i AND n.k = g.k GROUP BY g.doc_id, g.i""", n_features) + """,
+lfinal AS (SELECT p.doc_id, w.word, x.x AS weight, row_number() OVER (PARTITION BY p.doc_id ORDER BY round(-abs(x.x), 9), p.j) AS pos
+           FROM lpick p JOIN lsec_x x ON x.g = p.doc_id AND x.i = p.f JOIN pword w ON w.doc_id = p.doc_id AND w.j = p.j)"""

@@ -106,6 +106,12 @@ def _local() -> dict[str, str]:
         "perturb_scores": o.with_tfidf(pc + o.perturb_score_ctes() + "\nSELECT doc_id, CAST(s AS BIGINT) AS s, "
                           "CAST(r AS BIGINT) AS r, round(kernel, 6) + 0.0 AS kernel, round(score, 6) + 0.0 AS score "
                           "FROM pscore"),
+        "local_attribution_top": "WITH RECURSIVE " + o.tfidf_ctes() + o.model_ctes()
+                                 + f", shown AS (SELECT d.* FROM documents d WHERE doc_id IN (SELECT doc_id FROM score ORDER BY score DESC, doc_id LIMIT {TOP_K}))"
+                                 + o.perturb_ctes(source="shown")
+                                 + o.perturb_score_ctes("SELECT term, c FROM coef", "1.0 / (1.0 + exp(-(coalesce(pdot.dot, 0.0) + (SELECT b FROM free))))") + o.local_ctes()
+                                 + f"""
+SELECT doc_id, CAST(pos AS BIGINT) AS pos, word, round(weight, 6) + 0.0 AS weight, CASE WHEN weight > 0 THEN {o.q(fixed.HELPED)} ELSE {o.q(fixed.HURT)} END AS direction FROM lfinal""",
     }
 
 

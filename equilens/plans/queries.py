@@ -623,7 +623,16 @@ def local_attribution(spark, sf_dir):
     return lo.local_attribution(_docs(spark, sf_dir), r.vocab, r.coef, r.intercept)
 
 
+def local_attribution_top(spark, sf_dir):
+    """The same for the documents that a reader is shown, the top 20 by rank."""
+    r = model_run(spark, sf_dir)
+    shown = rk.top_k(r.ranked.select("doc_id", "score"), TOP_K).select("doc_id")
+    d = lo.local_attribution(_docs(spark, sf_dir).join(F.broadcast(shown), "doc_id"), r.vocab, r.coef, r.intercept)
+    return d.select("doc_id", "pos", "word", (F.round("weight", 6) + F.lit(0.0)).alias("weight"), "direction")
+
+
 QUERIES.update({
+    "local_attribution_top": local_attribution_top,
     "perturb_words": perturb_words,
     "perturb_masks": perturb_masks,
     "perturb_scores": perturb_scores,

@@ -196,3 +196,52 @@ def test_pruned_attribution_matches_brute_force(spark):
         assert [(e["term"], e["value"]) for e in got[i]["ordered"]] == [(t, v) for t, v in want["ordered"]]
         assert [e["term"] for e in got[i]["bias_note"]] == want["bias"]
         assert [e["term"] for e in got[i]["gap_terms"]] == want["gap"]
+
+
+def test_sample_scores_equal_scoring_each_perturbed_text(spark):
+    """Matrix scores against building every perturbed text and weighing it anew,
+    also when arrays are cut into blocks of samples."""
+    import random
+
+    r = random.Random(2)
+    words = ["alpha", "Beta", "beta", "gamma", "the", "x", "delta", "it's", "Gamma"]
+    texts = [(i, " ".join(r.choice(words) for _ in range(r.choice([1, 3, 30, 90])))) for i in range(12)] + [(50, None), (51, "the of"), (52, "alpha beta")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    vocab, qw = vz.fit_corpus(docs, vz.query_from_text(spark, "alpha beta gamma delta beta"), max_features=14)
+    assert any(" " in t for t in vocab.terms)
+    gone = {(x.doc_id, x.s): set(x.removed) for x in lo.removed_words(lo.samples(lo.word_features(docs), 25)).collect()}
+    import re
+    left = [(d, s, " ".join(w for w in re.findall(r"\w+", dict(texts)[d] or "") if w not in gone[d, s])) for d, s in gone]
+    again = spark.createDataFrame(left, "doc_id long, s int, text string")
+    want = {(x.doc_id, x.s): x.score for x in rk.cosine_score(vz.sparse_docs(again, vocab, "text", ["doc_id", "s"]), qw, "sw", decimals=12).collect()}
+    got = {(x.doc_id, x.s): x.label for x in lo.perturbed_scores(docs, vocab, qw, None, n_samples=25).collect()}
+    assert set(got) == set(want) and max(abs(got[k] - want[k]) for k in got) < 1e-9
+    kept = np.array([[True, False, True], [True, True, True], [False, False, False]])
+    scorer = lo.Scorer.of(vocab, qw, 0.5)
+    at_, toks = np.array([0, 1, 2, 0]), ["alpha", "beta", "gamma", "alpha"]
+    whole = scorer.scores(at_, toks, kept)
+    cells, lo.CELLS = lo.CELLS, 4
+    try:
+        assert np.allclose(whole, scorer.scores(at_, toks, kept))
+        a, b, c = np.array([5, 9, 5]), np.array([3, 7, 11, 2]), np.array([1, 0, 4, 9])
+        small = lo.kept_words(a, b, c, np.array([0, 1, 2, 3]))
+    finally:
+        lo.CELLS = cells
+    assert (small == lo.kept_words(a, b, c, np.array([0, 1, 2, 3]))).all() and list(small.sum(1)) == [3, 2, 1, 0]
+
+
+def test_stacked_ridges_equal_one_by_one():
+    rng = np.random.default_rng(6)
+    masks = [(rng.random((20, w)) > 0.4).astype(float) for w in (1, 5, 30, 200)]
+    scores = [rng.random(20) for _ in masks]
+    kernels = [rng.random(20) + 0.05 for _ in masks]
+    for got, z, y, k in zip(lo.ridge_of_batch(masks, scores, kernels, 0.3), masks, scores, kernels):
+        assert np.allclose(got, lo.weighted_ridge(z, y, k, 0.3), atol=1e-10)
+
+
+def test_local_attribution_of_short_and_empty_texts(spark):
+    docs = spark.createDataFrame([(1, "alpha"), (2, ""), (3, None), (4, "alpha beta alpha"), (4, "alpha beta alpha")], "doc_id long, text string")
+    vocab, qw = vz.fit_corpus(docs, vz.query_from_text(spark, "alpha"))
+    out = lo.local_attribution(docs, vocab, qw, 0.0, n_samples=12).collect()
+    assert sorted((r.doc_id, r.pos, r.word) for r in out if r.doc_id == 1) == [(1, 1, "alpha")]
+    assert len([r for r in out if r.doc_id == 4]) == 4 and not [r for r in out if r.doc_id in (2, 3)]
