@@ -3,10 +3,10 @@
 Randomness is a keyed hash: ``md5(seed|tag|key)``.  It is the same in every
 engine and under any partitioning, so seeded operators are reproducible.
 Exact-count selections ("the first k rows in hash order") compare each row
-with the k-th key, found by one distributed :func:`global_rank` over narrow
-(tag, hash, key) records.  Only bounded values reach the driver (one row of
-counts, one boundary key per band).  No single-task window, no full-row
-shuffle.
+with the k-th key, which :func:`keys_at` finds by histograms over hash
+prefixes of narrow (tag, hash, key) records.  Only bounded values reach the
+driver (a histogram, one boundary key per band).  No order over all rows, no
+full-row shuffle, no checkpoint.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from ..functions import fixed
 from ..functions import text as tx
 from ..session import materialize
 from .rank import global_rank
+from .select import keys_at
 
 
 def seeded_key(key: Column, seed: int = fixed.SEED, tag: str | None = None) -> Column:
@@ -78,58 +79,50 @@ def dropped_count(df: DataFrame, col: str = "Full_Text", min_length: int = fixed
 
 def seeded_sample(df: DataFrame, n: int | None, key: str, seed: int = fixed.SEED,
                   out: str = "sample_key") -> DataFrame:
-    """Exactly ``n`` rows (all of them when there are fewer), chosen by the
-    keyed hash: the narrow (hash, key) records are ranked, and the first
-    ``n`` keys pick their rows.  ``key`` must be unique."""
+    """Exactly ``n`` rows (all of them when there are fewer), the first by
+    keyed hash: rows are compared in place with the n-th (hash, key).  ``key``
+    must be unique (rows that repeat the n-th key are all taken)."""
     d = df.withColumn(out, seeded_key(F.col(key), seed))
     if not n:
         return d
-    first = global_rank(d.select(out, key), [out, key], "_r").where(F.col("_r") <= n).select(key)
-    return d.join(first, key, "left_semi")
+    bounds, _ = keys_at(d.select(F.lit("sample").alias("tag"), F.col(out).alias("h"), F.col(key).alias("k")), {"sample": [n]})
+    if not bounds:
+        return d
+    return d.where(_upto(F.col(out), F.col(key), bounds[("sample", n)], df.schema[key].dataType))
+
+
+def _upto(h: Column, k: Column, bound: tuple, kind) -> Column:
+    """(h, k) is not beyond the bound; a null key comes first."""
+    return F.struct(h.alias("h"), k.alias("k")) <= F.struct(F.lit(bound[0]).alias("h"), F.lit(bound[1]).cast(kind).alias("k"))
 
 
 # -- R1-R3 ---------------------------------------------------------------------------------
 
 def relabel_bands(df: DataFrame, key: str, specs, seed: int = fixed.SEED) -> DataFrame:
-    """Exact-count relabelling of several columns in one narrow rank.
+    """Exact-count relabelling of several columns.
 
     ``specs``: list of ``(col, cand, tag, bands)`` with ``bands`` a list of
     ``(upto, label)`` (cumulative integer counts).  Among rows where ``cand``
     holds, the ``upto`` first in keyed-hash order get ``label``.  Each row
     contributes one narrow ``(tag, hash, key)`` record per candidacy; one
-    distributed rank over those records yields every band boundary, and only
-    those few boundary keys (at most one per band) reach the driver.  Rows are
-    then compared with the boundaries in place: no full-row shuffle."""
+    :func:`keys_at` over those records yields every band boundary, and rows are
+    compared with the boundaries in place: no full-row shuffle."""
     recs = F.array(*[F.when(cand, F.struct(F.lit(tag).alias("tag"), seeded_key(F.col(key), seed, tag).alias("h"),
                                            F.col(key).alias("k")))
                      for _, cand, tag, _ in specs])
     narrow = df.select(F.explode(F.filter(recs, lambda x: x.isNotNull())).alias("c")).select("c.*")
-    counts = {r["tag"]: r["n"] for r in narrow.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offset, acc = {}, 0
-    for tag in sorted(counts):
-        offset[tag] = acc
-        acc += counts[tag]
-    wanted = {}
-    for _, _, tag, bands in specs:
-        for upto, _ in bands:
-            if upto > 0:
-                wanted[offset.get(tag, 0) + int(upto)] = (tag, int(upto))
-    bounds = {}
-    if wanted:
-        ranked = global_rank(narrow, ["tag", "h", "k"], "_r")
-        for r in ranked.where(F.col("_r").isin(list(wanted))).collect():
-            bounds[wanted[r["_r"]]] = (r["h"], r["k"])
+    wanted = {tag: sorted({int(upto) for upto, _ in bands if int(upto) > 0}) for _, _, tag, bands in specs}
+    wanted = {tag: ps for tag, ps in wanted.items() if ps}
+    bounds = keys_at(narrow, wanted)[0] if wanted else {}
     out = df
     for col, cand, tag, bands in specs:
-        me = F.struct(seeded_key(F.col(key), seed, tag).alias("h"), F.col(key).alias("k"))
         expr = None
         for upto, label in bands:
             if int(upto) <= 0:
                 continue
             if (tag, int(upto)) not in bounds:
                 raise ValueError(f"band {label!r} of {col} ends at row {upto}, but fewer rows are candidates")
-            h, k = bounds[(tag, int(upto))]
-            cond = cand & (me <= F.struct(F.lit(h).alias("h"), F.lit(k).alias("k")))
+            cond = cand & _upto(seeded_key(F.col(key), seed, tag), F.col(key), bounds[(tag, int(upto))], df.schema[key].dataType)
             expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
         if expr is not None:
             out = out.withColumn(col, expr.otherwise(F.col(col)))
