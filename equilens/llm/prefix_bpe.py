@@ -32,8 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, rows_bounded
 
-# Strings, and pieces, that a worker keeps the encoding of.
+# Answers about pairs of tokens that a worker keeps; bytes of strings (and of
+# pieces) with their ids that it keeps, before what the last texts did not use goes.
 CACHED = 120_000
+STORED = 24 << 20
+# Pieces encoded together; bytes above which a piece is encoded by itself.
+BATCH = 20_000
+LONG = 256
 # White space before a space: such a text is not cut at every space.
 _UNSAFE = re.compile(r"\s ")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= )")
@@ -160,11 +165,30 @@ class Encoder:
             at = np.searchsorted(self.asked, key)
         return self.answers[at]
 
-    def pieces_many(self, pieces: list[bytes]) -> list[list[int]]:
-        """:meth:`piece` for many pieces at once: the last tokens of all first
-        bytes are found together, then those of all second bytes, and so on."""
-        if not pieces:
-            return []
+    def pieces_many(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`piece` for many pieces at once: all ids in order, and how many each
+        piece has.  Whole tokens are looked up; the others are encoded together,
+        long ones each by itself, byte after byte."""
+        ids = np.array([self.ranks.get(p, -1) for p in pieces], np.int64)
+        many, made = np.ones(len(pieces), np.int64), {}
+        rest = np.flatnonzero(ids < 0).tolist()
+        short = [k for k in rest if len(pieces[k]) <= LONG]
+        for a in range(0, len(short), BATCH):
+            some = short[a:a + BATCH]
+            found, many[some] = self._together([pieces[k] for k in some])
+            made.update(zip(some, np.split(found, np.cumsum(many[some])[:-1])))
+        for k in rest:
+            if k not in made:
+                made[k] = np.array(self.piece(pieces[k]), np.int64)
+                many[k] = len(made[k])
+        out, ends = np.repeat(ids, many).astype(np.int32), np.cumsum(many)
+        for k, x in made.items():
+            out[ends[k] - many[k]:ends[k]] = x
+        return out, many
+
+    def _together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The last tokens of all first bytes are found at once, then those of all
+        second bytes, and so on."""
         length = np.fromiter(map(len, pieces), np.int64, len(pieces))
         data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
         end = np.cumsum(length)
@@ -198,16 +222,15 @@ class Encoder:
                 ok[ask] = self.apart_many(last[before[ask]], t[ask])
                 last[todo[ok]] = t[ok]
                 todo, k = todo[~ok], k + 1
-        out: list[list[int]] = [[] for _ in pieces]
-        row, at = np.arange(len(pieces)), end - 1
-        while len(row):
+        row, at, steps = np.arange(len(pieces)), end - 1, []
+        while len(row):  # from the ends of the pieces backwards
             t = last[at]
-            for r, x in zip(row.tolist(), t.tolist()):
-                out[r].append(x)
+            steps.append((row, t))
             at = at - self.size[t]
             more = at >= (end - length)[row]
             row, at = row[more], at[more]
-        return [ids[::-1] if self.ranks.get(p) is None else [self.ranks[p]] for p, ids in zip(pieces, out)]
+        rows, ids = (np.concatenate(x) for x in zip(*reversed(steps)))
+        return ids[np.argsort(rows, kind="stable")], np.bincount(rows, minlength=len(pieces))
 
     def text(self, s: str) -> list[int]:
         """Ids of a whole text."""
@@ -282,76 +305,94 @@ def strings(s: str) -> list[str]:
     return _SAFE_CUT.split(s) if _UNSAFE.search(s) else [p if not k else " " + p for k, p in enumerate(s.split(" "))]
 
 
-class Strings(dict):
-    """What is made of the ids of each string between safe cuts, and of each
-    piece: found once for all texts given together and kept for the next ones.
-    When the store is full, what the current texts do not use is dropped."""
-
-    def __init__(self, encoder: Encoder, of_ids, joined):
-        self.encoder, self.of_ids, self.joined = encoder, of_ids, joined
-        self.pieces: dict[str, object] = {}
-
-    def of(self, texts: list[str]) -> list[list]:
-        cuts = [strings(t) if t else [] for t in texts]
-        need = set().union(*cuts)
-        new = [s for s in need if s not in self]
-        found = list(map(self.encoder.pieces.findall, new))
-        _make_room(self, need, len(new))
-        pieces = set().union(*found)
-        unknown = [p for p in pieces if p not in self.pieces]
-        _make_room(self.pieces, pieces, len(unknown))
-        short = [p for p in unknown if len(p) <= 64]
-        for k in range(0, len(short), 10_000):
-            some = short[k:k + 10_000]
-            self.pieces.update(zip(some, map(self.of_ids, self.encoder.pieces_many([p.encode() for p in some]))))
-        # A long piece by itself: its bytes are gone through one after the other.
-        self.pieces.update((p, self.of_ids(self.encoder.piece(p.encode()))) for p in unknown if len(p) > 64)
-        known, joined = self.pieces, self.joined
-        self.update(zip(new, (known[ps[0]] if len(ps) == 1 else joined([known[p] for p in ps]) for ps in found)))
-        out = [list(map(self.__getitem__, c)) for c in cuts]
-        for store, keys in ((self, new), (self.pieces, unknown)):
-            for s in keys:
-                if len(s) > 64:
-                    del store[s]
-        return out
-
-
-def _make_room(store: dict, need: set, n: int) -> None:
-    if len(store) + n > CACHED:
-        kept = {s: store[s] for s in need if s in store}
-        dict.clear(store)
-        store.update(kept)
-
-
-class Digests(Strings):
-    """Values: (ids joined by commas, their number, decoded bytes)."""
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All :func:`strings` of the texts, how many each text has, and the order
+    of the texts in both (those without white space before a space come first)."""
+    unsafe = np.array([bool(_UNSAFE.search(t)) for t in texts.to_pylist()], bool)
+    safe = texts.filter(pa.array(~unsafe))
+    parts = pc.split_pattern(safe, " ")
+    flat, many = parts.flatten(), np.diff(parts.offsets.to_numpy())
+    first = np.zeros(len(flat), bool)
+    first[np.cumsum(many) - many] = True
+    flat = pc.if_else(pa.array(first), flat, pc.binary_join_element_wise(" ", flat, ""))
+    lists = [strings(t) for t in texts.filter(pa.array(unsafe)).to_pylist()]
+    if lists:
+        flat = pa.concat_arrays([flat, pa.array([x for l in lists for x in l], pa.string())])
+        many = np.concatenate([many, [len(l) for l in lists]])
+    return flat, many.astype(np.int64), np.argsort(unsafe, kind="stable")
+
+
+def _lists(ids: np.ndarray, many: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(ids, pa.int32()))
+
+
+class Store:
+    """Strings and their ids as two Arrow columns, a few bytes a string."""
+
+    def __init__(self):
+        self.keys, self.ids = pa.array([], pa.string()), _lists(np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def ids_of(self, keys: pa.Array, make) -> pa.ListArray:
+        """The ids of different ``keys``; ``make(list of strings)`` gives those of unknown ones.
+        A store over its size keeps what was asked for last."""
+        at = pc.index_in(keys, value_set=self.keys)
+        unknown = pc.is_null(at).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(at, -1).to_numpy().copy()
+        if unknown.any():
+            if self.keys.nbytes + self.ids.nbytes > STORED:
+                old = pa.array(at[~unknown])
+                self.keys, self.ids = self.keys.take(old), self.ids.take(old)
+                at[~unknown] = np.arange(len(old))
+            new = keys.filter(pa.array(unknown))
+            at[unknown] = len(self.keys) + np.arange(len(new))
+            self.keys = pa.concat_arrays([self.keys, new])
+            self.ids = pa.concat_arrays([self.ids, make(new.to_pylist())])
+        return self.ids.take(pa.array(at))
+
+
+class Texts:
+    """Encodes many texts at once: different strings between safe cuts, and of
+    these different pieces, are encoded once and kept for the next texts."""
 
     def __init__(self, encoder: Encoder):
-        data = encoder.vocabulary.text
-        shown = {i: str(i) for i in data}
-        super().__init__(encoder, lambda ids: (",".join([shown[i] for i in ids]).encode(), len(ids), b"".join([data[i] for i in ids])),
-                         lambda parts: (b",".join([p[0] for p in parts]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts])))
-
-    def of_all(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """For each text (number of ids, SHA-256 of the joined ids, SHA-256 of the decoded bytes)."""
-        return [(sum([p[1] for p in parts]), hashlib.sha256(b",".join([p[0] for p in parts if p[1]])).hexdigest(),
-                 hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest()) for parts in self.of(texts)]
-
-
-class Ids(Strings):
-    """Values: the ids as bytes of 32-bit numbers, which take a fraction of the memory of lists."""
+        self.encoder, self.strings, self.pieces = encoder, Store(), Store()
+        text = encoder.vocabulary.text
+        self.shown = pa.array([str(i).encode() for i in range(max(text) + 1)], pa.binary())
+        self.bytes = pa.array([text.get(i, b"") for i in range(max(text) + 1)], pa.binary())
+
+    def ids(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of every text (no null)."""
+        flat, many, order = cut(texts)
+        lists = self._expand(flat, self.strings, self._strings)
+        ends = np.concatenate([[0], np.cumsum(many)])
+        whole = pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy()[ends]), lists.values)
+        return whole if (order[1:] > order[:-1]).all() else whole.take(pa.array(np.argsort(order)))
+
+    def _expand(self, flat: pa.Array, store: Store, make) -> pa.ListArray:
+        """The ids of every string of ``flat``, whose different ones are looked up."""
+        coded = flat.dictionary_encode()
+        lists = store.ids_of(coded.dictionary, make).take(coded.indices)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int32)), lists.flatten())
+
+    def _strings(self, new: list[str]) -> pa.ListArray:
+        found = list(map(self.encoder.pieces.findall, new))
+        lists = self._expand(pa.array([p for ps in found for p in ps], pa.string()), self.pieces, self._pieces)
+        ends = np.cumsum([0, *map(len, found)])
+        return pa.ListArray.from_arrays(pa.array(lists.offsets.to_numpy()[ends]), lists.values)
 
-    def __init__(self, encoder: Encoder):
-        super().__init__(encoder, lambda ids: np.array(ids, np.int32).tobytes(), b"".join)
+    def _pieces(self, new: list[str]) -> pa.ListArray:
+        return _lists(*self.encoder.pieces_many([p.encode() for p in new]))
 
-    def of_all(self, texts: list[str]) -> pa.ListArray:
-        parts = [b"".join(p) for p in self.of(texts)]
-        ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+    def digests(self, texts: pa.Array) -> dict:
+        """For each text the number of ids, SHA-256 of the joined ids, SHA-256 of the decoded bytes."""
+        ids = self.ids(texts)
+        flat, offsets = ids.flatten(), pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int32))
+        sha = lambda column, by: [hashlib.sha256(x.as_buffer()).hexdigest() for x in pc.binary_join(pa.ListArray.from_arrays(offsets, column.take(flat)), by)]
+        return {"n_tokens": pc.list_value_length(ids).cast(pa.int64()), "ids_sha256": pa.array(sha(self.shown, b",")), "decoded_sha256": pa.array(sha(self.bytes, b""))}
 
 
 # Per worker process: tasks that follow each other share the stores.
-_KEPT: dict[tuple, Encoder | Strings] = {}
+_KEPT: dict[tuple, Encoder | Texts] = {}
 
 
 def _kept(kind: type, key: tuple[str, str], shared):
@@ -368,7 +409,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     shared = docs.sparkSession.sparkContext.broadcast(load(path, pattern))
 
     def run(_, texts: pa.Array) -> dict:
-        ids = _kept(Ids, (path, pattern), shared).of_all([t or "" for t in texts.to_pylist()])
+        ids = _kept(Texts, (path, pattern), shared).ids(pc.fill_null(texts, ""))
         return {"n_tokens": pc.list_value_length(ids).cast(pa.int64()), "ids": ids}
 
     return map_texts(docs, run, "n_tokens long, ids array<int>", id_col, text_col)
@@ -396,7 +437,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(load(path, pattern))
 
     def run(_, texts: pa.Array) -> dict:
-        n, ids, data = zip(*_kept(Digests, (path, pattern), shared).of_all([t or "" for t in texts.to_pylist()]))
-        return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(data)}
+        return _kept(Texts, (path, pattern), shared).digests(pc.fill_null(texts, ""))
 
     return map_texts(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
