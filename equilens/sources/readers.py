@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from .csv_records import read_csv
+from .versions import current
 
 RAW_CSV_SCHEMA = T.StructType([
     T.StructField("ID", T.LongType()),
@@ -54,15 +56,23 @@ def parse_text_dir(spark: SparkSession, path: str) -> DataFrame:
 
 # -- S2 / S3: CSV -----------------------------------------------------------------------
 
-def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV ``ID, Resume_str, Category``; quoted fields may hold newlines."""
+def read_raw_csv(spark: SparkSession, path: str, by_blocks: bool = False) -> DataFrame:
+    """Header CSV ``ID, Resume_str, Category``; quoted fields may hold newlines.
+    ``by_blocks``: a large file is read by many tasks (see :mod:`.csv_records` for
+    the form that files must have), else each file by one."""
+    if by_blocks:
+        return read_csv(spark, path, RAW_CSV_SCHEMA)
     return (spark.read.schema(RAW_CSV_SCHEMA).option("header", True).option("multiLine", True)
             .option("escape", '"').csv(path))
 
 
-def read_prepared(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Re-read the preparation job's output; empty strings come back as ''."""
-    if fmt == "csv":
+def read_prepared(spark: SparkSession, path: str, fmt: str = "parquet", by_blocks: bool = False) -> DataFrame:
+    """Re-read the preparation job's output (the latest version, if it was
+    published); empty strings come back as ''."""
+    path = current(spark, path)
+    if fmt == "csv" and by_blocks:
+        df = read_csv(spark, path, PREPARED_SCHEMA)
+    elif fmt == "csv":
         df = (spark.read.schema(PREPARED_SCHEMA).option("header", True).option("multiLine", True)
               .option("escape", '"').csv(path))
     else:
