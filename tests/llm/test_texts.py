@@ -357,3 +357,54 @@ def test_main_text_is_whole():
 def test_smoothing_finds_the_cluster():
     ratios = np.array([2.0, 1, 3, 2, 80, 4, 90, 120, 70, 3, 2, 1, 2, 3])
     assert html_extract.content_lines(ratios).tolist() == [False] * 3 + [True] * 6 + [True] + [False] * 4
+
+
+def test_clusters_choose_the_region(monkeypatch):
+    long, part = "Words of the main text go on and on. " * 20, "The smaller part of the text has some words as well. " * 3
+    # The body is no article; the article is a card beside it.
+    card = f"<body><article><p>Short card</p></article><div id=content><h1>Title</h1><p>{long}</p><p>{part}</p></div></body>"
+    assert html_extract.extract(card).endswith(f"Title\n{long.strip()}\n{part.strip()}")
+    # A name that only begins like furniture, a list of links, a teaser after the article.
+    links = "".join(f"<li><a href='/{k}'>Link {k}</a></li>" for k in range(6))
+    page = f"<body><article><h1>Title</h1><p>{long}</p><section class='notice-of-results'><p>{part}</p></section><ul>{links}</ul><p>{part}</p></article>%s</body>"
+    assert html_extract.extract(page % "") == f"Title\n{long.strip()}\n{part.strip()}\n{part.strip()}"
+    rest = "".join(f"<div><span><b><i>{k}</i></b></span></div>" for k in range(5))
+    teaser = rest + "<article><p><a href='/n'><b>Next</b></a></p></article>"
+    assert html_extract.extract(page % teaser) == html_extract.extract(page % "")
+    # Lists of words, and links inside sentences, stay.
+    keep = f"<body><article><p>{long}</p><ul><li>One</li><li>Two</li><li><a href='/'>Three</a></li></ul></article></body>"
+    assert html_extract.extract(keep) == f"{long.strip()}\nOne\nTwo\nThree"
+    # Scripts and buttons inside a line are no part of it.
+    inline = f"<html><head><title>T</title><style>p{{}}</style></head><body><p>{long}<script>var x;</script><button>Share</button> end</p></body></html>"
+    assert html_extract.extract(inline) == f"{long.strip()} end"
+    whole = html_extract.extract(page % teaser)
+    for answer in (False, True):
+        monkeypatch.setattr(html_extract, "content_lines", lambda r, a=answer: np.full(len(r), a))
+        assert html_extract.extract(page % teaser) != whole
+
+
+def brute_smooth(ratios, sigma, threshold):
+    mean = sum(ratios) / len(ratios)
+    std = math.sqrt(sum((x - mean) ** 2 for x in ratios) / len(ratios))
+    reach = math.ceil(3 * sigma)
+    out = []
+    for i in range(len(ratios)):
+        near = [(math.exp(-0.5 * ((j - i) / sigma) ** 2), ratios[j]) for j in range(max(0, i - reach), min(len(ratios), i + reach + 1))]
+        out.append(sum(w * x for w, x in near) / sum(w for w, _ in near) >= threshold * std)
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(ratios=st.lists(st.floats(0, 300), min_size=1, max_size=40), sigma=st.sampled_from([0.5, 1.0, 2.0]))
+def test_clusters_against_brute_force(ratios, sigma):
+    got = html_extract.content_lines(np.array(ratios), sigma, 0.5)
+    want = brute_smooth(ratios, sigma, 0.5)
+    assert sum(a != b for a, b in zip(got, want)) <= (1 if len(set(ratios)) > 1 else len(ratios))  # equal to rounding
+
+
+def test_given_pages_follow_the_clusters(monkeypatch):
+    import pyarrow.parquet as pq
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet", columns=["html"]).column(0).to_pylist()
+    texts = list(map(html_extract.extract, pages))
+    monkeypatch.setattr(html_extract, "content_lines", lambda r: np.zeros(len(r), bool))
+    assert sum(a != html_extract.extract(p) for a, p in zip(texts, pages)) > len(pages) / 2
