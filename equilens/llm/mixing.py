@@ -7,7 +7,7 @@ water level L with target = min(cap * words, L * weight): sources sorted by
 the level at which they fill, the level is read off running sums.
 
 **Queue.**  Each source offers its documents in a shuffled order (a hash of
-id and seed), once more for each repeat.  A document's virtual finish time is
+its values and a seed), once more for each repeat.  A document's virtual finish time is
 its source's cumulative words, itself included, divided by the target.  All
 offers are merged by finish time and cut where the words taken reach the
 budget, the sum of the targets.
@@ -19,9 +19,13 @@ square root of all rows), so neither the list of ranges nor a range grows
 large.  Ranges are expressions of a row's own values, so a retried task gives
 the same ones.
 
-A null text has size 0; rows of size 0 take no words (``copies`` is 0).  Rows
-that repeat an id are documents of their own next to each other in the queue.
-A null id is hashed like any value.  No words at all: every target is 0.
+A row's place in the shuffled order is a hash of its id, source and text, so rows
+that share an id, null ids included, are spread like any others and have their own
+copies; only rows equal in all three stand next to each other in the queue.
+
+A null text has size 0; rows of size 0 take no words (``copies`` is 0).  Equal
+finish times of different sources are taken by turn, then by place, id and size.
+A null id, source or text is hashed as empty.  No words at all: every target is 0.
 """
 
 from __future__ import annotations
@@ -42,12 +46,13 @@ SEED = 42
 REACH = 16
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(_id, _source, _key, size): the words of each whole text; the key is the
-    source with null as a value of its own."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+    """(_id, _source, _key, size, mixed): the words of each whole text and its place
+    in the shuffled order; the key is the source with null as a value of its own."""
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     source = F.col(source_col).cast("string")
-    return docs.select(F.col(id_col).alias("_id"), source.alias("_source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("_key"), size.alias("size"))
+    return docs.select(F.col(id_col).alias("_id"), source.alias("_source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("_key"), size.alias("size"),
+                       _mixed(F.col(id_col), source, F.col(text_col), seed).alias("mixed"))
 
 
 def targets(per_source: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -74,7 +79,7 @@ def queue(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = C
     """(_id, _source, size, source_size, target, mixed, ahead): ``mixed`` is the
     row's place in the shuffled order, ``ahead`` the words of its source up to
     and with it.  A checkpointed table, one row per row of ``docs``."""
-    rows = cut(sizes(docs, id_col, text_col, source_col).withColumn("mixed", _mixed(F.col("_id"), seed)))
+    rows = cut(sizes(docs, id_col, text_col, source_col, seed))
     ranges = math.isqrt(rows.count()) + 1
     rows = rows.withColumn("_range", _range_of(F.col("mixed"), ranges))
     sums = cut(rows.groupBy("_key", "_range").agg(F.first("_source").alias("_source"), F.sum("size").alias("words")))
@@ -87,9 +92,10 @@ def queue(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = C
     return cut(rows.select("_id", "_source", "size", "source_size", "target", "mixed", (F.col("start") + F.col("ahead")).alias("ahead")))
 
 
-def _mixed(key: Column, seed: int) -> Column:
-    """Place in the shuffled order: the first 60 bits of an MD5 of seed and id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit(""))))
+def _mixed(key: Column, source: Column, text: Column, seed: int) -> Column:
+    """Place in the shuffled order: the first 60 bits of an MD5 of seed, id, source and the text's MD5."""
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), shown(key), shown(source), F.md5(shown(text))))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -104,7 +110,7 @@ def _finish(turn: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken, finish): ``copies``
+    """(id, source, mixed, size, source_size, target, copies, taken, finish): ``copies``
     of each row are in the mix, ``taken`` words in all; ``finish`` has the
     virtual finish time of each copy.  Exploded by it and ordered, the rows are
     the mix."""
@@ -132,15 +138,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
             else:
                 taken[k] = F.struct(own.alias("finish"), F.lit(k).alias("turn"), "mixed", "_id", "size") <= F.struct(*[F.lit(end[c]).cast(offers.schema[c].dataType).alias(c) for c in key])
     copies = sum((F.when((F.col("size") > 0) & t, 1).otherwise(0) for t in taken), F.lit(0))
-    out = rows.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", copies.alias("copies"),
+    out = rows.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "mixed", "size", "source_size", "target", copies.alias("copies"),
                       F.array(*[_finish(F.lit(k)) for k in range(repeats)]).alias("finish"))
     return out.withColumn("taken", F.col("copies") * F.col("size")).withColumn("finish", F.slice("finish", 1, F.col("copies")))
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it (rows that repeat an
-    id as often as the one of them taken most)."""
-    mixed = mix(docs, id_col=id_col, **options)
-    copies = cut(mixed.groupBy(F.col(id_col).alias("_mixed")).agg(F.max("copies").alias("_copies")).where("_copies > 0"))
-    out = join_counted(docs, copies, F.col(id_col).eqNullSafe(F.col("_mixed")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies", "_mixed")
+def apply_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with every row as often as the mix takes it.  Rows are found again
+    by their place in the shuffled order and their id; those equal in id, source
+    and text are written as often as the one of them taken most."""
+    mixed = mix(docs, weights, share, cap, seed, id_col, text_col, source_col)
+    copies = cut(mixed.groupBy("mixed", F.col(id_col).alias("id")).agg(F.max("copies").alias("copies")).where("copies > 0"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("own"), _mixed(F.col(id_col), F.col(source_col), F.col(text_col), seed).alias("place"))
+    out = join_counted(rows, copies, (F.col("place") == F.col("mixed")) & F.col("own").eqNullSafe(F.col("id")))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -18,7 +18,7 @@ def mixing_sql() -> str:
     w1, w2, w3 = mixing.WEIGHTS
     return f"""
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-                 CAST('0x' || substr(md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS mixed FROM documents),
+                 CAST('0x' || substr(md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(source, '') || '|' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS mixed FROM documents),
 sources AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sized GROUP BY source),
 weighed AS (SELECT source, source_size, {mixing.CAP}.0 * source_size AS cap, CASE (place - 1) % 3 WHEN 0 THEN {w1}.0::DOUBLE WHEN 1 THEN {w2}.0::DOUBLE ELSE {w3}.0::DOUBLE END AS weight FROM sources),
 ordered AS (SELECT *, row_number() OVER (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS FIRST) AS k FROM weighed),
@@ -31,11 +31,11 @@ queued AS (SELECT s.*, g.source_size, g.target, CAST(sum(s.size) OVER (PARTITION
 offers AS (SELECT doc_id, source, size, mixed, turn, CAST(turn * source_size + ahead AS DOUBLE) / target AS finish FROM queued, range(0, {mixing.CAP}) t(turn) WHERE size > 0),
 run AS (SELECT *, sum(size) OVER (ORDER BY finish, turn, mixed, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM offers),
 -- in the merged order, everything up to the offer in which the budget ends (itself if half of it fits)
-kept AS (SELECT doc_id, source, size, count(*) AS copies FROM run
+kept AS (SELECT doc_id, source, size, mixed, count(*) AS copies FROM run
          WHERE upto - size / 2.0 <= (SELECT floor(sum(size) * {min(mixing.SHARE, mixing.CAP)}) FROM sized) AND upto - size < (SELECT floor(sum(size) * {min(mixing.SHARE, mixing.CAP)}) FROM sized)
-         GROUP BY doc_id, source, size)
+         GROUP BY doc_id, source, size, mixed)
 SELECT q.doc_id, q.source, CAST(q.size AS BIGINT) AS size, q.source_size, q.target, CAST(coalesce(k.copies, 0) * q.size AS BIGINT) AS taken, CAST(coalesce(k.copies, 0) AS INTEGER) AS copies
-FROM queued q LEFT JOIN kept k ON k.doc_id IS NOT DISTINCT FROM q.doc_id AND k.source IS NOT DISTINCT FROM q.source AND k.size = q.size"""
+FROM queued q LEFT JOIN kept k ON k.doc_id IS NOT DISTINCT FROM q.doc_id AND k.source IS NOT DISTINCT FROM q.source AND k.size = q.size AND k.mixed = q.mixed"""
 
 
 def _spans(text: str, pattern: str, measured: str) -> str:

@@ -157,6 +157,33 @@ def test_mixing_targets_and_amounts(spark):
     assert mixing.mix(docs(spark, [])).collect() == [] and mixing.mix(docs(spark, [row(1, None), row(2, "")])).count() == 2
 
 
+def test_rows_that_share_ids_have_their_own_copies(spark):
+    """Half of the ids null and a tenth equal: the mix stays at its budget, no range
+    of the queue is hot, other columns of any name come out as they went in."""
+    rows = [row(None if i % 2 else 7 if i % 10 == 0 else i, prose(i, 5 + i % 30), "en", f"s{i % 3}") for i in range(3000)]
+    table = docs(spark, rows).withColumns({"mixed": F.lit("m"), "copies": F.lit("c"), "row": F.lit("r"), "place": F.lit("p")})
+    out = mixing.apply_mix(table)
+    assert out.columns == table.columns and {(r.mixed, r.copies, r.row, r.place) for r in out.select("mixed", "copies", "row", "place").distinct().collect()} == {("m", "c", "r", "p")}
+    words = sum(len(r[1].split()) for r in rows)
+    got = out.select(F.sum(F.size(F.split("text", " "))).alias("n")).first()["n"]
+    assert abs(got - math.floor(1.5 * words)) <= 40
+    by = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    assert set(by.values()) <= {1, 2}
+    queue = mixing.queue(table)
+    ranges = math.isqrt(3000) + 1
+    held = [r["count"] for r in queue.groupBy(mixing._range_of(F.col("mixed"), ranges)).count().collect()]
+    assert len(held) == ranges and max(held) < 2.2 * 3000 / ranges
+
+
+def test_equal_finish_times_are_taken_by_turn_and_place(spark):
+    """Two sources alike in everything but their weight's turn: every finish time occurs twice."""
+    rows = [row(i, "one two three", "en", s) for i in range(40) for s in ("a", "d")]
+    table = docs(spark, rows)
+    got = mixing.mix(table, weights=(1,)).collect()
+    again = mixing.mix(table.repartition(7), weights=(1,)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and sum(r.taken for r in got) == 1.5 * 3 * len(rows)
+
+
 def test_mixing_queue_is_fair(spark):
     rows = [row(i, prose(i, 10), "en", "a" if i % 3 else "b") for i in range(600)]
     offers = sorted((f, r.source, r.size) for r in mixing.mix(docs(spark, rows)).collect() for f in r.finish)
