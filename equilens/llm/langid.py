@@ -18,8 +18,9 @@ pieces, reaches the driver and the tasks.
 
 The lattice is walked for many words at once: words of a chunk stand in a
 matrix of letters, and for every start the pieces that fit are found letter by
-letter in a sorted table of trie edges.  Longer runs of letters are cut every
-``LONGEST_WORD`` letters in training and scoring alike.
+letter in a sorted table of trie edges.  Pieces and words of any length take part
+whole: the numbers of long words are scaled as they grow, a long word is walked by
+itself, and its arcs are found anew on the way back instead of being kept.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text
 if no language was learned.  Ties go to the first language by name.  Rows that
@@ -42,8 +43,6 @@ from .common import chunks, cut, map_texts, rows_bounded
 
 UNKNOWN_LANGUAGE = "und"
 BOUNDARY = "▁"  # how the vocabulary marks the start of a word
-LONGEST_PIECE = 12
-LONGEST_WORD = 40
 ROUNDS = 2
 SMOOTHING = 0.1
 # A word seen n times in a text counts n times; a posterior from thousands of
@@ -61,6 +60,7 @@ class Pieces:
     target: np.ndarray
     piece: np.ndarray
     n: int
+    longest: int  # letters of the longest piece
 
     @classmethod
     def build(cls, pieces: list[str]) -> Pieces:
@@ -77,7 +77,7 @@ class Pieces:
         order = sorted(nodes)
         piece = np.full(len(nodes) + 1, -1, np.int64)
         piece[list(ends)] = list(ends.values())
-        return cls(np.array(letters, np.int64), np.array([a * width + b for a, b in order], np.int64), np.array([nodes[x] for x in order], np.int64), piece, len(pieces))
+        return cls(np.array(letters, np.int64), np.array([a * width + b for a, b in order], np.int64), np.array([nodes[x] for x in order], np.int64), piece, len(pieces), max(map(len, pieces), default=1))
 
     def matrix(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Letter numbers of the words with the boundary in front (padded by -1), and their lengths."""
@@ -89,73 +89,85 @@ class Pieces:
         out[np.repeat(np.arange(len(words)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = code
         return out, lengths
 
-    def arcs(self, code: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, length, words, pieces) for all pieces that fit, by start.  A
-        letter that is no piece by itself is piece ``n``, so all words have a
-        segmentation."""
+    def arcs(self, code: np.ndarray, start: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, words, pieces) for all pieces that fit at ``start``.  A letter
+        that is no piece by itself is piece ``n``, so all words have a segmentation."""
         width = len(self.letters) + 1
-        for start in range(code.shape[1]):
-            rows = np.flatnonzero(code[:, start] >= 0)
-            node = np.zeros(len(rows), np.int64)
-            for length in range(1, min(LONGEST_PIECE, code.shape[1] - start) + 1):
-                letter = code[rows, start + length - 1]
-                key = node * width + letter
-                at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
-                found = (letter > 0) & (self.edges[at] == key)
-                if length == 1:
-                    single = np.where(found, self.piece[self.target[at]], -1)
-                    yield start, 1, rows, np.where(single < 0, self.n, single)
-                rows, node = rows[found], self.target[at[found]]
-                if not len(rows):
-                    break
-                if length > 1:
-                    ends = self.piece[node] >= 0
-                    if ends.any():
-                        yield start, length, rows[ends], self.piece[node[ends]]
+        rows = np.flatnonzero(code[:, start] >= 0)
+        node = np.zeros(len(rows), np.int64)
+        for length in range(1, min(self.longest, code.shape[1] - start) + 1):
+            letter = code[rows, start + length - 1]
+            key = node * width + letter
+            at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            found = (letter > 0) & (self.edges[at] == key) if len(self.edges) else np.zeros(len(rows), bool)
+            if length == 1:
+                single = np.where(found, self.piece[self.target[at]], -1) if len(self.edges) else np.full(len(rows), -1)
+                yield 1, rows, np.where(single < 0, self.n, single)
+            rows, node = rows[found], self.target[at[found]]
+            if not len(rows):
+                break
+            if length > 1:
+                ends = self.piece[node] >= 0
+                if ends.any():
+                    yield length, rows[ends], self.piece[node[ends]]
+
+
+# Letters after which the forward numbers are brought near 1 again.
+SCALE_EVERY = 8
+
+
+def _forward(pieces: Pieces, code: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """alpha[place, word, column], divided at every scaling place by its value there,
+    and those values.  alpha[j] lacks the factors of all scaling places up to j."""
+    n, width = code.shape
+    alpha, scales = np.zeros((width + 1, n, prob.shape[1])), {}
+    alpha[0] = 1
+    for start in range(width):
+        if start and start % SCALE_EVERY == 0:  # alpha[start] is complete
+            top = alpha[start].copy()
+            top[top == 0] = 1  # words that have ended
+            alpha[start:start + pieces.longest] /= top
+            scales[start] = top
+        for length, rows, piece in pieces.arcs(code, start):
+            alpha[start + length, rows] += alpha[start, rows] * prob[piece]
+    return alpha, scales
 
 
 def forward(pieces: Pieces, words: list[str], prob: np.ndarray) -> np.ndarray:
     """log P(word | language) for every word and column of ``prob`` (pieces + 1 rows)."""
     code, lengths = pieces.matrix(words)
-    alpha, log = np.zeros((code.shape[1] + 1, len(words), prob.shape[1])), np.zeros((len(words), prob.shape[1]))
-    alpha[0] = 1
-    scaled = -1
-    for start, length, rows, piece in pieces.arcs(code):
-        if start != scaled:  # alpha[start] is complete: keep the numbers near 1
-            scaled = start
-            if start and start % 8 == 0:
-                top = alpha[start].copy()
-                top[top == 0] = 1
-                alpha[start:start + LONGEST_PIECE] /= top
-                log += np.log(top)
-        alpha[start + length, rows] += alpha[start, rows] * prob[piece]
+    alpha, scales = _forward(pieces, code, prob)
+    log = sum((np.log(top) for top in scales.values()), np.zeros(alpha.shape[1:]))
     return log + np.log(np.maximum(alpha[lengths, np.arange(len(words))], 1e-300))
 
 
 def expected(pieces: Pieces, words: list[str], weight: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """Expected count of each piece in the words, each word counted ``weight`` times."""
+    """Expected count of each piece in the words, each word counted ``weight`` times.
+
+    beta[j] is the probability of the rest after place j, divided by that of the
+    word and times the forward factors up to j, so neither grows nor vanishes with
+    the word's length; the factors between an arc's ends divide its weight."""
     code, lengths = pieces.matrix(words)
     n, width = code.shape
-    alpha, beta = np.zeros((width + 1, n)), np.zeros((width + 1, n))
-    alpha[0] = 1
-    arcs = list(pieces.arcs(code))
-    for start, length, rows, piece in arcs:
-        alpha[start + length, rows] += alpha[start, rows] * prob[piece]
-    beta[lengths, np.arange(n)] = 1
-    for start, length, rows, piece in reversed(arcs):
-        beta[start, rows] += beta[start + length, rows] * prob[piece]
-    total = alpha[lengths, np.arange(n)]
-    share = np.where(total > 0, weight / np.where(total > 0, total, 1), 0)
+    alpha, scales = _forward(pieces, code, prob[:, None])
+    alpha, beta = alpha[:, :, 0], np.zeros((width + 1, n))
+    final = alpha[lengths, np.arange(n)]
+    beta[lengths, np.arange(n)] = np.where(final > 0, 1 / np.where(final > 0, final, 1), 0)
     out = np.zeros(pieces.n + 1)
-    for start, length, rows, piece in arcs:
-        out += np.bincount(piece, alpha[start, rows] * prob[piece] * beta[start + length, rows] * share[rows], pieces.n + 1)
+    for start in reversed(range(width)):
+        for length, rows, piece in pieces.arcs(code, start):
+            rest = beta[start + length, rows] * prob[piece]
+            for place in range(start - start % SCALE_EVERY + SCALE_EVERY, start + length + 1, SCALE_EVERY):
+                if place in scales:
+                    rest = rest / scales[place][rows, 0]
+            beta[start, rows] += rest
+            out += np.bincount(piece, alpha[start, rows] * rest * weight[rows], pieces.n + 1)
     return out
 
 
 def letter_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Words of letters in lower case, cut at :data:`LONGEST_WORD` letters, and the row of each."""
-    bare = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}]+", " ")
-    lists = pc.ascii_split_whitespace(pc.replace_substring_regex(bare, rf"(\p{{L}}{{{LONGEST_WORD}}})", r"\1 "))
+    """Whole words of letters in lower case, and the row of each."""
+    lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}]+", " "))
     words, row = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
     real = pc.not_equal(words, "")
     return words.filter(real), row[real.to_numpy(zero_copy_only=False)]
@@ -185,13 +197,26 @@ class Model:
         return out, n
 
 
-# Words whose lattices are walked together; words of like length, so that little is padding.
+# Words, and places of them, whose lattices are walked together; words of like
+# length, so that little is padding.  A longer word is walked alone.
 TOGETHER = 16_384
+CELLS = 400_000
+
+
+def groups(lengths: np.ndarray) -> list[np.ndarray]:
+    """The words by length, in parts that are walked together."""
+    order, out, at = np.argsort(lengths, kind="stable"), [], 0
+    while at < len(order):
+        to = min(at + TOGETHER, len(order))
+        while to - at > 1 and (to - at) * (lengths[order[to - 1]] + 1) > CELLS:
+            to = at + max(1, min((to - at) // 2, int(CELLS // (lengths[order[at]] + 1))))
+        out.append(order[at:to])
+        at = to
+    return out
 
 
 def _length_order(words: pa.Array) -> list[np.ndarray]:
-    order = np.argsort(pc.utf8_length(words).to_numpy(), kind="stable")
-    return [order[i:i + TOGETHER] for i in range(0, len(order), TOGETHER)]
+    return groups(pc.utf8_length(words).to_numpy())
 
 
 def _by_length(words: pa.Array) -> Iterator[list[str]]:
@@ -214,7 +239,7 @@ def word_counts(train: DataFrame, text_col: str, label: str) -> DataFrame:
 
 def fit(docs: DataFrame, vocabulary: list[str], text_col: str = "text", label: str = "lang", rounds: int = ROUNDS) -> Model:
     """The model of the languages in ``docs`` (rows without a language say nothing)."""
-    pieces = Pieces.build(sorted({p for p in vocabulary if 0 < len(p) <= LONGEST_PIECE and all(c == BOUNDARY or c.isalpha() for c in p) and p == p.lower() and BOUNDARY not in p[1:]}))
+    pieces = Pieces.build(sorted({p for p in vocabulary if p and all(c == BOUNDARY or c.isalpha() for c in p) and p == p.lower() and BOUNDARY not in p[1:]}))
     train = docs.where(F.col(label).isNotNull())
     sizes = {r[0]: r[1] for r in train.groupBy(F.col(label).cast("string")).count().collect()}
     languages = sorted(sizes)
@@ -232,9 +257,8 @@ def fit(docs: DataFrame, vocabulary: list[str], text_col: str = "text", label: s
             for pdf in batches:
                 for lang, part in pdf.groupby("lang"):
                     column = np.ascontiguousarray(prob[:, languages.index(lang)])
-                    part = part.iloc[part["word"].str.len().argsort(kind="stable")]
-                    for at in range(0, len(part), TOGETHER):
-                        some = part.iloc[at:at + TOGETHER]
+                    for at in groups(part["word"].str.len().to_numpy()):
+                        some = part.iloc[at]
                         sums[lang] = sums.get(lang, 0) + expected(pieces, some["word"].tolist(), some["n"].to_numpy(float), column)
             for lang, c in sums.items():
                 used = np.flatnonzero(c)

@@ -283,6 +283,45 @@ def test_forward_sums_all_segmentations():
         assert abs(slope - langid.expected(pieces, words, np.ones(len(words)), base)[k]) < 1e-3
 
 
+def test_long_words_and_pieces_are_whole():
+    """Words far beyond what unscaled products can hold, pieces of any length."""
+    names = ["▁", "a", "b", "ab", "abcabcabcabcabcabcabc", "▁bab", "ba"]
+    pieces = langid.Pieces.build(names)
+    assert pieces.longest == 21
+    rng = np.random.default_rng(1)
+    prob = rng.random((len(names) + 1, 2)) * 1e-6
+    words = ["".join(rng.choice(list("abc?"), 700)), "abc" * 150, "ab", "z" * 400, "b" * 41, "abcabcabcabcabcabcabc", "ba" * 8, "b" * 7]
+
+    def log_sum(word, p):
+        w = "▁" + word
+        out = [0.0] + [-math.inf] * len(w)
+        for i in range(len(w)):
+            for k in range(1, min(21, len(w) - i) + 1):
+                part = w[i:i + k]
+                q = p[names.index(part)] if part in names else p[-1] if k == 1 else 0
+                if q:
+                    out[i + k] = np.logaddexp(out[i + k], out[i] + math.log(q))
+        return out[-1]
+
+    got = langid.forward(pieces, words, prob)
+    assert np.allclose(got, [[log_sum(w, prob[:, k]) for k in (0, 1)] for w in words], rtol=1e-10) and got.min() < -1500
+    weight = np.arange(1.0, len(words) + 1)
+    count = langid.expected(pieces, words, weight, prob[:, 0])
+    # every letter of every word is in one piece of a segmentation
+    letters = np.array([len(n) for n in names] + [1])
+    assert abs(count @ letters - weight @ [len(w) + 1 for w in words]) < 1e-6
+    base, eps = prob[:, 0].copy(), 1e-6
+    for k in range(len(base)):
+        up = base.copy()
+        up[k] *= 1 + eps
+        slope = ((langid.forward(pieces, words, up[:, None]) - langid.forward(pieces, words, base[:, None]))[:, 0] * weight).sum() / eps
+        assert abs(slope - count[k]) < 1e-3 * max(1, count[k])
+    parts = langid.groups(np.array([3] * 50 + [langid.CELLS * 2] + [9000] * 90))
+    assert sorted(np.concatenate(parts).tolist()) == list(range(141)) and all(len(p) == 1 or len(p) * 9001 <= langid.CELLS for p in parts[1:])
+    words, row = langid.letter_words(pa.array(["x" * 100 + " y", None, "É" * 45 + "1é"]))
+    assert words.to_pylist() == ["x" * 100, "y", "é" * 45, "é"] and row.tolist() == [0, 0, 2, 2]
+
+
 def test_language_prediction(spark):
     rows = [row(i, prose(i, 30, "abcde" if i % 2 else "defgh"), "x" if i % 2 else "y") for i in range(80)]
     model = langid.fit(docs(spark, rows + [row(900, "abc", None)]), ["▁", *"abcdefgh", "ab", "gh", "▁a", "▁h"])
