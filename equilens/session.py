@@ -47,12 +47,20 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.sparkContext.getCheckpointDir()
 
 
+def own_folder(spark: SparkSession, prefix: str) -> str:
+    """A temporary folder, for a session whose driver and executors are one process.
+    On a cluster it would be the driver's disk alone, so there it is an error."""
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None) -> str:
-    """Use the configured checkpoint folder; set ``fallback`` (or a temporary
-    folder) only when unset (tests, local benches)."""
+    """Use the configured checkpoint folder; set ``fallback`` (or, with a local
+    master, a temporary folder) only when unset (tests, local benches)."""
     d = checkpoint_dir(spark)
     if not d:
-        d = fallback or tempfile.mkdtemp(prefix="equilens-ckpt-")
+        d = fallback or own_folder(spark, "equilens-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)

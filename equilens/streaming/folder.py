@@ -25,12 +25,3 @@ def score_folder_stream(spark: SparkSession, path: str, vocab: Vocabulary, query
     parsed = raw.select("Filename", "text", *[c.alias(k) for k, c in cols.items()])
     scored = cosine_score(sparse_docs(parsed, vocab, "text", parsed.columns), query_weights, "sw")
     return scored.drop("text", "sw")
-
-
-def run_available(stream: DataFrame, query_name: str, checkpoint: str):
-    """Process everything currently in the folder into an in-memory table
-    (tests and notebooks) and stop."""
-    q = (stream.writeStream.format("memory").queryName(query_name).outputMode("append")
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q

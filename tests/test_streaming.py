@@ -2,10 +2,17 @@ import os
 import tempfile
 
 from equilens.operators import vectorize as vz
-from equilens.streaming.folder import run_available, score_folder_stream
+from equilens.streaming.folder import score_folder_stream
 from tests.fixture_texts import TEXTS
 
 
+def run_available(stream, query_name, checkpoint):
+    """Process what is in the folder into an in-memory table and stop."""
+    q = (stream.writeStream.format("memory").queryName(query_name).outputMode("append")
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def test_folder_stream_scores_new_files(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS.values())], "doc_id long, text string")
     vocab, qw = vz.fit_corpus(docs, vz.query_from_text(spark, "python pandas sql nlp"))
