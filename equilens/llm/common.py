@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import own_folder, ship_package
 
 # One word of a text: a maximal run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,9 +28,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names, which all executors
-    share; a temporary one only where none is set, as in tests."""
+    share; a temporary one only where none is set and the master is local, as in tests."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="equilens-llm-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own_folder(spark, "equilens-llm-"))
     return spark.sparkContext.getCheckpointDir()
 
 
