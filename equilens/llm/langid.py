@@ -116,9 +116,10 @@ class Pieces:
 SCALE_EVERY = 8
 
 
-def _forward(pieces: Pieces, code: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+def _forward(pieces: Pieces, code: np.ndarray, prob: np.ndarray, kept: list | None = None) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """alpha[place, word, column], divided at every scaling place by its value there,
-    and those values.  alpha[j] lacks the factors of all scaling places up to j."""
+    and those values.  alpha[j] lacks the factors of all scaling places up to j.
+    The arcs of every start are put into ``kept``."""
     n, width = code.shape
     alpha, scales = np.zeros((width + 1, n, prob.shape[1])), {}
     alpha[0] = 1
@@ -128,7 +129,11 @@ def _forward(pieces: Pieces, code: np.ndarray, prob: np.ndarray) -> tuple[np.nda
             top[top == 0] = 1  # words that have ended
             alpha[start:start + pieces.longest] /= top
             scales[start] = top
-        for length, rows, piece in pieces.arcs(code, start):
+        arcs = pieces.arcs(code, start)
+        if kept is not None:
+            arcs = list(arcs)
+            kept.append(arcs)
+        for length, rows, piece in arcs:
             alpha[start + length, rows] += alpha[start, rows] * prob[piece]
     return alpha, scales
 
@@ -149,19 +154,24 @@ def expected(pieces: Pieces, words: list[str], weight: np.ndarray, prob: np.ndar
     the word's length; the factors between an arc's ends divide its weight."""
     code, lengths = pieces.matrix(words)
     n, width = code.shape
-    alpha, scales = _forward(pieces, code, prob[:, None])
+    kept: list | None = [] if code.size <= CELLS else None  # a longer word's arcs are found again
+    alpha, scales = _forward(pieces, code, prob[:, None], kept)
     alpha, beta = alpha[:, :, 0], np.zeros((width + 1, n))
     final = alpha[lengths, np.arange(n)]
     beta[lengths, np.arange(n)] = np.where(final > 0, 1 / np.where(final > 0, final, 1), 0)
-    out = np.zeros(pieces.n + 1)
+    out, used, held = np.zeros(pieces.n + 1), [], 0
     for start in reversed(range(width)):
-        for length, rows, piece in pieces.arcs(code, start):
+        for length, rows, piece in pieces.arcs(code, start) if kept is None else kept[start]:
             rest = beta[start + length, rows] * prob[piece]
             for place in range(start - start % SCALE_EVERY + SCALE_EVERY, start + length + 1, SCALE_EVERY):
                 if place in scales:
                     rest = rest / scales[place][rows, 0]
             beta[start, rows] += rest
-            out += np.bincount(piece, alpha[start, rows] * rest * weight[rows], pieces.n + 1)
+            used.append((piece, alpha[start, rows] * rest * weight[rows]))
+            held += len(piece)
+        if held > CELLS or not start:
+            out += np.bincount(np.concatenate([k for k, _ in used]), np.concatenate([c for _, c in used]), pieces.n + 1)
+            used, held = [], 0
     return out
 
 
