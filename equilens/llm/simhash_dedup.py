@@ -4,15 +4,18 @@
    shingles of ``shingle`` words, XXH64 of each, majority vote per bit.
 2. **Classes**: documents with one fingerprint form a class named by it
    (aggregation with map-side combine), so copies never meet as pairs.
-3. **Trie self-join** of the distinct fingerprints.  The top ``depth`` levels
-   of the binary trie are crossed by arithmetic: two subtrees whose prefixes
-   differ in more than ``max_bits`` bits are pruned, every other pair of
-   subtrees is one unit of work, and a fingerprint is sent to the units of its
-   own subtree.  ``depth`` follows the number of fingerprints, so a unit holds
-   a few thousand where they spread evenly; a subtree that many distinct ones
-   share is not split further.  Inside a unit the rest of the trie is
-   traversed by pairs of nodes level by level, adding the differing bit, and a
-   pair of nodes is dropped as soon as the error budget is spent.
+3. **Trie self-join** of the distinct fingerprints.  Of ``max_bits`` + 1 disjoint
+   blocks of bits at least one is equal in two linked fingerprints, so each
+   fingerprint is read in as many rotations, each block leading once: in the
+   trie of a rotation only subtrees below one and the same block are joined.
+   Such a subtree is a unit of work; a fingerprint goes to ``max_bits`` + 1
+   units (4), whatever the input.  A unit of more than ``HEAVY`` fingerprints is
+   cut by the same rule: the bits below its block are rotated by blocks in
+   turn (4 units for each of its fingerprints), and so on (64, 48, 36, 27, 21 bits
+   left), so a unit is never larger than ``HEAVY`` or the values that its last bits
+   can take.  Inside a unit the rest of the trie is traversed by pairs of nodes
+   level by level, adding the differing bit, and a pair of nodes is dropped as
+   soon as the error budget is spent.
 4. A unit unites what it links and returns one link per united fingerprint,
    so a dense group of K near copies gives O(K) rows, not K**2.
 5. **Components** over the classes (:mod:`components`), named by the least
@@ -28,12 +31,10 @@ an id with other texts lie in the components of their texts, and
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -45,10 +46,10 @@ from .components import connected_components
 SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
-# Fingerprints of a subtree, on average, at which the top of the trie ends;
-# and the least depth, which spreads small inputs too.
-SUBTREE = 4096
-MIN_DEPTH = 6
+# A unit of more fingerprints is cut into smaller ones.
+HEAVY = 1 << 17
+# Rows of small units that a task works on together.
+TOGETHER = 1 << 16
 # Above every id: names for classes in which no row has an id (operator 6).
 NAMELESS = 2**62
 # A pair of nodes with so few pairs of leaves is compared leaf by leaf.
@@ -109,12 +110,17 @@ def _bit_length(x: np.ndarray) -> np.ndarray:
 def near_pairs(a: Trie, b: Trie, depth: int, max_bits: int = MAX_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Leaf indices (i of a, j of b) at ``max_bits`` or fewer differing bits, in
     pieces of bounded size.  Each trie is one subtree below ``depth``.  With
-    ``a is b`` each pair is met once, without (i, i)."""
+    ``a is b`` each pair is met once, without (i, i), and the trie may hold many
+    subtrees: pairs within each of them are found."""
     same = a is b
     if not len(a.fps) or not len(b.fps):
         return
-    gap = (int(a.fps[0]) ^ int(b.fps[0])) >> (64 - depth) if depth else 0
-    todo = [(depth, np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, gap.bit_count(), np.int64))]
+    if same:
+        tops = np.arange(len(a.level(depth)[0]))
+        todo = [(depth, tops, tops, np.zeros(len(tops), np.int64))]
+    else:
+        gap = (int(a.fps[0]) ^ int(b.fps[0])) >> (64 - depth) if depth else 0
+        todo = [(depth, np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, gap.bit_count(), np.int64))]
     while todo:
         d, na, nb, err = todo.pop()
         if len(na) > FRONTIER:
@@ -177,39 +183,75 @@ class Union:
                 self.root = self.root[self.root]
 
 
-def trie_links(classes: DataFrame, max_bits: int = MAX_BITS, n: int | None = None) -> DataFrame:
+def _rotated(x: Column, left: int, by: int) -> Column:
+    """``x`` with its last ``left`` bits rotated to the left."""
+    if not by:
+        return x
+    ones = (1 << left) - 1
+    low = x.bitwiseAND(F.lit(ones)) if left < 64 else x
+    turned = F.shiftleft(low, by).bitwiseOR(F.shiftrightunsigned(low, left - by))
+    return turned if left == 64 else turned.bitwiseAND(F.lit(ones)).bitwiseOR(x.bitwiseAND(F.lit(~ones)))
+
+
+def _units(classes: DataFrame, max_bits: int, heavy: int) -> DataFrame:
+    """(path, bits, key, x, node): a unit is a path and a key, the first ``bits``
+    bits of x; x is the fingerprint with its bits in the order of the path.
+    Units of one fingerprint are left out."""
+    blocks, left, light = max_bits + 1, 64, []
+    todo = classes.select(F.lit(1).cast("long").alias("path"), F.col("fp").alias("x"), "node")
+    while True:
+        width = left // blocks
+        turns = F.array(*[F.struct((F.col("path") * blocks + j).alias("path"), _rotated(F.col("x"), left, j * width).alias("x")) for j in range(blocks)])
+        left -= width
+        rows = todo.select("node", F.explode(turns).alias("t")).select("t.path", F.lit(64 - left).alias("bits"), F.shiftrightunsigned("t.x", left).alias("key"), "t.x", "node")
+        sizes = cut(rows.groupBy("path", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+        rows = join_counted(rows, sizes, ["path", "key"])
+        if left < blocks or sizes.where(F.col("size") > heavy).isEmpty():
+            light.append(rows.drop("size"))
+            return reduce(DataFrame.unionByName, light)
+        light.append(rows.where(F.col("size") <= heavy).drop("size"))
+        todo = rows.where(F.col("size") > heavy)
+
+
+def trie_links(classes: DataFrame, max_bits: int = MAX_BITS, heavy: int = HEAVY) -> DataFrame:
     """Links (a, b) between nodes of ``classes`` (node long, fp long, both
     distinct) that connect exactly the fingerprints within ``max_bits``."""
-    n = classes.count() if n is None else n
-    depth = min(32, max(MIN_DEPTH, math.ceil(math.log2(max(n, 1) / SUBTREE)) if n else 0))
-    masks = [sum(1 << i for i in c) for k in range(min(max_bits, depth) + 1) for c in combinations(range(depth), k)]
-    own = F.shiftrightunsigned("fp", 64 - depth)
-    units = (classes.withColumn("own", own)
-             .withColumn("other", F.explode(F.transform(F.array(*map(F.lit, masks)).cast("array<bigint>"), lambda m: m.bitwiseXOR(F.col("own")))))
-             .select((F.least("own", "other") * F.lit(1 << depth) + F.greatest("own", "other")).alias("unit"), "node", "fp"))
-
-    def unit_links(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, fps = pdf["node"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64)
-        order = np.argsort(fps)
-        node, fps = node[order], fps[order]
-        cut_at = int(np.searchsorted(fps >> np.uint64(64 - depth), fps[0] >> np.uint64(64 - depth), "right"))
-        by_node = np.argsort(node)
-        rank = np.empty(len(node), np.int64)
-        rank[by_node] = np.arange(len(node))
-        unit = int(pdf["unit"].iloc[0])
-        union = Union(len(node))
-        if unit >> depth == unit & ((1 << depth) - 1):
-            t = Trie(fps)
-            for i, j in near_pairs(t, t, depth, max_bits):
+    def unit_links(path: np.ndarray, bits: np.ndarray, x: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Links of whole units, path by path (on a path a fingerprint occurs once)."""
+        ends = np.append(np.flatnonzero(path[1:] != path[:-1]) + 1, len(path))
+        for lo, hi in zip(np.append(0, ends[:-1]), ends):
+            fps, own = x[lo:hi].view(np.uint64), node[lo:hi]
+            order = np.argsort(fps)
+            fps, own = fps[order], own[order]
+            by_node = np.argsort(own)
+            rank = np.empty(len(own), np.int64)
+            rank[by_node] = np.arange(len(own))
+            t, union = Trie(fps), Union(len(own))
+            for i, j in near_pairs(t, t, int(bits[lo]), max_bits):
                 union.add(rank[i], rank[j])
-        elif cut_at < len(fps):
-            for i, j in near_pairs(Trie(fps[:cut_at]), Trie(fps[cut_at:]), depth, max_bits):
-                union.add(rank[i], rank[j + cut_at])
-        named = node[by_node]
-        joined = union.root != np.arange(len(node))
-        return pd.DataFrame({"a": named[union.root[joined]], "b": named[joined]})
-
-    return units.groupBy("unit").applyInPandas(unit_links, "a long, b long")
+            named, joined = own[by_node], union.root != np.arange(len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(named[union.root[joined]]), pa.array(named[joined])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            rows += len(batch)
+            if rows < TOGETHER:
+                continue
+            path, bits, key, x, node = map(np.concatenate, zip(*held))
+            inside = (path == path[-1]) & (key == key[-1])  # the last unit may go on
+            whole = len(path) - int(inside.sum())
+            if whole:
+                yield from unit_links(path[:whole], bits[:whole], x[:whole], node[:whole])
+            held, rows = [[c[whole:] for c in (path, bits, key, x, node)]], 0
+        if held:
+            path, bits, _, x, node = map(np.concatenate, zip(*held))
+            if len(path):
+                yield from unit_links(path, bits, x, node)
+
+    units = _units(classes, max_bits, heavy).repartition("path", "key").sortWithinPartitions("path", "key")
+    return units.select("path", "bits", "key", "x", "node").mapInArrow(run, "a long, b long")
 
 
 def _components(fps: DataFrame, max_bits: int) -> DataFrame:

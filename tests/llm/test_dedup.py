@@ -90,6 +90,45 @@ def test_trie_pairs_against_all_pairs(max_bits):
     assert len(found) == len(set(found)) and set(found) == want
 
 
+def linked(spark, fps, max_bits, heavy):
+    classes = spark.createDataFrame([(int(x), int(x)) for x in fps.view(np.int64)], "node long, fp long")
+    uf = UnionFind()
+    for r in simhash_dedup.trie_links(classes, max_bits, heavy).collect():
+        assert (r.a ^ r.b) & (2**64 - 1)
+        uf.join(r.a, r.b)
+    return {x: uf.find(x) for x in fps.view(np.int64).tolist()}
+
+
+@pytest.mark.parametrize("max_bits,heavy", [(0, 4), (1, 8), (2, 8), (3, 10**6), (3, 8)])
+def test_rotations_and_cut_units_against_all_pairs(spark, max_bits, heavy):
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**64, 200, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, 1 + k % 5, replace=False)) for k in range(200)], np.uint64)
+    crowd = (np.uint64(0xABCD) << np.uint64(48)) | rng.integers(0, 2**30, 150, dtype=np.uint64)  # one prefix
+    fps = np.unique(np.concatenate([base, base ^ flips, crowd, np.arange(60, dtype=np.uint64), ~np.arange(20, dtype=np.uint64)]))
+    uf = UnionFind()
+    signed = fps.view(np.int64).tolist()
+    for i in range(len(fps)):
+        uf.find(signed[i])
+        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= max_bits):
+            uf.join(signed[i], signed[j])
+    assert linked(spark, fps, max_bits, heavy) == {x: uf.find(x) for x in signed}
+
+
+def test_many_fingerprints_under_one_prefix(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    fps = np.unique((np.uint64(0x1234) << np.uint64(48)) | rng.integers(0, 2**48, 100_000, dtype=np.uint64))
+    pairs = fps[:500] ^ np.uint64(0x400000800001)
+    fps = np.unique(np.concatenate([fps, pairs]))
+    classes = spark.createDataFrame([(int(x), int(x)) for x in fps.view(np.int64)], "node long, fp long")
+    units = simhash_dedup._units(classes, 3, 5_000)
+    assert units.groupBy("path", "key").count().agg({"count": "max"}).first()[0] <= 5_000
+    assert units.groupBy("node").count().agg({"count": "max"}).first()[0] <= 4 * 4  # copies: four, and four for each heavy unit
+    got = linked(spark, fps, 3, 5_000)
+    for x in pairs.view(np.int64).tolist():
+        assert got[x] == got[int(np.int64(x) ^ np.int64(0x400000800001))]
+
+
 def brute_embeddings(rows, cosine=0.98):
     ok = [v is not None and l is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(x != 0 for x in v) for _, v, l in rows]
     uf, links = UnionFind(), [0] * len(rows)
