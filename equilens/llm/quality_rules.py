@@ -3,12 +3,14 @@
 A rule rejects a document whose value is above a cutoff.  Cutoffs are chosen
 per stratum (``lang``; null is a stratum of its own) from labelled documents:
 
-1. candidates are quantiles of the rule's values over *all* documents of the
-   stratum, so they do not depend on labels;
-2. the labelled documents are the holdout: for each candidate, of n good ones k
-   are rejected.  A candidate is certified when P(Bin(n, limit) <= k) is at most
-   the error level, i.e. the exact (Clopper-Pearson) upper bound of its false
-   rejection rate lies within the limit;
+1. the holdout is one labelled document for each label and set of near copies of
+   a stratum, as copies are no independent trials;
+2. candidates are quantiles of the rule's values over the documents of the stratum
+   that are neither labelled nor near copies of labelled ones, so that they depend
+   on nothing in the holdout.  For each candidate, of n good holdout documents k
+   are rejected.  It is certified when P(Bin(n, limit) <= k) is at most the error
+   level, i.e. the exact (Clopper-Pearson) upper bound of its false rejection rate
+   lies within the limit;
 3. candidates are tested from the most lenient on and testing stops at the first
    that fails, so a rule in a stratum spends its level once; the level ``delta``
    is divided by rules and strata, and ``alpha``, the false rejection allowed per
@@ -21,8 +23,10 @@ per stratum (``lang``; null is a stratum of its own) from labelled documents:
 
 Texts are read once, into a narrow checkpointed table of counts; labels join
 that.  A null or empty text has no words and fails the base rules.  Rows that
-repeat an id are judged each by its own text (as labelled ones, each counts).
-No labels at all: no rule is certified.
+repeat an id are judged each by its own text (all of them carry the id's labels).
+No labels at all, or none but labelled documents in a stratum: no rule is certified.
+Quantiles are of values rounded down to three significant digits and counted, so
+a rerun chooses the same cutoffs whatever the order of merging.
 """
 
 from __future__ import annotations
@@ -30,11 +34,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text_stats
 from .common import cut, join_counted, map_texts
+from .toxicity import likeness
 
 MIN_WORDS = 20
 MAX_REPEAT = 30  # percent of the words
@@ -52,15 +57,16 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
-    """(_id, _stratum, _mark, base counts, values array): one row per document;
-    the mark tells texts of one id apart."""
+    """(_id, _stratum, _mark, _near, base counts, values array): one row per document;
+    the mark tells texts of one id apart, near copies share ``_near``."""
     def run(_, texts: pa.Array) -> dict:
         base = text_stats.counts(texts)
         ratios = text_stats.shape(texts, base)
         values = np.stack([sign * ratios[r] for r, sign in RULES.items()], axis=1)
         return base | {"values": pa.array(list(values), pa.list_(pa.float64()))}
 
-    carry = {"_stratum": F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")), "_mark": mark(text_col, stratum)}
+    carry = {"_stratum": F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")), "_mark": mark(text_col, stratum),
+             "_near": likeness(F.col(text_col).cast("string"))}
     out = map_texts(docs.withColumnRenamed(id_col, "_id"), run, ", ".join(f"{c} long" for c in BASE) + ", values array<double>", "_id", text_col, carry)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
@@ -103,17 +109,33 @@ def choose(cutoffs: np.ndarray, good: np.ndarray, bad: np.ndarray, limit: float,
     return next((float(c) for w, c in worth if w >= best - SLACK), None) if best > 0 else None
 
 
+def candidates(rows: DataFrame, rules: int) -> DataFrame:
+    """(_stratum, grid): for each rule the ascending candidates, which are the
+    :data:`QUANTILES` of its values and the values half-way between them."""
+    x = F.col("x")
+    scale = F.pow(F.lit(10.0), 2 - F.floor(F.log10(F.abs(x))))
+    each = rows.select("_stratum", F.posexplode("values").alias("rule", "x")).withColumn("x", F.when(x != 0, F.floor(x * scale) / scale).otherwise(0.0))
+    counts = each.groupBy("_stratum", "rule", "x").agg(F.count(F.lit(1)).alias("n"))  # at most 900 values a power of ten
+    one = Window.partitionBy("_stratum", "rule")
+    counts = counts.withColumn("upto", F.sum("n").over(one.orderBy("x"))).withColumn("all", F.sum("n").over(one))
+    found = counts.groupBy("_stratum", "rule").agg(F.array(*[F.min(F.when(F.col("upto") >= F.col("all") * q, x)) for q in QUANTILES]).alias("q"))
+    # Half-way values let a cutoff lie clear of the values of good documents.
+    halves = F.filter(F.zip_with("q", F.slice("q", 2, len(QUANTILES)), lambda a, b: (a + b) / 2), lambda v: v.isNotNull())
+    found = found.select("_stratum", "rule", F.array_sort(F.array_distinct(F.concat("q", halves))).alias("q"))
+    return found.groupBy("_stratum").agg(F.array(*[F.max(F.when(F.col("rule") == k, F.col("q"))) for k in range(rules)]).alias("grid"))
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, label_id: str = "doc_id", label: str = "quality") -> DataFrame:
     """(_stratum, cuts): for each rule in order the cutoff, null if unused.
     ``measured`` must be checkpointed: it is read twice."""
     names = list(RULES)
-    grid = measured.groupBy("_stratum").agg(*[F.percentile_approx(F.col("values")[k], list(QUANTILES), 10_000).alias(f"q{k}") for k in range(len(names))])
-    # Half-way values let a cutoff lie clear of the values of good documents.
-    halves = lambda q: F.filter(F.zip_with(q, F.slice(q, 2, len(QUANTILES)), lambda a, b: (a + b) / 2), lambda x: x.isNotNull())
-    grid = cut(grid.select("_stratum", F.array(*[F.array_sort(F.array_distinct(F.concat(f"q{k}", halves(F.col(f"q{k}"))))) for k in range(len(names))]).alias("grid")))
-    strata = max(1, grid.count())
     marked = labels.where(F.col(label).isNotNull()).select(F.col(label_id).alias("_id"), (F.col(label) > 0).alias("fine"))
-    seen = join_counted(measured.select("_id", "_stratum", "values").join(marked, "_id"), grid, "_stratum")
+    seen = measured.select("_id", "_stratum", "_near", "_mark", "values").join(marked, "_id")
+    holdout = cut(seen.groupBy("_stratum", "_near", "fine").agg(F.min(F.struct("_mark", "values")).alias("m")).select("_stratum", "_near", "fine", "m.values"))
+    others = join_counted(measured.select("_stratum", "_near", "values"), cut(holdout.select("_stratum", "_near").distinct()), ["_stratum", "_near"], "left_anti")
+    grid = cut(candidates(others, len(names)))
+    strata = max(1, grid.count())
+    seen = join_counted(holdout, grid, "_stratum")
     above = lambda k: F.size(F.filter(F.col("grid")[k], lambda c: c < F.col("values")[k]))
     bins = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), above(k).alias("above")) for k in range(len(names))]))
     table = (seen.select("_stratum", "fine", bins.alias("b")).groupBy("_stratum", "b", "fine").count()
