@@ -54,16 +54,18 @@ def secrets_sql() -> str:
     allowed = " OR ".join(f"regexp_matches(x.m, {_text(p)})" for p in secret_scan.ALLOW)
     chars = "string_split(x.m, '')"
     entropy = f"list_max(list_transform(range(1, length(x.m) - {window - 2}), lambda i: list_aggregate({chars}[i:i + {window - 1}], 'entropy')))"
-    limit = f"CASE WHEN regexp_matches(x.m, {_text(secret_scan.HEX_ONLY)}) THEN {secret_scan.THRESHOLDS['hex']} ELSE {secret_scan.THRESHOLDS['wide']} END"
+    limit = "CASE " + " ".join(f"WHEN regexp_matches(x.m, {_text(tokens)}) THEN {bits}" for _, tokens, bits in secret_scan.CLASSES) + " END"
+    share = lambda letters: f"length(regexp_replace(x.m, '[^{letters}]', '', 'g')) * {secret_scan.CASES} >= length(x.m)"
+    mixed = f"(regexp_matches(x.m, '[0-9]') OR ({share('a-z')} AND {share('A-Z')}))"
     kinds = [("assign", _spans("t", assign, f"length(regexp_extract(x.m, {_text(group)}, 1)) >= 8")), ("access", _spans("t", "AKIA[A-Z0-9]+", "length(x.m) >= 16")), ("hex", _spans("t", "[0-9a-f]{32,}", "true"))]
     named = lambda k, i: f"list_transform({k}, lambda x: {{'s': x.s, 'k': {i}, 'e': x.e, 'n': '{k}'}})"
     joined = lambda c: f"array_to_string(list_transform({c}, lambda x: x.n || ':' || x.s || ':' || x.e), ',')"
     return f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS (SELECT doc_id, t, {', '.join(f'{sql} AS {k}' for k, sql in kinds)},
-            {_spans('t', token, "length(x.m) >= 20 AND regexp_matches(x.m, '[0-9]') AND regexp_matches(x.m, '[A-Za-z]')")} AS candidates FROM texts),
+            {_spans('t', token, "length(x.m) >= 20 AND regexp_matches(x.m, '[A-Za-z]')")} AS candidates FROM texts),
 base AS (SELECT doc_id, assign, access, hex, candidates, list_sort({' || '.join(named(k, i) for i, (k, _) in enumerate(kinds))}) AS base FROM found),
-spans AS (SELECT *, list_filter(candidates, lambda x: NOT ({allowed}) AND len(list_filter(base, lambda b: b.s < x.e AND x.s < b.e)) = 0 AND {entropy} >= {limit}) AS entropy FROM base)
+spans AS (SELECT *, list_filter(candidates, lambda x: {mixed} AND NOT ({allowed}) AND len(list_filter(base, lambda b: b.s < x.e AND x.s < b.e)) = 0 AND {entropy} >= {limit}) AS entropy FROM base)
 SELECT doc_id, CAST(len(assign) AS BIGINT) AS n_assign, CAST(len(access) AS BIGINT) AS n_access, CAST(len(hex) AS BIGINT) AS n_hex,
   sha256({joined('base')}) AS base_sha256, {joined("list_sort(base || " + named('entropy', 3) + ")")} AS spans FROM spans"""
 

@@ -2,8 +2,10 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import re
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -13,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from equilens.llm import common, html_extract, langid, mixing, prefix_bpe, quality_gam, quality_rules, secret_scan, text_stats, toxicity
+from equilens.llm import common, html_extract, langid, mixing, oracle, prefix_bpe, quality_gam, quality_rules, queries, secret_scan, text_stats, toxicity
 
 from .helpers import docs, edge_rows, labels, prose, row
 
@@ -93,6 +95,19 @@ def brute_secrets(t):
     return sorted(out)
 
 
+def test_secrets_sql_agrees(spark, tmp_path):
+    r = random.Random(6)
+    texts = ["".join(r.choice(a) for _ in range(r.randint(18, 34))) for a in (LOWER + DIGITS, UPPER + DIGITS, LOWER + UPPER, LOWER + UPPER + DIGITS + "+/=_-", "abc123-", "aB-/") for _ in range(60)]
+    rows = edge_rows()[2:] + [row(100 + i, f"x {t} y\n{t[:25]}.") for i, t in enumerate(texts)]
+    rows = [x for x in rows if x[0] is not None]
+    docs(spark, rows).select("doc_id", "text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = {x[0]: (x[4], x[5]) for x in con.execute(oracle.secrets_sql()).fetchall()}
+    got = {x.doc_id: (x.base_sha256, x.spans) for x in queries.op10_secret_scan(spark, str(tmp_path)).collect()}
+    assert got == want and sum("entropy" in x[1] for x in got.values()) > 100
+
+
 def test_secrets_against_regexes(spark):
     texts = ["🙂 API_KEY: 'abcDEF123-_x' token=short secret==abcdefgh", "token=secret: abcdefghijk", "0" * 40 + " " + "a" * 31 + " AKIA" + "B" * 20, "AKIAAKIAAKIA", "passwd:\"x\" Password =  \"1234567.\" ",
              "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855token:abcdefgh"]
@@ -119,6 +134,29 @@ def test_entropy_windows(spark):
     assert kinds == {1: [("entropy", 4, 32)], 2: [], 3: [], 4: [("assign", 0, 34)], 5: []}
 
 
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def test_random_tokens_of_every_class_are_found(spark):
+    r = random.Random(5)
+    classes = {"hex": DIGITS + "abcdef", "base32": UPPER + "234567", "lower": LOWER + DIGITS, "letters": LOWER + UPPER, "base62": LOWER + UPPER + DIGITS, "wide": LOWER + UPPER + DIGITS + "+/"}
+    rows, kind = [], {}
+    for name, alphabet in classes.items():
+        for n in (20, 24, 28):
+            for _ in range(150):
+                kind[len(rows)] = (name, n)
+                rows.append(row(len(rows), "key " + "".join(r.choice(alphabet) for _ in range(n)) + " end"))
+    plain = ["getElementsByClassNameFromDocument", "some/path/to/Readme/2024/07/chapter-12", "a_long_CONSTANT_name_of_2024", "donaudampfschifffahrtsgesellschaft", "AVERYLONGWORDINCAPITALLETTERS", "Einkommensteuererklaerung2023",
+             "2024-07-01T120000Z-0000000", "=====================a1", "12345678901234567890m", "123e4567-e89b-12d3-a456-426614174000"]
+    clean = range(len(rows), len(rows) + len(plain))
+    rows += [row(i, f"see {t} there") for i, t in zip(clean, plain)]
+    found = {x.doc_id: [(s.start, s.end) for s in x.spans] for x in secret_scan.scan(docs(spark, rows)).collect()}
+    hits = collections.Counter(kind[i] for i in kind if found[i])
+    assert all(found[i] in ([], [(4, 4 + kind[i][1])]) for i in kind)
+    assert all(hits[name, n] >= 150 * 0.92 for name in classes for n in (20, 24, 28)), hits
+    assert not any(found[i] for i in clean), [t for i, t in zip(clean, plain) if found[i]]
+
+
 # Operator 8.
 
 def fill(sizes, weights, total, cap=2):
@@ -246,6 +284,50 @@ def test_rules_reject_few_good_documents(spark):
     assert kept.columns == docs(spark, rows).columns and kept.count() == sum(r.kept for r in out.values())
 
 
+def brute_cutoffs(measured, marks, alpha, delta):
+    """Cutoffs of each stratum from plain lists: (stratum, near, mark, values, id) rows."""
+    fine = dict(marks)
+    holdout = {}
+    for s, near, mark, values, i in sorted(measured, key=lambda x: (x[2], x[3])):
+        if i in fine:
+            holdout.setdefault((s, near, fine[i]), values)
+    out = {}
+    strata = {s for s, near, *_ in measured if not any((s, near, y) in holdout for y in (0, 1))}
+    for s in strata:
+        cuts = []
+        for k in range(len(quality_rules.RULES)):
+            free = []
+            for s2, near, _, values, _ in measured:
+                if s2 == s and not any((s, near, y) in holdout for y in (0, 1)):
+                    scale = 10.0 ** (2 - math.floor(math.log10(abs(values[k])))) if values[k] else 1.0
+                    free.append(math.floor(values[k] * scale) / scale)
+            free.sort()
+            q = [free[max(0, math.ceil(len(free) * x - 1e-9) - 1)] for x in quality_rules.QUANTILES]
+            grid = sorted({*q, *((a + b) / 2 for a, b in zip(q, q[1:]))})
+            tally = [np.zeros(len(grid) + 1, int), np.zeros(len(grid) + 1, int)]
+            for (s2, _, y), values in holdout.items():
+                if s2 == s:
+                    tally[y][sum(c < values[k] for c in grid)] += 1
+            cuts.append(quality_rules.choose(np.array(grid), tally[1], tally[0], alpha / len(quality_rules.RULES), delta / len(quality_rules.RULES) / len(strata)))
+        out[s] = cuts
+    return out
+
+
+def test_cutoffs_against_brute_force(spark):
+    rows = []
+    for i in range(1200):
+        bad = i % 5 == 0
+        text = prose(i if i % 7 else 7, 40)  # every seventh is a copy of one text
+        rows.append(row(i, text.replace(" ", "### ") if bad else text, "en" if i % 3 else None))
+    marks = [(i, 0 if i % 5 == 0 else 1, 0, "x") for i in range(0, 1200, 2)]
+    measured = common.cut(quality_rules.measure(docs(spark, rows)))
+    got = {r._stratum: r.cuts for r in quality_rules.cutoffs(measured, labels(spark, marks), 0.4, 0.05).collect()}
+    plain = [(r._stratum, r._near, r._mark, r["values"], r._id) for r in measured.collect()]
+    assert len({(r[0], r[1]) for r in plain}) < 1200 * 0.9
+    want = brute_cutoffs(plain, [(m[0], m[1]) for m in marks], 0.4, 0.05)
+    assert got == want and any(c is not None for c in got["=en"])
+
+
 def test_rules_edge_cases(spark):
     got = quality_rules.judge(docs(spark), labels(spark, [])).collect()
     want = sorted(str((r[0], *brute_counts(r[1]))) for r in edge_rows())
