@@ -1,23 +1,29 @@
 """Toxicity with noisy-channel deobfuscation (operator 1).
 
-**Language model.**  Counts of letter 4-grams (words in lower case between
-spaces) over *all* documents, each word weighted by how often it occurs; the
-``LM_GRAMS`` most frequent are the model, with shorter contexts backed off to.
-
-**Channel and decoding.**  Stretches that look disguised (look-alike digits and
-signs among letters, letters apart by spaces or marks, letters three times or
-more in a row) become lattices: a look-alike may be any letter it stands for, a
-mark between letters nothing or a word end, a repeated letter nothing; each with
-a cost.  Viterbi search over the last three letters written finds the cheapest
-reading under costs and language model.  Everything else stays.
-
-**Score.**  The restored text, in lower case with spaces for all but letters, is
-searched for letter 4-grams that labelled documents show to be toxic (Wilson
-lower bound of P(toxic | gram)).  A logistic model on the strongest and the
-number of distinct ones found gives the probability.
+**Language model.**  Counts of letter 4-grams (words in lower case, three
+spaces before and one after) over *all* documents, each word weighted by how
+often it occurs, with shorter contexts backed off to.  Its alphabet has 32
+symbols (space, a-z with and without accents, other letters in five), so the
+table of all 32 ** 4 counts is whole at any size of the corpus.
+
+**Channel and decoding.**  A lattice is made of every word with a look-alike or
+with the same character twice in a row anywhere, of single letters parted by
+marks in a word, and of three or more single letters apart by white space; no
+length is left out.  A look-alike may be any letter it stands for; before or
+after all letters of its word also nothing (punctuation), a sign inside also a
+word end, but never nothing there.  A mark between single letters is nothing or a
+word end, a repeated letter may be nothing; each with a cost.  Viterbi search
+over the last three symbols written finds the cheapest reading under costs and
+language model; ties as stated in :func:`decode`.
+
+**Score.**  The restored text is searched for letter 4-grams that restored
+labelled documents show to be toxic (Wilson lower bound of P(toxic | gram)).  A
+logistic model on the strongest and the number of distinct ones found gives the
+probability.
 
 The fit uses a bounded sample: at most ``MAX_FIT_ROWS`` labelled documents, one
-per label and set of near copies, so copies do not make evidence.  The language model and the scores cover every text as a whole.  A
+per label and set of near copies, so copies do not make evidence; rows of one id
+count once.  The language model and the scores cover every text as a whole.  A
 null or empty text has no grams and gets the probability of such texts.  Rows
 that repeat an id are scored each.  Without labels of both classes the score is
 the share of toxic labels (0 if none).
@@ -25,22 +31,21 @@ the share of toxic labels (0 if none).
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, join_counted, map_texts, rows_bounded
+from .common import chunks, cut, join_counted, map_texts, rows_bounded, words_of
 
 MAX_FIT_ROWS = 50_000
-LM_GRAMS = 200_000
-MAX_FEATURES = 5_000
 SEED = 42
 # A gram counts as toxic when the share of toxic documents among those with it
 # is at least this, by the lower end of the Wilson interval.
@@ -49,23 +54,55 @@ SIGMAS = 1.64
 
 # Letters that a look-alike can stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "aeiou"}
-_LOOK = "".join(re.escape(c) for c in LOOKALIKES)
+# Marks that part letters; white space does too.
+MARKS = "._-*~/|,:;"
 # Costs in nats.
 LOOKALIKE_COST = 0.5
-DROP_COST = 4.0
+# A sign after or before the letters is punctuation, seldom for these but "!" and "*".
+EDGE_COST, PUNCTUATION_COST = 4.0, 1.0
+END_COST = 2.0
 MARK_COST = 0.2
 BREAK_COST = 1.0
-REPEAT_COST = 0.3
-# A disguised word is at most this long; longer mixtures of letters and digits are codes.
-LONGEST = 24
+# A letter written twice is common spelling, three times is not.
+TWICE_COST, REPEAT_COST = 1.5, 0.3
+# Readings that a worker keeps between chunks, of tokens up to this length
+# (longer ones are decoded each time).
+MEMO_WORDS, MEMO_LENGTH = 200_000, 64
+
+# Symbols of toxic grams: space, a-z, other letters by code point; of the letter
+# model: space, a-z with and without accents, other letters in five.
+SYMBOLS, OTHERS = 64, 37
+MODEL_SYMBOLS, MODEL_OTHERS = 32, 5
+_CONTEXT = MODEL_SYMBOLS ** 3 - 1
 
 _LETTER = r"[^\W\d_]"
-# Look-alikes among letters; a mark at the end of a word is punctuation.
-_LEET = rf"(?<![\w{_LOOK}])(?=[^\W\d_{_LOOK}]*[{_LOOK}]+{_LETTER})(?:{_LETTER}|[{_LOOK}]){{2,{LONGEST}}}(?:{_LETTER}|[0-9])[$@]*(?![\w@])"
-_SPACED = rf"(?<!\w)(?:{_LETTER}|[{_LOOK}])(?:[ ._\-*~]{{1,2}}(?:{_LETTER}|[{_LOOK}])){{3,}}(?!\w)"
-_REPEATED = rf"(?<!\w){_LETTER}*({_LETTER})\1\1{_LETTER}*(?!\w)"
-DISGUISED = re.compile(f"{_SPACED}|{_LEET}|{_REPEATED}")
-_MARKS = " ._-*~"
+_LOOK = "".join(re.escape(c) for c in LOOKALIKES)
+_APART = "".join(re.escape(c) for c in MARKS)
+# A sign that is a mark as well counts as a mark between single letters.
+_ONE = rf"(?:{_LETTER}|[{''.join(re.escape(c) for c in LOOKALIKES if c not in MARKS)}])"
+_PARTED = rf"(?<![\w{_LOOK}]){_ONE}(?:[{_APART}]{{1,3}}{_ONE}){{2,}}(?![\w{_LOOK}])"
+PIECE = re.compile(rf"(?P<parted>{_PARTED})|(?:{_LETTER}|[{_LOOK}])+")
+
+
+def _symbols(others: int, plain: bool) -> np.ndarray:
+    """The symbol of each code point up to U+FFFF: space 0, a-z 1 to 26, the
+    others by number; with ``plain`` accented Latin letters are their letter."""
+    table = np.arange(0x10000) % others + 27
+    for c in range(0x80, 0x250) if plain else ():
+        letter = unicodedata.normalize("NFKD", chr(c))[0].lower()
+        if "a" <= letter <= "z":
+            table[c] = ord(letter) - 96
+    table[97:123] = np.arange(1, 27)
+    table[32] = 0
+    return table
+
+
+_TOXIC_TABLE, _MODEL_TABLE = _symbols(OTHERS, False), _symbols(MODEL_OTHERS, True)
+
+
+def symbols(flat: np.ndarray, model: bool) -> np.ndarray:
+    table, others = (_MODEL_TABLE, MODEL_OTHERS) if model else (_TOXIC_TABLE, OTHERS)
+    return np.where(flat < 0x10000, table[np.minimum(flat, 0xFFFF)], flat % others + 27).astype(np.int64)
 
 
 def letter_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -76,101 +113,216 @@ def letter_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(real), row[real.to_numpy(zero_copy_only=False)]
 
 
-def grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All 4-grams of the words, each between spaces, as numbers of four 16-bit
-    code points (those beyond 16 bits count as one), and the word of each."""
-    lengths = pc.utf8_length(words).to_numpy().astype(np.int64) + 2
-    flat = np.frombuffer("".join([f" {w} " for w in words.to_pylist()]).encode("utf-32-le"), "<u4")
-    flat = np.minimum(flat, 0xFFFF).astype(np.uint64)
+def grams(words: pa.Array, lead: int = 1, model: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """All 4-grams of the words, each after ``lead`` spaces and before one, as
+    numbers of four symbols, and the word of each."""
+    lengths = pc.utf8_length(words).to_numpy().astype(np.int64) + lead + 1
+    flat = np.frombuffer("".join([f"{' ' * lead}{w} " for w in words.to_pylist()]).encode("utf-32-le"), "<u4")
     if len(flat) < 4:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    sym, base = symbols(flat, model), MODEL_SYMBOLS if model else SYMBOLS
     word = np.repeat(np.arange(len(lengths)), lengths)
     inside = word[:-3] == word[3:]
-    key = flat[:-3] << np.uint64(48) | flat[1:-2] << np.uint64(32) | flat[2:-1] << np.uint64(16) | flat[3:]
-    return key[inside].view(np.int64), word[:-3][inside]
-
-
-def spelled(key: int) -> str:
-    return "".join(chr(key >> s & 0xFFFF) for s in (48, 32, 16, 0))
+    key = ((sym[:-3] * base + sym[1:-2]) * base + sym[2:-1]) * base + sym[3:]
+    return key[inside], word[:-3][inside]
 
 
 def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(gram, n) over all texts."""
+    """(gram, n) of the letter model over all texts; at most ``MODEL_SYMBOLS`` ** 4 rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(MODEL_SYMBOLS ** 4, np.int64)
         for (texts,) in chunks(batches):
             words, _ = letter_words(texts)
             if len(words):
                 tally = words.value_counts()
-                key, word = grams(tally.field("values"))
-                found, at = np.unique(key, return_inverse=True)
-                n = np.bincount(at, tally.field("counts").to_numpy()[word]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["gram", "n"])
+                key, word = grams(tally.field("values"), 3, True)
+                np.add.at(total, key, tally.field("counts").to_numpy()[word])
+        found = np.flatnonzero(total)
+        for at in range(0, len(found), 50_000):
+            part = found[at:at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["gram", "n"])
 
     rows = rows_bounded(docs.select(F.col(text_col).cast("string").alias("_text")))
     return rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-class LetterModel:
-    """P(letter | up to three letters before), counts of longer contexts smoothed by shorter ones."""
-
-    def __init__(self, counts: dict[str, int], weight: float = 2.0):
-        self.n: dict[str, int] = {}
-        self.weight = weight
-        for g, n in counts.items():
-            for k in range(1, 5):
-                self.n[g[:k]] = self.n.get(g[:k], 0) + n
-        self.total = sum(counts.values())
-        self.kept: dict[str, float] = {}
-
-    def cost(self, context: str, letter: str) -> float:
-        key = context + letter
-        if key not in self.kept:
-            if len(self.kept) > 200_000:
-                self.kept.clear()
-            self.kept[key] = -math.log(self._p(context, letter))
-        return self.kept[key]
-
-    def _p(self, context: str, letter: str) -> float:
-        if not context:
-            return (self.n.get(letter, 0) + 0.5) / (self.total + 50.0)
-        below = self._p(context[1:], letter)
-        return (self.n.get(context + letter, 0) + self.weight * below) / (self.n.get(context, 0) + self.weight)
-
-
-def decode(model: LetterModel, s: str) -> str:
-    """The likeliest reading of one disguised stretch (in lower case)."""
-    best: dict[str, tuple[float, str]] = {" ": (0.0, "")}
-    before = ""
-    for c in s:
-        after: dict[str, tuple[float, str]] = {}
-
-        def offer(context: str, cost: float, out: str, letter: str) -> None:
-            if letter:
-                cost += model.cost(context, letter)
-                context, out = " " if letter == " " else (context + letter)[-3:], out + letter
-            if context not in after or cost < after[context][0]:
-                after[context] = (cost, out)
-
-        for context, (cost, out) in best.items():
-            if c in LOOKALIKES:
-                for letter in LOOKALIKES[c]:
-                    offer(context, cost + LOOKALIKE_COST, out, letter)
-                offer(context, cost + (MARK_COST if c in _MARKS else DROP_COST), out, "")
-            elif c in _MARKS:
-                offer(context, cost + MARK_COST, out, "")
-                if not out.endswith(" "):
-                    offer(context, cost + BREAK_COST, out, " ")
-            else:
-                offer(context, cost, out, c)
-            if c == before:
-                offer(context, cost + REPEAT_COST, out, "")
-        best, before = after, c
-    return min((cost + model.cost(context, " "), out) for context, (cost, out) in best.items())[1]
-
-
-def restore(model: LetterModel, text: str) -> str:
+def letter_costs(key: np.ndarray, n: np.ndarray, weight: float = 2.0) -> np.ndarray:
+    """-log P(symbol | three symbols before) for every 4-gram of model symbols:
+    counts of longer contexts smoothed by shorter ones."""
+    counts = np.zeros(MODEL_SYMBOLS ** 4)
+    counts[key] = n
+    counts = counts.reshape((MODEL_SYMBOLS,) * 4)
+    p = (counts.sum((0, 1, 2)) + 0.5) / (counts.sum() + 0.5 * MODEL_SYMBOLS)
+    for axes in ((0, 1), (0,), ()):
+        part = counts.sum(axes) if axes else counts
+        p = (part + weight * p) / (part.sum(-1, keepdims=True) + weight)
+    return -np.log(p).astype(np.float32).ravel()
+
+
+def readings(s: str, parted: bool) -> list[list[tuple[float, str]]]:
+    """The lattice of one stretch: for each character what may be written for
+    it ('' nothing, ' ' a word end) and at what cost."""
+    letters = [k for k, c in enumerate(s) if c.isalpha()]
+    first, last = (letters[0], letters[-1]) if letters else (0, len(s))
+    out, before, same = [], "", 0
+    for k, c in enumerate(s):
+        options = []
+        meant = c + LOOKALIKES.get(c, "")
+        same = same + 1 if any(x in before for x in meant) else 0
+        mark = parted and (c.isspace() or c in MARKS)
+        if c in LOOKALIKES:
+            options = [(LOOKALIKE_COST, letter) for letter in LOOKALIKES[c]]
+            if not mark and not first < k < last:
+                options.append((PUNCTUATION_COST if c in "!*" else EDGE_COST, ""))
+            elif not mark and not c.isdigit():
+                options.append((END_COST, " "))
+        elif not mark:
+            options = [(0.0, c)]
+        if mark:
+            options += [(MARK_COST, ""), (BREAK_COST, " ")]
+        elif same:
+            options.append((TWICE_COST if same == 1 else REPEAT_COST, ""))
+        out.append(options)
+        before = meant
+    return out
+
+
+def decode(costs, s: str, parted: bool = False) -> str:
+    """The likeliest reading of one disguised stretch (in lower case) under
+    :func:`readings` and the letter model.  Of equally cheap ways to one context
+    the one found first stays, of equally cheap readings the smallest."""
+    best: dict[int, tuple] = {0: (0.0, None)}
+    for options in readings(s, parted):
+        after: dict[int, tuple] = {}
+        steps = [(x, letter, 0 if letter == " " else _model_symbol(letter) if letter else -1) for x, letter in options]
+        for context, state in best.items():
+            cost = state[0]
+            for x, letter, sym in steps:
+                if sym < 0:
+                    to, total, new = context, cost + x, state[1]
+                elif sym:
+                    at = context * MODEL_SYMBOLS + sym
+                    to, total, new = at & _CONTEXT, cost + x + costs[at], (state[1], letter)
+                else:
+                    if not context:  # no empty words
+                        to, total, new = 0, cost + x, state[1]
+                    else:
+                        to, total, new = 0, cost + x + costs[context * MODEL_SYMBOLS], (state[1], " ")
+                held = after.get(to)
+                if held is None or total < held[0]:
+                    after[to] = (total, new)
+        best = after
+    ends = [(state[0] + (costs[context * MODEL_SYMBOLS] if context else 0.0), state[1]) for context, state in best.items()]
+    least = min(e[0] for e in ends)
+    return min(_spell(path) for cost, path in ends if cost == least)
+
+
+def _spell(path) -> str:
+    out = []
+    while path:
+        path, letter = path
+        out.append(letter)
+    return "".join(reversed(out))
+
+
+@functools.cache
+def _model_symbol(letter: str) -> int:
+    return int(symbols(np.array([ord(letter)], np.uint32), True)[0])
+
+
+def disguised(piece: str) -> bool:
+    """Whether a run of letters and look-alikes has a letter and either a
+    look-alike or the same character twice in a row."""
+    return any(map(str.isalpha, piece)) and (not piece.isalpha() or any(a == b for a, b in zip(piece, piece[1:])))
+
+
+def restore_word(costs, word: str) -> str:
+    """``word`` (in lower case, no white space) with its disguised pieces decoded."""
+    def read(m: re.Match) -> str:
+        if m["parted"]:
+            return decode(costs, m[0], True)
+        return decode(costs, m[0]) if disguised(m[0]) else m[0]
+
+    return PIECE.sub(read, word)
+
+
+# Three or more single letters apart by white space, marks among them.
+_SPACE = r"\x20\x09-\x0D"
+_SINGLES = re.compile(rf"(?<![^{_SPACE}]){_ONE}(?:[{_SPACE}]+(?:{_ONE}|[{_APART}]))+(?![^{_SPACE}])")
+_SINGLE = re.compile(_ONE)
+_WORD = re.compile(rf"[^{_SPACE}]+")
+
+
+def restore_singles(costs, run: str) -> str:
+    """A run of single letters and marks read as words; fewer than three are left alone."""
+    ones = _SINGLE.findall(run)
+    return decode(costs, " ".join(run.split()), True) if len(ones) > 2 and any(map(str.isalpha, ones)) else run
+
+
+def restore(costs, text: str) -> str:
     """``text`` in lower case with its disguised stretches decoded."""
-    return DISGUISED.sub(lambda m: decode(model, m[0]), text.lower())
+    text, out, at = text.lower(), [], 0
+    for m in _SINGLES.finditer(text):
+        out += [_WORD.sub(lambda w: restore_word(costs, w[0]), text[at:m.start()]), restore_singles(costs, m[0])]
+        at = m.end()
+    return "".join(out) + _WORD.sub(lambda w: restore_word(costs, w[0]), text[at:])
+
+
+def restored_words(costs, lowered: pa.Array, memo: dict[str, str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of letters in the restored texts, (text, number of its word) of each
+    occurrence, and how many stretches of each text were read otherwise than they
+    stand.  A token is decoded once a chunk; ``memo`` keeps readings between chunks."""
+    tokens, row = words_of(lowered)
+    if not len(tokens):
+        none = np.zeros(0, np.int64)
+        return pa.array([], pa.string()), none, none, np.zeros(len(lowered), np.int32)
+    coded = tokens.dictionary_encode()
+    shown, code = coded.dictionary, coded.indices.to_numpy()
+    plain = shown.to_pylist()
+    suspect = pc.or_(pc.and_(pc.match_substring_regex(shown, rf"[{_LOOK}]"), pc.match_substring_regex(shown, r"\p{L}")),
+                     pc.match_substring_regex(shown, rf"[\p{{L}}\d][{_APART}]{{1,3}}[\p{{L}}\d][{_APART}]{{1,3}}[\p{{L}}\d]")).to_numpy(zero_copy_only=False).copy()
+    lengths = pc.utf8_length(shown).to_numpy().astype(np.int64)
+    flat = np.frombuffer("".join(plain).encode("utf-32-le"), "<u4")
+    owner = np.repeat(np.arange(len(plain)), lengths)
+    suspect[owner[1:][(flat[1:] == flat[:-1]) & (owner[1:] == owner[:-1])]] = True
+    other = np.zeros(len(plain), bool)
+    for k in np.flatnonzero(suspect):
+        token = plain[k]
+        if token not in memo:
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+            read = restore_word(costs, token)
+            if len(token) <= MEMO_LENGTH:
+                memo[token] = read
+        plain[k] = memo[token] if len(token) <= MEMO_LENGTH else read
+        other[k] = plain[k] != token and _letters(plain[k]) != _letters(token)
+    number = np.bincount(row[other[code]], minlength=len(lowered)).astype(np.int32)
+
+    # Runs of three and more single characters in a text.
+    atom = np.array([n == 1 and (t in MARKS or bool(_SINGLE.fullmatch(t))) for n, t in zip(lengths.tolist(), shown.to_pylist())], bool)[code]
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], atom, [0]])) | np.concatenate([[0], row[1:] != row[:-1], [0]]))
+    bounds = np.concatenate([[0], edge, [len(atom)]])
+    used, runs, run_row = np.ones(len(atom), bool), [], []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if b - a > 2 and atom[a]:
+            run = " ".join(shown.take(pa.array(code[a:b])).to_pylist())
+            read = _SINGLES.sub(lambda m: restore_singles(costs, m[0]), run)
+            if read != run:
+                used[a:b] = False
+                runs.append(read)
+                run_row.append(row[a])
+                number[row[a]] += 1
+    words, of = letter_words(pa.array(plain + runs, pa.string()))
+    first = np.searchsorted(of, np.arange(len(plain) + len(runs) + 1))
+    entry = np.concatenate([code[used].astype(np.int64), len(plain) + np.arange(len(runs))])
+    text = np.concatenate([row[used], np.array(run_row, np.int64)])
+    n = (first[1:] - first[:-1])[entry]
+    at = np.repeat(first[entry], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return words, np.repeat(text, n), at, number
+
+
+def _letters(s: str) -> list[str]:
+    return re.sub(r"[\W\d_]+", " ", s).split()
 
 
 def likeness(text: Column) -> Column:
@@ -189,16 +341,20 @@ def sample(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text_
     return cut(one.select("m.h", "m._l", "_y").orderBy("h", "_l").limit(max_rows).select("_l", "_y"))
 
 
-def toxic_grams(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Gram -> log odds of toxic, for grams whose documents are mostly toxic."""
+def toxic_grams(docs: DataFrame, chosen: DataFrame, costs: np.ndarray, id_col: str, text_col: str, n_toxic: int, n_clean: int) -> dict[int, float]:
+    """Gram -> log odds of toxic, for grams whose documents are mostly toxic;
+    from restored texts, as they are scored."""
+    shared = docs.sparkSession.sparkContext.broadcast(costs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, y in chunks(batches):
-            words, row = letter_words(texts)
+            costs = shared.value
+            words, row, of, _ = restored_words(memoryview(costs), pc.utf8_lower(pc.fill_null(texts, "")), _memo(costs))
             if not len(words):
                 continue
             coded = words.dictionary_encode()
             key, word = grams(coded.dictionary)
-            pair = np.unique(row.astype(np.int64) * len(coded.dictionary) + coded.indices.to_numpy())
+            pair = np.unique(row.astype(np.int64) * len(coded.dictionary) + coded.indices.to_numpy()[of])
             doc, w = pair // len(coded.dictionary), pair % len(coded.dictionary)
             first = np.searchsorted(word, np.arange(len(coded.dictionary) + 1))
             n = (first[1:] - first[:-1])[w]
@@ -215,50 +371,52 @@ def toxic_grams(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str,
     n, z = F.col("t") + F.col("c"), SIGMAS
     p = F.col("t") / n
     low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    rows = table.withColumn("low", low).where(F.col("low") >= MIN_SHARE).orderBy(F.desc("low"), "gram").limit(MAX_FEATURES).collect()
+    rows = table.where(low >= MIN_SHARE).collect()  # at most SYMBOLS ** 4 rows, whatever the texts
     odds = lambda t, c: math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
-    return {spelled(r["gram"]): odds(r["t"], r["c"]) for r in rows}
+    return {r["gram"]: odds(r["t"], r["c"]) for r in rows}
 
 
-def evidence(docs: DataFrame, letters: dict[str, int], weights: dict[str, float], id_col: str, text_col: str, **carry: Column) -> DataFrame:
+def evidence(docs: DataFrame, costs: np.ndarray, weights: dict[int, float], id_col: str, text_col: str, **carry: Column) -> DataFrame:
     """(id, strongest, number, restored): the weight of the strongest toxic gram
     of the restored text, how many distinct ones there are, and how many
-    stretches were disguised."""
-    shared = docs.sparkSession.sparkContext.broadcast((letters, weights))
+    stretches were read otherwise than they stand."""
+    found = np.array(sorted(weights), np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((costs, found, np.array([weights[g] for g in found.tolist()])))
 
     def run(_, texts: pa.Array) -> dict:
-        model, automaton = _tools(shared)
-        raw = pc.utf8_lower(pc.fill_null(texts, "")).to_pylist()
-        restored = np.zeros(len(raw), np.int32)
-        for k, t in enumerate(raw):
-            raw[k], restored[k] = DISGUISED.subn(lambda m: decode(model, m[0]), t)
-        plain = pc.replace_substring_regex(pa.array(raw, pa.string()), r"[^\p{L}]+", " ").to_pylist()
-        strongest, number = np.zeros(len(raw)), np.zeros(len(raw), np.int32)
-        if len(automaton):
-            for k, t in enumerate(plain):
-                hits = {w for _, w in automaton.iter(f" {t} ")}
-                if hits:
-                    strongest[k], number[k] = max(hits)[0], len(hits)
+        costs, toxic, weight = shared.value
+        n = len(texts)
+        words, text, word, restored = restored_words(memoryview(costs), pc.utf8_lower(pc.fill_null(texts, "")), _memo(costs))
+        strongest, number = np.zeros(n), np.zeros(n, np.int32)
+        if len(toxic) and len(words):
+            coded = words.dictionary_encode()
+            key, owner = grams(coded.dictionary)
+            at = np.minimum(np.searchsorted(toxic, key), len(toxic) - 1)
+            hit = toxic[at] == key
+            at, owner = at[hit], owner[hit]
+            first = np.searchsorted(owner, np.arange(len(coded.dictionary) + 1))
+            w = coded.indices.to_numpy()[word].astype(np.int64)
+            many = (first[1:] - first[:-1])[w]
+            rows, w, many = text[many > 0], w[many > 0], many[many > 0]
+            each = np.repeat(first[w], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            pair = np.unique(np.repeat(rows, many).astype(np.int64) * len(toxic) + at[each])
+            number = np.bincount(pair // len(toxic), minlength=n).astype(np.int32)
+            strongest = np.full(n, -np.inf)
+            np.maximum.at(strongest, pair // len(toxic), weight[pair % len(toxic)])
+            strongest = np.where(number > 0, strongest, 0.0)
         return {"strongest": strongest, "number": number, "restored": restored}
 
     return map_texts(docs, run, "strongest double, number int, restored int", id_col, text_col, carry or None)
 
 
-_TOOLS: dict[int, tuple] = {}
+_MEMO: list = [None, {}]
 
 
-def _tools(shared) -> tuple[LetterModel, ahocorasick.Automaton]:
-    key = id(shared.value)
-    if key not in _TOOLS:
-        letters, weights = shared.value
-        automaton = ahocorasick.Automaton()
-        for g, w in weights.items():
-            automaton.add_word(g, (w, g))
-        if weights:
-            automaton.make_automaton()
-        _TOOLS.clear()
-        _TOOLS[key] = LetterModel(letters), automaton
-    return _TOOLS[key]
+def _memo(costs: np.ndarray) -> dict[str, str]:
+    """The readings kept for one model."""
+    if _MEMO[0] is not costs:
+        _MEMO[:] = costs, {}
+    return _MEMO[1]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -282,12 +440,15 @@ def classify(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "d
     chosen = sample(docs, labels, train, id_col, text_col, label_id, label)
     tally = {r["_y"]: r["count"] for r in chosen.groupBy("_y").count().collect()}
     n_toxic, n_clean = tally.get(1, 0), tally.get(0, 0)
-    letters = {spelled(r["gram"]): r["n"] for r in gram_counts(docs, text_col).orderBy(F.desc("n"), "gram").limit(LM_GRAMS).collect()}
-    weights = toxic_grams(docs, chosen, id_col, text_col, n_toxic, n_clean) if n_toxic and n_clean else {}
-    found = cut(evidence(docs, letters, weights, id_col, text_col))
+    counted = gram_counts(docs, text_col).toArrow()  # at most MODEL_SYMBOLS ** 4 rows
+    costs = letter_costs(counted["gram"].to_numpy(), counted["n"].to_numpy())
+    weights = toxic_grams(docs, chosen, costs, id_col, text_col, n_toxic, n_clean) if n_toxic and n_clean else {}
+    found = cut(evidence(docs, costs, weights, id_col, text_col))
     if not weights:
         return found.select(id_col, F.lit(n_toxic / max(1, n_toxic + n_clean)).alias("score"), "restored")
-    rows = found.join(F.broadcast(chosen), F.col(id_col) == F.col("_l")).select("strongest", "number", "_y").collect()
+    # Rows that share an id are one row here, so the sample's bound holds.
+    one = found.join(F.broadcast(chosen), F.col(id_col) == F.col("_l")).groupBy("_l", "_y").agg(F.max(F.struct("strongest", "number")).alias("m"))
+    rows = one.select("m.strongest", "m.number", "_y").collect()
     w = logistic(np.array([[r[0], math.log1p(r[1])] for r in rows]), np.array([r[2] for r in rows], float))
     logit = F.lit(float(w[0])) + F.lit(float(w[1])) * F.col("strongest") + F.lit(float(w[2])) * F.log1p("number")
     return found.select(id_col, (1 / (1 + F.exp(-logit))).alias("score"), "restored")

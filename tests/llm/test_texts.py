@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -437,13 +438,65 @@ def test_quality_scores(spark):
 
 # Operator 1.
 
+def letter_model(words):
+    tally = collections.Counter(toxicity.grams(pa.array([w for w in words for _ in range(50)]), 3, True)[0].tolist())
+    return memoryview(toxicity.letter_costs(np.array(list(tally)), np.array(list(tally.values()))))
+
+
 def test_deobfuscation():
-    words = "the idiot and a moron are losers of this thing that ended in another idiot and the loser".split()
-    key, _ = toxicity.grams(pa.array([w for w in words for _ in range(50)]))
-    model = toxicity.LetterModel({toxicity.spelled(k): n for k, n in collections.Counter(key.tolist()).items()})
-    for shown, meant in (("1d10t", "idiot"), ("m0r0n", "moron"), ("i d i o t", "idiot"), ("l.o.s.e.r", "loser"), ("idiiiot", "idiot"), ("L0$er", "loser"), ("plain words", "plain words"), ("and *** % the", "and *** % the")):
-        assert toxicity.restore(model, f"hm {shown} so")[3:-3] == meant
-    assert toxicity.restore(model, "") == ""
+    model = letter_model("the idiot and a moron are losers of this thing that ended in another idiot and the loser die hate ass kill all hello".split())
+    for shown, meant in (("1d10t", "idiot"), ("m0r0n", "moron"), ("i d i o t", "idiot"), ("l.o.s.e.r", "loser"), ("idiiiot", "idiot"), ("L0$er", "loser"), ("plain words", "plain words"), ("and *** % the", "and *** % the"),
+                         ("i-d-i-o-t", "idiot"), ("di3", "die"), ("hat3", "hate"), ("a55", "ass"), ("a$$", "ass"), ("kil1", "kill"), ("id" + "1" * 40 + "iot", "idiot"), ("d i e", "die"), ("i/d/i/o/t", "idiot"),
+                         ("i\td\ti\to\tt", "idiot"), ("i   d   i   o   t", "idiot"), ("i\nd\ni\no\nt", "idiot"), ("iiddiioott", "idiot"), ("h@te", "hate"), ("h@te!", "hate"), ("hello", "hello"), ("all the", "all the")):
+        assert toxicity.restore(model, f"hm {shown} so")[3:-3] == meant, shown
+    assert toxicity.restore(model, "") == "" and toxicity.restore(model, " \n 12 \n") == " \n 12 \n"
+    assert toxicity.restore(model, "i" * 30_000 + "diot") == "idiot" and len(toxicity.restore(model, "1 d " * 5_000)) > 0
+
+
+@given(st.text(alphabet="idot10!*$ é", min_size=1, max_size=6), st.booleans())
+@settings(max_examples=150, deadline=None)
+def test_decoding_is_the_cheapest_of_all_readings(s, parted):
+    model = letter_model("idiot dot too it toad".split())
+
+    def price(text):  # of the words of a reading, letter by letter
+        total = 0.0
+        for w in text.split():
+            total += sum(model[g] for g in toxicity.grams(pa.array([w]), 3, True)[0].tolist())
+        return total
+
+    def cost(way):
+        return sum(x for x, _ in way) + price("".join(c for _, c in way))
+
+    s = s if parted else s.replace(" ", "")  # white space is in lattices of single letters only
+    ways = list(itertools.product(*toxicity.readings(s, parted)))
+    got = toxicity.decode(model, s, parted)
+    of_got = min(cost(w) for w in ways if "".join(c for _, c in w).split() == got.split())
+    assert abs(of_got - min(map(cost, ways))) < 1e-3
+
+
+def test_decoding_ties_and_words_of_restored_texts():
+    flat = memoryview(np.ones(toxicity.MODEL_SYMBOLS ** 4, np.float32))  # every reading of a look-alike costs the same
+    assert toxicity.decode(flat, "x1x") == "xix" == toxicity.decode(flat, "x1x") and toxicity.decode(flat, "x*x") == "xax"
+    model = letter_model("the idiot and a moron are die hate".split())
+    texts = ["The 1d10t, m0r0n!", None, "", "a  d i e b", "x " * 4 + "the", "h@te " * 3, "plain words", "D.I.E now", "-- - -", "a\u00a0b i d i o t"]
+    words, text, word, number = toxicity.restored_words(model, pc.utf8_lower(pc.fill_null(pa.array(texts, pa.string()), "")), {})
+    got = collections.defaultdict(list)
+    for t, w in zip(text.tolist(), word.tolist()):
+        got[t].append(words[w].as_py())
+    for k, t in enumerate(texts):
+        assert sorted(got[k]) == sorted(toxicity._letters(toxicity.restore(model, t or ""))), t
+    assert number[0] == 2 and number[5] == 3 and number[6] == 0 and number[1] == number[2] == 0
+
+
+def test_disguised_documents_change_their_score(spark):
+    rows = [row(i, prose(i, 30) + (" zqidjot wxmoronk" if i % 4 == 0 else "")) for i in range(200)]
+    shown = ["zq1dj0t", "z q i d j o t", "zqiiiidjot", "z-q-i-d-j-o-t", "zq!dj0t", "z\tq\ti\td\tj\to\tt", "wxm0r0nk", "w/x/m/o/r/o/n/k", "wwxxmmoorroonnkk"]
+    rows += [row(1000 + i, prose(1000 + i, 20) + f" {s} and") for i, s in enumerate(shown)] + [row(2000, prose(2000, 20) + " and")]
+    rows += [row(3000, None), row(3000, "zqidjot"), row(3001, "q" * 50_000 + " zq1dj0t")]
+    marks = labels(spark, [(i, 1, int(i % 4 == 0), "x") for i in range(200)] + [(3000, 1, 1, None), (3000, 1, 0, None)])
+    got = {(r.doc_id, r.score >= 0.3) for r in toxicity.classify(docs(spark, rows), marks, F.lit(True)).collect()}
+    assert {(1000 + i, True) for i in range(len(shown))} <= got and (2000, False) in got and (3001, True) in got
+    assert {(3000, True), (3000, False)} <= got  # rows that share an id are scored each
 
 
 def test_toxicity_scores(spark):
