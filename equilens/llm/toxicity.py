@@ -31,7 +31,6 @@ the share of toxic labels (0 if none).
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 import unicodedata
@@ -65,9 +64,9 @@ MARK_COST = 0.2
 BREAK_COST = 1.0
 # A letter written twice is common spelling, three times is not.
 TWICE_COST, REPEAT_COST = 1.5, 0.3
-# Readings that a worker keeps between chunks, of tokens up to this length
+# Readings that a worker keeps between chunks, of pieces up to this length
 # (longer ones are decoded each time).
-MEMO_WORDS, MEMO_LENGTH = 200_000, 64
+MEMO_PIECES, MEMO_LENGTH = 300_000, 64
 
 # Symbols of toxic grams: space, a-z, other letters by code point; of the letter
 # model: space, a-z with and without accents, other letters in five.
@@ -162,6 +161,15 @@ def letter_costs(key: np.ndarray, n: np.ndarray, weight: float = 2.0) -> np.ndar
 def readings(s: str, parted: bool) -> list[list[tuple[float, str]]]:
     """The lattice of one stretch: for each character what may be written for
     it ('' nothing, ' ' a word end) and at what cost."""
+    if not parted and s.isalpha():
+        out, same = [[(0.0, c)] for c in s], 0
+        for k in range(1, len(s)):
+            if s[k] == s[k - 1]:
+                same += 1
+                out[k].append((TWICE_COST if same == 1 else REPEAT_COST, ""))
+            else:
+                same = 0
+        return out
     letters = [k for k, c in enumerate(s) if c.isalpha()]
     first, last = (letters[0], letters[-1]) if letters else (0, len(s))
     out, before, same = [], "", 0
@@ -187,34 +195,48 @@ def readings(s: str, parted: bool) -> list[list[tuple[float, str]]]:
     return out
 
 
+_KNOWN = {"": -1, " ": 0, **{chr(c): c - 96 for c in range(97, 123)}}
+
+
 def decode(costs, s: str, parted: bool = False) -> str:
     """The likeliest reading of one disguised stretch (in lower case) under
     :func:`readings` and the letter model.  Of equally cheap ways to one context
-    the one found first stays, of equally cheap readings the smallest."""
-    best: dict[int, tuple] = {0: (0.0, None)}
-    for options in readings(s, parted):
+    the one found first stays, of equally cheap readings the smallest.
+
+    Letters before the first choice cost the same in every reading, and so do
+    those from the fourth after the last choice on: they are not searched."""
+    lattice = readings(s, parted)
+    open_ = [k for k, options in enumerate(lattice) if len(options) > 1 or options[0][0]]
+    if not open_:
+        return s
+    first, stop = open_[0], open_[-1] + 4
+    context, known = 0, _KNOWN
+    for c in s[max(0, first - 3):first]:
+        context = context * MODEL_SYMBOLS + (known.get(c) or _model_symbol(c))
+    best: dict[int, tuple] = {context: (0.0, None)}
+    for options in lattice[first:stop]:
         after: dict[int, tuple] = {}
-        steps = [(x, letter, 0 if letter == " " else _model_symbol(letter) if letter else -1) for x, letter in options]
-        for context, state in best.items():
-            cost = state[0]
-            for x, letter, sym in steps:
-                if sym < 0:
-                    to, total, new = context, cost + x, state[1]
-                elif sym:
+        for x, letter in options:
+            sym = known.get(letter)
+            if sym is None:
+                sym = known[letter] = _model_symbol(letter)
+            for context, (cost, path) in best.items():
+                if sym > 0:
                     at = context * MODEL_SYMBOLS + sym
-                    to, total, new = at & _CONTEXT, cost + x + costs[at], (state[1], letter)
-                else:
-                    if not context:  # no empty words
-                        to, total, new = 0, cost + x, state[1]
-                    else:
-                        to, total, new = 0, cost + x + costs[context * MODEL_SYMBOLS], (state[1], " ")
+                    to, total, path = at & _CONTEXT, cost + x + costs[at], (path, letter)
+                elif sym < 0:
+                    to, total = context, cost + x
+                elif context:
+                    to, total, path = 0, cost + x + costs[context * MODEL_SYMBOLS], (path, " ")
+                else:  # no empty words
+                    to, total = 0, cost + x
                 held = after.get(to)
                 if held is None or total < held[0]:
-                    after[to] = (total, new)
+                    after[to] = (total, path)
         best = after
-    ends = [(state[0] + (costs[context * MODEL_SYMBOLS] if context else 0.0), state[1]) for context, state in best.items()]
+    ends = [(cost + (costs[context * MODEL_SYMBOLS] if context else 0.0), path) for context, (cost, path) in best.items()]
     least = min(e[0] for e in ends)
-    return min(_spell(path) for cost, path in ends if cost == least)
+    return s[:first] + min(_spell(path) for cost, path in ends if cost == least) + s[stop:]
 
 
 def _spell(path) -> str:
@@ -225,23 +247,34 @@ def _spell(path) -> str:
     return "".join(reversed(out))
 
 
-@functools.cache
 def _model_symbol(letter: str) -> int:
-    return int(symbols(np.array([ord(letter)], np.uint32), True)[0])
+    """-1 for nothing."""
+    return -1 if not letter else int(symbols(np.array([ord(letter)], np.uint32), True)[0])
+
+
+_TWICE = re.compile(r"(.)\1")
 
 
 def disguised(piece: str) -> bool:
     """Whether a run of letters and look-alikes has a letter and either a
     look-alike or the same character twice in a row."""
-    return any(map(str.isalpha, piece)) and (not piece.isalpha() or any(a == b for a, b in zip(piece, piece[1:])))
+    return _TWICE.search(piece) is not None if piece.isalpha() else any(map(str.isalpha, piece))
 
 
-def restore_word(costs, word: str) -> str:
-    """``word`` (in lower case, no white space) with its disguised pieces decoded."""
+def restore_word(costs, word: str, memo: dict[str, str] | None = None) -> str:
+    """``word`` (in lower case, no white space) with its disguised pieces decoded;
+    ``memo`` keeps readings of short pieces."""
     def read(m: re.Match) -> str:
-        if m["parted"]:
-            return decode(costs, m[0], True)
-        return decode(costs, m[0]) if disguised(m[0]) else m[0]
+        piece, parted = m[0], bool(m["parted"])
+        if not parted and not disguised(piece):
+            return piece
+        if memo is None or len(piece) > MEMO_LENGTH:
+            return decode(costs, piece, parted)
+        if piece not in memo:
+            if len(memo) >= MEMO_PIECES:
+                memo.clear()
+            memo[piece] = decode(costs, piece, parted)
+        return memo[piece]
 
     return PIECE.sub(read, word)
 
@@ -288,18 +321,15 @@ def restored_words(costs, lowered: pa.Array, memo: dict[str, str]) -> tuple[pa.A
     other = np.zeros(len(plain), bool)
     for k in np.flatnonzero(suspect):
         token = plain[k]
-        if token not in memo:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            read = restore_word(costs, token)
-            if len(token) <= MEMO_LENGTH:
-                memo[token] = read
-        plain[k] = memo[token] if len(token) <= MEMO_LENGTH else read
+        plain[k] = restore_word(costs, token, memo)
         other[k] = plain[k] != token and _letters(plain[k]) != _letters(token)
     number = np.bincount(row[other[code]], minlength=len(lowered)).astype(np.int32)
 
     # Runs of three and more single characters in a text.
-    atom = np.array([n == 1 and (t in MARKS or bool(_SINGLE.fullmatch(t))) for n, t in zip(lengths.tolist(), shown.to_pylist())], bool)[code]
+    single = np.zeros(len(plain), bool)
+    ones = np.flatnonzero(lengths == 1)
+    single[ones] = [t in MARKS or bool(_SINGLE.fullmatch(t)) for t in shown.take(pa.array(ones)).to_pylist()]
+    atom = single[code]
     edge = np.flatnonzero(np.diff(np.concatenate([[0], atom, [0]])) | np.concatenate([[0], row[1:] != row[:-1], [0]]))
     bounds = np.concatenate([[0], edge, [len(atom)]])
     used, runs, run_row = np.ones(len(atom), bool), [], []
