@@ -3,9 +3,9 @@
 Plan shape, chosen for scale:
 
 * Tokenizing, stop-word removal and n-grams are row-local array expressions.
-* The vocabulary fit is two explode + hash aggregations keyed by term, of the
-  words and then of the bigrams whose words are frequent enough to matter.
-  Every document contributes each occurrence (for the corpus frequency ``cf``)
+* The vocabulary fit is a pass of bounded word summaries, which name the words
+  that may be frequent enough, and one explode + hash aggregation keyed by term
+  of these words and their bigrams.  Every document contributes each occurrence (for the corpus frequency ``cf``)
   and each distinct term once (for the document frequency ``df``) in the same
   pass; the partial (map-side) aggregate collapses hot terms before the
   shuffle, so a term that occurs in a third of all documents costs one row
@@ -24,6 +24,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.tokens import add_terms, english_stop_words, remove_stop_words, tokenize
+from ..session import materialize, ship_package
 
 QUERY_ID = -1
 
@@ -109,8 +112,9 @@ class Vocabulary:
         return spark.createDataFrame(rows, schema)
 
 
-# More frequent words than this: bigrams are counted without the bound on their words.
-FREQUENT_WORDS = 5_000
+# Counters of a task's word summary, and candidate words that a plan may name.
+COUNTERS = 20_000
+MAX_CANDIDATES = 10_000
 
 
 def corpus_of(docs: DataFrame, query: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,30 +135,64 @@ def term_stats(terms: DataFrame, terms_col: str = "terms") -> DataFrame:
             .agg(F.sum("e.c").cast("long").alias("cf"), (F.sum(F.col("e.d") * (1 - F.col("q"))) + F.max(F.col("e.d") * F.col("q"))).cast("long").alias("df")))
 
 
+def word_summaries(tokens: DataFrame, terms_col: str = "terms", counters: int = COUNTERS) -> DataFrame:
+    """(term, n) by Misra-Gries summaries of at most ``counters`` words a task,
+    added up: ``n`` is never above a word's count.  The row whose term is null
+    has in ``n`` by how much a count may at most be above (so much, too, a word
+    without a row may have).  There are as many tasks as cores, so what is
+    shuffled depends neither on the number of different words nor on the input."""
+    def run(batches):
+        held, lost = {}, 0
+        for b in batches:
+            words = pc.list_flatten(b.column(0))
+            for e in pc.value_counts(words.drop_null()).to_pylist():
+                held[e["values"]] = held.get(e["values"], 0) + e["counts"]
+            if len(held) > counters:
+                least = sorted(held.values(), reverse=True)[counters]
+                held = {w: n - least for w, n in held.items() if n > least}
+                lost += least
+        yield pa.RecordBatch.from_arrays([pa.array([*held, None], pa.string()), pa.array([*held.values(), lost], pa.int64())], ["term", "n"])
+
+    spark = tokens.sparkSession
+    ship_package(spark)
+    tasks = tokens.select(terms_col).coalesce(max(1, spark.sparkContext.defaultParallelism))
+    return tasks.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(tokens: DataFrame, k: int, counters: int = COUNTERS, max_candidates: int = MAX_CANDIDATES) -> list[str] | None:
+    """Words among which are all that are as frequent as the ``k``-th, or None
+    where the summaries cannot tell or too many words come into question."""
+    summary = materialize(word_summaries(tokens, counters=counters))
+    lost = sum(r["n"] for r in summary.where(F.col("term").isNull()).collect())
+    known = summary.where(F.col("term").isNotNull())
+    top = known.orderBy(F.desc("n")).limit(k).collect()
+    least = top[-1]["n"] if len(top) == k else 0
+    if lost and least <= lost:
+        return None
+    words = [r["term"] for r in known.where(F.col("n") + lost >= least).limit(max_candidates + 1).collect()]
+    return words if len(words) <= max_candidates else None
+
+
 def top_terms(corpus: DataFrame, max_features: int = fixed.MAX_FEATURES, stop_words=None,
-              ngram_range: tuple[int, int] = (1, 2)) -> DataFrame:
+              ngram_range: tuple[int, int] = (1, 2), counters: int = COUNTERS, max_candidates: int = MAX_CANDIDATES) -> DataFrame:
     """(term, cf, df) of the ``max_features`` terms with the highest corpus
-    frequency, ties by term.  Words are counted first.  A bigram is never more
-    frequent than either of its words, so one that belongs to the top has words
-    at least as frequent as the last of the top words: only bigrams of such
-    words are shuffled, and the rest of the corpus' bigrams never leave the row."""
+    frequency, ties by term.  A first pass finds the words that may be as
+    frequent as the ``max_features``-th one (:func:`frequent_words`).  A bigram
+    is never more frequent than either of its words, so a second pass counts
+    only these words and the bigrams of two of them; other terms never leave the
+    row.  Where the summaries do not separate the words, all terms are counted."""
     sw = tuple(english_stop_words() if stop_words is None else stop_words)
     best = lambda d, n: d.orderBy(F.desc("cf"), F.asc("term")).limit(n)
     if ngram_range != (1, 2):
         return best(term_stats(add_terms(corpus, "text", "terms", sw, ngram_range).select("terms", "part")), max_features)
     tokens = corpus.select("part", remove_stop_words(tokenize(F.col("text")), sw).alias("terms"))
-    words = best(term_stats(tokens), max(max_features, FREQUENT_WORDS)).collect()
-    least = words[max_features - 1]["cf"] if len(words) >= max_features else 0
-    pairs = tokens.withColumn("terms", F.zip_with("terms", F.slice("terms", 2, F.greatest(F.size("terms"), F.lit(1))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    if least and (len(words) < max(max_features, FREQUENT_WORDS) or words[-1]["cf"] < least):
-        frequent = [r["term"] for r in words if r["cf"] >= least]
-        pairs = pairs.withColumn("terms", F.filter("terms", lambda x: x["a"].isin(frequent) & x["b"].isin(frequent)))
-    else:
-        pairs = pairs.withColumn("terms", F.filter("terms", lambda x: x["b"].isNotNull()))
-    pairs = pairs.withColumn("terms", F.transform("terms", lambda x: F.concat_ws(" ", x["a"], x["b"])))
-    rows = [(r["term"], r["cf"], r["df"]) for r in words[:max_features]]
-    unigrams = corpus.sparkSession.createDataFrame(rows, "term string, cf long, df long")
-    return best(term_stats(pairs).unionByName(unigrams), max_features)
+    words = frequent_words(tokens, max_features, counters, max_candidates)
+    if words is not None:  # other words become gaps, which no bigram spans
+        tokens = tokens.withColumn("terms", F.transform("terms", lambda x: F.when(x.isin(words), x)))
+    after = F.slice("terms", 2, F.greatest(F.size("terms"), F.lit(1)))
+    pairs = F.zip_with("terms", after, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.concat_ws(" ", a, b)))
+    terms = F.filter(F.concat("terms", pairs), lambda x: x.isNotNull())
+    return best(term_stats(tokens.select("part", terms.alias("terms"))), max_features)
 
 
 def fit_vocabulary(docs: DataFrame, query: DataFrame, id_col: str = "doc_id", text_col: str = "text",

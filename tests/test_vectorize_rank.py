@@ -1,14 +1,16 @@
 """TF-IDF, scoring and ranking against brute-force Python on small inputs."""
 
 import math
+import random
 import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from equilens.functions.tokens import english_stop_words, terms
+from equilens.functions.tokens import english_stop_words, terms, tokenize
 from equilens.operators import rank as rk
 from equilens.session import materialize
 from equilens.operators import vectorize as vz
@@ -216,3 +218,53 @@ def test_single_class_is_rejected(spark):
         assert "two classes" in str(e)
     else:
         raise AssertionError("expected ValueError")
+
+
+def _counted(texts, k):
+    """The ``k`` most frequent words and bigrams with their counts, in plain Python."""
+    cf, df = Counter(), Counter()
+    for t in texts:
+        w = t.split()
+        terms = w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+        cf.update(terms)
+        df.update(set(terms))
+    return [(t, cf[t], df[t]) for t in sorted(cf, key=lambda t: (-cf[t], t))[:k]]
+
+
+def _corpus(spark, texts, tasks=4):
+    return spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text string, part boolean").repartition(tasks, "doc_id")
+
+
+def _zipf(seed, n, size):
+    rng = random.Random(seed)
+    return [" ".join(f"w{int(rng.paretovariate(0.9))}" for _ in range(size)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("counters, told", [(20_000, True), (400, True), (12, False)])
+def test_top_terms_by_summaries_equal_full_counts(spark, counters, told):
+    texts = _zipf(counters, 300, 40) + ["", "w1", "w1 w1 w1"]
+    corpus = _corpus(spark, texts)
+    tokens = tokenize(F.col("text"))
+    words = vz.frequent_words(corpus.select("part", tokens.alias("terms")), 30, counters)
+    assert (words is not None) == told  # too few counters: everything is counted
+    got = [tuple(r) for r in vz.top_terms(corpus, 30, (), counters=counters).collect()]
+    assert got == _counted(texts, 30)
+    assert [tuple(r) for r in vz.top_terms(corpus, 30, (), counters=counters, max_candidates=5).collect()] == got
+
+
+def test_word_summaries_bound_the_counts(spark):
+    texts = _zipf(7, 400, 50)
+    cf = Counter(w for t in texts for w in t.split())
+    rows = vz.word_summaries(_corpus(spark, texts, 6).select(tokenize(F.col("text")).alias("terms")), counters=100).collect()
+    lost = sum(r.n for r in rows if r.term is None)
+    kept = {r.term: r.n for r in rows if r.term is not None}
+    assert 0 < lost and len(kept) < len(cf)
+    assert all(kept.get(w, 0) <= n <= kept.get(w, 0) + lost for w, n in cf.items())
+
+
+def test_top_terms_of_ties_and_nothing(spark):
+    texts = [f"t{i:03d} t{i:03d}" for i in range(50)]  # all words equally frequent
+    assert [tuple(r) for r in vz.top_terms(_corpus(spark, texts), 10, ()).collect()] == _counted(texts, 10)
+    assert [tuple(r) for r in vz.top_terms(_corpus(spark, texts), 10, (), counters=3).collect()] == _counted(texts, 10)
+    assert vz.top_terms(_corpus(spark, []), 10, ()).collect() == []
+    assert vz.top_terms(_corpus(spark, ["", " "]), 10, ()).collect() == []
