@@ -245,3 +245,39 @@ def test_local_attribution_of_short_and_empty_texts(spark):
     out = lo.local_attribution(docs, vocab, qw, 0.0, n_samples=12).collect()
     assert sorted((r.doc_id, r.pos, r.word) for r in out if r.doc_id == 1) == [(1, 1, "alpha")]
     assert len([r for r in out if r.doc_id == 4]) == 4 and not [r for r in out if r.doc_id in (2, 3)]
+
+
+def test_removed_digests_are_those_of_the_words_removed(spark):
+    """One mask matrix per document against ordering the words of every sample by
+    its keyed priority; ids that are null or repeat, and words of one multiplier."""
+    import hashlib
+
+    text = "one two three two Zwei über été x y z"
+    docs = spark.createDataFrame([(1, text), (None, "a b c"), (1, "solo"), (2, ""), (3, None)], "doc_id long, text string")
+    number = lambda s, k: int(hashlib.md5(s.encode()).hexdigest()[k:k + 8], 16)
+
+    def want(doc, words, s):
+        key = f"{fixed.SEED}|" + ("" if doc is None else f"{doc}|")
+        b, c, r = 1 + number(f"{key}sample|{s}", 0) % (lo.P - 1), number(f"{key}sample|{s}", 8) % lo.P, 1 + number(f"{key}sample|{s}", 16) % len(words)
+        first = sorted(words, key=lambda w: ((number(key + w, 0) % lo.P * b + c) % lo.P, w))
+        return sorted(first[:r if s else 0])
+
+    f = lo.samples(lo.word_features(docs), 9)
+    listed = {(r.doc_id, r.W, r.s): r.removed for r in lo.removed_words(f).collect()}
+    assert listed == {(d, len(w), s): want(d, w, s) for d, w in ((1, sorted(set(text.split()))), (None, ["a", "b", "c"]), (1, ["solo"])) for s in range(9)}
+    cells, lo.CELLS = lo.CELLS, 10
+    try:
+        digests = lo.removed_words(f, digest=True).collect()
+    finally:
+        lo.CELLS = cells
+    assert {(r.doc_id, r.W, r.s): r.removed_md5 for r in digests} == {k: hashlib.md5(" ".join(w).encode()).hexdigest() for k, w in listed.items()}
+    same = np.array([5, 9, 5, 5]), np.array([3, 7]), np.array([1, 0]), np.array([2, 3])
+    order = [np.argsort((same[0] * b + c) % lo.P, kind="stable")[:r] for b, c, r in zip(*same[1:])]
+    assert [sorted(np.flatnonzero(~k)) for k in lo.kept_words(*same)] == [sorted(o) for o in order]
+
+
+def test_masks_make_no_row_of_words_a_sample(spark):
+    """The masks explode nothing and the runs are made once: no filter repeats them."""
+    docs = spark.createDataFrame([(1, "alpha beta")], "doc_id long, text string")
+    plan = lo.removed_words(lo.samples(lo.word_features(docs)), digest=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("regexp_extract_all") == 1
