@@ -268,3 +268,24 @@ def test_top_terms_of_ties_and_nothing(spark):
     assert [tuple(r) for r in vz.top_terms(_corpus(spark, texts), 10, (), counters=3).collect()] == _counted(texts, 10)
     assert vz.top_terms(_corpus(spark, []), 10, ()).collect() == []
     assert vz.top_terms(_corpus(spark, ["", " "]), 10, ()).collect() == []
+
+
+def test_exploded_arrays_are_made_once(spark):
+    """No filter inferred from the explode evaluates the weights a second time."""
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta"), (3, None)], "doc_id long, text string")
+    vocab, _ = vz.fit_corpus(docs, vz.query_from_text(spark, "alpha beta"))
+    long = vz.explode_weights(vz.sparse_docs(docs, vocab, "text", ["doc_id"]), vocab, ["doc_id"], "sw")
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert {(r.doc_id, r.term) for r in long.collect()} == {(1, "alpha"), (1, "alpha beta"), (1, "beta"), (1, "beta gamma"), (1, "gamma"), (2, "beta")}
+
+
+def test_document_terms_adds_up_rows_that_share_an_id(spark):
+    """Counted in the row, and by id only where an id is there more than once (null ids too)."""
+    rows = [(1, "alpha beta alpha beta"), (2, "Beta the gamma"), (2, "beta"), (None, "x1 x1"), (None, "x1"), (3, ""), (4, None), (5, "the of"), (6, "ärger Über ärger")]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.term, r.tf) for r in vz.document_terms(corpus).collect()))
+    assert got == sorted([(1, "alpha", 2), (1, "beta", 2), (1, "alpha beta", 2), (1, "beta alpha", 1), (2, "beta", 2), (2, "gamma", 1), (2, "beta gamma", 1),
+                          (0, "x1", 3), (0, "x1 x1", 1), (6, "ärger", 2), (6, "über", 1), (6, "ärger über", 1), (6, "über ärger", 1)])
+    plan = vz.document_terms(corpus)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
