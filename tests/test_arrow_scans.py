@@ -83,3 +83,14 @@ def test_entries_equal_the_count_vectorizer(spark):
         got = vz.sparse_docs(docs, vocab, "text", ["doc_id", "k"])
         assert [tuple(r) for r in sorted(got.collect(), key=key)] == [tuple(r) for r in sorted(plain, key=key)]
         assert "UDF" not in _plan(got)
+
+
+def test_cleaning_leaves_out_scans_that_cannot_match(spark):
+    texts = ["a <b", "<b>x</b>", "<\n>", "a>b<c>", "http", "http x", "httpx y", "www.", "www.q  r", "<http://x y>", "ht<i>tp://x", "é", "a é\u2003\u00a0 b", "\u2028x", "plain", " two  blanks ", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, t string").unionByName(spark.sql("select 99 id, cast(unhex('61C3622080') as string) t"))
+    t = F.coalesce("t", F.lit(""))
+    for pattern in (fixed.TAG_RE, fixed.URL_RE, fixed.WS_RUN_RE, fixed.NON_ASCII_RE):
+        t = F.regexp_replace(t, pattern, " ")
+    got = d.select("id", tx.clean_text(F.col("t")).alias("a"), F.trim(t).alias("b")).collect()
+    assert all(r.a == r.b for r in got), got
+    assert "http" in _plan(d.select(tx.clean_text(F.col("t")))).replace("http[", "")  # looked for before the scan
